@@ -239,7 +239,12 @@ def near_join(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD
     bands = materialise(spark, reps.select("rep", "sig").mapInPandas(band_rows, "band long, rep long"), "bands")
     buckets = materialise(spark, bands.groupBy("band").agg(F.min("rep").alias("u"), F.count("*").alias("n")).where("n > 1"), "buckets")
     star = skew_join(bands, buckets, "band", "n", "rep", max(1, total) * BANDS).where("u is not null and u <> rep")
-    comps = components(spark, star.select("u", F.col("rep").alias("v")))
+    # A representative links to the least head among its bands, and that head to the others: heads repeat,
+    # so what is left after distinct is about one link for each representative, not one for each band.
+    heads = star.groupBy("rep").agg(F.min("u").alias("low"), F.collect_set("u").alias("heads"))
+    own = heads.select("low", F.col("rep").alias("v"))
+    among = heads.select("low", F.explode("heads").alias("v")).where("low <> v").distinct()
+    comps = components(spark, own.union(among).select(F.col("low").alias("u"), "v"))
 
     sizes = comps.groupBy("root").agg(F.count("*").alias("n"))
     members = skew_join(comps.withColumnRenamed("root", "comp"), sizes.withColumnRenamed("root", "comp"), "comp", "n", "node", max(1, total)).withColumnRenamed("node", "rep")
