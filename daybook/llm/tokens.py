@@ -2,16 +2,23 @@
 
 The vocabulary lower-cases, drops white space and never merges across it, so a text's ids are those of
 its words one after another. Words between spaces and line feeds are encoded by the library once and
-remembered; a text's ids are then joined from the remembered bytes.
+remembered; a text's ids are then joined from the remembered bytes. A word of Latin letters with marks
+behind it is the letters' ids and the marks' ids, so such words share what is remembered of both.
 """
 
 from __future__ import annotations
 
 import os
+import re
+
+import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words remembered by a Python worker, and the longest word that is.
 MEMO_WORDS, MEMO_CHARS = 400_000, 40
+#: Letters, then ASCII marks but apostrophes (which the vocabulary joins to letters). These letters
+#: are composed, and have one lower-case letter each.
+LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -31,6 +38,10 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}  # runs of letters, and runs of marks
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a run
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -39,24 +50,54 @@ class WordEncoder:
             cls._held[path] = cls(path)
         return cls._held[path]
 
+    def _encode_parts(self, parts: list[str]) -> None:
+        """Remember runs of letters and of marks; many go to the library as one text, cut where ids end a run."""
+        step = 400
+        texts = [" ".join(parts[i : i + step]) for i in range(0, len(parts), step)]
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            here = parts[k * step : (k + 1) * step]
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(here):
+                data, at = ids.tobytes(), 0
+                for part, cut in zip(here, (4 * cuts).tolist(), strict=True):
+                    self.parts[part] = data[at:cut]
+                    at = cut
+            else:  # a run was cut otherwise: each for itself
+                for part in here:
+                    self.parts[part] = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        fresh = list({w for words in split for w in words if w not in memo})
+        # Lower case does not change ids, except that a special token's name could appear.
+        split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
+        memo, parts = self.memo, self.parts
+        met: set[str] = set()
+        for words in split:
+            met.update(words)
+        fresh = met.difference(memo) if len(memo) < len(met) else {w for w in met if w not in memo}
         extra: dict[str, bytes] = {}
         if fresh:
-            import numpy as np
-
-            for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                extra[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        out = []
-        for words in split:
-            try:
-                out.append(b"".join([memo[w] for w in words]))
-            except KeyError:
-                out.append(b"".join([memo[w] if w in memo else extra[w] for w in words]))
+            matched = [(w, m[1].lower(), m[2]) for w in fresh if len(w) <= MEMO_CHARS and (m := LETTERS_MARKS.fullmatch(w))]
+            other = list(fresh.difference(w for w, _, _ in matched))
+            self._encode_parts(list({p for _, a, b in matched for p in (a, b) if p not in parts}))
+            for w, a, b in matched:
+                extra[w] = parts[a] + parts[b]
+            for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+                extra[w] = np.array(e.ids, dtype="<u4").tobytes()
         if len(memo) + len(extra) > MEMO_WORDS:
+            out = [b"".join([extra[w] if w in extra else memo[w] for w in words]) for words in split]
+            again = {w: memo[w] for w in met if w in memo}  # words met before stay
             memo.clear()
             memo[""] = b""
-        memo.update((w, b) for w, b in extra.items() if len(w) <= MEMO_CHARS)
+            memo.update(again)
+            memo.update((w, b) for w, b in extra.items() if len(w) <= MEMO_CHARS)
+        else:
+            long = {w: b for w, b in extra.items() if len(w) > MEMO_CHARS}
+            memo.update(extra)
+            out = [b"".join(map(memo.__getitem__, words)) for words in split]
+            for w in long:
+                del memo[w]
+        if len(parts) > MEMO_WORDS:
+            parts.clear()
+            parts[""] = b""
         return out
