@@ -133,10 +133,15 @@ class Packer:
             self.sequence += 1
 
 
-def pack_rows(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, limits: tuple[int, int, int], window: int) -> Iterator[pa.RecordBatch]:
+def rows_of(ids: np.ndarray, places: np.ndarray) -> list[bytes]:
+    data, at = ids.tobytes(), (4 * places).tolist()
+    return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def pack_rows(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, limits: tuple[int, int, int], window: int, prompted: bool) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encoder, end = WordEncoder.of(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+    encoder = WordEncoder.of(vocabulary)
     base = (TaskContext.get().partitionId() if TaskContext.get() else 0) * TASK_SEQUENCES
     done: list[tuple] = []
 
@@ -152,13 +157,11 @@ def pack_rows(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, l
 
     packer = Packer(emit, *limits, window)
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            prompts = encoder.encode_all(part.column("prompt").to_pylist())
-            answers = encoder.encode_all(part.column("text").to_pylist())
-            for doc_id, p, a in zip(part.column("doc_id").to_pylist(), prompts, answers, strict=True):
-                data = p + a + end
-                packer.add((doc_id, data, len(p) // 4), len(data) // 4, len(p) // 4)
+        ahead = [d for _, ids, places in encoder.encode(batch.column("prompt")) for d in rows_of(ids, places)] if prompted else [b""] * batch.num_rows
+        for at, ids, places in encoder.encode(batch.column("text"), end_id):
+            own = batch.column("doc_id").slice(at, len(places) - 1).to_pylist()
+            for doc_id, p, a in zip(own, ahead[at : at + len(own)], rows_of(ids, places), strict=True):
+                packer.add((doc_id, p + a, len(p) // 4), (len(p) + len(a)) // 4, len(p) // 4)
             if len(packer.rows) >= window:
                 packer.pack()
             if done:
@@ -185,4 +188,4 @@ def pack(
     vocabulary, limits = vocabulary or vocabulary_path(), (max_tokens, max_segments, max_loss)
     ahead = F.coalesce(docs[prompt], F.lit("")) if prompt else F.lit("")
     rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id"), ahead.alias("prompt"))
-    return rows.mapInArrow(lambda it: pack_rows(it, vocabulary, end_id, limits, window), PIECE)
+    return rows.mapInArrow(lambda it: pack_rows(it, vocabulary, end_id, limits, window, prompt is not None), PIECE)

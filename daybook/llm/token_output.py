@@ -24,19 +24,14 @@ ROW = "doc_id long, part int, pos long, ids array<int>"
 
 def encode_rows(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Rows of a task in order: their ids with the end id, and their place in the part."""
-    encoder, end, pos = WordEncoder.of(vocabulary), np.array([end_id], dtype="<u4").tobytes(), 0
+    encoder, pos = WordEncoder.of(vocabulary), 0
     for batch in batches:
-        n = batch.num_rows
-        for at in range(0, n, 256):
-            part = batch.slice(at, 256)
-            data = [b + end for b in encoder.encode_all(part.column("text").to_pylist())]
-            sizes = np.fromiter((len(b) // 4 for b in data), dtype=np.int64, count=len(data))
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(data), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("part"), pa.array(np.arange(pos, pos + len(data))), ids], ["doc_id", "part", "pos", "ids"]
-            )
-            pos += len(data)
+        for at, ids, offsets in encoder.encode(batch.column("text"), end_id):
+            part = batch.slice(at, len(offsets) - 1)
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view("<i4")))
+            places = pa.array(np.arange(pos, pos + part.num_rows))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("part"), places, lists], ["doc_id", "part", "pos", "ids"])
+            pos += part.num_rows
 
 
 def checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

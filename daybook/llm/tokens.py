@@ -10,12 +10,17 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words remembered by a Python worker, and the longest word that is.
-MEMO_WORDS, MEMO_CHARS = 400_000, 40
+#: Words remembered by a Python worker (in each of two generations), and the longest word that is.
+MEMO_WORDS, MEMO_CHARS = 350_000, 40
+#: Text whose distinct words are looked up together, and rows that are put together at a time.
+DISTINCT_BYTES, SLICE = 24 << 20, 500
 #: Letters, then ASCII marks but apostrophes (which the vocabulary joins to letters). These letters
 #: are composed, and have one lower-case letter each.
 LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -28,7 +33,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class WordEncoder:
-    """encode(text) -> the text's ids as little-endian unsigned 32-bit integers."""
+    """encode(texts) -> their ids as little-endian unsigned 32-bit integers."""
 
     _held: dict[str, WordEncoder] = {}
 
@@ -38,6 +43,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}  # runs of letters, and runs of marks
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a run
@@ -67,37 +73,60 @@ class WordEncoder:
                 for part in here:
                     self.parts[part] = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        # Lower case does not change ids, except that a special token's name could appear.
-        split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
         memo, parts = self.memo, self.parts
-        met: set[str] = set()
-        for words in split:
-            met.update(words)
-        fresh = met.difference(memo) if len(memo) < len(met) else {w for w in met if w not in memo}
-        extra: dict[str, bytes] = {}
-        if fresh:
-            matched = [(w, m[1].lower(), m[2]) for w in fresh if len(w) <= MEMO_CHARS and (m := LETTERS_MARKS.fullmatch(w))]
-            other = list(fresh.difference(w for w, _, _ in matched))
-            self._encode_parts(list({p for _, a, b in matched for p in (a, b) if p not in parts}))
-            for w, a, b in matched:
-                extra[w] = parts[a] + parts[b]
-            for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-                extra[w] = np.array(e.ids, dtype="<u4").tobytes()
-        if len(memo) + len(extra) > MEMO_WORDS:
-            out = [b"".join([extra[w] if w in extra else memo[w] for w in words]) for words in split]
-            again = {w: memo[w] for w in met if w in memo}  # words met before stay
-            memo.clear()
-            memo[""] = b""
-            memo.update(again)
-            memo.update((w, b) for w, b in extra.items() if len(w) <= MEMO_CHARS)
-        else:
-            long = {w: b for w, b in extra.items() if len(w) > MEMO_CHARS}
-            memo.update(extra)
-            out = [b"".join(map(memo.__getitem__, words)) for words in split]
-            for w in long:
-                del memo[w]
+        out = list(map(memo.get, words))
+        for k in [k for k, b in enumerate(out) if b is None]:
+            if (b := self.older.get(words[k])) is not None:
+                out[k] = memo[words[k]] = b
+        fresh = [k for k, b in enumerate(out) if b is None]
+        other = []
+        pairs = [(k, m[1], m[2]) if len(words[k]) <= MEMO_CHARS and (m := LETTERS_MARKS.fullmatch(words[k])) else other.append(k) for k in fresh]
+        pairs = [(k, a.lower(), b) for k, a, b in filter(None, pairs)]
+        need = {a for _, a, _ in pairs} | {b for _, _, b in pairs}
+        self._encode_parts([p for p in need if p not in parts])
+        for k, a, b in pairs:
+            out[k] = parts[a] + parts[b] if b else parts[a]
+        for k, e in zip(other, self.tokenizer.encode_batch_fast([words[k] for k in other], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, dtype="<u4").tobytes()
+        memo.update((words[k], out[k]) for k in fresh if len(words[k]) <= MEMO_CHARS)
+        if len(memo) > MEMO_WORDS:  # what isn't met again until the next time goes
+            self.older, self.memo = memo, {"": b""}
         if len(parts) > MEMO_WORDS:
             parts.clear()
             parts[""] = b""
         return out
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Yields (row, ids, places) for slices of texts: the first row, all its rows' ids one after
+        another (each followed by end, if given), and the places where rows start and the last one ends.
+
+        Words are split, numbered and put together again as arrays; Python sees the distinct words of
+        DISTINCT_BYTES of text only. A slice has SLICE rows at most.
+        """
+        rows = max(1, int(len(texts) * min(1.0, DISTINCT_BYTES / max(1, texts.nbytes))))
+        for at in range(0, len(texts), rows):
+            own = texts.slice(at, rows)
+            # ASCII lower case does not change ids, except that a special token's name could appear.
+            low = pc.if_else(pc.match_substring(own, "<|"), own, pc.ascii_lower(own))
+            lists = pc.split_pattern(pc.replace_substring(low, "\n", " "), " ")
+            places = lists.offsets.to_numpy().astype(np.int64)
+            places -= places[0]
+            coded = lists.flatten().dictionary_encode()
+            data = self._words(coded.dictionary.to_pylist())
+            held = np.frombuffer(b"".join(data), dtype="<u4")
+            sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
+            starts = np.cumsum(sizes) - sizes
+            index = coded.indices.to_numpy()
+            for k in range(0, len(own), SLICE):
+                here = places[k : k + SLICE + 1]
+                words = index[here[0] : here[-1]]
+                each = sizes[words]
+                ends = np.concatenate(([0], np.cumsum(each)))
+                ids = held[np.arange(ends[-1]) - np.repeat(ends[:-1] - starts[words], each)]
+                offsets = ends[here - here[0]]
+                if end is not None:
+                    ids = np.insert(ids, offsets[1:], np.uint32(end))
+                    offsets = offsets + np.arange(len(offsets))
+                yield at + k, ids.astype("<u4", copy=False), offsets

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,8 +51,10 @@ def reference_ids(text, end):
 def test_word_encoder_equals_the_library(texts):
     encoder = WordEncoder.of(vocabulary_path())
     own = [*texts.values(), "", " a\n\nb ", "it's <|endoftext|> <|ENDOFTEXT|> DON'T\tx y z", "é É\x1cq", "𝔘 İI ß", "x" * 3000]
-    for text, ids in zip(own, encoder.encode_all(own), strict=True):
-        assert ids == reference_ids(text, 1)[:-1].tobytes()
+    for end in (None, 7):
+        for row, ids, at in encoder.encode(pa.array(own).slice(1), end):
+            for text, a, b in zip(own[1 + row :], at[:-1], at[1:], strict=False):
+                assert ids[a:b].tolist() == reference_ids(text, 7)[: None if end else -1].tolist()
 
 
 def check_packing(rows, wanted, limits=(4096, 64, 4096)):
