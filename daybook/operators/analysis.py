@@ -240,7 +240,7 @@ def superseded_candidates(diary: Diary, start: str, end: str, types: list[str] |
         & ~F.array_contains(keys("a_links"), F.col("b_target_key"))
         & ~F.array_contains(keys("b_links"), F.col("a_target_key"))
     )
-    first = F.row_number().over(Window.partitionBy("a_entry_id", "b_entry_id").orderBy("a_pos", "b_pos"))
+    first = F.row_number().over(Window.partitionBy("a_entry_id", "b_entry_id").orderBy("a_pos", "a_shown", "b_pos", "b_shown"))
     one = pairs.withColumn("nth", first).where("nth = 1")
     shared = F.filter("a_links", lambda s: (s["key"] != F.col("a_target_key")) & (s["key"] != F.col("b_target_key")) & F.array_contains(keys("b_links"), s["key"]))
     out = one.withColumn("shared_context", F.try_element_at(shared, F.lit(1))["target"]).where("shared_context is not null")
