@@ -18,9 +18,9 @@ import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words remembered by a Python worker (in each of two generations), and the longest word that is.
-MEMO_WORDS, MEMO_CHARS = 350_000, 40
+MEMO_WORDS, MEMO_CHARS = 100_000, 40
 #: Text whose distinct words are looked up together, and rows that are put together at a time.
-DISTINCT_BYTES, SLICE = 24 << 20, 500
+DISTINCT_BYTES, SLICE = 16 << 20, 500
 #: Letters, then ASCII marks but apostrophes (which the vocabulary joins to letters). These letters
 #: are composed, and have one lower-case letter each.
 LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
