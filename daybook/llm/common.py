@@ -18,6 +18,8 @@ HOT_KEYS = 1000
 #: Bits of the filter that prunes rows ahead of an exact join; its size never grows with the data.
 FILTER_BITS = 1 << 23
 FILTER_PROBES = 4
+#: Rows in a batch of texts for Python.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,8 +41,52 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run):
+    """A batch function that gives its worker's free memory back when the task ends: workers are reused
+    by other stages, and their memory is an executor's."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
+def gather(batches, most: int = 12 << 20):
+    """Record batches joined until they hold so many bytes."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def text_of(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the needed columns, null text as empty; whatever else the table has is left behind."""
+    """Only the needed columns, null text as empty; whatever else the table has is left behind.
+
+    Batches to Python are held to BATCH_ROWS rows, as texts may be long.
+    """
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select(*columns, F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialise, prune_filter, skew_join, stream_groups, text_of
+from .common import components, lean, materialise, prune_filter, skew_join, stream_groups, text_of
 
 WIDTH, THRESHOLD = 5, 0.8
 #: 24 bands of 4: a pair at 0.8 shares no band with probability (1 - 0.8 ** 4) ** 24 = 3e-6.
@@ -229,7 +229,7 @@ def near_join(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD
     columns are ignored; an empty table gives an empty result.
     """
     rows = text_of(docs, F.col("doc_id").cast("long").alias("id"))
-    signed = rows.select("id", "text").mapInPandas(lambda it: signature_rows(it, width), "id long, key string, sig binary")
+    signed = rows.select("id", "text").mapInPandas(lean(lambda it: signature_rows(it, width)), "id long, key string, sig binary")
     signed = materialise(spark, signed, "signatures")
     slim = signed.where("id is not null and key is not null").select("id", "key")
     classes = materialise(spark, slim.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
@@ -251,13 +251,13 @@ def near_join(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD
     members = materialise(spark, members.join(classes, "rep").select("rep", "size", "comp", "n"), "members")
     passing = rows.withColumnRenamed("id", "rep").where(prune_filter(members, "rep"))
     texts = passing.select("rep", "text").join(members, "rep").dropDuplicates(["rep"])
-    sets = texts.select("rep", "size", "comp", "n", "text").mapInPandas(lambda it: shingle_rows(it, width), "rep long, size long, comp long, n long, set binary")
+    sets = texts.select("rep", "size", "comp", "n", "text").mapInPandas(lean(lambda it: shingle_rows(it, width)), "rep long, size long, comp long, n long, set binary")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = sets.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "size", "set")
     dealt = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    found = materialise(spark, dealt.mapInPandas(lambda it: compare_groups(it, threshold), "rep long, links long, docs long, to long"), "links")
+    found = materialise(spark, dealt.mapInPandas(lean(lambda it: compare_groups(it, threshold)), "rep long, links long, docs long, to long"), "links")
 
     groups = components(spark, found.select(F.col("rep").alias("u"), F.col("to").alias("v")))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))

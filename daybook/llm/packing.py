@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import gather, lean, text_of
 from .tokens import WordEncoder, vocabulary_path
 
 END_ID = 2
@@ -156,7 +156,7 @@ def pack_rows(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, l
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"])
 
     packer = Packer(emit, *limits, window)
-    for batch in batches:
+    for batch in gather(batches):
         ahead = [d for _, ids, places in encoder.encode(batch.column("prompt")) for d in rows_of(ids, places)] if prompted else [b""] * batch.num_rows
         for at, ids, places in encoder.encode(batch.column("text"), end_id):
             own = batch.column("doc_id").slice(at, len(places) - 1).to_pylist()
@@ -188,4 +188,4 @@ def pack(
     vocabulary, limits = vocabulary or vocabulary_path(), (max_tokens, max_segments, max_loss)
     ahead = F.coalesce(docs[prompt], F.lit("")) if prompt else F.lit("")
     rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id"), ahead.alias("prompt"))
-    return rows.mapInArrow(lambda it: pack_rows(it, vocabulary, end_id, limits, window, prompt is not None), PIECE)
+    return rows.mapInArrow(lean(lambda it: pack_rows(it, vocabulary, end_id, limits, window, prompt is not None)), PIECE)

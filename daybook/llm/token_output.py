@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, text_of
+from .common import gather, lean, new_path, text_of
 from .tokens import WordEncoder, vocabulary_path
 
 END_ID = 1
@@ -25,7 +25,7 @@ ROW = "doc_id long, part int, pos long, ids array<int>"
 def encode_rows(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Rows of a task in order: their ids with the end id, and their place in the part."""
     encoder, pos = WordEncoder.of(vocabulary), 0
-    for batch in batches:
+    for batch in gather(batches):
         for at, ids, offsets in encoder.encode(batch.column("text"), end_id):
             part = batch.slice(at, len(offsets) - 1)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view("<i4")))
@@ -55,7 +55,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, vocabulary: st
     rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).repartitionByRange("doc_id")
     rows = rows.sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id()).select("doc_id", "part", "text")
     (
-        rows.mapInArrow(lambda it: encode_rows(it, vocabulary, end_id), ROW)
+        rows.mapInArrow(lean(lambda it: encode_rows(it, vocabulary, end_id)), ROW)
         .write.option("orc.compress", "ZSTD").option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", INDEX_STRIDE)
         .option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", BLOOM_FPP)
         .orc(path)
