@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import gather, lean, new_path, text_of
+from .common import gather, lean, materialise, new_path, text_of
 from .tokens import WordEncoder, vocabulary_path
 
 END_ID = 1
@@ -75,7 +75,8 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     within the part.
     """
     rows = read_tokens(spark, path).mapInArrow(checksums, "doc_id long, part int, pos long, n_tokens long, ids_crc32 long")
-    totals = read_tokens(spark, path).groupBy("part").agg(F.sum(F.size("ids")).alias("n"))
+    rows = materialise(spark, rows, "token-rows")  # a few numbers for each document: the ids are read once
+    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     run = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("pos")) - F.col("n_tokens")
     return rows.withColumn("run", run).join(before, "part").select("doc_id", (F.col("base") + F.col("run")).alias("start"), "n_tokens", "ids_crc32")
