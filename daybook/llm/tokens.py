@@ -1,29 +1,28 @@
 """Whole-text tokenization with a published vocabulary file.
 
 The vocabulary lower-cases, drops white space and never merges across it, so a text's ids are those of
-its words one after another. Words between spaces and line feeds are encoded by the library once and
-remembered; a text's ids are then joined from the remembered bytes. A word of Latin letters with marks
-behind it is the letters' ids and the marks' ids, so such words share what is remembered of both.
+its words one after another. A word of Latin letters with marks behind it is the letters' ids and the marks' ids.
+Such runs of letters and of marks, and words of another form, are encoded by the library once and
+remembered; words and texts are put together from the remembered bytes as arrays.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words remembered by a Python worker (in each of two generations), and the longest word that is.
-MEMO_WORDS, MEMO_CHARS = 100_000, 40
+#: Runs and words remembered by a Python worker (in each of two generations), and the longest that is.
+MEMO_WORDS, MEMO_CHARS = 200_000, 40
 #: Text whose distinct words are looked up together, and rows that are put together at a time.
 DISTINCT_BYTES, SLICE = 16 << 20, 500
 #: Letters, then ASCII marks but apostrophes (which the vocabulary joins to letters). These letters
 #: are composed, and have one lower-case letter each.
-LETTERS_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+LETTERS_MARKS = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -42,9 +41,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {"": b""}
+        self.memo: dict[str, bytes] = {"": b""}  # runs of letters, runs of marks, and other words
         self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}  # runs of letters, and runs of marks
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a run
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -56,47 +54,54 @@ class WordEncoder:
             cls._held[path] = cls(path)
         return cls._held[path]
 
-    def _encode_parts(self, parts: list[str]) -> None:
-        """Remember runs of letters and of marks; many go to the library as one text, cut where ids end a run."""
+    def _encode_runs(self, runs: list[str]) -> Iterator[bytes]:
+        """Ids of runs of letters and of marks; many go to the library as one text, cut where ids end a run."""
         step = 400
-        texts = [" ".join(parts[i : i + step]) for i in range(0, len(parts), step)]
+        texts = [" ".join(runs[i : i + step]) for i in range(0, len(runs), step)]
         for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
-            here = parts[k * step : (k + 1) * step]
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            here = runs[k * step : (k + 1) * step]
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(cuts) == len(here):
-                data, at = ids.tobytes(), 0
-                for part, cut in zip(here, (4 * cuts).tolist(), strict=True):
-                    self.parts[part] = data[at:cut]
-                    at = cut
+                data = ids.tobytes()
+                yield from (data[at:cut] for at, cut in zip([0, *cuts], cuts, strict=False))
             else:  # a run was cut otherwise: each for itself
-                for part in here:
-                    self.parts[part] = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words."""
-        memo, parts = self.memo, self.parts
-        out = list(map(memo.get, words))
-        for k in [k for k, b in enumerate(out) if b is None]:
-            if (b := self.older.get(words[k])) is not None:
-                out[k] = memo[words[k]] = b
-        fresh = [k for k, b in enumerate(out) if b is None]
-        other = []
-        pairs = [(k, m[1], m[2]) if len(words[k]) <= MEMO_CHARS and (m := LETTERS_MARKS.fullmatch(words[k])) else other.append(k) for k in fresh]
-        pairs = [(k, a.lower(), b) for k, a, b in filter(None, pairs)]
-        need = {a for _, a, _ in pairs} | {b for _, _, b in pairs}
-        self._encode_parts([p for p in need if p not in parts])
-        for k, a, b in pairs:
-            out[k] = parts[a] + parts[b] if b else parts[a]
-        for k, e in zip(other, self.tokenizer.encode_batch_fast([words[k] for k in other], add_special_tokens=False), strict=True):
-            out[k] = np.array(e.ids, dtype="<u4").tobytes()
-        memo.update((words[k], out[k]) for k in fresh if len(words[k]) <= MEMO_CHARS)
-        if len(memo) > MEMO_WORDS:  # what isn't met again until the next time goes
-            self.older, self.memo = memo, {"": b""}
-        if len(parts) > MEMO_WORDS:
-            parts.clear()
-            parts[""] = b""
-        return out
+                yield from self._encode_each(here)
+
+    def _encode_each(self, words: list[str]) -> Iterator[bytes]:
+        for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
+            yield np.array(e.ids, dtype="<u4").tobytes()
+
+    def _look_up(self, words: list[str], encode: Callable[[list[str]], Iterator[bytes]]) -> pa.Array:
+        """Ids of distinct words, from memory where it has them."""
+        out = list(map(self.memo.get, words))
+        missing = [k for k, b in enumerate(out) if b is None]
+        if missing:
+            for k in missing:
+                out[k] = self.older.get(words[k])
+            fresh = [k for k in missing if out[k] is None]
+            for k, b in zip(fresh, encode([words[k] for k in fresh]), strict=True):
+                out[k] = b
+            self.memo.update((words[k], out[k]) for k in missing if len(words[k]) <= MEMO_CHARS)
+        return pa.array(out, pa.large_binary())
+
+    def _words(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of distinct words: an array of bytes, and each word's place in it."""
+        parts = pc.extract_regex(words, LETTERS_MARKS)
+        split = pc.and_(parts.is_valid(), pc.less_equal(pc.utf8_length(words), MEMO_CHARS))
+        own = words.filter(pc.invert(split))
+        parts = parts.filter(split)
+        letters, marks = pc.utf8_lower(parts.field("letters")).dictionary_encode(), parts.field("marks").dictionary_encode()
+        both = (
+            self._look_up(run.dictionary.to_pylist(), self._encode_runs).take(run.indices) for run in (letters, marks)
+        )
+        table = pa.concat_arrays([pc.binary_join_element_wise(*both, pa.scalar(b"", pa.large_binary())), self._look_up(own.to_pylist(), self._encode_each)])
+        if len(self.memo) > MEMO_WORDS:  # what isn't met again until the next time goes
+            self.older, self.memo = self.memo, {"": b""}
+        split, place = split.to_numpy(zero_copy_only=False), np.empty(len(words), np.int64)
+        place[split] = np.arange(len(parts))
+        place[~split] = np.arange(len(parts), len(words))
+        return table, place
 
     def encode(self, texts: pa.Array, end: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Yields (row, ids, places) for slices of texts: the first row, all its rows' ids one after
@@ -114,19 +119,17 @@ class WordEncoder:
             places = lists.offsets.to_numpy().astype(np.int64)
             places -= places[0]
             coded = lists.flatten().dictionary_encode()
-            data = self._words(coded.dictionary.to_pylist())
-            held = np.frombuffer(b"".join(data), dtype="<u4")
-            sizes = np.fromiter(map(len, data), np.int64, len(data)) // 4
-            starts = np.cumsum(sizes) - sizes
-            index = coded.indices.to_numpy()
+            table, place = self._words(coded.dictionary)
+            if end is not None:  # one more word, behind each row's own
+                table = pa.concat_arrays([table, pa.array([np.uint32(end).astype("<u4").tobytes()], pa.large_binary())])
+            index = place[coded.indices.to_numpy()]
             for k in range(0, len(own), SLICE):
                 here = places[k : k + SLICE + 1]
-                words = index[here[0] : here[-1]]
-                each = sizes[words]
-                ends = np.concatenate(([0], np.cumsum(each)))
-                ids = held[np.arange(ends[-1]) - np.repeat(ends[:-1] - starts[words], each)]
-                offsets = ends[here - here[0]]
+                words, here = index[here[0] : here[-1]], here - here[0]
                 if end is not None:
-                    ids = np.insert(ids, offsets[1:], np.uint32(end))
-                    offsets = offsets + np.arange(len(offsets))
-                yield at + k, ids.astype("<u4", copy=False), offsets
+                    words, here = np.insert(words, here[1:], len(table) - 1), here + np.arange(len(here))
+                got = table.take(pa.array(words))
+                _, bounds, data = got.buffers()
+                bounds = np.frombuffer(bounds, np.int64, len(words) + 1) // 4 if len(words) else np.zeros(1, np.int64)
+                ids = np.frombuffer(data, "<u4", bounds[-1]) if bounds[-1] else np.zeros(0, "<u4")
+                yield at + k, ids, bounds[here]

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from daybook.llm import decontaminate, exact_dedup, html_extract, language_model, near_join, packing, quality, secrets, surrogates, token_output
+from daybook.llm import decontaminate, exact_dedup, html_extract, language_model, near_join, packing, quality, secrets, surrogates, token_output, tokens
 from daybook.llm.queries import QUERIES, SQL, table
 from daybook.llm.tokens import WordEncoder, vocabulary_path
 
@@ -57,6 +57,20 @@ def test_word_encoder_equals_the_library(texts):
                 assert ids[a:b].tolist() == reference_ids(text, 7)[: None if end else -1].tolist()
 
 
+@pytest.mark.parametrize("end", [None, 2])
+def test_word_encoder_on_odd_words_and_a_small_memory(monkeypatch, end):
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 5)
+    monkeypatch.setattr(tokens, "SLICE", 3)
+    encoder = WordEncoder(vocabulary_path())
+    odd = ["", " ", "\n\n", "ÀÉ, Straße. ß!", "don't 'tis rock'n'roll", "<|endoftext|> x<|startoftext|>y", "tab\tword\r\nline", "nul\0byte", "日本語 テキスト", "Ünïcödé İstanbul e\u0301",
+           "a" * 41 + "! " + "b" * 3000, "--- ... $$$ c# #tag 12/34 v1.2.3", "x" * 40 + "!" * 40, "\u2028sep\u00a0space", "word word, word. WORD!"]
+    for texts in (odd, odd[::-1], [], [""], ["", ""]):
+        got = {}
+        for at, ids, places in encoder.encode(pa.array(texts, pa.string()), end):
+            got.update((at + i, ids[a:b].tolist()) for i, (a, b) in enumerate(zip(places[:-1], places[1:], strict=True)))
+        assert [got[i] for i in range(len(texts))] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + ([end] if end else []) for t in texts]
+
+
 def check_packing(rows, wanted, limits=(4096, 64, 4096)):
     by_seq, by_doc = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
