@@ -41,6 +41,11 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with a column _row, a key of each row. It is written out, so that it stays the same in all uses."""
+    return materialise(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
 def lean(run):
     """A batch function that gives its worker's free memory back when the task ends: workers are reused
     by other stages, and their memory is an executor's."""

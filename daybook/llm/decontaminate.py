@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import materialise, text_of, with_row_key
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Signature rows that are broadcast at most; more are joined by a shuffle.
@@ -82,7 +82,11 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, thresho
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """Rows of docs that contain no item, with all their columns."""
-    found = materialise(spark, contaminated(spark, docs, items, threshold, width).select("doc_id").distinct(), "contaminated")
-    return docs.join(found.withColumnRenamed("doc_id", "_found"), docs["doc_id"].cast("long") == F.col("_found"), "left_anti")
+def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, null_ids: bool = False) -> DataFrame:
+    """Rows of docs that contain no item, with all their columns. Rows that share an id go or stay by their
+    own text. Rows with a null id are searched with null_ids, and all stay without."""
+    keyed = with_row_key(spark, docs)
+    searched = keyed if null_ids else keyed.where("doc_id is not null")
+    found = contaminated(spark, searched.select(F.col("_row").alias("doc_id"), "text"), items, threshold, width)
+    found = materialise(spark, found.select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
+    return keyed.join(found, "_row", "left_anti").drop("_row")

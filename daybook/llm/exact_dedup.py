@@ -125,14 +125,15 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, keep: str = "min", memtabl
 def keep_first_copies(spark: SparkSession, docs: DataFrame, keep: str = "min") -> DataFrame:
     """Rows of docs that stay, with all their columns: one of each group of equal texts.
 
-    Only the ids of rows that go are joined to the documents. Of rows repeated with the same id and
-    text, one stays.
+    Only the ids and digests of rows that go are joined to the documents: rows that share an id, or
+    have none, go or stay by their own text. Of rows repeated with the same id and text, one stays.
     """
-    found = exact_dedup(spark, docs, keep)
-    gone = materialise(spark, found.where("not kept").groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_again")), "copies")
-    again = gone.where("_again").select(F.col("doc_id").alias("_gone"))
-    left = docs.join(gone.select(F.col("doc_id").alias("_gone")), docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    if not again.limit(1).count():
-        return left
-    first = docs.join(again, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.unionByName(first)
+    found = exact_dedup(spark, docs, keep).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "keep_id")
+    gone = materialise(spark, found.groupBy("_id", "_sha").agg(F.max(F.col("_id").eqNullSafe(F.col("keep_id"))).alias("_again")), "copies")
+    again = gone.where("_again")
+    keyed = docs.withColumns({"_own_id": docs["doc_id"].cast("long"), "_own_sha": F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)})
+    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_sha") == F.col("_sha"))
+    left = keyed.join(gone, same, "left_anti")
+    if again.limit(1).count():
+        left = left.unionByName(keyed.join(again, same, "left_semi").dropDuplicates(["_own_id", "_own_sha"]))
+    return left.drop("_own_id", "_own_sha")

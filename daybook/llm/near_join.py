@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, lean, materialise, prune_filter, skew_join, stream_groups, text_of
+from .common import components, lean, materialise, prune_filter, skew_join, stream_groups, text_of, with_row_key
 
 WIDTH, THRESHOLD = 5, 0.8
 #: 24 bands of 4: a pair at 0.8 shares no band with probability (1 - 0.8 ** 4) ** 24 = 3e-6.
@@ -273,7 +273,16 @@ def near_join(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """Rows of docs whose doc_id is the least of its group, with all their columns; texts without words stay."""
-    found = near_join(spark, docs, threshold, width)
-    gone = materialise(spark, found.where("doc_id <> group_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """One row of docs of each group, with all its columns: the one of the least doc_id, and one without an
+    id only where no row of the group has one. Texts without words stay. Rows are told apart by a key of
+    their own, so those that share an id, or have none, are compared like all others."""
+    keyed = with_row_key(spark, docs)
+    found = near_join(spark, keyed.select(F.col("_row").alias("doc_id"), "text"), threshold, width)
+    linked = found.where("n_links > 0").select(F.col("doc_id").alias("_row"), "group_id")
+    ids = keyed.select("_row", F.col("doc_id").cast("long").alias("id"))
+    linked = materialise(spark, linked.join(ids, "_row"), "near-groups")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("_row"))
+    groups = materialise(spark, linked.groupBy("group_id").agg(F.min(order)["_row"].alias("stays"), F.count("*").alias("n")), "near-heads")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    gone = materialise(spark, skew_join(linked, groups, "group_id", "n", "_row", total).where("_row <> stays").select("_row"), "near-copies")
+    return keyed.join(gone, "_row", "left_anti").drop("_row")

@@ -450,6 +450,26 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf, texts):
     check_packing(rows, {i: reference_ids(t, 2) for i, t in left.items()})
 
 
+def test_pipeline_stages_tell_rows_of_null_and_shared_ids_apart(spark, tmp_path):
+    words = lambda w, n=40: " ".join(f"{w}{i}" for i in range(n))
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda rows: sorted((str(r.doc_id), r.text) for r in rows.collect())
+    want = lambda rows: sorted((str(i), t) for i, t in rows)
+    docs = make([(1, "a"), (None, "a"), (None, "own"), (None, "own"), (2, "a"), (2, "other"), (3, None), (3, "")])
+    left = exact_dedup.keep_first_copies(spark, docs).fillna({"text": ""})
+    assert key(left) == want([(1, "a"), (None, "own"), (2, "other"), (3, "")])
+
+    docs = make([(1, words("a")), (2, words("a") + " end"), (2, words("b")), (None, words("a") + " tail"), (None, words("c")), (None, words("c") + " end"), (None, words("d")), (9, words("d") + " end"), (5, ""), (None, "")])
+    left = near_join.one_of_each_group(spark, docs)
+    got = key(left)
+    assert [r for r in got if "c0" not in r[1]] == want([(1, words("a")), (2, words("b")), (9, words("d") + " end"), (5, ""), (None, "")])
+    assert sum("c0" in t for _, t in got) == 1
+
+    spark.createDataFrame([(1, words("q", 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = make([(1, "x " + words("q", 20)), (1, "clean"), (None, words("q", 20) + " y"), (None, "also clean")])
+    assert key(corpus_pipeline.decontaminate(spark, docs, str(tmp_path))) == want([(1, "clean"), (None, "also clean")])
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_oracles(spark, sf, name):
     import duckdb
