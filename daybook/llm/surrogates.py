@@ -22,8 +22,11 @@ from .common import materialise, text_of
 KINDS = ["email", "card", "phone", "ip", "name"]
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 CARD = re.compile(r"(?<![\d.])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\d])")
+#: Cards of 15 and 14 digits, and unbroken ones of 13 and 19; these count where the check digit is right.
+CARD_OTHER = re.compile(r"(?<![\d.])(?:3[47]\d{2}([ -]?)\d{6}\1\d{5}|3[0689]\d{2}([ -]?)\d{6}\2\d{4}|4\d{12}|[3-6]\d{18})(?!\d)")
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)")
 IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")
+IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{1,4}|(?<=::))(?!\w)")
 # Titles, with the gender they tell ('f', 'm' or '' for either) and the script of the name.
 TITLES = [
     ("Mrs.", "f"), ("Mrs", "f"), ("Ms.", "f"), ("Ms", "f"), ("Miss", "f"), ("Mr.", "m"), ("Mr", "m"), ("Dr.", ""),
@@ -46,27 +49,78 @@ ENDINGS = {
 ENTITY = "kind string, entity string"
 
 
-def find_entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical form), leftmost first, not overlapping; earlier kinds win ties.
+_WORD = re.compile(r"\w+")
 
-    The canonical form of a name has its gender ahead: 'f:Ada Byron'.
+
+def find_names(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, entities, gender) of the names after a title, and of every further mention in the text
+    of such a name, its surname or its first name.
+
+    Entities are 'first:' with the whole name and 'last:' with the surname, one to a line: a person's
+    mentions share them, whatever the title. A name of one word is a surname, unless the text has it as a
+    first name only.
+    """
+    titled = list(NAME.finditer(text))
+    people, firsts, lasts = set(), {}, set()
+    for m in titled:
+        words = re.split("[ -]", m[2].casefold())
+        if len(words) == 2:
+            people.add(tuple(words))
+            firsts.setdefault(words[0], f"first:{words[0]} {words[1]}")
+            lasts.add(words[1])
+    lasts |= {w for m in titled if (w := m[2].casefold()).isalnum() and w not in firsts}
+
+    def entities(words: list[str]) -> str | None:
+        if len(words) == 2:
+            return f"first:{words[0]} {words[1]}\nlast:{words[1]}" if tuple(words) in people else None
+        return f"last:{words[0]}" if words[0] in lasts else firsts.get(words[0])
+
+    out = [(m.start(2), m.end(2), entities(re.split("[ -]", m[2].casefold())) or f"last:{m[2].casefold()}", _GENDER[m[1]]) for m in titled]
+    words = [m for m in _WORD.finditer(text) if not m[0][0].islower()] if titled else []
+    for m, after in zip(words, [*words[1:], None], strict=True):
+        if after and after.start() == m.end() + 1 and text[m.end()] in " -\xa0" and (e := entities([m[0].casefold(), after[0].casefold()])):
+            out.append((m.start(), after.end(), e, ""))
+        elif e := entities([m[0].casefold()]):
+            out.append((m.start(), m.end(), e, ""))
+    return out
+
+
+def find_entities(text: str) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, kind, canonical form, gender), leftmost first, not overlapping; earlier kinds win ties.
+
+    The canonical form of a name is its entities, one to a line; gender is what a name's title tells.
     """
     found = []
     if "@" in text:
-        found += [(m.start(), m.end(), 0, m[0].lower()) for m in EMAIL.finditer(text)]
+        found += [(m.start(), m.end(), 0, m[0].lower(), "") for m in EMAIL.finditer(text)]
     if _DIGITS.search(text):
-        found += [(m.start(), m.end(), 1, re.sub(r"\D", "", m[0])) for m in CARD.finditer(text)]
-        found += [(m.start(), m.end(), 2, re.sub(r"[^\d+]", "", m[0])) for m in PHONE.finditer(text)]
-        found += [(m.start(), m.end(), 3, str(ipaddress.ip_address(".".join(str(int(x)) for x in m[0].split("."))))) for m in IP.finditer(text)]
+        found += [(m.start(), m.end(), 1, re.sub(r"\D", "", m[0]), "") for m in CARD.finditer(text)]
+        found += [(m.start(), m.end(), 1, c, "") for m in CARD_OTHER.finditer(text) if luhn_sum(c := re.sub(r"\D", "", m[0])) % 10 == 0]
+        found += [(m.start(), m.end(), 2, re.sub(r"[^\d+]", "", m[0]), "") for m in PHONE.finditer(text)]
+        found += [(m.start(), m.end(), 3, str(ipaddress.ip_address(".".join(str(int(x)) for x in m[0].split(".")))), "") for m in IP.finditer(text)]
+    if text.count(":") > 1:
+        found += [(m.start(), m.end(), 3, c, "") for m in IP6.finditer(text) if (c := ip6(m[0]))]
     if any(t in text for t, _ in TITLES):
-        found += [(m.start(2), m.end(2), 4, f"{_GENDER[m[1]]}:{' '.join(m[2].split())}") for m in NAME.finditer(text)]
-    out: list[tuple[int, int, str, str]] = []
-    for a, b, k, c in sorted(found, key=lambda s: (s[0], s[2], -s[1])):
+        found += [(a, b, 4, c, g) for a, b, c, g in find_names(text)]
+    out: list[tuple[int, int, str, str, str]] = []
+    for a, b, k, c, g in sorted(found, key=lambda s: (s[0], s[2], -s[1])):
         if not out or a >= out[-1][1]:
-            out.append((a, b, KINDS[k], c))
+            out.append((a, b, KINDS[k], c, g))
     return out
 
 
+def ip6(found: str) -> str | None:
+    """The short form of an IPv6 address; none for '::', which tells nobody's."""
+    try:
+        return None if found == "::" else str(ipaddress.IPv6Address(found))
+    except ValueError:
+        return None
+
+
+def parts_of(kind: str, canonical: str) -> list[str]:
+    return canonical.split("\n") if kind == "name" else [canonical]
+
+
 _DIGITS = re.compile(r"\d[\d.() -]{6}")
 
 
@@ -92,8 +146,8 @@ def script_of(name: str) -> str:
     return "greek" if re.search("[Ͱ-Ͽ]", name) else "cyrillic" if re.search("[Ѐ-ӿ]", name) else "latin"
 
 
-def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
-    """Canonical surrogate of a canonical entity."""
+def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0, gender: str = "") -> str:
+    """Canonical surrogate of a canonical entity; gender is that of a first name."""
     s = Stream(key, kind, entity, attempt)
     if kind == "email":
         local, _, domain = entity.partition("@")
@@ -102,7 +156,8 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         host = "".join(swap(c) for c in domain.rpartition(".")[0].partition(".")[0])
         return "".join(map(swap, local)) + f"@{host}.example." + (tail if tail in ("com", "net", "org") else "com")
     if kind == "card":
-        body = entity[0] + "".join(str(s.below(10)) for _ in entity[1:-1])
+        fixed = 1 if len(entity) == 16 else 2
+        body = entity[:fixed] + "".join(str(s.below(10)) for _ in entity[fixed:-1])
         if luhn_sum(entity) % 10 == 0:
             return body + str(-luhn_sum(body + "0") % 10)
         return body + str((-luhn_sum(body + "0") + 1 + s.below(9)) % 10)
@@ -111,19 +166,24 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
         return entity[:code] + "".join(str(s.below(10)) for _ in entity[code:])
     if kind == "ip":
         own = ipaddress.ip_address(entity)
+        while own.version == 6:
+            head = own.exploded[:4]
+            if own.is_private and not re.match("f[cd]|fe[89ab]", head):
+                head = f"fd{s.below(256):02x}"
+            made = ipaddress.ip_address(":".join([head, *(f"{1 + s.below(65535):x}" for _ in range(7))]))
+            if made.is_private == own.is_private:
+                return str(made)
         while True:
             octets = [int(x) for x in entity.split(".")]
             fixed = (1 if octets[0] in (10, 127) else 2) if own.is_private else 0
             made = ".".join(map(str, octets[:fixed] + [1 + s.below(254) for _ in octets[fixed:]]))
             if ipaddress.ip_address(made).is_private == own.is_private:
                 return made
-    gender, _, name = entity.partition(":")
+    role, _, name = entity.partition(":")
     script = script_of(name)
-    parts = []
-    for i, _ in enumerate(name.replace("-", " ").split(" ")):
-        stem = "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3))
-        parts.append((stem + ENDINGS[script, gender if i == 0 and " " in name else ""]).capitalize())
-    return f"{gender}:{' '.join(parts)}"
+    # Later attempts are longer: three syllables alone would not do for a corpus of many names.
+    stem = "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3 + attempt // 2))
+    return f"{role}:{stem}{ENDINGS[script, gender if role == 'first' else '']}"
 
 
 def shape(kind: str, found: str, canonical: str) -> str:
@@ -132,7 +192,7 @@ def shape(kind: str, found: str, canonical: str) -> str:
         digits = iter(canonical.lstrip("+"))
         return "".join(next(digits) if c.isdigit() else c for c in found)
     if kind == "name":
-        name = canonical.partition(":")[2]
+        name = " ".join(p.partition(":")[2].capitalize() for p in canonical.split("\n"))
         return name.upper() if found.isupper() and len(found) > 1 else name.replace(" ", "-") if "-" in found else name
     if kind == "email":
         return canonical.upper() if found.isupper() else canonical
@@ -141,12 +201,13 @@ def shape(kind: str, found: str, canonical: str) -> str:
 
 def distinct_entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        found = {(k, c) for text in pdf["text"] for _, _, k, c in find_entities(text)}
-        yield pd.DataFrame(list(found), columns=["kind", "entity"])
+        found = {(k, e, g if e.startswith("first:") else "") for text in pdf["text"] for _, _, k, c, g in find_entities(text) for e in parts_of(k, c)}
+        yield pd.DataFrame(list(found), columns=["kind", "entity", "gender"])
 
 
 def collisions(spark: SparkSession, entities: DataFrame, key: bytes, attempts: int = 20) -> DataFrame:
-    """(kind, entity, attempt) for entities whose first surrogate was taken; most corpora have none or few.
+    """(kind, entity, attempt, gender) for entities whose first surrogate was taken or that have a gender;
+    most corpora have none or few.
 
     Each round keeps the least entity of every surrogate and gives the others another attempt; a
     surrogate that is itself an entity of the corpus is never kept.
@@ -155,9 +216,12 @@ def collisions(spark: SparkSession, entities: DataFrame, key: bytes, attempts: i
     def made(pairs: DataFrame) -> DataFrame:
         def run(batches):
             for pdf in batches:
-                yield pdf.assign(made=[surrogate(key, k, e, a) for k, e, a in zip(pdf["kind"], pdf["entity"], pdf["attempt"], strict=True)])
+                yield pdf.assign(made=[surrogate(key, *x) for x in zip(pdf["kind"], pdf["entity"], pdf["attempt"], pdf["gender"], strict=True)])
+
+        return pairs.select("kind", "entity", "attempt", "gender").mapInPandas(run, ENTITY + ", attempt int, gender string, made string")
 
-        return pairs.mapInPandas(run, ENTITY + ", attempt int, made string")
+    if "gender" not in entities.columns:
+        entities = entities.withColumn("gender", F.lit(""))
 
     now = materialise(spark, made(entities.withColumn("attempt", F.lit(0))), "surrogates")
     for _ in range(attempts):
@@ -169,33 +233,36 @@ def collisions(spark: SparkSession, entities: DataFrame, key: bytes, attempts: i
             break
         marked = now.join(taken, ["kind", "made"], "left")
         again = F.col("first").isNotNull() & (F.coalesce("real", F.lit(False)) | (F.col("first") != F.col("entity")))
-        moved = marked.where(again).select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
-        now = materialise(spark, marked.where(~again).select("kind", "entity", "attempt", "made").unionByName(made(moved)), "surrogates")
+        moved = marked.where(again).select("kind", "entity", (F.col("attempt") + 1).alias("attempt"), "gender")
+        now = materialise(spark, marked.where(~again).select("kind", "entity", "attempt", "gender", "made").unionByName(made(moved)), "surrogates")
     else:
         raise RuntimeError(f"surrogates still collide after {attempts} attempts")
-    return materialise(spark, now.where("attempt > 0").select("kind", "entity", "attempt"), "attempts")
+    return materialise(spark, now.where("attempt > 0 or gender <> ''").select("kind", "entity", "attempt", "gender"), "attempts")
 
 
 REPLACED = "doc_id long, text string, n_entities long, n_email long, n_card long, n_phone long, n_ip long, n_name long, spans string"
 
 
 def replace_batches(batches: Iterator[pd.DataFrame], key: bytes) -> Iterator[pd.DataFrame]:
-    memo: dict[tuple[str, str, int], str] = {}
+    memo: dict[tuple[str, str, int, str], str] = {}
     for pdf in batches:
         rows = []
         for doc_id, text, others in zip(pdf["doc_id"], pdf["text"], pdf["others"], strict=True):
-            tries = {} if others is None else {(o["kind"], o["entity"]): o["attempt"] for o in others}
+            tries = {} if others is None else {(o["kind"], o["entity"]): (o["attempt"], o["gender"]) for o in others}
             found, parts, at = find_entities(text), [], 0
-            for a, b, kind, entity in found:
-                k = (kind, entity, tries.get((kind, entity), 0))
-                if k not in memo:
-                    if len(memo) > 50_000:
-                        memo.clear()
-                    memo[k] = surrogate(key, *k)
-                parts += [text[at:a], shape(kind, text[a:b], memo[k])]
+            for a, b, kind, canonical, _ in found:
+                made = []
+                for entity in parts_of(kind, canonical):
+                    k = (kind, entity, *tries.get((kind, entity), (0, "")))
+                    if k not in memo:
+                        if len(memo) > 50_000:
+                            memo.clear()
+                        memo[k] = surrogate(key, *k)
+                    made.append(memo[k])
+                parts += [text[at:a], shape(kind, text[a:b], "\n".join(made))]
                 at = b
-            kinds = [k for _, _, k, _ in found]
-            rows.append((doc_id, "".join(parts) + text[at:], len(found), *(kinds.count(k) for k in KINDS), ",".join(f"{k}:{a}:{b}" for a, b, k, _ in found)))
+            kinds = [k for _, _, k, *_ in found]
+            rows.append((doc_id, "".join(parts) + text[at:], len(found), *(kinds.count(k) for k in KINDS), ",".join(f"{k}:{a}:{b}" for a, b, k, *_ in found)))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in REPLACED.split(", ")])
         out["doc_id"] = out["doc_id"].astype("Int64")
         yield out
@@ -205,22 +272,26 @@ def replace_entities(spark: SparkSession, docs: DataFrame, key: bytes) -> DataFr
     """doc_id, text with surrogates, n_entities, the number of each kind, and spans (kind:start:end in
     code points of the text before, comma-joined) for each row of docs (doc_id, text).
 
-    Emails, 16-digit cards, phones, IPv4 addresses and names after a title are found. Null text counts
+    Emails, cards, phones, IP addresses, names after a title and their further mentions in the document
+    are found. Names that have no title in their document, and account numbers, are not. Null text counts
     as empty; repeated rows are treated alike; a document without entities keeps its text as it is;
     other columns are ignored; an empty table gives an empty result.
     """
     rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", "text")
-    entities = materialise(spark, rows.select("text").mapInPandas(distinct_entities, ENTITY).distinct(), "entities")
+    entities = rows.select("text").mapInPandas(distinct_entities, ENTITY + ", gender string")
+    # A gender that only some titles tell holds for all mentions; one that they contradict for none.
+    told = F.array_remove(F.collect_set("gender"), "")
+    entities = materialise(spark, entities.groupBy("kind", "entity").agg(F.when(F.size(told) == 1, told[0]).otherwise("").alias("gender")), "entities")
     again = collisions(spark, entities, key)
     if not again.limit(1).count():
-        return rows.withColumn("others", F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int>>")).mapInPandas(lambda it: replace_batches(it, key), REPLACED)
+        return rows.withColumn("others", F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int,gender:string>>")).mapInPandas(lambda it: replace_batches(it, key), REPLACED)
 
     def occurrences(batches):
         for pdf in batches:
-            out = [(r, k, c) for r, text in zip(pdf["rid"], pdf["text"], strict=True) for k, c in {(k, c) for _, _, k, c in find_entities(text)}]
+            out = [(r, k, c) for r, text in zip(pdf["rid"], pdf["text"], strict=True) for k, c in {(k, e) for _, _, k, c, _ in find_entities(text) for e in parts_of(k, c)}]
             yield pd.DataFrame(out, columns=["rid", "kind", "entity"])
 
     numbered = rows.withColumn("rid", F.monotonically_increasing_id())
     where = numbered.select("rid", "text").mapInPandas(occurrences, "rid long, " + ENTITY).join(again, ["kind", "entity"])
-    others = materialise(spark, where.groupBy("rid").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("others")), "others")
+    others = materialise(spark, where.groupBy("rid").agg(F.collect_list(F.struct("kind", "entity", "attempt", "gender")).alias("others")), "others")
     return numbered.join(others, "rid", "left").select("doc_id", "text", "others").mapInPandas(lambda it: replace_batches(it, key), REPLACED)

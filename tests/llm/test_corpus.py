@@ -371,6 +371,18 @@ def test_surrogates_keep_type_format_and_identity(spark):
     assert len(names) == 2 and names[0] == names[1] and re.search(r"Herr \w+len", out) and re.search(r"Госпожа [А-я]+", out)
 
 
+def test_surrogates_of_further_mentions_cards_and_ip6(spark):
+    text = "Frau Anna Schmidt came. Anna Schmidt said so, ANNA SCHMIDT too; Schmidt and Anna left with Frau Schmidt. A schmidt at 12:30:45."
+    other = "Dr. Anna Schmidt; cards 3782 822463 10005, 378282246310005 and 30569309025904; hosts 2001:4860:4860::8888, fe80::1: and ::1, not std::x or a :: b."
+    rows = surrogates.replace_entities(spark, spark.createDataFrame([(1, text), (2, other)], "doc_id long, text string"), KEY).orderBy("doc_id").collect()
+    first, last = re.search(r"Frau (\w+lia) (\w+len) came", rows[0].text).groups()
+    assert rows[0].text == f"Frau {first} {last} came. {first} {last} said so, {first.upper()} {last.upper()} too; {last} and {first} left with Frau {last}. A schmidt at 12:30:45."
+    assert rows[1].text.startswith(f"Dr. {first} {last};") and (rows[1].n_card, rows[1].n_ip, rows[1].n_name) == (3, 3, 1)
+    cards = re.search(r"cards (37\d\d \d{6} \d{5}), (37\d{13}) and (30\d{12});", rows[1].text).groups()
+    assert cards[0].replace(" ", "") == cards[1] != "378282246310005" and all(surrogates.luhn_sum(c.replace(" ", "")) % 10 == 0 for c in cards)
+    assert re.search(r"hosts 2001:\S+, fe80:\S+: and fd\S+, not std::x or a :: b\.", rows[1].text) and "::8888" not in rows[1].text
+
+
 def test_surrogates_stay_distinct(spark):
     entities = spark.createDataFrame([("ip", f"10.{i}.0.{j}") for i in range(40) for j in range(50)] + [("phone", f"{i:07d}") for i in range(3000)], "kind string, entity string")
     again = {(r.kind, r.entity): r.attempt for r in surrogates.collisions(spark, entities, KEY).collect()}
