@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold
 from ..operators.tables import SCHEMAS, Diary
-from . import notes
+from . import notes, writers
 
 KINDS = {"journal": "journal", "entities": "entity", "insights": "insight"}
 _ENTRY = "time string, ordinal int, mood string, intensity int, superseded string, text string, links array<string>, tags array<string>, relations map<string,array<string>>"
@@ -116,6 +116,17 @@ def sync(spark: SparkSession, vault: str, index: str, staging: str) -> dict[str,
     return {k: counts.get(k, 0) for k in ("added", "changed", "removed")}
 
 
+def entries_of_entity(links: DataFrame, entity: str) -> DataFrame:
+    """(id): entries that link the entity, each once; both names are folded."""
+    return links.where(F.col("target_key") == fold(F.lit(entity))).select(F.col("entry_id").alias("id")).distinct()
+
+
+def forget_entity(spark: SparkSession, vault: str, entity: str, redact: bool = False, dry_run: bool = False) -> int:
+    """Forget all entries of the vault's files that link the entity; returns how many. A dry run only counts."""
+    ids = [r.id for r in entries_of_entity(read_vault(spark, vault).links, entity).collect()]
+    return len(ids) if dry_run else writers.forget(vault, ids, redact)
+
+
 def legacy_blocks(files: DataFrame) -> DataFrame:
     """Blocks of legacy exports (path, content), with path and place in it."""
 

@@ -117,6 +117,19 @@ def test_vault_round_trip(spark, small, tmp_path):
         assert sorted(map(str, a.select(*cols).collect())) == sorted(map(str, b.select(*cols).collect()))
 
 
+def test_forget_by_entity(spark, tmp_path):
+    from datetime import date
+
+    root = str(tmp_path / "v")
+    writers.init_vault(root)
+    for day, hour, body in ((1, "07:00", "a [[Hùng]] b [[hung]]"), (1, "08:00", "c [[Bình]]"), (1, "09:00", "d [[HÙNG|H]]"), (2, "07:00", "e [[Hùng]]"), (2, "08:00", "f [[Hùng Anh]]")):
+        writers.remember(root, body, date(2026, 6, day), hour)
+    assert vault.forget_entity(spark, root, "Hung", dry_run=True) == 3 and vault.read_vault(spark, root).entries.count() == 5
+    assert vault.forget_entity(spark, root, "Hung") == 3
+    assert sorted(r.body.strip()[0] for r in vault.read_vault(spark, root).entries.collect()) == ["c", "f"]
+    assert vault.forget_entity(spark, root, "Hung") == 0
+
+
 def test_import_is_idempotent(spark, tmp_path):
     (tmp_path / "old").mkdir()
     (tmp_path / "old/a.md").write_text("# d\n---\ntime: \"2026-01-02T08:30:00Z\"\n---\nOne\n---\ntime: \"2026-01-03T08:30:00Z\"\n---\nOne\n---\nmood: x\n---\nNo date")
