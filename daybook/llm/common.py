@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,21 +16,37 @@ from pyspark.sql.types import BooleanType
 
 #: A key counts as hot when it holds at least 1/HOT_KEYS of the rows, so at most HOT_KEYS keys are hot.
 HOT_KEYS = 1000
-#: Bits of the filter that prunes rows ahead of an exact join; its size never grows with the data.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that prunes rows ahead of an exact join: 16 for a key, within these bounds (16 MB at most).
+FILTER_LEAST, FILTER_MOST = 1 << 16, 1 << 27
 FILTER_PROBES = 4
 #: Rows in a batch of texts for Python.
 BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one of our own only where none is set (tests)."""
+    """The folder all executors share. Where none is set, a session that runs in one process (tests) gets
+    a temporary one; a cluster gets an error, as its executors would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "daybook-shared")
     return found.rstrip("/")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of df has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/daybook/{name}-{uuid.uuid4().hex}"
 
@@ -41,9 +58,11 @@ def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_row_key(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with a column _row, a key of each row. It is written out, so that it stays the same in all uses."""
-    return materialise(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+def with_row_key(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of each row, and the name of its column, which no other column has. It is written
+    out, so that it stays the same in all uses."""
+    (key,) = free_names(docs, "_row")
+    return materialise(spark, docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
 def lean(run):
@@ -84,14 +103,17 @@ def gather(batches, most: int = 12 << 20):
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def text_of(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the needed columns, null text as empty; whatever else the table has is left behind.
+def hold_batches(spark: SparkSession) -> None:
+    """Hold the session's batches to Python to BATCH_ROWS rows, as texts may be long. This setting of the
+    session stays; Spark reads it when a plan runs, so it cannot be given to one plan alone."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
-    Batches to Python are held to BATCH_ROWS rows, as texts may be long.
-    """
-    conf = docs.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+def text_of(docs: DataFrame, *columns: str) -> DataFrame:
+    """Only the needed columns, null text as empty; whatever else the table has is left behind. Holds the
+    session's batches to Python to BATCH_ROWS rows."""
+    hold_batches(docs.sparkSession)
     return docs.select(*columns, F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
@@ -118,21 +140,21 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, count: str, salt: str
 def prune_filter(keys: DataFrame, key: str):
     """A Bloom filter over a long or string column as a boolean UDF: no key is missed, few others pass.
 
-    Spark fills the filter word by word (bit_or), so what reaches the driver is FILTER_BITS bits at
-    most, whatever the data's size. It only saves shuffle ahead of an exact join; when it fills up,
-    more rows pass and results stay the same.
+    Spark counts the keys and fills the filter word by word (bit_or), so what reaches the driver is
+    FILTER_MOST bits at most, whatever the data's size. It only saves shuffle ahead of an exact join:
+    past some 8 million keys more rows pass, and results stay the same.
     """
-    words = FILTER_BITS // 64
-    probes = F.array(*(F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(FILTER_BITS)) for i in range(FILTER_PROBES)))
+    wanted = 16 * max(1, keys.count())
+    bits = min(FILTER_MOST, max(FILTER_LEAST, 1 << (wanted - 1).bit_length()))
+    probes = F.array(*(F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(bits)) for i in range(FILTER_PROBES)))
     rows = (
         keys.select(F.explode(probes).alias("p"))
         .groupBy(F.shiftright("p", 6).alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
-        .collect()
+        .toArrow()
     )
-    table = np.zeros(words, dtype=np.uint64)
-    for w, b in rows:
-        table[w] = np.uint64(b & 0xFFFFFFFFFFFFFFFF)
+    table = np.zeros(bits // 64, dtype=np.uint64)
+    table[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.int64).view(np.uint64)
 
     @F.pandas_udf(BooleanType())
     def passes(positions: pd.Series) -> pd.Series:
@@ -167,18 +189,22 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     """(node, root) for edges (u, v) of longs; root is the least node of the connected component.
 
     Each round takes every node's least neighbouring label (a partial aggregate, so hubs don't
-    gather in one task), then jumps to that label's own label. Rounds end when nothing changes.
+    gather in one task), then jumps to that label's own label. Nodes of many edges and labels of many
+    nodes are joined as hot keys. Rounds end when nothing changes.
     """
     both = edges.where("u is not null and v is not null and u <> v").select("u", "v")
     both = materialise(spark, both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = materialise(spark, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).select(F.col("u").alias("node"), "root"), "labels")
+    total = max(1, both.count())
+    labels = materialise(spark, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root"), F.count("*").alias("n")).select(F.col("u").alias("node"), "root", "n"), "labels")
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("root").alias("low"))
-        low = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", F.least("root", "low").alias("low"), F.col("root").alias("was"))
-        top = labels.select(F.col("node").alias("low"), F.col("root").alias("up"))
-        fresh = materialise(spark, low.join(top, "low", "left").select("node", F.coalesce("up", "low").alias("root"), "was"), "labels")
+        near = skew_join(both, labels.withColumnRenamed("node", "v"), "v", "n", "u", total).groupBy("u").agg(F.min("root").alias("low"))
+        low = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", "n", F.least("root", "low").alias("low"), F.col("root").alias("was"))
+        low = materialise(spark, low, "lows")
+        asked = low.groupBy("low").agg(F.count("*").alias("m"))
+        top = asked.join(labels.select(F.col("node").alias("low"), F.col("root").alias("up")), "low")
+        fresh = materialise(spark, skew_join(low, top, "low", "m", "node", total).select("node", F.coalesce("up", "low").alias("root"), "n", "was"), "labels")
         changed = fresh.where("root <> was").limit(1).count()
-        labels = fresh.select("node", "root")
+        labels = fresh.select("node", "root", "n")
         if not changed:
-            return labels
+            return labels.select("node", "root")
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -1,13 +1,15 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 1. Each text becomes a set of hashed word shingles and a MinHash signature. Texts with equal sets form
-   a class, joined by one representative from there on.
-2. Signatures are cut into bands; representatives that share a band are linked to the least of them,
-   and connected components of these links are the neighbourhoods in which similar pairs lie.
-3. A neighbourhood is dealt out over blocks of bounded size, and every pair of blocks is compared by
-   one task: signatures chunk by chunk, dropping pairs whose posterior probability of reaching the
-   threshold falls below a tolerance, then the exact similarity of the pairs that are left.
-Tasks return counts and spanning links of a block pair, never its pairs.
+   a class, which has a number of its own and one text that stands for it from there on.
+2. Signatures are cut into bands; classes that share a band are linked to the least of them, and
+   connected components of these links are the neighbourhoods in which similar pairs lie.
+3. A neighbourhood is dealt out over blocks of bounded size, classes with the same head together. Two
+   blocks are candidates if some band has classes in both. A candidate pair of blocks is compared by one
+   task: signatures chunk by chunk, dropping pairs whose posterior probability of reaching the threshold
+   falls below a tolerance, then the exact similarity of the pairs that are left.
+Candidates are pairs of blocks, not of classes, so a set of n classes that are all alike ships each of them
+once for each of its n / (a block's classes) blocks. Tasks return counts and spanning links, never pairs.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Pairs are dropped when the posterior probability of similarity >= threshold is below this.
 TOLERANCE, CHUNK = 1e-7, 16
-#: Representatives in a block; a task holds two blocks at a time.
-BLOCK = 512
+#: What a block holds: shingles, and CLASS_WEIGHT for each class (some 2,500 short texts, or 50 very long
+#: ones). A task holds two blocks at a time and compares STEP by STEP of their classes at once.
+BLOCK_WEIGHT, CLASS_WEIGHT, STEP = 1 << 20, 256, 512
 WORD = re.compile(r"[^\W_]+")
 
 _SEED = np.random.default_rng(20240607)
@@ -78,17 +81,22 @@ def minhash(s: np.ndarray) -> np.ndarray:
 
 def signature_rows(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        keys, sigs = [], []
+        keys, sigs, sizes = [], [], []
         for text in pdf["text"]:
             s = shingle_set(text, width)
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
             sigs.append(minhash(s).tobytes() if len(s) else None)
-        yield pd.DataFrame({"id": pdf["id"], "key": keys, "sig": sigs})
+            sizes.append(len(s))
+        yield pd.DataFrame({"r": pdf["r"], "place": pdf["place"], "mark": pdf["mark"], "key": keys, "len": sizes, "sig": sigs})
 
 
 def shingle_rows(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """The shingle set of each class, from the rows at its place; a row whose text has another set is no row of the class."""
     for pdf in batches:
-        yield pd.DataFrame({"rep": pdf["rep"], "size": pdf["size"], "comp": pdf["comp"], "n": pdf["n"], "set": [shingle_set(t, width).tobytes() for t in pdf["text"]]})
+        sets = [shingle_set(t, width).tobytes() for t in pdf["text"]]
+        own = [hashlib.blake2b(s, digest_size=16).hexdigest() == k for s, k in zip(sets, pdf["key"], strict=True)]
+        out = pdf[["rep", "size", "comp", "block"]].assign(set=sets)
+        yield out[np.array(own, dtype=bool)]
 
 
 def band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,8 +192,8 @@ class _Roots:
 
 
 def compare_groups(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """For each (comp, i, j) block pair, a row for each representative that has links there: the number of
-    linked texts and documents, and a representative it is connected to."""
+    """For each (comp, i, j) pair of blocks, a row for each class that has links there: the number of linked
+    texts and documents, and a class it is connected to."""
     for (_, bi, bj), g in stream_groups(batches, ["comp", "i", "j"]):
         g = g.sort_values("rep", ignore_index=True)
         sets = [np.frombuffer(s, np.uint64) for s in g["set"]]
@@ -198,9 +206,9 @@ def compare_groups(batches: Iterator[pd.DataFrame], threshold: float) -> Iterato
         links = np.zeros(len(g), np.int64)
         docs = np.zeros(len(g), np.int64)
         roots = _Roots(len(g))
-        for at in range(0, len(a), BLOCK):
-            for to in range(0, len(b), BLOCK):
-                pa_, pb_ = a[at : at + BLOCK], b[to : to + BLOCK]
+        for at in range(0, len(a), STEP):
+            for to in range(at if bi == bj else 0, len(b), STEP):
+                pa_, pb_ = a[at : at + STEP], b[to : to + STEP]
                 alive = surviving(sigs[pa_], sigs[pb_], threshold)
                 alive &= pa_[:, None] < pb_[None, :] if bi == bj else True
                 ok = exact_links([sets[x] for x in pa_], [sets[y] for y in pb_], alive, threshold)
@@ -215,74 +223,115 @@ def compare_groups(batches: Iterator[pd.DataFrame], threshold: float) -> Iterato
             yield pd.DataFrame({"rep": rep[hit], "links": links[hit], "docs": docs[hit], "to": rep[[roots.find(int(x)) for x in hit]]})
 
 
+def neighbourhoods(spark: SparkSession, classes: DataFrame, bands: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): the block of every class that shares a band with another (rep, comp, block), and
+    the pairs of blocks that share a band (comp, i, j, i <= j)."""
+    buckets = materialise(spark, bands.groupBy("band").agg(F.min("rep").alias("u"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    shared = materialise(spark, skew_join(bands, buckets, "band", "n", "rep", total * BANDS).where("u is not null").select("band", "rep", "u"), "shared-bands")
+    # A class links to the least head among its bands, and that head to the others: heads repeat, so what
+    # is left after distinct is about one link for each class, not one for each band.
+    heads = shared.groupBy("rep").agg(F.min("u").alias("head"), F.collect_set("u").alias("heads"))
+    heads = materialise(spark, heads, "heads")
+    own = heads.where("head <> rep").select("head", F.col("rep").alias("v"))
+    among = heads.select("head", F.explode("heads").alias("v")).where("head <> v").distinct()
+    comps = components(spark, own.union(among).select(F.col("head").alias("u"), "v"))
+
+    placed = heads.select("rep", "head").join(comps.withColumnRenamed("node", "rep").withColumnRenamed("root", "comp"), "rep")
+    placed = materialise(spark, placed.join(classes.select("rep", (F.col("len") + CLASS_WEIGHT).alias("weight")), "rep"), "placed")
+    # Heads whose classes fill blocks get blocks of their own; the others of a component share some.
+    crowds = placed.groupBy("comp", "head").agg(F.sum("weight").alias("w"), F.count("*").alias("n"))
+    crowds = crowds.withColumn("own", F.when(F.col("w") > BLOCK_WEIGHT, F.ceil(F.col("w") / BLOCK_WEIGHT)).otherwise(0))
+    crowds = materialise(spark, crowds.select("comp", "head", "w", "n", "own"), "crowds")
+    rest = crowds.groupBy("comp").agg(F.ceil(F.sum(F.when(F.col("own") == 0, F.col("w")).otherwise(0)) / BLOCK_WEIGHT).alias("rest"), F.count("*").alias("m"))
+    rest = skew_join(crowds, materialise(spark, rest, "crowd-blocks"), "comp", "m", "head", max(1, total)).select("head", "comp", "own", "rest", "n")
+    by_head = materialise(spark, rest.withColumnRenamed("comp", "c"), "head-blocks")  # a head lies in one component
+    found = skew_join(placed.select("rep", "comp", "head"), by_head, "head", "n", "rep", max(1, total))
+    common = F.pmod(F.xxhash64("head"), F.greatest("rest", F.lit(1)))
+    block = F.when(F.col("own") == 0, F.concat(F.lit("c"), common)).otherwise(F.concat_ws("-", F.lit("h"), "head", F.pmod(F.xxhash64("rep"), F.greatest("own", F.lit(1)))))
+    members = materialise(spark, found.select("rep", "comp", F.xxhash64(block).alias("block")), "members")
+
+    # Blocks that share a band: distinct (band, block) first, so a hot band has a row for each of its blocks.
+    counts = members.join(shared.select("rep", "band"), "rep").select("band", "comp", "block").distinct()
+    counts = materialise(spark, counts, "band-blocks")
+    many = counts.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
+    sides = counts.join(many, "band", "left_semi")
+    other = sides.select("band", F.col("block").alias("other"))
+    across = sides.join(other, "band").where("block < other").select("comp", F.col("block").alias("i"), F.col("other").alias("j"))
+    within = members.groupBy("comp", "block").agg(F.count("*").alias("k")).where("k > 1").select("comp", F.col("block").alias("i"), F.col("block").alias("j"))
+    return members, materialise(spark, across.union(within).distinct(), "block-pairs")
+
+
 def near_join(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, class_id, class_size, group_id, n_links, n_texts.
 
-    class_id is the least id among the rows with the same set of word shingles, class_size their
-    number; n_texts is the number of other classes with Jaccard similarity >= threshold, and n_links
+    A class is the rows with one set of word shingles; class_id is its least id, class_size its number
+    of rows; n_texts is the number of other classes with Jaccard similarity >= threshold, and n_links
     the number of other rows that are so similar (those of the own class too); group_id is the least
     class_id of the connected component.
 
-    Null text counts as empty. A text without words has no shingles and is like no other: its class
-    and group are itself (of rows repeated with one id, each has class_size 1). A text of fewer than
-    width words has one shingle, all of them. A row with a null id takes part in no class. Other
-    columns are ignored; an empty table gives an empty result.
+    Classes are of texts, not of ids: rows that share an id but not their text are compared each for
+    itself, and so are rows without an id (class_id is null only where no row of the class has one,
+    group_id where none of the group has). Null text counts as empty. A text without words has no
+    shingles and is like no other: its class and group are itself (class_size 1). A text of fewer than
+    width words has one shingle, all of them. Other columns are ignored; an empty table gives an empty
+    result.
     """
     rows = text_of(docs, F.col("doc_id").cast("long").alias("id"))
-    signed = rows.select("id", "text").mapInPandas(lean(lambda it: signature_rows(it, width)), "id long, key string, sig binary")
-    signed = materialise(spark, signed, "signatures")
-    slim = signed.where("id is not null and key is not null").select("id", "key")
-    classes = materialise(spark, slim.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
-    total = classes.agg(F.sum("size")).first()[0] or 0
-
-    reps = classes.select("rep", "key").join(signed.select(F.col("id").alias("rep"), "key", "sig"), ["rep", "key"]).dropDuplicates(["rep"])
-    bands = materialise(spark, reps.select("rep", "sig").mapInPandas(band_rows, "band long, rep long"), "bands")
-    buckets = materialise(spark, bands.groupBy("band").agg(F.min("rep").alias("u"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    star = skew_join(bands, buckets, "band", "n", "rep", max(1, total) * BANDS).where("u is not null and u <> rep")
-    # A representative links to the least head among its bands, and that head to the others: heads repeat,
-    # so what is left after distinct is about one link for each representative, not one for each band.
-    heads = star.groupBy("rep").agg(F.min("u").alias("low"), F.collect_set("u").alias("heads"))
-    own = heads.select("low", F.col("rep").alias("v"))
-    among = heads.select("low", F.explode("heads").alias("v")).where("low <> v").distinct()
-    comps = components(spark, own.union(among).select(F.col("low").alias("u"), "v"))
-
-    sizes = comps.groupBy("root").agg(F.count("*").alias("n"))
-    members = skew_join(comps.withColumnRenamed("root", "comp"), sizes.withColumnRenamed("root", "comp"), "comp", "n", "node", max(1, total)).withColumnRenamed("node", "rep")
-    members = materialise(spark, members.join(classes, "rep").select("rep", "size", "comp", "n"), "members")
-    passing = rows.withColumnRenamed("id", "rep").where(prune_filter(members, "rep"))
-    texts = passing.select("rep", "text").join(members, "rep").dropDuplicates(["rep"])
-    sets = texts.select("rep", "size", "comp", "n", "text").mapInPandas(lean(lambda it: shingle_rows(it, width)), "rep long, size long, comp long, n long, set binary")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = sets.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "size", "set")
+    # place and mark tell the row that stands for a class: its least id (none comes last), and its text.
+    none = F.lit((1 << 63) - 1)
+    rows = rows.select(F.coalesce("id", none).alias("place"), F.md5(F.col("text").cast("binary")).alias("mark"), "text")
+    asked = rows.withColumn("r", F.monotonically_increasing_id())
+    signed = asked.mapInPandas(lean(lambda it: signature_rows(it, width)), "r long, place long, mark string, key string, len long, sig binary")
+    signed = materialise(spark, signed, "signatures").withColumn("id", F.when(F.col("place") != none, F.col("place")))
+    classes = signed.where("key is not null").groupBy("key").agg(
+        F.min(F.struct("place", "mark")).alias("first"), F.min("id").alias("low"), F.count("*").alias("size"), F.first("len").alias("len"), F.first("sig").alias("sig"),
+    )
+    classes = classes.select("key", "first.place", "first.mark", "low", "size", "len", "sig", F.monotonically_increasing_id().alias("rep"))
+    classes = materialise(spark, classes, "classes")
+    total = max(1, classes.agg(F.sum("size")).first()[0] or 0)
+    bands = materialise(spark, classes.select("rep", "sig").mapInPandas(band_rows, "band long, rep long"), "bands")
+    members, pairs = neighbourhoods(spark, classes, bands, total)
+
+    wanted = materialise(spark, members.join(classes.select("rep", "key", "place", "mark", "size"), "rep").withColumn("spot", F.xxhash64("place", "mark")), "wanted")
+    passing = rows.withColumn("spot", F.xxhash64("place", "mark")).where(prune_filter(wanted, "spot")).select("place", "mark", "text").dropDuplicates(["place", "mark"])
+    sets = passing.join(wanted, ["place", "mark"]).select("rep", "size", "comp", "block", "key", "text")
+    sets = sets.mapInPandas(lean(lambda it: shingle_rows(it, width)), "rep long, size long, comp long, block long, set binary")
+    sides = pairs.select("comp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    sides = sides.groupBy("comp", "block").agg(F.collect_list(F.struct("i", "j")).alias("with"))
+    dealt = sets.join(sides, ["comp", "block"]).withColumn("p", F.explode("with")).select("comp", "p.i", "p.j", "block", "rep", "size", "set")
     dealt = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     found = materialise(spark, dealt.mapInPandas(lean(lambda it: compare_groups(it, threshold)), "rep long, links long, docs long, to long"), "links")
 
-    groups = components(spark, found.select(F.col("rep").alias("u"), F.col("to").alias("v")))
-    linked = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs"))
-    linked = linked.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    full = classes.join(linked, "rep", "left").select(
-        "key", F.col("rep").alias("class_id"), F.col("size").alias("class_size"), F.coalesce("root", "rep").alias("group_id"),
+    groups = components(spark, found.select(F.col("rep").alias("u"), F.col("to").alias("v"))).withColumnRenamed("node", "rep")
+    groups = materialise(spark, groups.join(classes.select("rep", "low"), "rep"), "groups")
+    names = materialise(spark, groups.groupBy("root").agg(F.min("low").alias("group_id"), F.count("*").alias("n")), "group-names")
+    named = skew_join(groups.select("rep", "root"), names, "root", "n", "rep", total).select("rep", "group_id")
+    linked = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("docs").alias("docs")).join(named, "rep")
+    full = classes.join(linked.withColumn("grouped", F.lit(True)), "rep", "left").select(
+        "key", F.col("low").alias("class_id"), F.col("size").alias("class_size"), F.when(F.col("grouped"), F.col("group_id")).otherwise(F.col("low")).alias("group_id"),
         (F.coalesce("docs", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("links", F.lit(0)).alias("n_texts"),
     )
-    everyone = signed.select("id", F.when(F.col("id").isNotNull(), F.col("key")).alias("key"))
-    alone = everyone.where("key is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.col("id").alias("group_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_texts"))
-    joined = skew_join(everyone.where("key is not null"), materialise(spark, full, "classes"), "key", "class_size", "id", total)
+    zero = F.lit(0).cast("long")
+    alone = signed.where("key is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.col("id").alias("group_id"), zero.alias("n_links"), zero.alias("n_texts"))
+    joined = skew_join(signed.where("key is not null").select("r", "id", "key"), materialise(spark, full, "classes"), "key", "class_size", "r", total)
     return joined.select(F.col("id").alias("doc_id"), "class_id", "class_size", "group_id", "n_links", "n_texts").unionByName(alone)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """One row of docs of each group, with all its columns: the one of the least doc_id, and one without an
-    id only where no row of the group has one. Texts without words stay. Rows are told apart by a key of
-    their own, so those that share an id, or have none, are compared like all others."""
-    keyed = with_row_key(spark, docs)
-    found = near_join(spark, keyed.select(F.col("_row").alias("doc_id"), "text"), threshold, width)
-    linked = found.where("n_links > 0").select(F.col("doc_id").alias("_row"), "group_id")
-    ids = keyed.select("_row", F.col("doc_id").cast("long").alias("id"))
-    linked = materialise(spark, linked.join(ids, "_row"), "near-groups")
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("_row"))
-    groups = materialise(spark, linked.groupBy("group_id").agg(F.min(order)["_row"].alias("stays"), F.count("*").alias("n")), "near-heads")
+    id only where no row of the group has one.
+
+    Rows are told apart by a key of their own, so those that share an id, or have none, are compared
+    like all others, and of repeated rows one stays. Texts without words (null ones too) stay. Columns
+    may have any names; an empty table stays empty.
+    """
+    keyed, row = with_row_key(spark, docs)
+    found = near_join(spark, keyed.select(F.col(row).alias("doc_id"), "text"), threshold, width)
+    linked = found.where("n_links > 0").select(F.col("doc_id").alias("row"), "group_id")
+    ids = keyed.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    linked = materialise(spark, linked.join(ids, "row"), "near-groups")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
+    groups = materialise(spark, linked.groupBy("group_id").agg(F.min(order)["row"].alias("stays"), F.count("*").alias("n")), "near-heads")
     total = groups.agg(F.sum("n")).first()[0] or 0
-    gone = materialise(spark, skew_join(linked, groups, "group_id", "n", "_row", total).where("_row <> stays").select("_row"), "near-copies")
-    return keyed.join(gone, "_row", "left_anti").drop("_row")
+    gone = materialise(spark, skew_join(linked, groups, "group_id", "n", "row", total).where("row <> stays").select(F.col("row").alias(row)), "near-copies")
+    return keyed.join(gone, row, "left_anti").select(*docs.columns)
