@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, materialise, new_path, prune_filter, skew_join, text_of
+from .common import HOT_KEYS, free_names, materialise, new_path, prune_filter, skew_join, text_of
 
 #: Digests a memtable holds before it is flushed as a run.
 MEMTABLE_ROWS = 200_000
@@ -77,6 +77,11 @@ class DigestIndex:
     def level(self) -> DataFrame:
         return self.spark.read.schema("digest string, low long, high long, n long").parquet(f"{self.path}/compact")
 
+    def probe(self, digests: list[str]) -> DataFrame:
+        """The compacted entries of a few digests (a batch of arrivals). The condition reaches the scan: row
+        groups whose range or Bloom filter excludes all of them are not read."""
+        return self.level().where(F.col("digest").isin(digests))
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, keep: str = "min", memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
     """Which rows of docs (doc_id long, text string) are copies of which.
@@ -126,14 +131,16 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, keep: str = "min") -
     """Rows of docs that stay, with all their columns: one of each group of equal texts.
 
     Only the ids and digests of rows that go are joined to the documents: rows that share an id, or
-    have none, go or stay by their own text. Of rows repeated with the same id and text, one stays.
+    have none, go or stay by their own text. Of rows repeated with the same id and text, one stays. Null
+    text is equal to an empty one. Columns may have any names; an empty table stays empty.
     """
-    found = exact_dedup(spark, docs, keep).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "keep_id")
-    gone = materialise(spark, found.groupBy("_id", "_sha").agg(F.max(F.col("_id").eqNullSafe(F.col("keep_id"))).alias("_again")), "copies")
-    again = gone.where("_again")
-    keyed = docs.withColumns({"_own_id": docs["doc_id"].cast("long"), "_own_sha": F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)})
-    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_sha") == F.col("_sha"))
+    c_id, c_sha, own_id, own_sha, again_ = free_names(docs, "_id", "_sha", "_own_id", "_own_sha", "_again")
+    found = exact_dedup(spark, docs, keep).where("not kept").select(F.col("doc_id").alias(c_id), F.col("text_sha256").alias(c_sha), "keep_id")
+    gone = materialise(spark, found.groupBy(c_id, c_sha).agg(F.max(F.col(c_id).eqNullSafe(F.col("keep_id"))).alias(again_)), "copies")
+    again = gone.where(again_)
+    keyed = docs.withColumns({own_id: docs["doc_id"].cast("long"), own_sha: F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)})
+    same = F.col(own_id).eqNullSafe(F.col(c_id)) & (F.col(own_sha) == F.col(c_sha))
     left = keyed.join(gone, same, "left_anti")
     if again.limit(1).count():
-        left = left.unionByName(keyed.join(again, same, "left_semi").dropDuplicates(["_own_id", "_own_sha"]))
-    return left.drop("_own_id", "_own_sha")
+        left = left.unionByName(keyed.join(again, same, "left_semi").dropDuplicates([own_id, own_sha]))
+    return left.select(*docs.columns)
