@@ -78,10 +78,9 @@ SQL = {
     "op8_decontamination": """
         WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
         b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-        ds AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
-            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d)),
-        bs AS (SELECT DISTINCT item_id, s FROM (SELECT item_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
-            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM b)),
+        bs AS (SELECT DISTINCT item_id, k, s FROM (SELECT item_id, least(len(w), 5) AS k, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i : i + 4], ' '))) AS s FROM b WHERE len(w) > 0)),
+        ks AS (SELECT DISTINCT k FROM bs),
+        ds AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS s FROM d, ks WHERE len(w) >= k)),
         n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
         m AS (SELECT ds.doc_id, bs.item_id, count(*) AS n_shared FROM ds JOIN bs ON ds.s = bs.s GROUP BY ds.doc_id, bs.item_id)
         SELECT m.doc_id, m.item_id, CAST(m.n_shared AS BIGINT) AS n_shared, CAST(n.n_item AS BIGINT) AS n_item, m.n_shared / n.n_item AS containment

@@ -185,7 +185,8 @@ def test_near_join_over_many_blocks(spark, monkeypatch):
         for k in rng.integers(0, 150, rng.integers(0, 6)):
             words[k] = f"v{rng.integers(0, 50)}"
         rows[i] = " ".join(words)
-    monkeypatch.setattr(near_join, "BLOCK", 64)
+    monkeypatch.setattr(near_join, "BLOCK_WEIGHT", 20_000)
+    monkeypatch.setattr(near_join, "STEP", 32)
     links, roots = brute_links(brute_sets(rows))
     found = near_join.near_join(spark, spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(7)).collect()
     assert {r.doc_id: (r.n_links, r.group_id) for r in found} == {i: (len(links[i]), roots[i]) for i in rows}
@@ -320,9 +321,10 @@ def test_html_without_article_and_odd_pages(spark):
 
 def brute_containment(texts, items):
     words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
-    runs = lambda w: {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {" ".join(w)} if w else set()
-    sets = {i: runs(words(t)) for i, t in texts}
-    return {(d, i): len(s & x) / len(x) for i, t in items if (x := runs(words(t))) for d, s in sets.items() if len(s & x) >= 0.8 * len(x) - 1e-9}
+    runs = lambda w, k: {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
+    sets = {(i, k): runs(words(t), k) for i, t in texts for k in range(1, 6)}
+    wanted = {i: (min(5, len(w)), runs(w, min(5, len(w)))) for i, t in items if (w := words(t))}
+    return {(d, i): len(s & x) / len(x) for i, (k, x) in wanted.items() for (d, k2), s in sets.items() if k2 == k and len(s & x) >= 0.8 * len(x) - 1e-9}
 
 
 def test_decontamination(spark, sf, texts):
@@ -334,7 +336,7 @@ def test_decontamination(spark, sf, texts):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_decontamination_of_partial_passages_and_odd_tables(spark, odd, empty):
+def test_decontamination_of_partial_passages_and_odd_tables(spark, odd, empty, monkeypatch):
     rng = np.random.default_rng(2)
     items = [(i, " ".join(f"q{rng.integers(0, 400)}" for _ in range(rng.integers(3, 60)))) for i in range(40)]
     rows = []
@@ -346,8 +348,13 @@ def test_decontamination_of_partial_passages_and_odd_tables(spark, odd, empty):
     make = lambda r, c: spark.createDataFrame(r, c)
     found = decontaminate.contaminated(spark, make(rows, "doc_id long, text string"), make(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id): r.containment for r in found} == pytest.approx(brute_containment(rows, items))
-    bench = make([(1, None), (2, ""), (3, "one two"), (None, "x"), (4, "the quick brown fox jumps over")], "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark, odd, bench).collect()} == {(8, 3), (9, 3), (1, 4), (2, 4), (10, 4)}
+    bench = make([(1, None), (2, ""), (3, "one two"), (None, "x"), (4, "the quick brown fox jumps over"), (5, "Lazy, dog AND runs"), (6, "jumps")], "item_id long, text string")
+    want = {(8, 3), (9, 3), *((d, i) for d in (1, 2, 10) for i in (4, 5, 6))}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark, odd, bench).collect()} == want
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark, odd, bench).collect()} == want
+    two = make([(1, "x jumps y"), (1, "no"), (1, "jumps")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id, r.n_shared) for r in decontaminate.contaminated(spark, two, bench).collect()] == [(1, 6, 1)]
     assert decontaminate.contaminated(spark, empty, bench).count() == 0
     assert decontaminate.contaminated(spark, odd, bench.limit(0)).count() == 0
     assert sorted(str(r.doc_id) for r in decontaminate.drop_contaminated(spark, odd, bench).collect()) == ["11", "3", "4", "5", "6", "7", "None", "None"]
