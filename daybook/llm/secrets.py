@@ -1,10 +1,15 @@
 """Secret scan: fixed patterns, and a randomness test battery with false-discovery control.
 
 Patterns give the base spans. The battery looks at every other run of key-like characters: it infers
-the smallest encoding that holds the run, keeps runs that chi-squared uniformity, runs and serial
-correlation tests all find compatible with random text in that encoding, and asks how improbable so
-many changes of character class would be in ordinary words. Those p-values go through a
-Benjamini-Hochberg step in each length class, over all documents.
+the smallest encoding that holds the run and tests it for randomness in that encoding: chi-squared for
+uniform use of the alphabet, the number of runs of its two halves, and the serial correlation. The three
+statistics, as normal scores, are combined into a sum of squares, which is small for random text and
+large for ordinary text.
+
+A run is found when ordinary text would hardly look so random. How ordinary text in an encoding looks
+comes from the corpus itself: a Markov chain of the pairs of characters in all documents, restricted to
+the encoding's alphabet, gives the combined statistic's distribution at each of a range of lengths. The
+resulting p-values go through a Benjamini-Hochberg step in each length class, over all documents.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,85 +33,131 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 WORDS = ["password", "passwd", "secret", "token", "api"]
-# Encodings from the smallest alphabet up.
+_DIGITS, _LOWER, _UPPER, _VOWELS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "aeiouAEIOU"
+# Encodings from the smallest alphabet up, each with the characters of its first half for the runs test.
 ENCODINGS = [
-    ("decimal", "0123456789"),
-    ("hex", "0123456789abcdef"),
-    ("hex upper", "0123456789ABCDEF"),
-    ("lower", "abcdefghijklmnopqrstuvwxyz"),
-    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    ("base36 upper", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("base62", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-    ("base64", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/"),
-    ("base64url", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_"),
+    ("decimal", _DIGITS, "01234"),
+    ("hex", _DIGITS + "abcdef", _DIGITS),
+    ("hex upper", _DIGITS + "ABCDEF", _DIGITS),
+    ("lower", _LOWER, _VOWELS),
+    ("upper", _UPPER, _VOWELS),
+    ("base32", _UPPER + "234567", _VOWELS),
+    ("base36", _DIGITS + _LOWER, _DIGITS),
+    ("base36 upper", _DIGITS + _UPPER, _DIGITS),
+    ("base62", _DIGITS + _UPPER + _LOWER, _LOWER),
+    ("base64", _DIGITS + _UPPER + _LOWER + "+/", _LOWER),
+    ("base64url", _DIGITS + _UPPER + _LOWER + "-_", _LOWER),
+    ("any", _DIGITS + _UPPER + _LOWER + "+/-_", _LOWER),
 ]
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-#: Each randomness test rejects a run at this level; discoveries are held to this false-discovery rate.
-REJECT, FDR = 0.01, 0.01
-#: Chance of a change of character class (lower, upper, digit, other) between two characters of ordinary words.
-CHANGE = 0.15
+#: Discoveries are held to this false-discovery rate.
+FDR = 0.01
+#: Runs of more characters than this are not random, or are encoded data, whose pieces are tested one by one.
+PIECE = 512
 #: Bins of -log10(p) from 0 up, a tenth each: thresholds need only their counts.
 BINS = 600
 LENGTHS = [24, 32, 48, 64, 128, 512]
+#: Lengths at which ordinary text is drawn, and draws for each encoding. A run is held against the longest that
+#: is not longer than itself: shorter ordinary text looks more random, so p-values err upwards.
+GRID, DRAWS = [20, 22, 24, 28, 32, 40, 48, 64, 96, 128, 256, 512], 3000
+SYMBOLS = _DIGITS + _UPPER + _LOWER + "+/-_"
 
 
-def chi2_tail(x: float, df: int) -> float:
-    """Upper tail of chi-squared, by Wilson and Hilferty's cube root."""
-    z = ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def _place(alphabet: str) -> np.ndarray:
+    out = np.full(256, -1, np.int64)
+    out[list(alphabet.encode())] = np.arange(len(alphabet))
+    return out
 
 
-def binomial_tail(n: int, least: int, p: float) -> float:
-    """log10 of P(X >= least)."""
-    if least <= 0:
-        return 0.0
-    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p) for k in range(least, min(n, least + 400) + 1)]
-    top = max(logs)
-    return min(0.0, (top + math.log(sum(math.exp(v - top) for v in logs))) / math.log(10))
+_PLACES = [_place(alphabet) for _, alphabet, _ in ENCODINGS]
+_SYMBOL = _place(SYMBOLS)
 
 
 def character_class(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def infer_encoding(run: str) -> tuple[str, str] | None:
-    own = set(run.rstrip("="))
-    return next(((name, alphabet) for name, alphabet in ENCODINGS if own <= set(alphabet)), None)
-
-
-def battery(run: str) -> dict:
-    """p-values of the three tests under 'uniformly random in the inferred encoding', and log10 of the
-    p-value under 'ordinary words'. Runs with too few distinct characters to test are never random."""
-    found = infer_encoding(run)
-    if not found:
-        return {"encoding": None, "random": False, "log_p": 0.0}
-    name, alphabet = found
-    place = {c: i for i, c in enumerate(alphabet)}
-    v = [place[c] for c in run.rstrip("=")]
-    n, k = len(v), len(alphabet)
-    counts = [0] * k
-    for i in v:
-        counts[i] += 1
-    uniform = chi2_tail(max(1e-9, sum(c * c for c in counts) * k / n - n), k - 1)
-    above = [i >= k / 2 for i in v]
-    n1 = sum(above)
-    n2 = n - n1
-    changes = 1 + sum(a != b for a, b in zip(above, above[1:], strict=False))
-    if n1 and n2:
-        mean = 1 + 2 * n1 * n2 / n
-        var = max(1e-9, 2 * n1 * n2 * (2 * n1 * n2 - n) / (n * n * max(1, n - 1)))
-        runs = math.erfc(max(0.0, abs(changes - mean) - 0.5) / math.sqrt(2 * var))
-    else:
-        runs = 2.0 ** (1 - n)
-    mid = sum(v) / n
-    spread = sum((i - mid) ** 2 for i in v)
-    serial = sum((a - mid) * (b - mid) for a, b in zip(v, v[1:], strict=False)) / spread if spread else 1.0
-    serial_p = math.erfc(abs(serial + 1 / n) * math.sqrt(n) / math.sqrt(2))
-    kinds = [character_class(c) for c in run]
-    log_p = binomial_tail(n - 1, sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)), CHANGE)
-    return {"encoding": name, "uniform": uniform, "runs": runs, "serial": serial_p, "random": min(uniform, runs, serial_p) >= REJECT, "log_p": log_p}
+def infer_encoding(run: str) -> int | None:
+    """The place in ENCODINGS of the smallest alphabet that holds the run."""
+    raw = np.frombuffer(run.rstrip("=").encode(), np.uint8)
+    return next((i for i, place in enumerate(_PLACES) if len(raw) and (place[raw] >= 0).all()), None)
+
+
+def battery(values: np.ndarray, encoding: int) -> np.ndarray:
+    """For each row of values (places in the encoding's alphabet), the normal scores of the three tests
+    under 'uniformly random': chi-squared (how far from uniform), runs of the two halves, serial correlation."""
+    _, alphabet, first = ENCODINGS[encoding]
+    m, n = values.shape
+    k = len(alphabet)
+    counts = np.bincount((np.arange(m)[:, None] * k + values).ravel(), minlength=m * k).reshape(m, k)
+    chi, df = (counts.astype(float) ** 2).sum(1) * k / n - n, k - 1
+    uniform = ((np.maximum(chi, 1e-9) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))  # Wilson and Hilferty
+    half = np.isin(np.arange(k), [alphabet.index(c) for c in first if c in alphabet])
+    q = half.mean()
+    change, both = 2 * q * (1 - q), q * (1 - q)
+    changes = (half[values[:, 1:]] != half[values[:, :-1]]).sum(1)
+    var = (n - 1) * change * (1 - change) + 2 * (n - 2) * (both - change * change)
+    runs = (changes - (n - 1) * change) / math.sqrt(max(var, 1e-9))
+    centred = values - values.mean(1, keepdims=True)
+    spread = (centred**2).sum(1)
+    serial = np.where(spread > 0, ((centred[:, 1:] * centred[:, :-1]).sum(1) / np.maximum(spread, 1e-9) + 1 / n) * math.sqrt(n), math.sqrt(n))
+    return np.stack([uniform, runs, serial], axis=1)
+
+
+def combined(scores: np.ndarray) -> np.ndarray:
+    """Sum of squares of the normal scores; a use of the alphabet that is too even is no sign of ordinary text."""
+    return np.maximum(scores[:, 0], 0) ** 2 + scores[:, 1] ** 2 + scores[:, 2] ** 2
+
+
+def measure_run(run: str) -> tuple[int, int, float] | None:
+    """(encoding, length, combined statistic) of a run; that of its most ordinary piece if it is long."""
+    encoding = infer_encoding(run)
+    if encoding is None:
+        return None
+    values = _PLACES[encoding][np.frombuffer(run.rstrip("=").encode(), np.uint8)]
+    n = len(values)
+    size = min(n, PIECE)
+    worst = max(float(combined(battery(values[at : at + size][None, :], encoding))[0]) for at in range(0, n - size + 1, size))
+    return encoding, n, worst
+
+
+class Ordinary:
+    """Distributions of the combined statistic over ordinary text, by encoding and length."""
+
+    def __init__(self, pairs: np.ndarray, draws: int = DRAWS, seed: int = 5):
+        """pairs: counts of pairs of SYMBOLS in the corpus."""
+        self.held: list[list[np.ndarray]] = []
+        self.shape: list[list[tuple[float, float]]] = []
+        for e, (_, alphabet, _) in enumerate(ENCODINGS):
+            rng = np.random.default_rng([seed, e])
+            own = [SYMBOLS.index(c) for c in alphabet]
+            # A tenth of a count for each pair keeps characters that the corpus lacks possible, and no more.
+            chain = pairs[np.ix_(own, own)].astype(float) + 0.1 / len(own)
+            start = np.cumsum(chain.sum(1))
+            steps = np.cumsum(chain, axis=1)
+            now = np.minimum(np.searchsorted(start, rng.random(draws) * start[-1], side="right"), len(own) - 1)
+            drawn = np.empty((draws, max(GRID)), np.int64)
+            for i in range(drawn.shape[1]):
+                drawn[:, i] = now
+                row = steps[now]
+                now = np.minimum((row <= rng.random(draws)[:, None] * row[:, -1:]).sum(1), len(own) - 1)
+            at = [np.sort(combined(battery(drawn[:, :n], e))) for n in GRID]
+            self.held.append(at)
+            logs = [np.log(np.maximum(x, 1e-3)) for x in at]
+            self.shape.append([(float(x.mean()), float(max(x.std(), 1e-3))) for x in logs])
+
+    def log_p(self, encoding: int, length: int, statistic: float) -> float:
+        """log10 of the chance that ordinary text has so small a statistic. Beyond the draws it is the
+        normal tail of the statistic's logarithm."""
+        g = max(0, sum(length >= n for n in GRID) - 1)
+        held = self.held[encoding][g]
+        below = int(np.searchsorted(held, statistic, side="right"))
+        if below:
+            return math.log10((below + 1) / (len(held) + 1))
+        mean, sd = self.shape[encoding][g]
+        z = (math.log(max(statistic, 1e-3)) - mean) / sd
+        tail = math.erfc(min(26.0, -z / math.sqrt(2))) / 2 if z < 0 else 1.0
+        return min(-math.log10(len(held) + 1), math.log10(max(tail, 1e-300)))
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -132,7 +184,7 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(spans, key=lambda s: (s[0], KINDS.index(s[1]), s[2])))
 
 
-_SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, starts array<int>, ends array<int>, class array<int>, bin array<int>"
+_SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, starts array<int>, ends array<int>, encodings array<int>, lengths array<int>, statistics array<double>"
 
 
 def scan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,18 +192,13 @@ def scan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
             spans = base_spans(text)
-            found = [[], [], [], []]
+            found = [[], [], [], [], []]
             for m in CANDIDATE.finditer(text):
-                run = m[0]
-                if run.isalpha() and (run.islower() or run[1:].islower()):
-                    continue  # a word: no change of class to test
                 if any(a < m.end() and m.start() < b for a, _, b in spans):
                     continue
-                result = battery(run)
-                if result["encoding"]:
-                    # What is not random has no claim; it counts as a test with p-value 1.
-                    level = min(BINS - 1, int(-10 * result["log_p"])) if result["random"] else 0
-                    for k, x in enumerate((m.start(), m.end(), length_class(len(run)), level)):
+                result = measure_run(m[0])
+                if result:
+                    for k, x in enumerate((m.start(), m.end(), *result)):
                         found[k].append(x)
             kinds = [k for _, k, _ in spans]
             text_spans = joined(spans)
@@ -161,6 +208,21 @@ def scan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
+_ORDINARY = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}|[^A-Za-z0-9+/_-]+")
+
+
+def count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of pairs of key-like characters in a task's ordinary text, which is what no candidate holds."""
+    k = len(SYMBOLS)
+    total = np.zeros(k * k, np.int64)
+    for pdf in batches:
+        for text in pdf["text"]:
+            v = _SYMBOL[np.frombuffer(_ORDINARY.sub("", text).encode("ascii", "ignore"), np.uint8)]
+            total += np.bincount(v[:-1] * k + v[1:], minlength=k * k) if len(v) > 1 else 0
+    used = np.flatnonzero(total)
+    yield pd.DataFrame({"pair": used, "n": total[used]})
+
+
 def thresholds(counts: list[tuple[int, int, int]], rate: float = FDR) -> dict[int, int]:
     """The least bin that Benjamini and Hochberg's step accepts in each length class.
 
@@ -183,14 +245,42 @@ def find_secrets(spark: SparkSession, docs: DataFrame, rate: float = FDR) -> Dat
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random for each row of docs (doc_id, text).
 
     spans are kind:start:end in code points, by start, comma-joined; base spans always stay, spans of
-    kind 'random' are added where none overlaps. Null text counts as empty (no spans, the digest of
-    the empty string); repeated rows and ids get a row each; other columns are ignored; an empty
-    table gives an empty result. Counts for the thresholds cover all documents and number
-    7 * BINS at most.
+    kind 'random' are added where none overlaps. Every run of 20 or more key-like characters outside
+    the base spans is tested, words too. Null text counts as empty (no spans, the digest of the empty
+    string); repeated rows and ids get a row each; other columns are ignored; an empty table gives an
+    empty result. What reaches the driver has a fixed bound: the counts of pairs of 66 characters, and
+    of 7 * BINS levels, over all documents.
     """
     rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", "text")
     scanned = materialise(spark, rows.mapInPandas(scan_batches, _SCANNED), "secrets")
-    counted = scanned.select(F.explode(F.arrays_zip("class", "bin")).alias("x")).groupBy("x.class", "x.bin").count().collect()
+    some = scanned.where(F.size("starts") > 0)
+    ordinary = None
+    if some.limit(1).count():
+        pairs = np.zeros(len(SYMBOLS) ** 2, np.int64)
+        for pair, n in rows.select("text").mapInPandas(count_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n")).collect():
+            pairs[pair] = n
+        ordinary = Ordinary(pairs.reshape(len(SYMBOLS), -1))
+
+    def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            classes, bins = [], []
+            for es, ns, ts in zip(pdf["encodings"], pdf["lengths"], pdf["statistics"], strict=True):
+                classes.append([length_class(n) for n in ns])
+                bins.append([min(BINS - 1, int(-10 * ordinary.log_p(e, n, t))) for e, n, t in zip(es, ns, ts, strict=True)])
+            yield pdf.drop(columns=["encodings", "lengths", "statistics"]).assign(**{"class": classes, "bin": bins})
+
+    keep = "n_assign long, n_access long, n_hex long, base_sha256 string, base string, starts array<int>, ends array<int>"
+    own = ["n_assign", "n_access", "n_hex", "base_sha256", "base", "starts", "ends"]
+    none = F.array().cast("array<int>")
+    plain = scanned.where(F.size("starts") == 0).select("doc_id", *own, none.alias("class"), none.alias("bin"))
+    if ordinary is None:
+        tested = plain
+    else:
+        # ids stay on the JVM as text: a missing one must not turn the others into floats
+        asked = some.select(F.col("doc_id").cast("string").alias("doc_id"), *own, "encodings", "lengths", "statistics")
+        found = materialise(spark, asked.mapInPandas(levels, f"doc_id string, {keep}, class array<int>, bin array<int>"), "secret-levels")
+        tested = plain.unionByName(found.withColumn("doc_id", F.col("doc_id").cast("long")))
+    counted = tested.select(F.explode(F.arrays_zip("class", "bin")).alias("x")).groupBy("x.class", "x.bin").count().collect() if ordinary else []
     accept = thresholds([tuple(r) for r in counted], rate)
 
     @F.pandas_udf("string")
@@ -203,5 +293,5 @@ def find_secrets(spark: SparkSession, docs: DataFrame, rate: float = FDR) -> Dat
         return pd.Series(out)
 
     all_spans = F.when(F.size("starts") > 0, merged("base", "starts", "ends", "class", "bin")).otherwise(F.col("base"))
-    out = scanned.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", all_spans.alias("spans"))
+    out = tested.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", all_spans.alias("spans"))
     return out.withColumn("n_random", (F.size(F.split("spans", "random:")) - 1).cast("long"))
