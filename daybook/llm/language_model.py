@@ -1,17 +1,22 @@
 """Language-model scores: a unigram baseline over words, and a lattice over subword pieces.
 
 The lattice model takes its pieces from a published vocabulary, with probabilities from the training
-documents. A word's probability is the sum over all its segmentations into pieces, by a forward
-recursion in log space. Words are scored once each, not once for every occurrence: the most frequent
-ones, in a table of bounded size, are looked up in the tasks; occurrences of all others are joined.
+documents: one distribution over the pieces and the document's end. A document's probability is the sum
+over all its segmentations into pieces, then the end, by a forward recursion in log space. A piece never
+reaches over a word's start, so that sum is the product of the words' own sums. Words are scored once
+each, not once for every occurrence: the most frequent ones, in a table of bounded size, are looked up in
+the tasks; occurrences of all others are joined. Longer words than the table takes enter it by their digest
+if they are frequent, so that no word is a hot key of that join.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +27,8 @@ PIECES = "piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
 #: Words looked up within tasks: at most so many, none longer than so many bytes; the rest are joined.
 TABLE_WORDS, TABLE_WORD_BYTES = 250_000, 64
+#: Words that hold 1/HOT_KEYS of all occurrences (so at most HOT_KEYS words) are looked up whatever their length.
+HOT_KEYS = 1000
 #: Distinct words a task counts before it passes its counts on.
 FLUSH_WORDS = 400_000
 
@@ -44,32 +51,28 @@ def _pieces_path() -> str:
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, train count) of a task; words seen in held-out rows only have 0."""
+    """(word, count in training rows, count in all rows) of a task."""
     counts: Counter = Counter()
+    others: Counter = Counter()
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "c"])
-        counts.clear()
-        return out
+    def flush() -> Iterator[pa.RecordBatch]:
+        for of, train in ((counts, 1), (others, 0)):
+            n = pa.array(of.values(), pa.int64())
+            none = pa.array(np.zeros(len(n), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(of.keys(), pa.binary()), n if train else none, n], ["word", "c", "n"])
+            of.clear()
 
     for b in batches:
         for text, train in zip(b.column("text").to_pylist(), b.column("train").to_pylist(), strict=True):
-            words = words_of(text)
-            if train:
-                counts.update(words)
-            else:
-                for w in words:
-                    if w not in counts:
-                        counts[w] = 0
-        if len(counts) >= FLUSH_WORDS:
-            yield flush()
-    if counts:
-        yield flush()
+            (counts if train else others).update(words_of(text))
+        if len(counts) + len(others) >= FLUSH_WORDS:
+            yield from flush()
+    if counts or others:
+        yield from flush()
 
 
 def count_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """(piece, count) of the vocabulary's own segmentation of each training word, weighted by its count."""
-    import numpy as np
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -84,32 +87,34 @@ def count_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Re
 
 
 class Lattice:
-    """log probabilities of words, summed over all segmentations."""
+    """log probabilities of words, summed over all segmentations, and of the document's end."""
 
-    def __init__(self, log_p: dict[str, float], byte_p: list[float]):
-        self.log_p, self.byte_p = log_p, byte_p
+    def __init__(self, log_p: dict[str, float], byte_p: list[float], end: float = 0.0):
+        self.log_p, self.byte_p, self.end = log_p, byte_p, end
         self.longest = max(map(len, log_p), default=1)
 
     @classmethod
-    def trained(cls, path: str, counts: dict[int, int]) -> Lattice:
-        """Pieces of the file with add-one probabilities."""
+    def trained(cls, path: str, counts: dict[int, int], ends: int) -> Lattice:
+        """Pieces of the file and the end, with add-one probabilities that sum to 1 over them."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = model.get_piece_size()
-        total = sum(counts.values()) + n
-        log_p, byte_p = {}, [math.log(1 / total)] * 256
-        for i in range(n):
+        own = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i))]
+        total = sum(counts.get(i, 0) + 1 for i in own) + ends + 1
+        log_p, byte_p = {}, [-math.inf] * 256
+        for i in own:
             p = math.log((counts.get(i, 0) + 1) / total)
             if model.is_byte(i):
                 byte_p[int(model.id_to_piece(i)[3:5], 16)] = p
-            elif not (model.is_control(i) or model.is_unknown(i)):
+            else:
                 log_p[model.id_to_piece(i)] = p
-        return cls(log_p, byte_p)
+        return cls(log_p, byte_p, math.log((ends + 1) / total))
 
     def word(self, word: str) -> float:
+        return self.string("▁" + word)
+
+    def string(self, s: str) -> float:
         """Forward recursion over end positions; a character that is no piece is spelled in bytes."""
-        s = "▁" + word
         n, log_p, longest = len(s), self.log_p, self.longest
         alpha: list[float | None] = [None] * (n + 1)
         alpha[0] = 0.0
@@ -137,7 +142,12 @@ class Lattice:
 def score_words(batches: Iterator[pa.RecordBatch], lattice: Lattice) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lat = [lattice.word(w.decode("utf-8", "replace")) / math.log(10) for w in b.column("word").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(lat, pa.float64())], ["word", "c", "lat"])
+        yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), b.column("n"), pa.array(lat, pa.float64())], ["word", "c", "n", "lat"])
+
+
+def place_of(word: bytes) -> bytes:
+    """A word's key in the table: itself, or for a long one a digest, which no word is (it has a space)."""
+    return word if len(word) <= TABLE_WORD_BYTES else b" " + hashlib.sha1(word).digest()
 
 
 _OCCURS = "rid long, doc_id long, train boolean, word binary, n long, n_tokens long, n_known long, base double, lat double"
@@ -156,7 +166,7 @@ def look_up(batches: Iterator[pa.RecordBatch], table: dict[bytes, tuple[int, flo
                 words = words_of(text)
                 known, base, lat = 0, end[0], end[1]
                 for w, n in Counter(words).items():
-                    got = table.get(w)
+                    got = table.get(place_of(w))
                     if got is None:
                         rows.append((rid, doc_id, train, w, n, 0, 0, 0.0, 0.0))
                     else:
@@ -180,26 +190,27 @@ def score_documents(spark: SparkSession, docs: DataFrame, table_words: int = TAB
     path = _pieces_path()
     own = F.col("doc_id").cast("long").alias("doc_id")
     rows = text_of(docs, own).withColumn("train", training(F.col("doc_id"))).select("doc_id", "train", "text")
-    counted = rows.select("train", "text").mapInArrow(count_words, "word binary, c long")
-    words = materialise(spark, counted.groupBy("word").agg(F.sum("c").alias("c")), "words")
+    counted = rows.select("train", "text").mapInArrow(count_words, "word binary, c long, n long")
+    words = materialise(spark, counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
 
-    ends = rows.where("train").count()
-    sums = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    ends = rows.where("train").count()  # reads the ids alone
+    sums = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.sum("n").alias("all")).first()
     n, v = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
     base_of = lambda c: math.log10((c + 1) / (n + v + 1))
 
     pieces = words.where("c > 0").mapInArrow(lambda it: count_pieces(it, path), "piece int, c long").groupBy("piece").agg(F.sum("c").alias("c")).collect()
     counts = {r["piece"]: r["c"] for r in pieces}
-    lattice = Lattice.trained(path, counts)
-    scored = materialise(spark, words.mapInArrow(lambda it: score_words(it, lattice), "word binary, c long, lat double"), "word-scores")
+    lattice = Lattice.trained(path, counts, ends)
+    scored = materialise(spark, words.mapInArrow(lambda it: score_words(it, lattice), "word binary, c long, n long, lat double"), "word-scores")
 
-    short = scored.where(F.length("word") <= TABLE_WORD_BYTES)
-    top = short.orderBy(F.desc("c"), "word").limit(table_words).toArrow()
+    long = F.length("word") > TABLE_WORD_BYTES
+    short = scored.where(~long).orderBy(F.desc("n"), "word").limit(table_words).select("word", "c", "lat")
+    hot = scored.where(long & (F.col("n") * HOT_KEYS >= (sums["all"] or 0))).select(F.concat(F.lit(b" "), F.unhex(F.sha1("word"))).alias("word"), "c", "lat")
+    top = short.unionByName(hot).toArrow()
     table = {bytes(w): (c, base_of(c), lat) for w, c, lat in zip(top["word"].to_pylist(), top["c"].to_pylist(), top["lat"].to_pylist(), strict=True)}
     del top
-    end_lat = math.log10((ends + 1) / (ends + 1 + sum(counts.values()) + 1))
     held = spark.sparkContext.broadcast(table)
-    end = (base_of(ends), end_lat)
+    end = (base_of(ends), lattice.end / math.log(10))
 
     occurs = rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "train", "text")
     occurs = occurs.mapInArrow(lambda it: look_up(it, held.value, end), _OCCURS)

@@ -476,7 +476,54 @@ def test_language_model(spark, sf, texts):
             w = [*tokens[r.doc_id], " "]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(counts[x] > 0 for x in w), n)
             assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
-            assert r.score < 0
+    _check_document_scores(texts, tokens, held, counts, {r.doc_id: r.score for r in rows})
+
+
+def _check_document_scores(texts, tokens, held, counts, scores):
+    """The forward recursion over a document's whole text at once, by a model trained here from the training words' pieces."""
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = collections.Counter()
+    for w, c in counts.items():
+        if w != " ":
+            for i in model.encode(w):
+                pieces[i] += c
+    usable = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i))]
+    ends = counts[" "]
+    total = sum(pieces[i] + 1 for i in usable) + ends + 1
+    p = {model.id_to_piece(i): (pieces[i] + 1) / total for i in usable}
+    assert sum(p.values()) + (ends + 1) / total == pytest.approx(1)
+    for i in sorted(texts)[:60]:
+        s = "".join("▁" + w for w in tokens[i])
+        alpha = [1.0] + [0.0] * len(s)
+        scale = 0.0
+        for j in range(1, len(s) + 1):
+            for k in range(max(0, j - 16), j):
+                q = p.get(s[k:j]) or (math.prod(p[f"<0x{b:02X}>"] for b in s[k].encode()) if j == k + 1 else 0)
+                alpha[j] += alpha[k] * q
+            if 0 < alpha[j] < 1e-200:  # keep the window within reach of floats
+                alpha[max(0, j - 16) : j + 1] = [x * 1e150 for x in alpha[max(0, j - 16) : j + 1]]
+                scale -= 150
+        assert scores[i] == pytest.approx(math.log10(alpha[-1]) + scale + math.log10((ends + 1) / total), rel=1e-9)
+
+
+def test_frequent_long_words_are_no_hot_key(spark):
+    rows = [(i, f"{'long' * 20} {'x' * 100}{i % 3}" if i % 2 else f"some text {i}") for i in range(60)]
+    make = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = ({r.doc_id: (round(r.score, 9), round(r.base_score, 9), r.n_known) for r in language_model.score_documents(spark, make, table_words=n).collect()} for n in (0, 1000))
+    assert a == b and len(a) == 60
+
+
+def test_lattice_probabilities_of_all_texts_sum_to_one_at_most():
+    log_p = {"a": math.log(0.3), "b": math.log(0.2), "ab": math.log(0.25)}
+    lattice = language_model.Lattice(log_p, [-math.inf] * 256, math.log(0.25))
+    total, layer = 0.0, [""]
+    for _ in range(14):
+        total += sum(math.exp((lattice.string(s) if s else 0.0) + lattice.end) for s in layer)
+        layer = [s + c for s in layer for c in "ab"]
+    assert 0.9 < total <= 1 + 1e-9
 
 
 def test_lattice_sums_all_segmentations():
