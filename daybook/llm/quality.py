@@ -1,9 +1,14 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk.
 
-Trusted positives are rows labelled 1; unlabelled rows are documents without a label. The class prior
-is estimated from the labels. The risk pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)) is minimised for a
-small network on features of writing style; a one-dimensional logistic fit on labelled training rows
-then turns its output into a probability.
+Trusted positives are rows labelled 1; unlabelled text is every document outside the held-out fold,
+whatever its label says. Labelled negatives are never used. The class prior is estimated from positives
+and unlabelled text alone: a first network tells them apart on one half of the data, and on the other
+half the prior is the least ratio of unlabelled to positive shares above a score, with a margin for chance.
+The risk pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)) is then minimised for a small network on features of
+writing style. With the logistic loss its margin is the log odds of label 1, so it needs no calibration.
+
+All unlabelled documents count in every step: their features are written once, each step is a pass over
+them in which the tasks add up their part of the gradient, and the driver adds the positives' part.
 """
 
 from __future__ import annotations
@@ -16,12 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import hold_batches, materialise, text_of
 
-#: Rows of labelled and of unlabelled text that the model is fitted on, at most.
-MAX_LABELLED, MAX_UNLABELLED = 12_000, 12_000
+#: Positive rows that the model is fitted on, at most.
+MAX_LABELLED = 12_000
+#: Sums of tasks that the driver takes; more are added up on executors first.
+SUMS = 64
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
-HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 40, 512, 5e-3, 1e-4
+#: Steps of the network that the prior comes from, and of the model; all are over all documents.
+HIDDEN, PRIOR_STEPS, STEPS, RATE, DECAY = 24, 30, 60, 3e-2, 1e-4
+#: Chance that the prior's margin is too small.
+DOUBT = 0.1
 
 # Classes of UTF-8 bytes whose pairs are counted.
 BYTE_CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".", b",;:", b"!?", b"|", b"%#*$&@^~", b"()[]{}<>", b"'\"`", b"-_/\\+=", bytes(range(128, 256))]
@@ -63,71 +73,83 @@ def features(text: str) -> np.ndarray:
     return out
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 class Model:
-    """features -> score in 0..1."""
+    """features -> score in 0..1: one hidden layer, whose margin is the log odds of label 1."""
 
-    def __init__(self, seed: int = 7):
+    def __init__(self, mean: np.ndarray | None = None, scale: np.ndarray | None = None, prior: float = 0.5, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.mean, self.scale = np.zeros(N_FEATURES, np.float32), np.ones(N_FEATURES, np.float32)
-        self.w = [rng.normal(0, N_FEATURES**-0.5, (N_FEATURES, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, HIDDEN**-0.5, HIDDEN).astype(np.float32), np.zeros(1, np.float32)]
-        self.slope, self.shift = 1.0, 0.0
+        self.mean = np.zeros(N_FEATURES) if mean is None else mean
+        self.scale = np.ones(N_FEATURES) if scale is None else scale
+        self.prior = prior
+        self.w = [rng.normal(0, N_FEATURES**-0.5, (N_FEATURES, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
+        self.first, self.second, self.steps = [0.0] * 4, [0.0] * 4, 0
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        x = np.clip((x - self.mean) / self.scale, -8, 8)
-        return np.tanh(x @ self.w[0] + self.w[1]) @ self.w[2] + self.w[3][0]
+        return np.tanh(self.scaled(x) @ self.w[0] + self.w[1]) @ self.w[2] + self.w[3][0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -40, 40)))
-
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7) -> Model:
-        """Minimise the non-negative risk with Adam; where the negative part is below 0, step back on it."""
-        if not len(positive) or not len(unlabelled):
-            return self
-        both = np.concatenate([positive, unlabelled])
-        self.mean, self.scale = both.mean(0), np.maximum(both.std(0), 1e-3)
-        p, u = (np.clip((x - self.mean) / self.scale, -8, 8) for x in (positive, unlabelled))
-        rng, first, second, step = np.random.default_rng(seed), [0.0] * 4, [0.0] * 4, 0
-        sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        soft = lambda z: np.logaddexp(0, z)
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(u))
-            for at in range(0, len(u), BATCH):
-                xu, xp = u[order[at : at + BATCH]], p[rng.integers(0, len(p), min(BATCH, 4 * len(p)))]
-                x = np.concatenate([xp, xu])
-                h = np.tanh(x @ self.w[0] + self.w[1])
-                z = h @ self.w[2] + self.w[3][0]
-                zp, zu = z[: len(xp)], z[len(xp) :]
-                negative = soft(zu).mean() - prior * soft(zp).mean()
-                d_neg = np.concatenate([-prior * sig(zp) / len(xp), sig(zu) / len(xu)])
-                d_pos = np.concatenate([-prior * (1 - sig(zp)) / len(xp), np.zeros(len(xu))])
-                d = (d_pos + d_neg if negative >= 0 else -d_neg).astype(np.float32)
-                dh = np.outer(d, self.w[2]) * (1 - h * h)
-                step += 1
-                for k, g in enumerate([x.T @ dh, dh.sum(0), h.T @ d, np.array([d.sum()])]):
-                    g = g + DECAY * self.w[k]
-                    first[k] = 0.9 * first[k] + 0.1 * g
-                    second[k] = 0.999 * second[k] + 0.001 * g * g
-                    self.w[k] = (self.w[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        return self
-
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> Model:
-        """Logistic fit of labels on margins, with targets drawn in a little so that it stays finite."""
-        if not len(y) or y.min() == y.max():
-            return self
-        m, t = self.margin(x).astype(float), np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-        a, b = 1.0, 0.0
-        for _ in range(50):
-            q = 1 / (1 + np.exp(-np.clip(a * m + b, -40, 40)))
-            w = np.maximum(q * (1 - q), 1e-9)
-            g = np.array([((q - t) * m).sum() + 1e-3 * (a - 1), (q - t).sum()])
-            h = np.array([[(w * m * m).sum() + 1e-3, (w * m).sum()], [(w * m).sum(), w.sum() + 1e-6]])
-            move = np.linalg.solve(h, g)
-            move *= min(1.0, 2.0 / max(1e-12, float(np.abs(move).max())))
-            a, b = a - move[0], b - move[1]
-            if np.abs(move).max() < 1e-7:
-                break
-        self.slope, self.shift = (float(a), float(b)) if a > 0 else (1.0, 0.0)
-        return self
+        return 1 / (1 + np.exp(-np.clip(self.margin(x), -40, 40)))
+
+    def loss(self, x: np.ndarray, sign: int) -> tuple[float, list[np.ndarray]]:
+        """The sum of log(1 + exp(sign * margin)) over the rows of x, and its gradient."""
+        x = self.scaled(x)
+        h = np.tanh(x @ self.w[0] + self.w[1])
+        z = h @ self.w[2] + self.w[3][0]
+        d = sign * _sigmoid(sign * z)
+        dh = np.outer(d, self.w[2]) * (1 - h * h)
+        return float(np.logaddexp(0, sign * z).sum()), [x.T @ dh, dh.sum(0), h.T @ d, np.array([d.sum()])]
+
+    def step(self, gradient: list[np.ndarray]) -> None:
+        """One step of Adam."""
+        self.steps += 1
+        for k, g in enumerate(gradient):
+            g = g + DECAY * self.w[k]
+            self.first[k] = 0.9 * self.first[k] + 0.1 * g
+            self.second[k] = 0.999 * self.second[k] + 0.001 * g * g
+            self.w[k] = self.w[k] - RATE * (self.first[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[k] / (1 - 0.999**self.steps)) + 1e-8)
+
+
+def descend(model: Model, positive: np.ndarray, unlabelled, steps: int, prior: float | None) -> Model:
+    """Minimise the non-negative risk; where its negative part is below 0, step back on that. Without a
+    prior: tell positives from unlabelled text. unlabelled(model) gives the mean loss and its gradient."""
+    n = len(positive)
+    for _ in range(steps):
+        u_loss, u = unlabelled(model)
+        _, plus = model.loss(positive, -1)
+        p_loss, minus = model.loss(positive, 1)
+        if prior is None:
+            model.step([a / n + b for a, b in zip(plus, u, strict=True)])
+            continue
+        negative = [b - prior * c / n for b, c in zip(u, minus, strict=True)]
+        if u_loss - prior * p_loss / n >= 0:
+            model.step([prior * a / n + b for a, b in zip(plus, negative, strict=True)])
+        else:
+            model.step([-b for b in negative])
+    return model
+
+
+def estimate_prior(positive: np.ndarray, held: np.ndarray, edges: np.ndarray) -> float:
+    """The share of positives in unlabelled text, from scores that tell the two apart.
+
+    Above a score that negatives hardly reach, unlabelled text holds prior times as large a share as
+    positives do, and above any score at least that. So the prior is the least ratio of the shares; the
+    margin for chance keeps scores out that too few rows reach. positive are the positives' margins,
+    held the number of unlabelled ones at or above each of the (falling) edges, the last of which is
+    below all.
+    """
+    if not len(positive) or not held[-1]:
+        return 0.5
+    share, own = held / held[-1], np.searchsorted(-np.sort(positive)[::-1], -edges, side="right") / len(positive)
+    margin = np.sqrt(np.log(4 / DOUBT) / (1 / (1 / len(positive) + 1 / held[-1])) / 2)
+    at = np.argmin(np.where(own > margin, (share + margin) / np.maximum(own, 1e-9), np.inf))
+    return float(np.clip(share[at] / own[at], 0.02, 0.98)) if own[at] > margin else 0.5
 
 
 def fold(doc_id: Column) -> Column:
@@ -135,32 +157,88 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)), F.lit(-1))
 
 
-def _features_of(docs: DataFrame) -> DataFrame:
+def _unpack(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, N_FEATURES).astype(np.float64)
+
+
+def _pack(parts: list[np.ndarray]) -> bytes:
+    return np.concatenate([np.ravel(p) for p in parts]).astype(np.float64).tobytes()
+
+
+def summed(table: DataFrame, part, length: int) -> np.ndarray:
+    """The sum over all rows of table (half, x) of part(half, x), vectors of that length: added up within
+    tasks, then (of many tasks) on executors, and a bounded number of them on the driver."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros(length)
         for b in batches:
-            x = [features(t).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(x, pa.binary())], ["doc_id", "y", "x"])
+            if b.num_rows:
+                total += part(b.column("half").to_numpy(), _unpack(b.column("x")))
+        salt = TaskContext.get().partitionId() % SUMS if TaskContext.get() else 0
+        yield pa.RecordBatch.from_arrays([pa.array([salt], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["salt", "v"])
 
-    return docs.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x binary")
+    def add(t: pa.Table) -> pa.Table:
+        return pa.table({"salt": t["salt"][:1], "v": pa.array([_pack([np.sum([np.frombuffer(v) for v in t["v"].to_pylist()], axis=0)])], pa.binary())})
 
+    sums = table.mapInArrow(run, "salt int, v binary")
+    if len(table.inputFiles()) > SUMS:
+        sums = sums.groupBy("salt").applyInArrow(add, "salt int, v binary")
+    return np.sum([np.zeros(length), *(np.frombuffer(v) for v in sums.toArrow()["v"].to_pylist())], axis=0)
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """Fit on rows outside the held-out fold: at most max_labelled labelled and max_unlabelled others,
-    those first by a hash of the id. Only their ids (bounded so) are broadcast."""
-    rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+    """Fit on rows outside the held-out fold: at most max_labelled positives, the first by a hash of the
+    id (only their ids, bounded so, are broadcast), and all documents as unlabelled text."""
+    rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y is not null")
-    seen = marks.where(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.max("y").alias("y"))
-    seen = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    others = rows.select("doc_id").where(fold(F.col("doc_id")) != HELD_OUT).join(marks, "doc_id", "left_anti").distinct()
-    others = others.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unlabelled).withColumn("y", F.lit(-1))
-    picked = _features_of(rows.join(F.broadcast(seen.unionByName(others)), "doc_id")).select("y", "x").toPandas()
-    x = np.frombuffer(b"".join(picked["x"]), dtype=np.float32).reshape(-1, N_FEATURES)
-    y = picked["y"].to_numpy()
-    labelled = y >= 0
-    prior = float(np.clip((y[labelled] == 1).mean() if labelled.any() else 0.5, 0.05, 0.98))
-    # Labelled rows whose label is hidden are unlabelled text too.
-    model = Model().fit(x[y == 1], x, prior)
-    return model.calibrate(x[labelled], y[labelled])
+    trusted = marks.where(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.max("y").alias("y")).where("y = 1").select("doc_id")
+    trusted = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("half"), pa.array([features(t).astype(np.float16).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["half", "x"])
+
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half")
+    picked = rows.join(F.broadcast(trusted), "doc_id").select(half, "text").mapInArrow(measure, "half int, x binary").toArrow()
+    if not picked.num_rows:
+        return Model()
+    positive, side = _unpack(picked["x"]), picked["half"].to_numpy()
+    seen = rows.where(fold(F.col("doc_id")) != HELD_OUT).select(half, "text").mapInArrow(measure, "half int, x binary")
+    seen = materialise(spark, seen, "quality-features")
+
+    # Mean and spread, halfway between positives and unlabelled text.
+    moments = lambda _, x: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
+    n, *sums = summed(seen, moments, 1 + 2 * N_FEATURES)
+    both = [(np.array(sums).reshape(2, -1)[k] / max(n, 1) + (positive ** (k + 1)).mean(0)) / 2 for k in range(2)]
+    mean, scale = both[0], np.maximum(np.sqrt(np.maximum(both[1] - both[0] ** 2, 0)), 1e-3)
+
+    sizes = [1, 1, *(w.size for w in Model().w)]
+
+    def unlabelled_part(only: int | None):
+        def at(model: Model) -> tuple[float, list[np.ndarray]]:
+            def part(halves: np.ndarray, x: np.ndarray) -> np.ndarray:
+                x = x if only is None else x[halves == only]
+                loss, gradient = model.loss(x, 1)
+                return np.concatenate([[len(x), loss], *(g.ravel() for g in gradient)])
+
+            count, loss, *gradient = np.split(summed(seen, part, sum(sizes)), np.cumsum(sizes)[:-1])
+            k = max(1.0, float(count[0]))
+            return float(loss[0]) / k, [g.reshape(w.shape) / k for g, w in zip(gradient, model.w, strict=True)]
+
+        return at
+
+    first = Model(mean, scale)
+    own, others = positive[side == 0], first.margin(positive[side == 1])
+    prior = 0.5
+    if len(own) and len(others):
+        others = descend(first, own, unlabelled_part(0), PRIOR_STEPS, None).margin(positive[side == 1])
+        edges = np.append(np.unique(np.quantile(others, np.linspace(0, 1, 501)))[::-1], -np.inf)
+        above = lambda halves, x: np.searchsorted(np.sort(first.margin(x[halves == 1])), edges, side="left")
+        count = lambda halves, x: np.full(len(edges), (halves == 1).sum()) - above(halves, x)
+        prior = estimate_prior(others, summed(seen, count, len(edges)), edges)
+    return descend(Model(mean, scale, prior), positive, unlabelled_part(None), STEPS, prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -179,15 +257,21 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text).
 
     labels (doc_id, quality) teach only outside the held-out fold. Null text counts as empty and gets
-    a score too; a null id is not held out; repeated rows are scored alike; without labels every score
-    comes from an untrained model. Other columns are ignored; an empty table gives an empty result.
+    a score too; a null id is not held out; repeated rows are scored alike; without positive labels every
+    score comes from an untrained model. Other columns are ignored; an empty table gives an empty result.
     """
     out = score(docs, train(spark, docs, labels))
     return out.select("doc_id", (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of docs that score at least threshold, with all their columns."""
+    """Rows of docs that score at least threshold, with all their columns.
+
+    Null text counts as empty, and is scored too; rows that share an id and repeated rows are scored
+    each by its own text; a null id is like any other. Columns may have any names; an empty table stays
+    empty; without positive labels every score comes from an untrained model.
+    """
+    hold_batches(spark)
     model = train(spark, docs, labels)
 
     @F.pandas_udf("double")

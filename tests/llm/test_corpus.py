@@ -240,6 +240,30 @@ def test_quality_on_held_out_rows(spark):
     assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.held_out for r in rows)
 
 
+def test_prior_comes_from_positives_and_unlabelled_text_alone():
+    """Scores of two overlapping normal classes; and a gradient step against finite differences."""
+    rng = np.random.default_rng(0)
+    for true in (0.2, 0.5, 0.9):
+        unlabelled = np.where(rng.random(20_000) < true, rng.normal(2, 1, 20_000), rng.normal(-2, 1, 20_000))
+        positive = rng.normal(2, 1, 4_000)
+        edges = np.append(np.unique(np.quantile(positive, np.linspace(0, 1, 501)))[::-1], -np.inf)
+        held = np.array([(unlabelled >= e).sum() for e in edges])
+        assert abs(quality.estimate_prior(positive, held, edges) - true) < 0.05
+    model, x = quality.Model(), rng.normal(size=(5, quality.N_FEATURES))
+    for sign in (-1, 1):
+        loss, gradient = model.loss(x, sign)
+        for k, at in ((0, (3, 4)), (1, 2), (2, 5), (3, 0)):
+            model.w[k][at] += 1e-5
+            assert (model.loss(x, sign)[0] - loss) / 1e-5 == pytest.approx(gradient[k][at], rel=1e-2, abs=1e-4)
+            model.w[k][at] -= 1e-5
+
+
+def test_labelled_negatives_are_never_used(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    a, b = (quality.train(spark, docs, x) for x in (labels, labels.where("quality = 1")))
+    assert a.prior == b.prior and all(np.allclose(x, y) for x, y in zip(a.w, b.w, strict=True))
+
+
 def test_quality_odd_tables(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (6, None), (8, 1)], "doc_id long, quality int")
     rows = quality.classify(spark, odd, labels).collect()
