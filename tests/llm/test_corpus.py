@@ -388,12 +388,53 @@ def test_html_without_article_and_odd_pages(spark):
     menu = "home news sport weather about us contact the staff now"
     pages = [(i, f"http://h.example/{i}", f"<body><div>{menu}</div><p>{i}th own text of page {i} here so</p><nav>x</nav></body>") for i in range(6)]
     pages += [(7, "http://other.example/", f"<body><div>{menu}</div></body>"), (8, None, None), (9, "bad", ""), (None, None, "<main>m</main>")]
-    found = {r.page_id: r.text for r in html_extract.extract(spark, spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()}
+    long = " ".join(f"w{i}" for i in range(30_000))
+    pages += [(10, "http://h.example/10", f"<article>{long}</article>"), (11, "http://twice.example/", f"<p>only {menu}</p>"), (11, "http://twice.example/", f"<p>only {menu}</p>")]
+    found = {r.page_id: r.text for r in html_extract.extract(spark, spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"text": F.lit(1), "rid": F.lit(2), "prefix": F.lit(3), "places": F.lit("p")})).collect()}
     assert all(found[i] == f"{i}th own text of page {i} here so" for i in range(6))
-    assert found[7] == menu and found[8] == found[9] == "" and found[None] == "m"
+    assert found[7] == menu and found[8] == found[9] == "" and found[None] == "m" and found[10] == long and found[11] == f"only {menu}"
     assert html_extract.extract(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_classes_that_only_hint_and_text_beside_articles(spark):
+    notice = "we use small files to make this site work so please agree"
+    page = lambda i: f"""<main><h1>Title {i}</h1><p>{notice} {i}beside</p><article><p>Story {i} begins.</p><div class="social-history"><p>The history of page {i} is long.</p></div>
+        <div class="ad-hoc">An unplanned remark {i}.</div><div class="site-notice-x">{notice}</div><div class="share-buttons">Share it</div><div class="ad">Buy {i}</div></article></main>"""
+    teaser = lambda i: f"<article>Read more</article><div class='text'><p>{' '.join(f'own{i}x{k}' for k in range(40))}</p></div><article>Teaser</article>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(3)] + [(10 + i, f"http://b.example/{i}", teaser(i)) for i in range(3)]
+    found = {r.page_id: r.text for r in html_extract.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(3):
+        assert found[i] == f"Title {i} {i}beside Story {i} begins. The history of page {i} is long. An unplanned remark {i}."
+        assert found[10 + i] == f"Read more {' '.join(f'own{i}x{k}' for k in range(40))} Teaser"
+
+
+def test_html_repeats_equal_brute_force(spark):
+    """Covered places against every substring of eight tokens or more that two distinct pages of a host share."""
+    rng = np.random.default_rng(8)
+    lines = [[f"l{i}t{k}" for k in range(rng.integers(3, 14))] for i in range(12)]
+    pages, streams = [], {}
+    for i in range(40):
+        words = [w for j in rng.integers(0, 12, 5) for w in [*lines[j], *(["u%d" % rng.integers(0, 9)] * rng.integers(0, 2))]]
+        host = "ab"[i % 2]
+        pages.append((i, f"http://{host}.example/{i}", f"<div>{' '.join(words)}</div>"))
+        streams[i] = (host, words)
+    seen = {}
+    for i, (host, words) in streams.items():
+        for a in range(len(words)):
+            for b in range(a + 8, len(words) + 1):
+                seen.setdefault((host, *words[a:b]), set()).add(pages[i][2])
+    want = {}
+    for i, (host, words) in streams.items():
+        covered = [False] * len(words)
+        for a in range(len(words)):
+            for b in range(a + 8, len(words) + 1):
+                if len(seen[(host, *words[a:b])]) > 1:
+                    covered[a:b] = [True] * (b - a)
+        want[i] = " ".join(w for w, c in zip(words, covered, strict=True) if not c)
+    found = {r.page_id: r.text for r in html_extract.extract(spark, spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)).collect()}
+    assert found == want and any(want.values()) and any(len(want[i].split()) < len(streams[i][1]) for i in want)
+
+
 def brute_containment(texts, items):
     words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     runs = lambda w, k: {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)}
