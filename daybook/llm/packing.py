@@ -2,9 +2,10 @@
 
 Bins are filled one at a time. The next piece is the one, among those that fit, whose demand vector has
 the greatest dot product with the bin's remaining capacity, both in units of the limits. When nothing
-fits whole, the best piece is cut to fill the bin. Each task packs its own rows in windows of bounded
-size, so nothing is shuffled; what is left at a task's end goes into sequences whose length is a power
-of two, which need no padding.
+fits whole, the best piece is cut to fill the bin. A bin that its segment or loss limit closes early is cut
+back to the greatest power of two, which needs no padding, and what lies beyond goes back to the pieces
+that wait. Each task packs its own rows in windows of bounded size, so nothing is shuffled; what is left at
+a task's end goes into sequences of powers of two, too.
 """
 
 from __future__ import annotations
@@ -107,30 +108,29 @@ class Packer:
                     unit[i] = demand[i] / self.limit
                 else:
                     alive[i] = False
-            # A bin that a limit closed early is cut back to powers of two, which need no padding.
-            self.close(chosen, pad=target == most and room[0] == 0)
-        keep = np.flatnonzero(alive)
-        self.rows, self.spans = [self.rows[i] for i in keep], span[keep].tolist()
-
-    def close(self, chosen: list[tuple[int, int, int]], pad: bool) -> None:
-        used = sum(c[2] for c in chosen)
-        if not used:
-            return
-        # A full bin stays; a short one is dealt out over powers of two if that saves padding.
-        sizes = [used] if pad else [1 << b for b in range(used.bit_length() - 1, -1, -1) if used >> b & 1]
-        pieces, at = list(chosen), 0
-        for size in sizes:
+            used = target - int(room[0])
+            if not used:
+                break
+            # A bin that a limit closed early is cut back to a power of two; the rest waits for another.
+            over = used - (used if target == most and not room[0] else 1 << (used.bit_length() - 1))
+            left += over
+            while over:
+                i, start, take = chosen.pop()
+                back = min(take, over)
+                over -= back
+                if take > back:
+                    chosen.append((i, start, take - back))
+                span[i, 0] -= back
+                span[i, 1] += back
+                demand[i] = span[i, 1], 1, self.loss(int(span[i, 0]), int(span[i, 1]), int(span[i, 2]))
+                unit[i], alive[i] = demand[i] / self.limit, True
             offset = 0
-            while offset < size:
-                i, start, take = pieces[at]
-                part = min(take, size - offset)
-                self.emit(self.rows[i], start, part, self.sequence, offset)
-                offset += part
-                if part == take:
-                    at += 1
-                else:
-                    pieces[at] = (i, start + part, take - part)
+            for i, start, take in chosen:
+                self.emit(self.rows[i], start, take, self.sequence, offset)
+                offset += take
             self.sequence += 1
+        keep = np.flatnonzero(alive)
+        self.rows, self.spans = [self.rows[i] for i in keep], span[keep].tolist()
 
 
 def rows_of(ids: np.ndarray, places: np.ndarray) -> list[bytes]:

@@ -108,6 +108,68 @@ def test_packing_round_trip(spark, docs, texts, sf):
     assert all(sum(r.length for r in s) <= 256 and len(s) <= 3 and sum(r.loss_tokens for r in s) <= 128 for s in seqs.values())
 
 
+def sequences(rows):
+    out = collections.defaultdict(list)
+    for r in rows:
+        out[r.sequence_id].append(r)
+    return out
+
+
+@pytest.mark.parametrize("words", [4, 20, 40])
+def test_packing_of_short_texts_makes_no_crumbs(spark, words):
+    """Nothing is padded, so a sequence that 64 short texts don't fill has the greatest power of two below."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda k: F.concat(F.lit("a"), (F.col("id") + k) % 7)), " ").alias("text")).coalesce(1)
+    rows = packing.pack(spark, docs).collect()
+    made, total = sequences(rows), sum(r.length for r in rows)
+    full = 1 << (min(4096, 64 * total // 4000).bit_length() - 1)
+    assert len(made) <= 1.05 * total / full + 12
+    assert len(made) <= 2 * max(total / 4096, 4000 / 64) + 12
+    assert all(sum(r.length for r in s) & (sum(r.length for r in s) - 1) == 0 and len(s) <= 64 for s in made.values())
+
+
+def test_packing_of_conversations_holds_three_limits(spark, sf):
+    """Instruction data: what the user says bears no loss."""
+    turns = table(spark, sf, "conversations")
+    said = lambda own: F.concat_ws(" ", F.collect_list(F.when((F.col("role") == "assistant") == own, F.col("text"))))
+    convs = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(said(False).alias("prompt"), said(True).alias("text")).coalesce(2)
+    rows = packing.pack(spark, convs, prompt="prompt", max_tokens=512, max_segments=6, max_loss=200).collect()
+    want = {r.doc_id: (len(reference_ids(r.prompt, 2)) - 1, len(reference_ids(r.text, 2))) for r in convs.collect()}
+    for s in sequences(rows).values():
+        assert sum(r.length for r in s) <= 512 and len(s) <= 6 and sum(r.loss_tokens for r in s) <= 200
+        assert bin(sum(r.length for r in s)).count("1") == 1
+    by = collections.defaultdict(lambda: [0, 0])
+    for r in rows:
+        by[r.doc_id][0] += r.length
+        by[r.doc_id][1] += r.loss_tokens
+    assert {i: tuple(v) for i, v in by.items()} == {i: (p + a, a) for i, (p, a) in want.items()}
+    assert any(p for p, _ in want.values())
+
+
+def test_packing_chooses_by_the_dot_product():
+    """Whole pieces against a plain reading of the rule; three limits that all bind."""
+    rng = np.random.default_rng(6)
+    pieces = [(f"r{i}", int(rng.integers(1, 60)), 0) for i in range(60)]
+    pieces = [(r, n, int(rng.integers(0, n + 1))) for r, n, _ in pieces]
+    limits, made = (128, 5, 70), []
+    packer = packing.Packer(lambda *x: made.append(x), *limits)
+    for r, n, free in pieces:
+        packer.add(r, n, free)
+    packer.pack()
+    waiting = {r: (n, 1, n - free) for r, n, free in pieces}
+    room, first = list(limits), []
+    while True:
+        fit = [(r, d) for r, d in waiting.items() if all(a <= b for a, b in zip(d, room, strict=True))]
+        if not fit or not room[0]:
+            break
+        score = lambda d: sum(a / c * b / c for a, b, c in zip(d, room, limits, strict=True))  # noqa: B023, E731
+        best = max(fit, key=lambda x: score(x[1]))
+        first.append(best[0])
+        del waiting[best[0]]
+        room = [b - a for a, b in zip(best[1], room, strict=True)]
+    got = [x[0] for x in made if x[3] == 0]
+    assert got[: len(first)] == first[: len(got)] and len(got) >= len(first) - 2
+
+
 def test_packing_odd_tables(spark, odd, empty):
     rows = packing.pack(spark, odd).collect()
     assert sum(r.length for r in rows if r.doc_id in (3, 4, 5)) == 3
