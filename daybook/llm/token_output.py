@@ -18,7 +18,8 @@ from .common import gather, lean, materialise, new_path, text_of
 from .tokens import WordEncoder, vocabulary_path
 
 END_ID = 1
-STRIPE_BYTES, INDEX_STRIDE, BLOOM_FPP = 64 << 20, 10_000, 0.01
+#: A stripe is a reader's share of work; a row group of the index is what pruning skips (some megabytes of ids).
+STRIPE_BYTES, INDEX_STRIDE, BLOOM_FPP = 64 << 20, 1_000, 0.01
 ROW = "doc_id long, part int, pos long, ids array<int>"
 
 
@@ -45,7 +46,10 @@ def checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def write_tokens(spark: SparkSession, docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID) -> str:
+def write_tokens(
+    spark: SparkSession, docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID,
+    stripe_bytes: int = STRIPE_BYTES, index_stride: int = INDEX_STRIDE,
+) -> str:
     """Encode the whole texts of docs (doc_id, text) and write them to path as ORC, in doc_id order.
 
     Null text counts as empty: its ids are the end id alone. Null ids come first. Rows that share an
@@ -56,7 +60,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, vocabulary: st
     rows = rows.sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id()).select("doc_id", "part", "text")
     (
         rows.mapInArrow(lean(lambda it: encode_rows(it, vocabulary, end_id)), ROW)
-        .write.option("orc.compress", "ZSTD").option("orc.stripe.size", STRIPE_BYTES).option("orc.row.index.stride", INDEX_STRIDE)
+        .write.option("orc.compress", "ZSTD").option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", index_stride)
         .option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", BLOOM_FPP)
         .orc(path)
     )

@@ -198,6 +198,35 @@ def test_token_files_are_indexed_and_odd_tables(spark, odd, empty, tmp_path):
     assert token_output.token_output(spark, empty).count() == 0
 
 
+def test_token_files_are_pruned_by_stripe_row_group_and_bloom_filter(spark, tmp_path):
+    """Footers show several stripes, run-length ids and filters; a look-up reads a few row groups of all."""
+    import glob
+
+    from pyarrow import orc
+
+    even = spark.range(30_000).select((F.col("id") * 2).alias("doc_id"), F.concat_ws(" ", F.lit("some words of"), F.col("id") % 50, F.lit("again and again")).alias("text"))
+    path = token_output.write_tokens(spark, even.coalesce(1), f"file://{tmp_path}/t", stripe_bytes=64 << 10, index_stride=1000)
+    names = glob.glob(f"{tmp_path}/t/*.orc")
+    files = [orc.ORCFile(f) for f in names]
+    assert sum(f.nrows for f in files) == 30_000 and sum(f.nstripes for f in files) >= 2 * len(files)
+    ids = token_output.token_index(spark, path).agg(F.sum("n_tokens")).first()[0]
+    assert sum(len(open(f, "rb").read()) for f in names) < 2 * ids  # run lengths: below two bytes an id
+
+    def rows_scanned(condition):
+        df = token_output.read_tokens(spark, path).where(condition)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        leaves = plan.collectLeaves() if "AdaptiveSparkPlan" not in plan.nodeName() else plan.executedPlan().collectLeaves()
+        return leaves.apply(0).metrics().apply("numOutputRows").value(), df.count()
+
+    for wanted in (2, 31_000, 59_998):
+        scanned, found = rows_scanned(f"doc_id = {wanted}")
+        assert found == 1 and scanned <= 2000
+    assert rows_scanned("doc_id = 100000001") == (0, 0)  # beyond every range
+    within = [rows_scanned(f"doc_id = {i}") for i in (3, 20_001, 41_111, 59_997)]  # in ranges, but in no filter save false alarms
+    assert all(found == 0 for _, found in within) and sum(scanned == 0 for scanned, _ in within) >= 2
+
+
 def brute_sets(texts, width=5):
     out = {}
     for i, t in texts.items():
