@@ -1,7 +1,8 @@
 """Personal data: detected entities get keyed surrogates of the same type, format, script and gender.
 
 A surrogate depends on the key and the entity alone, so an entity has one surrogate in all documents
-(coreference). Collision checks over all distinct entities give different entities different
+(coreference). A name that some document gives with a title is a person in all documents: its bare and
+partial mentions there get the same surrogate. Collision checks over all distinct entities give different entities different
 surrogates, and none that is another entity of the corpus.
 """
 
@@ -17,19 +18,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import materialise, prune_filter, skew_join, text_of
 
-KINDS = ["email", "card", "phone", "ip", "name"]
+KINDS = ["email", "card", "phone", "ip", "name", "national", "iban"]
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 CARD = re.compile(r"(?<![\d.])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\d])")
 #: Cards of 15 and 14 digits, and unbroken ones of 13 and 19; these count where the check digit is right.
 CARD_OTHER = re.compile(r"(?<![\d.])(?:3[47]\d{2}([ -]?)\d{6}\1\d{5}|3[0689]\d{2}([ -]?)\d{6}\2\d{4}|4\d{12}|[3-6]\d{18})(?!\d)")
+NATIONAL = re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])")
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+#: Ten unbroken digits that can be a telephone number of the North American plan.
+PHONE_TEN = re.compile(r"(?<![\w.+-])[2-9]\d{2}[2-9]\d{6}(?![\w-])")
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)")
 IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")
 IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{1,4}|(?<=::))(?!\w)")
 # Titles, with the gender they tell ('f', 'm' or '' for either) and the script of the name.
 TITLES = [
-    ("Mrs.", "f"), ("Mrs", "f"), ("Ms.", "f"), ("Ms", "f"), ("Miss", "f"), ("Mr.", "m"), ("Mr", "m"), ("Dr.", ""),
+    ("Mrs.", "f"), ("Mrs", "f"), ("Ms.", "f"), ("Ms", "f"), ("Miss", "f"), ("Mr.", "m"), ("Mr", "m"), ("Dr.", ""), ("Prof.", ""), ("Professor", ""),
     ("Frau", "f"), ("Herr", "m"), ("Herrn", "m"), ("Madame", "f"), ("Mme", "f"), ("Monsieur", "m"), ("Señora", "f"), ("Señor", "m"),
     ("Госпожа", "f"), ("Господин", "m"), ("Κυρία", "f"), ("Κύριος", "m"),
 ]
@@ -52,9 +57,10 @@ ENTITY = "kind string, entity string"
 _WORD = re.compile(r"\w+")
 
 
-def find_names(text: str) -> list[tuple[int, int, str, str]]:
+def find_names(text: str, known: frozenset[str] = frozenset()) -> list[tuple[int, int, str, str]]:
     """(start, end, entities, gender) of the names after a title, and of every further mention in the text
-    of such a name, its surname or its first name.
+    of such a name, its surname or its first name. known: names ('first last', folded) that other
+    documents give with a title; where the text has one of them whole, it counts as if it had a title.
 
     Entities are 'first:' with the whole name and 'last:' with the surname, one to a line: a person's
     mentions share them, whatever the title. A name of one word is a surname, unless the text has it as a
@@ -68,6 +74,11 @@ def find_names(text: str) -> list[tuple[int, int, str, str]]:
             people.add(tuple(words))
             firsts.setdefault(words[0], f"first:{words[0]} {words[1]}")
             lasts.add(words[1])
+    for m in known:
+        first, last = m.split(" ")
+        people.add((first, last))
+        firsts.setdefault(first, f"first:{first} {last}")
+        lasts.add(last)
     lasts |= {w for m in titled if (w := m[2].casefold()).isalnum() and w not in firsts}
 
     def entities(words: list[str]) -> str | None:
@@ -76,7 +87,7 @@ def find_names(text: str) -> list[tuple[int, int, str, str]]:
         return f"last:{words[0]}" if words[0] in lasts else firsts.get(words[0])
 
     out = [(m.start(2), m.end(2), entities(re.split("[ -]", m[2].casefold())) or f"last:{m[2].casefold()}", _GENDER[m[1]]) for m in titled]
-    words = [m for m in _WORD.finditer(text) if not m[0][0].islower()] if titled else []
+    words = [m for m in _WORD.finditer(text) if not m[0][0].islower()] if titled or known else []
     for m, after in zip(words, [*words[1:], None], strict=True):
         if after and after.start() == m.end() + 1 and text[m.end()] in " -\xa0" and (e := entities([m[0].casefold(), after[0].casefold()])):
             out.append((m.start(), after.end(), e, ""))
@@ -85,7 +96,19 @@ def find_names(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-def find_entities(text: str) -> list[tuple[int, int, str, str, str]]:
+_PAIR = re.compile(r"(?=(?<!\w)([^\W\d_a-zß-öø-ÿа-я]\w+)[ \xa0-]([^\W\d_a-zß-öø-ÿа-я]\w+)(?!\w))")
+
+
+def capital_pairs(text: str) -> set[str]:
+    """Two capitalised words in a row, folded: what could be a name."""
+    return {f"{m[1]} {m[2]}".casefold() for m in _PAIR.finditer(text)}
+
+
+def iban_sum(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def find_entities(text: str, known: frozenset[str] = frozenset()) -> list[tuple[int, int, str, str, str]]:
     """(start, end, kind, canonical form, gender), leftmost first, not overlapping; earlier kinds win ties.
 
     The canonical form of a name is its entities, one to a line; gender is what a name's title tells.
@@ -97,11 +120,14 @@ def find_entities(text: str) -> list[tuple[int, int, str, str, str]]:
         found += [(m.start(), m.end(), 1, re.sub(r"\D", "", m[0]), "") for m in CARD.finditer(text)]
         found += [(m.start(), m.end(), 1, c, "") for m in CARD_OTHER.finditer(text) if luhn_sum(c := re.sub(r"\D", "", m[0])) % 10 == 0]
         found += [(m.start(), m.end(), 2, re.sub(r"[^\d+]", "", m[0]), "") for m in PHONE.finditer(text)]
+        found += [(m.start(), m.end(), 2, m[0], "") for m in PHONE_TEN.finditer(text)]
+        found += [(m.start(), m.end(), 5, m[0].replace("-", ""), "") for m in NATIONAL.finditer(text)]
+        found += [(m.start(), m.end(), 6, c, "") for m in IBAN.finditer(text) if 15 <= len(c := m[0].replace(" ", "")) <= 34 and iban_sum(c) == 1]
         found += [(m.start(), m.end(), 3, str(ipaddress.ip_address(".".join(str(int(x)) for x in m[0].split(".")))), "") for m in IP.finditer(text)]
     if text.count(":") > 1:
         found += [(m.start(), m.end(), 3, c, "") for m in IP6.finditer(text) if (c := ip6(m[0]))]
-    if any(t in text for t, _ in TITLES):
-        found += [(a, b, 4, c, g) for a, b, c, g in find_names(text)]
+    if known or any(t in text for t, _ in TITLES):
+        found += [(a, b, 4, c, g) for a, b, c, g in find_names(text, known)]
     out: list[tuple[int, int, str, str, str]] = []
     for a, b, k, c, g in sorted(found, key=lambda s: (s[0], s[2], -s[1])):
         if not out or a >= out[-1][1]:
@@ -121,7 +147,7 @@ def parts_of(kind: str, canonical: str) -> list[str]:
     return canonical.split("\n") if kind == "name" else [canonical]
 
 
-_DIGITS = re.compile(r"\d[\d.() -]{6}")
+_DIGITS = re.compile(r"\d[\d.() -]{6}|[A-Z]{2}\d{2} ?[A-Z0-9]{4}")
 
 
 class Stream:
@@ -164,6 +190,12 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0, gender: str
     if kind == "phone":
         code = len(entity) - 10 if entity.startswith("+") and len(entity) > 10 else 2 if entity.startswith("+") else 0
         return entity[:code] + "".join(str(s.below(10)) for _ in entity[code:])
+    if kind == "national":
+        area = 1 + s.below(898)
+        return f"{area + (area >= 666):03d}{1 + s.below(99):02d}{1 + s.below(9999):04d}"
+    if kind == "iban":
+        body = "".join(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) for c in entity[4:])
+        return f"{entity[:2]}{98 - iban_sum(entity[:2] + '00' + body):02d}{body}"
     if kind == "ip":
         own = ipaddress.ip_address(entity)
         while own.version == 6:
@@ -191,6 +223,9 @@ def shape(kind: str, found: str, canonical: str) -> str:
     if kind in ("card", "phone"):
         digits = iter(canonical.lstrip("+"))
         return "".join(next(digits) if c.isdigit() else c for c in found)
+    if kind in ("national", "iban"):
+        signs = iter(canonical)
+        return "".join(next(signs) if c.isalnum() else c for c in found)
     if kind == "name":
         name = " ".join(p.partition(":")[2].capitalize() for p in canonical.split("\n"))
         return name.upper() if found.isupper() and len(found) > 1 else name.replace(" ", "-") if "-" in found else name
@@ -200,6 +235,7 @@ def shape(kind: str, found: str, canonical: str) -> str:
 
 
 def distinct_entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(kind, entity, gender) of a batch, each once. Names of other documents have entities already."""
     for pdf in batches:
         found = {(k, e, g if e.startswith("first:") else "") for text in pdf["text"] for _, _, k, c, g in find_entities(text) for e in parts_of(k, c)}
         yield pd.DataFrame(list(found), columns=["kind", "entity", "gender"])
@@ -240,16 +276,16 @@ def collisions(spark: SparkSession, entities: DataFrame, key: bytes, attempts: i
     return materialise(spark, now.where("attempt > 0 or gender <> ''").select("kind", "entity", "attempt", "gender"), "attempts")
 
 
-REPLACED = "doc_id long, text string, n_entities long, n_email long, n_card long, n_phone long, n_ip long, n_name long, spans string"
+REPLACED = "doc_id long, text string, n_entities long, n_email long, n_card long, n_phone long, n_ip long, n_name long, n_national long, n_iban long, spans string"
 
 
 def replace_batches(batches: Iterator[pd.DataFrame], key: bytes) -> Iterator[pd.DataFrame]:
     memo: dict[tuple[str, str, int, str], str] = {}
     for pdf in batches:
         rows = []
-        for doc_id, text, others in zip(pdf["doc_id"], pdf["text"], pdf["others"], strict=True):
+        for doc_id, text, others, known in zip(pdf["doc_id"], pdf["text"], pdf["others"], pdf["known"], strict=True):
             tries = {} if others is None else {(o["kind"], o["entity"]): (o["attempt"], o["gender"]) for o in others}
-            found, parts, at = find_entities(text), [], 0
+            found, parts, at = find_entities(text, frozenset(() if known is None else known)), [], 0
             for a, b, kind, canonical, _ in found:
                 made = []
                 for entity in parts_of(kind, canonical):
@@ -268,14 +304,37 @@ def replace_batches(batches: Iterator[pd.DataFrame], key: bytes) -> Iterator[pd.
         yield out
 
 
+OTHERS = "array<struct<kind:string,entity:string,attempt:int,gender:string>>"
+
+
+def names_elsewhere(spark: SparkSession, numbered: DataFrame, people: DataFrame) -> DataFrame:
+    """(rid, known): for each document, the names it has that some document gives with a title.
+
+    people: (name), each once. Pairs of capitalised words are cut down by a filter over the names before
+    they are joined, and a name that very many documents have is joined as a hot key."""
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(r, p) for r, text in zip(pdf["rid"], pdf["text"], strict=True) for p in capital_pairs(text)]
+            yield pd.DataFrame(rows, columns=["rid", "name"])
+
+    met = numbered.select("rid", "text").mapInPandas(pairs, "rid long, name string").where(prune_filter(people, "name"))
+    met = materialise(spark, met, "name-pairs")
+    counts = met.groupBy("name").agg(F.count("*").alias("n"))
+    total = max(1, met.count())
+    real = skew_join(met, materialise(spark, people.join(counts, "name"), "names"), "name", "n", "rid", total).where("n is not null")
+    return materialise(spark, real.groupBy("rid").agg(F.array_sort(F.collect_set("name")).alias("known")), "known-names")
+
+
 def replace_entities(spark: SparkSession, docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, text with surrogates, n_entities, the number of each kind, and spans (kind:start:end in
     code points of the text before, comma-joined) for each row of docs (doc_id, text).
 
-    Emails, cards, phones, IP addresses, names after a title and their further mentions in the document
-    are found. Names that have no title in their document, and account numbers, are not. Null text counts
-    as empty; repeated rows are treated alike; a document without entities keeps its text as it is;
-    other columns are ignored; an empty table gives an empty result.
+    Emails, cards, phones, IP addresses, national numbers (ddd-dd-dddd), IBANs and names are found. A name
+    is what follows a title, its further mentions in the document (whole, or one of its words), and in any
+    other document the whole name and from then on its words. Names that no document gives with a title
+    are not found. Null text counts as empty; repeated rows are treated alike; a document without entities
+    keeps its text as it is; other columns are ignored; an empty table gives an empty result.
     """
     rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", "text")
     entities = rows.select("text").mapInPandas(distinct_entities, ENTITY + ", gender string")
@@ -283,15 +342,25 @@ def replace_entities(spark: SparkSession, docs: DataFrame, key: bytes) -> DataFr
     told = F.array_remove(F.collect_set("gender"), "")
     entities = materialise(spark, entities.groupBy("kind", "entity").agg(F.when(F.size(told) == 1, told[0]).otherwise("").alias("gender")), "entities")
     again = collisions(spark, entities, key)
-    if not again.limit(1).count():
-        return rows.withColumn("others", F.lit(None).cast("array<struct<kind:string,entity:string,attempt:int,gender:string>>")).mapInPandas(lambda it: replace_batches(it, key), REPLACED)
+    people = entities.where("kind = 'name' and entity like 'first:%'").select(F.substring("entity", 7, 1 << 20).alias("name"))
+    some_names, some_again = people.limit(1).count(), again.limit(1).count()
+    none = rows.withColumns({"others": F.lit(None).cast(OTHERS), "known": F.lit(None).cast("array<string>")})
+    if not some_names and not some_again:
+        return none.mapInPandas(lambda it: replace_batches(it, key), REPLACED)
+
+    numbered = materialise(spark, rows.withColumn("rid", F.monotonically_increasing_id()), "numbered") if some_names else rows.withColumn("rid", F.monotonically_increasing_id())
+    known = names_elsewhere(spark, numbered, people) if some_names else None
+    asked = numbered.join(known, "rid", "left") if some_names else numbered.withColumn("known", F.lit(None).cast("array<string>"))
 
     def occurrences(batches):
         for pdf in batches:
-            out = [(r, k, c) for r, text in zip(pdf["rid"], pdf["text"], strict=True) for k, c in {(k, e) for _, _, k, c, _ in find_entities(text) for e in parts_of(k, c)}]
+            out = [(r, k, e) for r, text, names in zip(pdf["rid"], pdf["text"], pdf["known"], strict=True) for k, e in {(k, e) for _, _, k, c, _ in find_entities(text, frozenset(() if names is None else names)) for e in parts_of(k, c)}]
             yield pd.DataFrame(out, columns=["rid", "kind", "entity"])
 
-    numbered = rows.withColumn("rid", F.monotonically_increasing_id())
-    where = numbered.select("rid", "text").mapInPandas(occurrences, "rid long, " + ENTITY).join(again, ["kind", "entity"])
-    others = materialise(spark, where.groupBy("rid").agg(F.collect_list(F.struct("kind", "entity", "attempt", "gender")).alias("others")), "others")
-    return numbered.join(others, "rid", "left").select("doc_id", "text", "others").mapInPandas(lambda it: replace_batches(it, key), REPLACED)
+    where = asked.select("rid", "text", "known").mapInPandas(occurrences, "rid long, " + ENTITY).withColumn("which", F.concat_ws(" ", "kind", "entity"))
+    where = materialise(spark, where, "occurrences")
+    counts = where.groupBy("which").agg(F.count("*").alias("n"))
+    tried = materialise(spark, again.withColumn("which", F.concat_ws(" ", "kind", "entity")).select("which", "attempt", "gender").join(counts, "which"), "tried")
+    met = skew_join(where, tried, "which", "n", "rid", max(1, where.count())).where("n is not null")
+    others = materialise(spark, met.groupBy("rid").agg(F.collect_list(F.struct("kind", "entity", "attempt", "gender")).alias("others")), "others")
+    return asked.join(others, "rid", "left").select("doc_id", "text", "others", "known").mapInPandas(lambda it: replace_batches(it, key), REPLACED)

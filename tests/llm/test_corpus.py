@@ -597,6 +597,50 @@ def test_surrogates_of_further_mentions_cards_and_ip6(spark):
     assert re.search(r"hosts 2001:\S+, fe80:\S+: and fd\S+, not std::x or a :: b\.", rows[1].text) and "::8888" not in rows[1].text
 
 
+def test_surrogates_of_names_known_from_other_documents(spark):
+    rows = [(1, "Dr. Ada Byron wrote. Ada Byron and Mrs. Ada Byron agree."), (2, "Today Ada Byron spoke; Byron left. Ada too. Bob Stone stayed."), (3, "Byron alone, and Ada, say nothing of whom."), (4, "Prof. Max Born came."), (5, "ADA BYRON")]
+    out = {r.doc_id: r for r in surrogates.replace_entities(spark, spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    first, last = re.match(r"Dr\. (\w+lia) (\w+len) wrote", out[1].text).groups()
+    assert out[1].text == f"Dr. {first} {last} wrote. {first} {last} and Mrs. {first} {last} agree."
+    assert out[2].text == f"Today {first} {last} spoke; {last} left. {first} too. Bob Stone stayed." and out[2].n_name == 3
+    assert out[3].text == rows[2][1] and "Born" not in out[4].text and out[5].text == f"{first} {last}".upper()
+
+
+def test_surrogates_of_national_numbers_ibans_and_unbroken_phones(spark):
+    text = "Call 5552234567 or 1112223333. No. 123-45-6789 and 000-12-3456; IBAN DE89 3704 0044 0532 0130 00, GB82WEST12345698765432, not GB81 WEST AB34 5698 7654 32."
+    r = surrogates.replace_entities(spark, spark.createDataFrame([(1, text)], "doc_id long, text string"), KEY).first()
+    assert (r.n_phone, r.n_national, r.n_iban) == (1, 1, 2)
+    assert "5552234567" not in r.text and "123-45-6789" not in r.text and "1112223333" in r.text and "000-12-3456" in r.text and "GB81 WEST AB34 5698 7654 32" in r.text
+    found = [c.replace(" ", "") for c in re.findall(r"DE\d\d(?: \d{4}){4} \d\d|GB\d\d[A-Z]{4}\d{14}", r.text)]
+    assert [surrogates.iban_sum(c) for c in found] == [1, 1] and "GB82WEST" not in r.text
+
+
+def brute_entities(text):
+    """Entities one character at a time, by other means than the operator's patterns."""
+    out, words = collections.Counter(), re.split(r"[\s,;()<>\"]+", text)
+    for w in words:
+        w = w.strip(".:!?'")
+        local, at, host = w.partition("@")
+        if at and local and "." in host and host.rpartition(".")[2].isalpha() and len(host.rpartition(".")[2]) > 1 and w.isascii():
+            out["email"] += 1
+        parts = w.split(".")
+        if len(parts) == 4 and all(p.isdigit() and int(p) < 256 and len(p) < 4 for p in parts):
+            out["ip"] += 1
+    return out
+
+
+def test_surrogate_entities_against_a_plain_reading(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = QUERIES["op9_pii_surrogates"](spark, sf).join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("was")), "doc_id").collect()
+    got, want = collections.Counter(), collections.Counter()
+    for r in rows:
+        n = brute_entities(r.was or "")
+        want += n
+        got += collections.Counter({"email": r.n_email, "ip": r.n_ip})
+        assert r.n_email >= n["email"] and r.n_ip >= n["ip"], r.doc_id
+    assert want["email"] > 5 and sum(got.values()) <= 1.2 * sum(want.values())  # words with junk at their ends are no plain words
+
+
 def test_surrogates_stay_distinct(spark):
     entities = spark.createDataFrame([("ip", f"10.{i}.0.{j}") for i in range(40) for j in range(50)] + [("phone", f"{i:07d}") for i in range(3000)], "kind string, entity string")
     again = {(r.kind, r.entity): r.attempt for r in surrogates.collisions(spark, entities, KEY).collect()}
