@@ -188,23 +188,26 @@ def stream_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[
 def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for edges (u, v) of longs; root is the least node of the connected component.
 
-    Each round takes every node's least neighbouring label (a partial aggregate, so hubs don't
-    gather in one task), then jumps to that label's own label. Nodes of many edges and labels of many
-    nodes are joined as hot keys. Rounds end when nothing changes.
+    Trees are hooked and flattened, after Zhang, Azad and Hu (FastSV, 2020): in each round a node and the
+    root of its tree both take the least grandparent that a neighbour has, and every node moves up to its
+    own. Chains of any length settle in a logarithmic number of rounds. Minima are partial aggregates, and
+    nodes of many edges and roots of many nodes are joined as hot keys. Rounds end when nothing changes.
     """
     both = edges.where("u is not null and v is not null and u <> v").select("u", "v")
     both = materialise(spark, both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     total = max(1, both.count())
-    labels = materialise(spark, both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root"), F.count("*").alias("n")).select(F.col("u").alias("node"), "root", "n"), "labels")
+    first = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root"), F.count("*").alias("n"))
+    labels = materialise(spark, first.select(F.col("u").alias("node"), "root", "n"), "labels")
     for _ in range(rounds):
-        near = skew_join(both, labels.withColumnRenamed("node", "v"), "v", "n", "u", total).groupBy("u").agg(F.min("root").alias("low"))
-        low = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", "n", F.least("root", "low").alias("low"), F.col("root").alias("was"))
-        low = materialise(spark, low, "lows")
-        asked = low.groupBy("low").agg(F.count("*").alias("m"))
-        top = asked.join(labels.select(F.col("node").alias("low"), F.col("root").alias("up")), "low")
-        fresh = materialise(spark, skew_join(low, top, "low", "m", "node", total).select("node", F.coalesce("up", "low").alias("root"), "n", "was"), "labels")
-        changed = fresh.where("root <> was").limit(1).count()
+        crowds = labels.groupBy("root").agg(F.count("*").alias("m"))
+        above = crowds.join(labels.select(F.col("node").alias("root"), F.col("root").alias("up")), "root")
+        now = materialise(spark, skew_join(labels, above, "root", "m", "node", total).select("node", "root", F.coalesce("up", "root").alias("up"), "n"), "parents")
+        near = skew_join(both, now.select(F.col("node").alias("v"), "up", "n"), "v", "n", "u", total).groupBy(F.col("u").alias("node")).agg(F.min("up").alias("low"))
+        met = materialise(spark, now.join(near, "node").select("node", "root", "n", F.least("up", "low").alias("low")), "lows")
+        hooks = met.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("hook"))
+        fresh = met.join(hooks, "node", "left").select("node", F.least("root", "low", "hook").alias("root"), "n", F.col("root").alias("was"))
+        fresh = materialise(spark, fresh, "labels")
         labels = fresh.select("node", "root", "n")
-        if not changed:
+        if not fresh.where("root <> was").limit(1).count():
             return labels.select("node", "root")
     raise RuntimeError(f"components did not settle in {rounds} rounds")

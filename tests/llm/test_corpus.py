@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from daybook.llm import decontaminate, exact_dedup, html_extract, language_model, near_join, packing, quality, secrets, surrogates, token_output, tokens
+from daybook.llm import common, decontaminate, exact_dedup, html_extract, language_model, near_join, packing, quality, secrets, surrogates, token_output, tokens
 from daybook.llm.queries import QUERIES, SQL, table
 from daybook.llm.tokens import WordEncoder, vocabulary_path
 
@@ -267,6 +267,25 @@ def test_near_join_equals_brute_force(spark, texts, sf):
         assert r.n_texts == len({frozenset(sets[j]) for j in links[r.doc_id]} - {frozenset(sets[r.doc_id])})
 
 
+def test_components_of_chains_stars_and_random_graphs(spark):
+    rng = np.random.default_rng(9)
+    name = rng.permutation(3000)
+    edges = [(int(name[i]), int(name[i + 1])) for i in range(1999)] + [(int(name[2000]), int(name[i])) for i in range(2001, 2500)]
+    edges += [(int(name[a]), int(name[b])) for a, b in rng.integers(2500, 3000, (300, 2))]
+    up = {}
+
+    def find(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        up[y] = x
+    got = {r.node: r.root for r in common.components(spark, spark.createDataFrame(edges, "u long, v long"), rounds=16).collect()}
+    assert got == {i: find(i) for i in got} and len(got) == len({i for a, b in edges if a != b for i in (a, b)})
+
+
 def test_near_join_over_many_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(150)]
