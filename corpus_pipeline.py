@@ -1,4 +1,9 @@
-"""A training-corpus pipeline: five stages, each on all that the one before it kept."""
+"""A training-corpus pipeline: five stages, each on all that the one before it kept.
+
+Null text counts as empty in every stage. Rows are told apart by their own text, not by their id alone:
+rows that share an id, or have none, stay or go each for itself, and of repeated rows one stays. All stages
+but the last return the columns of documents, whatever their names. Empty tables pass through.
+"""
 
 from __future__ import annotations
 
@@ -15,27 +20,27 @@ ORACLE_SQL = None  # a trained classifier decides in the first stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; empty ones are scored like others."""
     return keep_quality(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the one of the least id. Empty texts are equal to each other."""
     return keep_first_copies(spark, docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the one of the least id. Texts without words all stay."""
     return one_of_each_group(spark, docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark items."""
+    """Documents without benchmark items; those without an id are searched too."""
     return drop_contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), null_ids=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens, packed into sequences: a row for each piece."""
+    """The documents' tokens, packed into sequences: a row for each piece; an empty text has its end alone."""
     return pack(spark, docs)
 
 
