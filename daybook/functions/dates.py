@@ -5,7 +5,8 @@ from __future__ import annotations
 import calendar
 import re
 import unicodedata
-from datetime import date, timedelta
+from datetime import UTC, date, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,12 @@ def is_iso_date(s: str) -> bool:
         return False
 
 
+def now_in(zone: str, moment: datetime | None = None) -> tuple[str, str]:
+    """(date, HH:MM) of a moment, or of this one, in a time zone."""
+    local = (moment or datetime.now(UTC)).astimezone(ZoneInfo(zone))
+    return local.date().isoformat(), local.strftime("%H:%M")
+
+
 def months_back(day: date, months: int) -> date:
     """A day number past the month's end runs over into the next month (Mar 31 less one month is Mar 3)."""
     total = day.year * 12 + day.month - 1 - months
@@ -96,10 +103,10 @@ def infer_event_date(text: str, today: date) -> tuple[str, str, bool] | None:
         (r"(?:hôm|ngày)\s+([0-9]{1,2})/([0-9]{1,2})" + _E + r"(?!\s*[/-]?[0-9])", low, lambda m: (_latest(today, int(m[2]), int(m[1])), True), None),
         (r"hôm\s+qua" + _E, low, lambda m: (shifted(1), False), "hôm qua"),
         (r"hôm\s+kia" + _E, low, lambda m: (shifted(2), False), "hôm kia"),
-        (r"(?:thứ\s+([2-7])|chủ\s+nhật)\s+(?:vừa\s+rồi|tuần\s+trước)", low, weekday, None),
-        (r"cuối\s+tuần(?:\s+trước)?", low, lambda m: (_weekday_before(today, 6), False), None),
-        (r"tuần\s+trước", low, lambda m: (shifted(7), False), "tuần trước"),
-        (r"tháng\s+trước", low, lambda m: (months_back(today, 1).isoformat(), False), "tháng trước"),
+        (r"(?:thứ\s+([2-7])|chủ\s+nhật)\s+(?:vừa\s+rồi|tuần\s+trước)" + _E, low, weekday, None),
+        (r"cuối\s+tuần(?:\s+trước)?" + _E, low, lambda m: (_weekday_before(today, 6), False), None),
+        (r"tuần\s+trước" + _E, low, lambda m: (shifted(7), False), "tuần trước"),
+        (r"tháng\s+trước" + _E, low, lambda m: (months_back(today, 1).isoformat(), False), "tháng trước"),
     ]
     for pattern, where, resolve, phrase in rules:
         if m := find(pattern, where):

@@ -45,11 +45,9 @@ def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def words_contained(a: Column, b: Column) -> Column:
-    """One folded name's set of words is a strict part of the other's."""
-    wa, wb = (F.array_distinct(F.filter(F.split(x, r"\s+"), lambda w: w != "")) for x in (a, b))
-    some = (F.size(wa) > 0) & (F.size(wb) > 0)
-    return some & (((F.size(wa) < F.size(wb)) & (F.size(F.array_except(wa, wb)) == 0)) | ((F.size(wb) < F.size(wa)) & (F.size(F.array_except(wb, wa)) == 0)))
+def name_words(key: Column) -> Column:
+    """The distinct words of a folded name."""
+    return F.array_distinct(F.filter(F.split(key, r"\s+"), lambda w: w != ""))
 
 
 def contained(a: str, b: str) -> bool:

@@ -6,7 +6,6 @@ String lengths count code points.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -39,7 +38,9 @@ def _fold_map() -> tuple[str, str]:
 
 
 def fold(c: Column) -> Column:
-    """fold_text as an expression (characters that fold to several are left as they are)."""
+    """fold_text as an expression. Composed and decomposed spellings of a letter fold alike, as the marks
+    go either way (decomposing what was composed first gives what decomposing at once does). Characters
+    that fold to several are left as they are; of Hangul, for one, both spellings should be stored composed."""
     source, target = _fold_map()
     return F.lower(F.translate(F.regexp_replace(c, MARKS, ""), source, target))
 
@@ -74,18 +75,6 @@ def hashtags(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?<![\p{L}\p{N}_#/])#(\p{L}[\p{L}\p{N}_]*)"), F.lit(1)))
 
 
-def mood_word(c: Column) -> Column:
-    """struct(mood, intensity) of 'word' or 'word/1..5'; null otherwise."""
-    strict = r"^([\p{L}\p{N}_-]+)(?:/([1-5]))?\s*$"
-    level = F.regexp_extract(c, strict, 2)
-    return F.when(c.rlike(strict), F.struct(F.regexp_extract(c, strict, 1).alias("mood"), F.when(level != "", level.cast("int")).alias("intensity")))
-
-
-def superseded_id(c: Column) -> Column:
-    found = F.regexp_extract(trim(c), r"^superseded::\s*(\d{4}-\d{2}-\d{2}#\d+)\s*$", 1)
-    return F.when(found != "", found)
-
-
 def cut(c: Column, most: int) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit(ELLIPSIS))).otherwise(c)
 
@@ -106,11 +95,6 @@ def block_hash(c: Column) -> Column:
     return F.substring(F.sha2(trim(c), 256), 1, 16)
 
 
-def safe_file_name(c: Column) -> Column:
-    clean = F.trim(F.regexp_replace(F.regexp_replace(c, r'[\\/:*?"<>|\x00-\x1f#^\[\]]', " "), r"(?U)\s+", " "))
-    return F.when((clean == "") | clean.rlike(r"^\.+$"), F.lit("untitled")).otherwise(clean)
-
-
 def unlinked(c: Column) -> Column:
     """Links replaced by what they show."""
     return F.regexp_replace(F.regexp_replace(c, r"\[\[[^\[\]|]+\|([^\[\]]+)\]\]", "$1"), r"\[\[([^\[\]]+)\]\]", "$1")
@@ -122,20 +106,12 @@ def round_up(c: Column, digits: int) -> Column:
     return F.floor(c * scale + 0.5) / scale
 
 
-def term_hits(toks: Column, term: str, prefix: bool) -> Column:
-    """How many tokens are the term, or start with it."""
-    return F.size(F.filter(toks, lambda t: t.startswith(term) if prefix else t == term))
-
-
-def coverage(toks: Column, query: list[str]) -> tuple[Column, int]:
-    """How many query tokens a text has (repeats count again), and the least that passes.
-
-    Tokens of three characters and more count; if there are none, all do.
-    """
+def coverage_rule(query: list[str]) -> tuple[list[int], int]:
+    """The places of the query tokens that count for coverage (repeats count again), and how many a text
+    must have. Tokens of three characters and more count; if there are none, all do."""
     long = [len(t) >= COVER_MIN_CHARS for t in query]
-    counted = [(i, t) for i, t in enumerate(query) if long[i] or not any(long)]
-    hit = [(term_hits(toks, t, i == len(query) - 1 and len(t) >= MIN_PREFIX) > 0).cast("int") for i, t in counted]
-    return (sum(hit[1:], hit[0]) if hit else F.lit(0)), max(1, min(COVER_MIN_TOKENS, len(counted) or 1))
+    counted = [i for i, _ in enumerate(query) if long[i] or not any(long)]
+    return counted, max(1, min(COVER_MIN_TOKENS, len(counted) or 1))
 
 
 # Folded phrases and words that ask for the current state.
@@ -147,6 +123,3 @@ def asks_for_now(query: str | None) -> bool:
     folded = fold_text(query or "")
     return any(p in folded for p in NOW_PHRASES) or any(t in NOW_WORDS for t in query_tokens(query))
 
-
-def utf16_length(s: str) -> int:
-    return len(s.encode("utf-16-le")) // 2 if s and max(s) > "￿" and sys.maxunicode > 0xFFFF else len(s)

@@ -1,6 +1,7 @@
 """Deterministic analytics over the derived tables: digest, statistics, lint, insights, suggestions.
 
-Every finding carries its evidence. Each function is a DataFrame plan; orders are total.
+Every finding carries its evidence. Where evidence has no bound it is rows of its own (pair_evidence,
+spike_evidence); nested evidence holds the first few. Each function is a DataFrame plan; orders are total.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_gap, in_range, middle
-from ..functions.similarity import jaro_winkler_udf, words_contained
+from ..functions.similarity import jaro_winkler_udf, name_words
 from ..functions.text import first_line, fold, round_up, snippet, trim
 from .search import with_mentions
 from .tables import Diary
@@ -20,6 +21,8 @@ FLAT = 0.25
 STREAK_DAYS, PAIR_MIN, SPIKE_MIN, SPIKE_FACTOR, SILENCE_MENTIONS, SILENCE_DAYS, SILENCE_EVIDENCE = 4, 4, 4, 3, 3, 60, 3
 MISSING_LIMIT, TOP_RELATIONS, TAG_LIMIT, TAG_EXAMPLES = 50, 5, 30, 3
 BRIDGE_MIN, BRIDGE_LIMIT, BRIDGE_EVIDENCE = 3, 10, 5
+#: Entry ids that a finding nests; all of them are rows of the evidence functions.
+INSIGHT_EVIDENCE = 100
 SUPERSEDE_DAYS, SUPERSEDE_LIMIT, ALIAS_LEAST, ALIAS_CONTAINED = 7, 10, 0.85, 0.9
 # Types of which one is current at a time, and verbs whose targets are people.
 CURRENT_TYPES = ["employer", "workplace", "job", "company"]
@@ -135,33 +138,53 @@ def mood_streak(diary: Diary, start: str, end: str) -> DataFrame:
     return best.select(F.lit("mood_streak").alias("kind"), detail.alias("detail"), "evidence")
 
 
-def target_pairs(diary: Diary, start: str, end: str, least: int = PAIR_MIN) -> DataFrame:
-    """Targets linked by the same entries in range, least of them or more; pairs grow with an entry's own links only."""
+def first_few(rows: DataFrame, keys: list[str], most: int, *order) -> DataFrame:
+    """(keys, evidence): the first entry ids of each group, in order. Spark cuts groups down to so many rows
+    before it shuffles them, so a hot group stays small."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    few = rows.withColumn("nth", nth).where(F.col("nth") <= most)
+    return few.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "entry_id"))), lambda s: s["entry_id"]).alias("evidence"))
+
+
+def _pairs(diary: Diary, start: str | None, end: str | None) -> DataFrame:
     rows = links_in_range(diary, start, end).select("entry_id", "target").distinct()
     other = rows.withColumnRenamed("target", "b")
-    pairs = rows.withColumnRenamed("target", "a").join(other, "entry_id").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("entry_id")).alias("evidence")).where(F.col("n") >= least)
+    return rows.withColumnRenamed("target", "a").join(other, "entry_id").where("a < b")
+
+
+def target_pairs(diary: Diary, start: str | None = None, end: str | None = None, least: int = PAIR_MIN) -> DataFrame:
+    """(a, b, n): targets linked by the same entries in range, least of them or more; pairs grow with an entry's own links only."""
+    return _pairs(diary, start, end).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def pair_evidence(diary: Diary, start: str | None = None, end: str | None = None, least: int = PAIR_MIN) -> DataFrame:
+    """(a, b, n, entry_id): every entry of every such pair."""
+    return _pairs(diary, start, end).join(target_pairs(diary, start, end, least), ["a", "b"]).select("a", "b", "n", "entry_id")
 
 
 def co_occurrence(diary: Diary, start: str, end: str) -> DataFrame:
+    few = first_few(pair_evidence(diary, start, end), ["a", "b", "n"], INSIGHT_EVIDENCE, "entry_id")
     detail = F.format_string("[[%s]] and [[%s]] appeared together %d times.", "a", "b", "n")
-    return target_pairs(diary, start, end).select(F.lit("co_occurrence").alias("kind"), detail.alias("detail"), "evidence")
+    return few.select(F.lit("co_occurrence").alias("kind"), detail.alias("detail"), "evidence")
 
 
 def spikes(diary: Diary, start: str, end: str) -> DataFrame:
-    """Targets mentioned at least three times as often in the period as in all the time outside it."""
-    inside = in_range(F.col("date"), start, end)
-    rows = links_in_range(diary).groupBy("target").agg(F.count_if(inside).alias("period_n"), F.count("*").alias("total_n"), F.array_sort(F.collect_list(F.when(inside, F.col("entry_id")))).alias("evidence"))
+    """(target, period_n, base_n): targets mentioned at least three times as often in the period as in all the time outside it."""
+    rows = links_in_range(diary).groupBy("target").agg(F.count_if(in_range(F.col("date"), start, end)).alias("period_n"), F.count("*").alias("total_n"))
     base = F.col("total_n") - F.col("period_n")
-    return rows.where((F.col("period_n") >= SPIKE_MIN) & (base > 0) & (F.col("period_n") >= base * SPIKE_FACTOR)).select("target", "period_n", base.alias("base_n"), "evidence")
+    return rows.where((F.col("period_n") >= SPIKE_MIN) & (base > 0) & (F.col("period_n") >= base * SPIKE_FACTOR)).select("target", "period_n", base.alias("base_n"))
+
+
+def spike_evidence(diary: Diary, start: str, end: str) -> DataFrame:
+    """(target, period_n, base_n, entry_id, date, ordinal): every mention in the period of every such target."""
+    return links_in_range(diary, start, end).join(spikes(diary, start, end), "target").select("target", "period_n", "base_n", "entry_id", "date", "ordinal")
 
 
 def silences(diary: Diary, end: str) -> DataFrame:
     rows = links_in_range(diary)
     last = rows.groupBy("target").agg(F.max("date").alias("last_date"), F.count("*").alias("n"))
     quiet = last.withColumn("gap", day_gap(F.lit(end), F.col("last_date"))).where((F.col("n") >= SILENCE_MENTIONS) & (F.col("gap") >= SILENCE_DAYS))
-    nth = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("date"), F.desc("ordinal"), "entry_id"))
-    newest = rows.withColumn("nth", nth).where(F.col("nth") <= SILENCE_EVIDENCE).groupBy("target").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "entry_id"))), lambda s: s["entry_id"]).alias("evidence"))
+    newest = first_few(rows.join(quiet.select("target"), "target", "left_semi"), ["target"], SILENCE_EVIDENCE, F.desc("date"), F.desc("ordinal"), "entry_id")
     return quiet.join(newest, "target").select("target", "last_date", "n", "gap", "evidence")
 
 
@@ -170,7 +193,7 @@ def insights(diary: Diary, start: str, end: str) -> DataFrame:
     parts = [
         mood_streak(diary, start, end),
         co_occurrence(diary, start, end),
-        said(spikes(diary, start, end), "entity_spike", "[[%s]] mentioned %d× this period vs %d× before (spike).", "target", "period_n", "base_n"),
+        said(first_few(spike_evidence(diary, start, end), ["target", "period_n", "base_n"], INSIGHT_EVIDENCE, F.desc("date"), F.desc("ordinal"), "entry_id"), "entity_spike", "[[%s]] mentioned %d× this period vs %d× before (spike).", "target", "period_n", "base_n"),
         said(silences(diary, end), "silence", "[[%s]] (frequent before) not mentioned for %d days; last on %s.", "target", "gap", "last_date"),
     ]
     return reduce(DataFrame.unionByName, [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
@@ -196,9 +219,12 @@ def relation_summary(diary: Diary, start: str, end: str, limit: int = TOP_RELATI
 
 
 def unconverted_tags(diary: Diary, limit: int = TAG_LIMIT) -> DataFrame:
+    """(tag, n, examples): tags that are no entity, the most used first, each with its least entry ids."""
     known = diary.entities.select(F.col("name_key").alias("tag_key")).distinct()
-    rows = diary.tags.join(known, "tag_key", "left_anti").groupBy("tag").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("entry_id")), 1, TAG_EXAMPLES).alias("examples"))
-    return rows.orderBy(F.desc("n"), "tag").limit(limit)
+    loose = diary.tags.join(known, "tag_key", "left_anti")
+    top = loose.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(limit)
+    few = first_few(loose.join(top.select("tag"), "tag", "left_semi").select("tag", "entry_id").distinct(), ["tag"], TAG_EXAMPLES, "entry_id")
+    return top.join(few, "tag").select("tag", "n", F.col("evidence").alias("examples")).orderBy(F.desc("n"), "tag")
 
 
 def concept_bridges(diary: Diary, start: str, end: str) -> DataFrame:
@@ -208,9 +234,25 @@ def concept_bridges(diary: Diary, start: str, end: str) -> DataFrame:
     rows = diary.tags.join(known, "tag_key", "left_anti").join(inside, "entry_id")
     spelled = rows.groupBy("tag_key", "tag").agg(F.count("*").alias("n")).groupBy("tag_key").agg(F.min_by("tag", F.struct(-F.col("n"), "tag")).alias("concept"))
     have = diary.links.select("entry_id", F.col("target_key").alias("tag_key"), F.lit(1).alias("linked")).distinct()
-    groups = rows.select("tag_key", "entry_id").distinct().join(have, ["entry_id", "tag_key"], "left").groupBy("tag_key").agg(F.count("*").alias("entry_count"), F.count("linked").alias("linked"), F.slice(F.array_sort(F.collect_list("entry_id")), 1, BRIDGE_EVIDENCE).alias("evidence"))
-    open_ = groups.where((F.col("entry_count") >= BRIDGE_MIN) & (F.col("linked") * 2 <= F.col("entry_count")))
-    return open_.join(spelled, "tag_key").select("concept", "entry_count", "evidence").orderBy(F.desc("entry_count"), F.collate(F.col("concept"), "UNICODE"), "concept").limit(BRIDGE_LIMIT)
+    each = rows.select("tag_key", "entry_id").distinct()
+    groups = each.join(have, ["entry_id", "tag_key"], "left").groupBy("tag_key").agg(F.count("*").alias("entry_count"), F.count("linked").alias("linked"))
+    open_ = groups.where((F.col("entry_count") >= BRIDGE_MIN) & (F.col("linked") * 2 <= F.col("entry_count"))).join(spelled, "tag_key")
+    order = [F.desc("entry_count"), F.collate(F.col("concept"), "UNICODE"), F.col("concept")]
+    top = open_.orderBy(*order).limit(BRIDGE_LIMIT)
+    few = first_few(each.join(top.select("tag_key"), "tag_key", "left_semi"), ["tag_key"], BRIDGE_EVIDENCE, "entry_id")
+    return top.join(few, "tag_key").select("concept", "entry_count", "evidence").orderBy(*order)
+
+
+def moods_without_relation(diary: Diary) -> DataFrame:
+    """Entries with a mood that have none of the emotional relations."""
+    have = diary.relations.where(F.col("rel_type").isin(PERSON_VERBS)).select(F.col("entry_id").alias("id"))
+    return diary.entries.where("mood is not null").join(have, "id", "left_anti").select("id", "date", "ordinal", "mood", "body")
+
+
+def tagged_without_links(diary: Diary) -> DataFrame:
+    """Entries that have a tag and link nothing."""
+    tagged = diary.entries.join(diary.tags.select(F.col("entry_id").alias("id")), "id", "left_semi")
+    return tagged.join(diary.links.select(F.col("entry_id").alias("id")), "id", "left_anti").select("id", "date", "body")
 
 
 # Suggestions
@@ -220,60 +262,86 @@ def superseded_candidates(diary: Diary, start: str, end: str, types: list[str] |
     """Pairs of entries, the newer of which seems to replace a fact of the older.
 
     Both link an entity of one such type, different ones that neither mentions together, and share
-    another link; they lie a week apart. For each pair the first typed pair by link order counts;
-    without a shared link it is dropped.
+    another link; they lie a week apart. For each pair the first typed pair by link order counts.
+
+    Pairs come from the links that they share (an equi-join on the target), not from their type. What
+    both link is in what they share, so a typed pair is good exactly if neither of it is shared; and the
+    first shared link is then the context.
     """
     types = types or CURRENT_TYPES
     typed = diary.entities.where(F.lower("type").isin(types)).groupBy("name_key").agg(F.max_by(F.struct(F.lower("type").alias("type"), F.col("name").alias("shown")), "name").alias("e"))
     inside = diary.entries.where(in_range(F.col("date"), start, end)).select(F.col("id").alias("entry_id"), "date", "ordinal")
     each = diary.links.join(inside, "entry_id")
-    whole = each.groupBy("entry_id", "date", "ordinal").agg(F.array_sort(F.collect_list(F.struct("pos", "target", F.col("target_key").alias("key")))).alias("links"))
     hits = each.join(typed, each["target_key"] == typed["name_key"]).select("entry_id", "pos", "e.type", "e.shown", "target_key")
-    rows = hits.join(whole, "entry_id")
-    a = rows.select("type", *(F.col(c).alias(f"a_{c}") for c in ("entry_id", "pos", "shown", "target_key", "date", "ordinal", "links")))
-    b = rows.select("type", *(F.col(c).alias(f"b_{c}") for c in ("entry_id", "pos", "shown", "target_key", "date", "ordinal", "links")))
-    a = a.join(diary.superseded.select(F.col("entry_id").alias("a_entry_id")), "a_entry_id", "left_anti")
-    keys = lambda c: F.transform(c, lambda s: s["key"])
-    pairs = a.join(b, "type").where(
-        (day_gap(F.col("b_date"), F.col("a_date")) >= SUPERSEDE_DAYS)
-        & (F.col("a_target_key") != F.col("b_target_key"))
-        & ~F.array_contains(keys("a_links"), F.col("b_target_key"))
-        & ~F.array_contains(keys("b_links"), F.col("a_target_key"))
-    )
-    first = F.row_number().over(Window.partitionBy("a_entry_id", "b_entry_id").orderBy("a_pos", "a_shown", "b_pos", "b_shown"))
-    one = pairs.withColumn("nth", first).where("nth = 1")
-    shared = F.filter("a_links", lambda s: (s["key"] != F.col("a_target_key")) & (s["key"] != F.col("b_target_key")) & F.array_contains(keys("b_links"), s["key"]))
-    out = one.withColumn("shared_context", F.try_element_at(shared, F.lit(1))["target"]).where("shared_context is not null")
+    own = each.join(hits.select("entry_id").distinct(), "entry_id", "left_semi")
+    a = own.join(diary.superseded.select("entry_id"), "entry_id", "left_anti")
+    a = a.select("target_key", "target", *(F.col(c).alias(f"a_{c}") for c in ("entry_id", "pos", "date", "ordinal")))
+    b = own.select("target_key", *(F.col(c).alias(f"b_{c}") for c in ("entry_id", "date", "ordinal"))).distinct()
+    near = a.join(b, "target_key").where(day_gap(F.col("b_date"), F.col("a_date")) >= SUPERSEDE_DAYS)
+    keys = ["a_entry_id", "a_date", "a_ordinal", "b_entry_id", "b_date", "b_ordinal"]
+    pairs = near.groupBy(*keys).agg(F.collect_set("target_key").alias("shared"), F.min_by("target", F.struct("a_pos", "target")).alias("shared_context"))
+    old, new = (hits.select("type", *(F.col(c).alias(f"{s}_{c}") for c in ("entry_id", "pos", "shown", "target_key"))) for s in "ab")
+    loose = lambda c: ~F.array_contains("shared", F.col(c))
+    met = pairs.join(old, "a_entry_id").where(loose("a_target_key")).join(new, ["b_entry_id", "type"]).where(loose("b_target_key"))
+    first = F.min(F.struct("a_pos", "a_shown", "b_pos", "b_shown", "type")).alias("f")
+    out = met.groupBy(*keys, "shared_context").agg(first)
     out = out.orderBy(F.desc("a_date"), F.desc("a_ordinal"), "a_entry_id", F.desc("b_date"), F.desc("b_ordinal"), "b_entry_id")
     out = out if limit is None else out.limit(limit)
-    return out.select(F.col("a_entry_id").alias("older_id"), F.col("b_entry_id").alias("newer_id"), "type", F.col("a_shown").alias("old_entity"), F.col("b_shown").alias("new_entity"), "shared_context")
+    return out.select(F.col("a_entry_id").alias("older_id"), F.col("b_entry_id").alias("newer_id"), "f.type", F.col("f.a_shown").alias("old_entity"), F.col("f.b_shown").alias("new_entity"), "shared_context")
 
 
 def alias_candidates(entities: DataFrame, least: float = ALIAS_LEAST) -> DataFrame:
-    """Pairs of names that may be one entity: similar when folded, or one's words within the other's.
-
-    A pair at a Jaro-Winkler similarity of 0.85 shares a character, and one that is contained shares a
-    word, but neither gives a key that prunes well: this compares all names, a stated pairwise
-    operator meant for a vocabulary of names, not for rows.
+    """Pairs of names that may be one entity: similar when folded, or one's words within the other's; the
+    most similar first.
+
+    Candidates come from keys, not from all pairs. A name whose words lie within another's shares its
+    rarest word with it. Two names of a and b characters at a Jaro-Winkler similarity of s have in common
+    at least c * a * b / (a + b) characters, c = 3 j - 1 with j = (s - 0.4) / 0.6 the least Jaro similarity.
+    So they share one of each one's rarest characters, of as many as it may lack and one more. A character
+    counts with its occurrence in the name (the second 'n').
     """
-    names = entities.select("name", fold(F.col("name")).alias("key")).distinct()
-    a, b = names.toDF("a", "a_key"), names.toDF("b", "b_key")
-    # Lengths bound Jaro-Winkler: 0.6 * (2 + short / long) / 3 + 0.4 at best.
-    la, lb = F.length("a_key"), F.length("b_key")
-    reach = 0.6 * (2 + F.least(la, lb) / F.greatest(la, lb)) / 3 + 0.4
-    whole = words_contained(F.col("a_key"), F.col("b_key"))
-    pairs = a.join(b, (F.col("a") < F.col("b")) & ((reach >= least) | whole))
-    scored = pairs.select("a", "b", jaro_winkler_udf("a_key", "b_key").alias("sim"), whole.alias("contained")).where(f"sim >= {least} or contained")
+    names = entities.select("name").distinct().withColumn("key", fold(F.col("name"))).withColumn("words", name_words(F.col("key")))
+    # Containment: the smaller name offers its rarest word, the larger all of its words.
+    spread = names.select("name", "words", F.explode("words").alias("w"))
+    df = spread.groupBy("w").agg(F.count("*").alias("df"))
+    rare = spread.join(df, "w").groupBy("name", "words").agg(F.min(F.struct("df", "w"))["w"].alias("w"))
+    small, large = rare.toDF("s", "s_words", "w"), spread.toDF("l", "l_words", "w")
+    within = small.join(large, "w").where((F.size("s_words") < F.size("l_words")) & (F.size(F.array_except("s_words", "l_words")) == 0))
+    contained = within.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"), F.lit(True).alias("contained")).distinct()
+
+    # Similarity: the rarest characters of each name, as many as its partner may lack and one more.
+    c = 3 * (least - 0.4) / 0.6 - 1
+    chars = names.where("key <> ''").select("name", "key", F.length("key").alias("n"), F.posexplode(F.split("key", "")).alias("i", "ch")).where("ch <> ''")
+    nth = F.size(F.split(F.substring("key", 1, F.col("i") + 1), F.concat(F.lit("\\Q"), "ch", F.lit("\\E")))) - 1
+    occurring = chars.withColumn("sign", F.concat("ch", F.lit(" "), nth.cast("string"))).select("name", "key", "n", "sign")
+    often = occurring.groupBy("sign").agg(F.count("*").alias("often"))
+    ranked = occurring.join(often, "sign").groupBy("name", "key", "n").agg(F.array_sort(F.collect_list(F.struct("often", "sign"))).alias("signs"))
+    # The shortest partner that can be so similar has m = its own length: m / a + 1 >= c.
+    fewest = F.greatest(F.lit(1.0), F.ceil(F.col("n") * F.lit(c - 1) - F.lit(1e-9)))
+    overlap = F.ceil(F.lit(c) * F.col("n") * fewest / (F.col("n") + fewest) - F.lit(1e-9))
+    offer = ranked.select("name", "key", "n", F.explode(F.slice("signs", F.lit(1), (F.col("n") - F.greatest(overlap, F.lit(1.0)) + 1).cast("int"))).alias("s")).select("name", "key", "n", "s.sign")
+    x, y = offer.toDF("a", "a_key", "la", "sign"), offer.toDF("b", "b_key", "lb", "sign")
+    shorter, longer = F.least("la", "lb"), F.greatest("la", "lb")
+    reach = 0.6 * (2 + shorter / longer) / 3 + 0.4  # the best similarity of two such lengths
+    near = x.join(y, "sign").where((F.col("a") < F.col("b")) & (reach >= least)).select("a", "b").distinct()
+    equal = names.where("key = ''").select("name")  # empty keys are equal
+    empty = equal.toDF("a").join(equal.toDF("b"), F.col("a") < F.col("b")).select("a", "b")
+    pairs = near.unionByName(empty).withColumn("near", F.lit(True)).join(contained, ["a", "b"], "full_outer")
+    keyed = pairs.join(names.select(F.col("name").alias("a"), F.col("key").alias("a_key")), "a").join(names.select(F.col("name").alias("b"), F.col("key").alias("b_key")), "b")
+    scored = keyed.select("a", "b", jaro_winkler_udf("a_key", "b_key").alias("sim"), F.coalesce("contained", F.lit(False)).alias("contained")).where(f"sim >= {least} or contained")
     similarity = F.when(F.col("contained"), F.greatest(F.lit(ALIAS_CONTAINED), round_up(F.col("sim"), 3))).otherwise(round_up(F.col("sim"), 3))
     hint = F.when(F.col("contained"), "One name contains the other (honorific/prefix?) — likely same entity.").otherwise("Possible same entity — review and `entity merge` if so.")
-    return scored.select("a", "b", similarity.alias("similarity"), hint.alias("hint"))
+    return scored.select("a", "b", similarity.alias("similarity"), hint.alias("hint")).orderBy(F.desc("similarity"), "a", "b")
 
 
 def type_suggestions(diary: Diary) -> DataFrame:
-    """Entities of unknown type that are the target of a relation as only people are."""
-    verbs = diary.relations.where(F.lower("rel_type").isin(PERSON_VERBS)).groupBy(F.col("target_key").alias("name_key")).agg(F.min(F.lower("rel_type")).alias("verb"))
+    """Entities of unknown type that are the target of a relation as only people are, with all verbs they
+    are the target of (verbs) and the first of the telling ones (in the reason)."""
+    each = diary.relations.select(F.col("target_key").alias("name_key"), F.lower("rel_type").alias("verb"))
+    telling = F.when(F.col("verb").isin(PERSON_VERBS), F.col("verb"))
+    verbs = each.groupBy("name_key").agg(F.array_sort(F.collect_set("verb")).alias("verbs"), F.min(telling).alias("verb")).where("verb is not null")
     reason = F.format_string('Target of a "%s::" emotional relation → likely a person.', "verb")
-    return diary.entities.where(F.col("type") == "unknown").join(verbs, "name_key").select("name", "file", F.lit("person").alias("suggested"), reason.alias("reason"))
+    return diary.entities.where(F.col("type") == "unknown").join(verbs, "name_key").select("name", "file", "verbs", F.lit("person").alias("suggested"), reason.alias("reason"))
 
 
 def suggested_actions(diary: Diary, start: str, end: str) -> DataFrame:
@@ -301,12 +369,16 @@ def suggested_actions(diary: Diary, start: str, end: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def entries_without_mood(diary: Diary) -> DataFrame:
+    return diary.entries.where("mood is null").select("id", first_line(F.col("body"), 80).alias("first_line"))
+
+
 def reflect(diary: Diary, start: str, end: str) -> dict[str, DataFrame]:
     """All sections of the report, each a plan of its own."""
     return {
         "unknown_type_entities": unknown_types(diary), "orphan_entities": orphans(diary), "broken_wikilinks": broken_links(diary),
-        "entries_without_links": entries_without_links(diary), "mood_without_intensity": moods_without_intensity(diary), "days_without_checkin": days_without_checkin(diary),
-        "alias_candidates": alias_candidates(diary.entities), "mood_stats": mood_stats(diary.entries, start, end), "health_stats": health_stats(diary.daily_meta, start, end),
+        "entries_without_links": entries_without_links(diary), "entries_without_mood": entries_without_mood(diary), "mood_without_intensity": moods_without_intensity(diary), "days_without_checkin": days_without_checkin(diary),
+        "alias_candidates": alias_candidates(diary.entities), "mood_distribution": mood_distribution(diary.entries, start, end), "mood_stats": mood_stats(diary.entries, start, end), "health_stats": health_stats(diary.daily_meta, start, end),
         "insight_candidates": insights(diary, start, end), "missing_emotional_relation": missing_relations(diary), "relation_summary": relation_summary(diary, start, end),
         "tags_to_convert": unconverted_tags(diary), "concept_bridges": concept_bridges(diary, start, end), "superseded_candidates": superseded_candidates(diary, start, end),
         "entity_type_suggestions": type_suggestions(diary), "suggested_actions": suggested_actions(diary, start, end),

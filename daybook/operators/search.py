@@ -1,72 +1,111 @@
 """Ranked retrieval: BM25 full text, phrases, entity, relation and type expansion, and their merge.
 
-A query is a handful of tokens, so entries are scored in place: one scan for the corpus statistics,
-one for scores and the top entries. No postings are shuffled.
+Full text runs on a stored inverted index: postings (token, entry, frequency, positions) that lie in
+buckets by the first characters of their token, so a query reads the buckets and tokens it asks for, and
+never the entries' texts.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import in_range
-from ..functions.text import MIN_PREFIX, asks_for_now, coverage, fold, query_tokens, round_up, term_hits, tokens
-from .tables import Diary
+from ..functions.text import MIN_PREFIX, asks_for_now, coverage_rule, fold, query_tokens, round_up, snippet, tokens
+from ..sources.storage import materialise
+from .tables import Diary, Index
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 TOP, OVERFETCH, PHRASE_LIMIT, PER_ENTITY, DEFAULT_LIMIT = 20, 4, 50, 20, 10
 PHRASE_BONUS, ENTITY_BONUS, RELATION_BONUS, SUPERSEDED_WEIGHT = 0.2, 0.3, 0.5, 0.5
+#: Buckets of the index; a bucket holds all tokens with the same first MIN_PREFIX characters.
+BUCKETS = 64
+POSTINGS = "token string, entry_id string, tf int, len int, positions array<int>, bucket int"
+STATS = "n bigint, avg double"
 
 
 def _plus(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def postings(entries: DataFrame) -> DataFrame:
-    """(entry_id, pos, token), for those who want the inverted index as a table."""
-    return entries.select(F.col("id").alias("entry_id"), F.posexplode(tokens(F.col("body"))).alias("pos", "token"))
-
+def bucket_of(token: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring(token, 1, MIN_PREFIX)), F.lit(BUCKETS)).cast("int")
 
-def bm25(entries: DataFrame, query: str, limit: int | None = None) -> DataFrame:
-    """id, score of entries with a query token; the last token also matches as a prefix if long enough.
 
-    Repeated query tokens count each; higher is better.
-    """
-    query_list = query_tokens(query)
-    base = entries.select("id", tokens(F.col("body")).alias("t"))
-    if not query_list:
-        return base.where(F.lit(False)).select("id", F.lit(0.0).alias("score"))
+def postings(entries: DataFrame) -> DataFrame:
+    """(token, entry_id, tf, len, positions, bucket): a row for each distinct token of each entry. An entry's
+    tokens are grouped within its row, so that nothing is shuffled."""
+    t = entries.select(F.col("id").alias("entry_id"), tokens(F.col("body")).alias("t"))
+    # Tokens sorted with their places; a token starts a run of its own where it differs from the one before.
+    placed = t.withColumn("s", F.array_sort(F.transform("t", lambda x, i: F.struct(x.alias("token"), i.alias("pos")))))
+    starts = placed.withColumn("first", F.filter(F.transform("s", lambda x, i: F.when((i == 0) | (F.get("s", i - 1)["token"] != x["token"]), i)), lambda i: i.isNotNull()))
+    runs = F.transform("first", lambda a, k: F.struct(a.alias("a"), (F.coalesce(F.get("first", k + 1), F.size("s")) - a).alias("tf")))
+    each = starts.select("entry_id", "s", F.size("t").alias("len"), F.explode(runs).alias("r"))
+    rows = each.select(F.get("s", F.col("r.a"))["token"].alias("token"), "entry_id", F.col("r.tf").alias("tf"), "len", F.transform(F.slice("s", F.col("r.a") + 1, F.col("r.tf")), lambda x: x["pos"]).alias("positions"))
+    return rows.withColumn("bucket", bucket_of(F.col("token")))
+
+
+def build_index(spark: SparkSession, entries: DataFrame, path: str) -> Index:
+    """Write the postings of entries (id, body) and the corpus statistics to path."""
+    rows = postings(entries)
+    rows.repartition(BUCKETS, "bucket", F.pmod(F.xxhash64("entry_id"), F.lit(8))).sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    total = spark.read.schema(POSTINGS).parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    counted = entries.agg(F.count("*").alias("n")).join(total).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avg"))
+    counted.write.mode("overwrite").parquet(f"{path}/stats")
+    return open_postings(spark, path)
+
+
+def open_postings(spark: SparkSession, path: str) -> Index:
+    return Index(spark.read.schema(POSTINGS).parquet(f"{path}/postings"), spark.read.schema(STATS).parquet(f"{path}/stats"))
+
+
+def matches(index: Index, query_list: list[str]) -> DataFrame:
+    """Postings of the query's tokens only: (q, token, entry_id, tf, len, positions), q the token's place in
+    the query. The last token also matches as a prefix if it is long enough; repeated tokens match each."""
     last = len(query_list) - 1
-    f = [term_hits(F.col("t"), q, i == last and len(q) >= MIN_PREFIX).alias(f"f{i}") for i, q in enumerate(query_list)]
-    counted = base.select("id", F.size("t").alias("len"), *f)
-    stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(last + 1)))
+    parts = []
+    for i, q in enumerate(query_list):
+        prefix = i == last and len(q) >= MIN_PREFIX
+        own = F.col("token").startswith(q) if prefix else F.col("token") == q
+        parts.append(index.postings.where((F.col("bucket") == bucket_of(F.lit(q))) & own).select(F.lit(i).alias("q"), "token", "entry_id", "tf", "len", "positions"))
+    return reduce(DataFrame.unionByName, parts)
 
-    def part(i: int) -> Column:
-        idf = F.ln((F.col("n") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        tf = F.col(f"f{i}").cast("double")
-        return F.when(idf > 0, idf).otherwise(IDF_FLOOR) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
 
-    hit = reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in range(last + 1)])
-    scored = counted.where(hit).join(F.broadcast(stats)).select("id", _plus([part(i) for i in range(last + 1)]).alias("score"))
+def bm25(index: Index, query: str, limit: int | None = None) -> DataFrame:
+    """id, score of entries with a query token; repeated query tokens count each; higher is better."""
+    query_list = query_tokens(query)
+    if not query_list:
+        return index.postings.where(F.lit(False)).select(F.col("entry_id").alias("id"), F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("found"))
+    hits = matches(index, query_list).groupBy("q", "entry_id").agg(F.sum("tf").cast("double").alias("tf"), F.first("len").alias("len"))
+    df = hits.groupBy("q").agg(F.count("*").alias("df"))  # a row for each query token
+    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = df.join(F.broadcast(index.stats)).select("q", "avg", F.when(idf > 0, idf).otherwise(IDF_FLOOR).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    scored = hits.join(F.broadcast(weights), "q").groupBy(F.col("entry_id").alias("id")).agg(F.sum(part).alias("score"), F.collect_set("q").alias("found"))
     return scored if limit is None else scored.orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
 
 
-def full_text(entries: DataFrame, query: str, limit: int = TOP) -> DataFrame:
+def full_text(index: Index, query: str, limit: int = TOP) -> DataFrame:
     """The best entries that also cover enough of the query."""
-    best = bm25(entries, query, limit * OVERFETCH)
-    covered, least = coverage(tokens(F.col("body")), query_tokens(query))
-    passing = entries.select("id", "body").join(F.broadcast(best), "id").where(covered >= least)
-    return passing.orderBy(F.desc(F.round("score", 9)), "id").limit(limit).select("id", "score")
+    best = bm25(index, query, limit * OVERFETCH)
+    counted, least = coverage_rule(query_tokens(query))
+    covered = F.size(F.array_intersect("found", F.array(*map(F.lit, counted)).cast("array<int>")))
+    return best.where(covered >= least).orderBy(F.desc(F.round("score", 9)), "id").limit(limit).select("id", "score")
 
 
-def phrase(entries: DataFrame, query: str, limit: int = PHRASE_LIMIT) -> DataFrame:
-    """Entries with all query tokens in a row (two at least), by id."""
+def phrase(index: Index, query: str, limit: int = PHRASE_LIMIT) -> DataFrame:
+    """Entries with all query tokens in a row (two at least), by id: the places of each token, shifted back
+    by its place in the query, have one in common."""
     q = query_tokens(query)
-    padded = F.concat(F.lit(" "), F.array_join(tokens(F.col("body")), " "), F.lit(" "))
-    found = padded.contains(f" {' '.join(q)} ") if len(q) > 1 else F.lit(False)
-    return entries.where(found).select("id").orderBy("id").limit(limit)
+    if len(q) < 2:
+        return index.postings.where(F.lit(False)).select(F.col("entry_id").alias("id"))
+    found = matches(index, q).where(F.col("token") == F.get(F.array(*map(F.lit, q)), F.col("q")))
+    each = found.select("entry_id", "q", F.transform("positions", lambda p: p - F.col("q")).alias("at"))
+    met = each.groupBy("entry_id").agg(F.count("*").alias("k"), F.collect_list("at").alias("ats")).where(F.col("k") == len(q))
+    common = F.aggregate(F.slice("ats", 2, len(q)), F.get("ats", F.lit(0)), lambda a, x: F.array_intersect(a, x))
+    return met.where(F.size(common) > 0).select(F.col("entry_id").alias("id")).orderBy("id").limit(limit)
 
 
 def matched_entities(entities: DataFrame, text: str | None) -> DataFrame:
@@ -106,11 +145,11 @@ def typed_entries(diary: Diary, kind: str, start: str | None = None, end: str |
     return rows.join(diary.entries.where(in_range(F.col("date"), start, end)).select("id"), "id")
 
 
-def hydrate(diary: Diary, ids: DataFrame) -> DataFrame:
-    """Entries with their links, relations and tags as nested values; ids is a few rows."""
-    few = F.broadcast(ids)
-    out = diary.entries.join(few, "id")
-    key = few.select(F.col("id").alias("entry_id"))
+def hydrate(diary: Diary, hits: DataFrame) -> DataFrame:
+    """The columns of hits (id and others), with each entry's date, time, ordinal, mood, intensity, body,
+    snippet, links, tags, relations (verb -> targets) and superseded."""
+    out = hits.join(diary.entries.select("id", "date", "time", "ordinal", "mood", "intensity", "body", snippet(F.col("body")).alias("snippet")), "id")
+    key = hits.select(F.col("id").alias("entry_id"))
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda s: s[c])
     links = diary.links.join(key, "entry_id").groupBy("entry_id").agg(ordered("target").alias("links"))
     tags = diary.tags.join(key, "entry_id").groupBy("entry_id").agg(ordered("tag").alias("tags"))
@@ -123,7 +162,10 @@ def hydrate(diary: Diary, ids: DataFrame) -> DataFrame:
     return out.withColumns({"links": F.coalesce("links", none), "tags": F.coalesce("tags", none), "relations": F.coalesce("relations", F.create_map().cast("map<string,array<string>>"))})
 
 
-def candidates(diary: Diary, query: str | None = None, entity: str | None = None, relation: str | None = None, kind: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+def candidates(
+    diary: Diary, index: Index, query: str | None = None, entity: str | None = None, relation: str | None = None, kind: str | None = None,
+    start: str | None = None, end: str | None = None,
+) -> DataFrame:
     """(id, score) of every entry that some source brings, with its bonuses.
 
     Text hits score up to 1. A phrase adds to text hits only; entity and relation hits add or enter;
@@ -133,10 +175,10 @@ def candidates(diary: Diary, query: str | None = None, entity: str | None = None
     found = matched_entities(diary.entities, entity if entity is not None else query)
     parts = []
     if query:
-        hits = full_text(diary.entries, query)
+        hits = full_text(index, query)
         top = F.max("score").over(Window.partitionBy(F.lit(0)))  # twenty rows
         parts.append(hits.withColumn("top", top).select("id", F.lit("text").alias("source"), F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(1.0).alias("score")))
-        parts.append(phrase(diary.entries, query).select("id", F.lit("phrase").alias("source"), F.lit(PHRASE_BONUS).alias("score")))
+        parts.append(phrase(index, query).select("id", F.lit("phrase").alias("source"), F.lit(PHRASE_BONUS).alias("score")))
     parts.append(linked_entries(diary, found, start, end).select("id").distinct().select("id", F.lit("entity").alias("source"), F.lit(ENTITY_BONUS).alias("score")))
     related = related_entries(diary, found, relation, start, end)
     if relation:
@@ -161,19 +203,31 @@ def candidates(diary: Diary, query: str | None = None, entity: str | None = None
     return out
 
 
-def recall(diary: Diary, query: str | None = None, entity: str | None = None, relation: str | None = None, kind: str | None = None, start: str | None = None, end: str | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """The best entries in range: id, date, ordinal, score (three decimals), superseded, total (before the limit).
+def entity_context(diary: Diary, text: str | None) -> DataFrame:
+    """What a query's entities are: name, type, aliases, and their mentions of all time."""
+    return with_mentions(matched_entities(diary.entities, text), diary.links).select("name", "type", "aliases", F.col("mentions").alias("total_mentions_all_time"))
+
+
+def recall(
+    diary: Diary, index: Index, query: str | None = None, entity: str | None = None, relation: str | None = None, kind: str | None = None,
+    start: str | None = None, end: str | None = None, limit: int = DEFAULT_LIMIT,
+) -> DataFrame:
+    """The best entries in range, with all that belongs to them: place (from 1), score (three decimals),
+    total (the number before the limit), and the columns of hydrate.
 
     Ties go to entries not superseded, then to the newer; a query that asks for the present halves the
-    weight of superseded entries in the order.
+    weight of superseded entries in the order. The candidates (ids and scores) are written once, as they
+    are both counted and ranked.
     """
-    found = candidates(diary, query, entity, relation, kind, start, end)
+    spark = diary.entries.sparkSession
+    found = candidates(diary, index, query, entity, relation, kind, start, end)
     rows = diary.entries.where(in_range(F.col("date"), start, end)).select("id", "date", "ordinal").join(found, "id")
-    old = diary.superseded.groupBy(F.col("entry_id").alias("id")).agg(F.max("newer_id").alias("superseded"))
+    old = diary.superseded.select("entry_id").distinct().select(F.col("entry_id").alias("id"), F.lit(True).alias("old"))
     rows = rows.join(old, "id", "left").withColumn("score", round_up(F.col("score"), 3))
-    now = asks_for_now(query)
-    weight = F.when(F.col("superseded").isNotNull(), SUPERSEDED_WEIGHT).otherwise(1.0) if now else F.lit(1.0)
-    total = rows.agg(F.count("*").alias("total"))
-    best = rows.withColumn("_order", F.col("score") * weight)
-    keys = [F.desc("_order"), F.col("superseded").isNotNull(), F.desc("date"), F.desc("ordinal"), F.col("id")]
-    return best.orderBy(*keys).limit(limit if limit and limit > 0 else DEFAULT_LIMIT).drop("_order").join(F.broadcast(total))
+    rows = materialise(spark, rows, "recall")
+    weight = F.when(F.col("old"), SUPERSEDED_WEIGHT).otherwise(1.0) if asks_for_now(query) else F.lit(1.0)
+    keys = [F.desc(F.col("score") * weight), F.col("old").isNotNull(), F.desc("date"), F.desc("ordinal"), F.col("id")]
+    best = rows.orderBy(*keys).limit(limit if limit and limit > 0 else DEFAULT_LIMIT)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys))  # of a few rows
+    best = best.withColumn("place", place.cast("int")).join(rows.agg(F.count("*").alias("total"))).select("id", "place", "score", "total")
+    return hydrate(diary, best).orderBy("place")

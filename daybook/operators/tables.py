@@ -28,3 +28,11 @@ class Diary:
     daily_meta: DataFrame
     superseded: DataFrame
     files: DataFrame | None = None
+
+
+@dataclass(frozen=True)
+class Index:
+    """A stored inverted index: postings, and one row of corpus statistics."""
+
+    postings: DataFrame
+    stats: DataFrame

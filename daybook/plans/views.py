@@ -1,60 +1,102 @@
 """The derived tables bound to star-schema and text tables, in Spark and as SQL for a second engine.
 
-Orders are entries, parts their links, return flags their relations, part types their tags; events
-give the daily measurements. Each SQL view computes the same rows as its DataFrame.
+Orders are entries; their parts and their customer's nation are links, return flags with suppliers
+relations, part types and the nation tags; parts, suppliers and customers are entities; events give the
+daily measurements. All rows of all tables take part. Each SQL view computes the same rows as its DataFrame.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
-from ..operators.tables import Diary
+from ..operators.search import build_index
+from ..operators.tables import Diary, Index
+from ..sources.storage import new_path
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def diary(spark: SparkSession, sf_dir: str) -> Diary:
-    orders, lines, parts = (read(spark, sf_dir, t) for t in ("orders", "lineitem", "part"))
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    entries = orders.select(
+    return read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("journal/"), day, F.lit(".md")).alias("file"), day.alias("date"), F.lit("08:00").alias("time"),
         (F.col("o_orderkey") % 7).cast("int").alias("ordinal"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("mood"),
         F.substring("o_orderpriority", 1, 1).cast("int").alias("intensity"), F.concat_ws("\n", "o_orderpriority", F.lit(""), "o_orderstatus").alias("body"),
     )
-    joined = lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).withColumn("entry_id", F.col("l_orderkey").cast("string"))
+
+
+def _keyed(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(f"{column}_key", fold(F.col(column)))
+
+
+def diary(spark: SparkSession, sf_dir: str) -> Diary:
+    orders, lines, parts, suppliers, customers, nations = (read(spark, sf_dir, t) for t in ("orders", "lineitem", "part", "supplier", "customer", "nation"))
+    own = F.col("l_orderkey").cast("string").alias("entry_id")
+    sold = lines.join(parts.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type"), "l_partkey")
+    where = orders.join(customers.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    home = where.join(lines.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey").select(F.col("o_orderkey").cast("string").alias("entry_id"), "n_name", F.lit(0).alias("pos"))
     first = F.min("l_linenumber").cast("int").alias("pos")
-    links = joined.groupBy("entry_id", F.col("p_name").alias("target")).agg(first).withColumn("target_key", fold(F.col("target")))
-    tags = joined.groupBy("entry_id", F.col("p_type").alias("tag")).agg(first).withColumn("tag_key", fold(F.col("tag")))
+    links = sold.groupBy(own, F.col("p_name").alias("target")).agg(first).unionByName(home.withColumnRenamed("n_name", "target"))
+    spelled = F.when(F.col("l_linenumber") % 2 == 0, F.lower("p_type")).otherwise(F.col("p_type"))
+    tags = sold.groupBy(own, spelled.alias("tag")).agg(first).unionByName(home.withColumnRenamed("n_name", "tag"))
     verb = F.when(F.col("l_returnflag") == "A", "joy").when(F.col("l_returnflag") == "R", "trigger").otherwise("with")
-    supplier = F.concat(F.lit("Supplier "), F.col("l_suppkey") % 40)
-    relations = lines.where("l_linenumber = 1 and l_orderkey % 2 = 0").select(F.col("l_orderkey").cast("string").alias("entry_id"), verb.alias("rel_type"), supplier.alias("target")).distinct().withColumn("target_key", fold(F.col("target")))
-    names = parts.groupBy(F.col("p_name").alias("name")).agg(F.min(F.lower("p_type")).alias("type")).where("name not like 'b%'")
-    people = read(spark, sf_dir, "supplier").where("s_suppkey < 60").select(F.concat(F.lit("Supplier "), F.col("s_suppkey")).alias("name"), F.lit("unknown").alias("type"))
-    entities = names.unionByName(people).select("name", fold(F.col("name")).alias("name_key"), F.concat(F.lit("entities/"), "name", F.lit(".md")).alias("file"), "type", F.array().cast("array<string>").alias("aliases"))
+    by = lines.join(suppliers.select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
+    named = F.when(F.col("l_linenumber") % 2 == 0, F.upper("s_name")).otherwise(F.col("s_name"))
+    relations = by.select(own, verb.alias("rel_type"), named.alias("target")).distinct()
+    none = F.array().cast("array<string>").alias("aliases")
+    kinds = parts.groupBy(F.col("p_name").alias("name")).agg(F.lower(F.min_by("p_type", "p_partkey")).alias("type")).select("name", "type", none)
+    people = suppliers.select(F.col("s_name").alias("name"), F.lit("unknown").alias("type"), F.array(F.concat(F.lit("s"), "s_suppkey")).alias("aliases"))
+    buyers = customers.select(F.col("c_name").alias("name"), F.lower("c_mktsegment").alias("type"), none)
+    entities = kinds.unionByName(people).unionByName(buyers).select("name", fold(F.col("name")).alias("name_key"), F.concat(F.lit("entities/"), "name", F.lit(".md")).alias("file"), "type", "aliases")
     events = read(spark, sf_dir, "events").withColumn("date", F.date_format(F.col("ts") - F.expr("interval 1000 days"), "yyyy-MM-dd"))
     daily = events.groupBy("date").agg(F.round(F.avg("value"), 6).alias("sleep_hours"), F.when(F.count_if(F.col("event_type") == "click") > 60, "run").alias("exercise"), F.count("*").cast("double").alias("mood_score"))
     daily = daily.select(F.concat(F.lit("journal/"), "date", F.lit(".md")).alias("file"), "*", F.create_map().cast("map<string,string>").alias("extra"))
-    old = orders.where("o_orderkey % 97 = 0").select(F.col("o_orderkey").cast("string").alias("entry_id"), (F.col("o_orderkey") + 1).cast("string").alias("newer_id"))
-    return Diary(entries, links, relations, tags, entities, daily, old)
+    later = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    old = orders.withColumn("later", later).where("o_orderstatus = 'P' and later is not null").select(F.col("o_orderkey").cast("string").alias("entry_id"), F.col("later").cast("string").alias("newer_id"))
+    return Diary(entries(spark, sf_dir), _keyed(links, "target"), _keyed(relations, "target"), _keyed(tags, "tag"), entities, daily, old)
+
+
+def diary_of_parts(spark: SparkSession, sf_dir: str) -> Diary:
+    """The same orders, linking each of their parts by number, and their customer. Parts and customers keep
+    the number of their orders at every scale, so shared links stay selective."""
+    whole = diary(spark, sf_dir)
+    orders, lines, parts, customers = (read(spark, sf_dir, t) for t in ("orders", "lineitem", "part", "customer"))
+    name = F.concat(F.lit("Part "), F.col("p_partkey").cast("string"))
+    sold = lines.join(parts.select(F.col("p_partkey").alias("l_partkey"), name.alias("target")), "l_partkey")
+    links = sold.groupBy(F.col("l_orderkey").cast("string").alias("entry_id"), "target").agg(F.min("l_linenumber").cast("int").alias("pos"))
+    buyer = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").cast("string").alias("entry_id"), F.col("c_name").alias("target"), F.lit(0).alias("pos"))
+    entities = parts.select(name.alias("name"), F.lower("p_type").alias("type")).withColumns({"name_key": fold(F.col("name")), "file": F.lit(""), "aliases": F.array().cast("array<string>")})
+    return Diary(whole.entries, _keyed(links.unionByName(buyer), "target"), whole.relations, whole.tags, entities, whole.daily_meta, whole.superseded)
 
 
 SQL_VIEWS = """
 entries AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, 'journal/' || strftime(o_orderdate, '%Y-%m-%d') || '.md' AS file, strftime(o_orderdate, '%Y-%m-%d') AS date, '08:00' AS time,
     CAST(o_orderkey % 7 AS INTEGER) AS ordinal, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS mood, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS intensity,
     o_orderpriority || chr(10) || chr(10) || o_orderstatus AS body FROM orders),
-links AS (SELECT CAST(l_orderkey AS VARCHAR) AS entry_id, p_name AS target, min(l_linenumber) AS pos, lower(p_name) AS target_key FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, p_name),
-tags AS (SELECT CAST(l_orderkey AS VARCHAR) AS entry_id, p_type AS tag, lower(p_type) AS tag_key FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, p_type),
+home AS (SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS entry_id, n_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+links AS (SELECT CAST(l_orderkey AS VARCHAR) AS entry_id, p_name AS target, CAST(min(l_linenumber) AS INTEGER) AS pos, lower(p_name) AS target_key FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, p_name
+    UNION ALL SELECT entry_id, n_name, 0, lower(n_name) FROM home),
+tags AS (SELECT CAST(l_orderkey AS VARCHAR) AS entry_id, CASE WHEN l_linenumber % 2 = 0 THEN lower(p_type) ELSE p_type END AS tag, CAST(min(l_linenumber) AS INTEGER) AS pos, lower(p_type) AS tag_key FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL
+    UNION ALL SELECT entry_id, n_name, 0, lower(n_name) FROM home),
 relations AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS entry_id, CASE l_returnflag WHEN 'A' THEN 'joy' WHEN 'R' THEN 'trigger' ELSE 'with' END AS rel_type,
-    'Supplier ' || CAST(l_suppkey % 40 AS VARCHAR) AS target FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 2 = 0),
-entities AS (SELECT p_name AS name, min(lower(p_type)) AS type FROM part WHERE p_name NOT LIKE 'b%' GROUP BY p_name
-    UNION ALL SELECT 'Supplier ' || CAST(s_suppkey AS VARCHAR), 'unknown' FROM supplier WHERE s_suppkey < 60),
+    CASE WHEN l_linenumber % 2 = 0 THEN upper(s_name) ELSE s_name END AS target, lower(s_name) AS target_key FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+entities AS (SELECT p_name AS name, lower(arg_min(p_type, p_partkey)) AS type, NULL AS alias FROM part GROUP BY p_name
+    UNION ALL SELECT s_name, 'unknown', 's' || CAST(s_suppkey AS VARCHAR) FROM supplier UNION ALL SELECT c_name, lower(c_mktsegment), NULL FROM customer),
 daily AS (SELECT date, round(avg(value), 6) AS sleep_hours, CASE WHEN count(*) FILTER (WHERE event_type = 'click') > 60 THEN 'run' END AS exercise, CAST(count(*) AS DOUBLE) AS mood_score
     FROM (SELECT *, strftime(ts - INTERVAL 1000 DAY, '%Y-%m-%d') AS date FROM events) GROUP BY date),
-old AS (SELECT CAST(o_orderkey AS VARCHAR) AS entry_id, CAST(o_orderkey + 1 AS VARCHAR) AS newer_id FROM orders WHERE o_orderkey % 97 = 0)
+old AS (SELECT CAST(o_orderkey AS VARCHAR) AS entry_id, CAST(later AS VARCHAR) AS newer_id FROM (SELECT *, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS later FROM orders)
+    WHERE o_orderstatus = 'P' AND later IS NOT NULL)
+"""
+
+#: The links and entities of diary_of_parts in SQL.
+SQL_PARTS = """
+plinks AS (SELECT CAST(l_orderkey AS VARCHAR) AS entry_id, 'Part ' || CAST(l_partkey AS VARCHAR) AS target, CAST(min(l_linenumber) AS INTEGER) AS pos FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, l_partkey
+    UNION ALL SELECT CAST(o_orderkey AS VARCHAR), c_name, 0 FROM orders JOIN customer ON o_custkey = c_custkey),
+pentities AS (SELECT 'Part ' || CAST(p_partkey AS VARCHAR) AS name, lower(p_type) AS type FROM part)
 """
 
 
@@ -63,7 +105,20 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("body"))
 
 
+_INDEXES: dict[tuple, Index] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str, what: str = "documents") -> Index:
+    """The stored index over documents (or the orders' entries), written once in a session for each table."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _INDEXES:
+        rows = corpus(spark, sf_dir) if what == "documents" else entries(spark, sf_dir)
+        _INDEXES[key] = build_index(spark, rows, new_path(spark, "index"))
+    return _INDEXES[key]
+
+
 #: Folded tokens of documents in SQL.
 SQL_TOKENS = """
 docs AS (SELECT CAST(doc_id AS VARCHAR) AS id, list_filter(regexp_split_to_array(lower(replace(replace(strip_accents(coalesce(text, '')), 'đ', 'd'), 'Đ', 'D')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents)
 """
+SQL_ENTRY_TOKENS = "docs AS (SELECT id, list_filter(regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM entries)"

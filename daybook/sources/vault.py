@@ -1,56 +1,89 @@
-"""A folder of markdown notes as tables: scan, parse, rebuild, snapshot diff, legacy import."""
+"""A folder of markdown notes as tables: scan, parse, rebuild, sync, snapshot diff, legacy import."""
 
 from __future__ import annotations
 
+import json
+import os
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold
+from ..functions.text import block_hash, fold, trim
 from ..operators.tables import SCHEMAS, Diary
 from . import notes, writers
 
 KINDS = {"journal": "journal", "entities": "entity", "insights": "insight"}
+#: Version of the tables' layout; an index of another one is built anew.
+INDEX_VERSION = 2
+#: Tables of journal files lie in partitions by month, so that a changed note rewrites its month only.
+MONTHLY = ["entries", "links", "relations", "tags", "daily_meta", "superseded"]
+_SCANNED = "path string, mtime bigint, kind string, content binary"
 _ENTRY = "time string, ordinal int, mood string, intensity int, superseded string, text string, links array<string>, tags array<string>, relations map<string,array<string>>"
-PARSED = f"path string, entries array<struct<{_ENTRY.replace(' ', ':').replace(',:', ',')}>>, type string, aliases array<string>, sleep_hours double, exercise string, mood_score double, extra map<string,string>, warning string"
+PARSED = f"path string, name string, entries array<struct<{_ENTRY.replace(' ', ':').replace(',:', ',')}>>, type string, aliases array<string>, sleep_hours double, exercise string, mood_score double, extra map<string,string>, warning string"
 
 
-def scan(spark: SparkSession, vault: str) -> DataFrame:
-    """path (relative), mtime (ms), kind, content of the notes; files elsewhere and dot-files are left out."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(vault)
-    root = vault.split("://", 1)[-1].rstrip("/")
-    rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^/*" + root.lstrip("/").replace(".", r"\.") + "/", "")
-    top = F.substring_index(rel, "/", 1)
-    kind = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))[top]
-    rows = raw.select(rel.alias("path"), F.unix_millis("modificationTime").alias("mtime"), kind.alias("kind"), "content")
-    return rows.where(F.col("kind").isNotNull() & ~F.col("path").rlike(r"(^|/)\."))
+def _local(vault: str) -> str:
+    return vault.removeprefix("file://").rstrip("/")
+
+
+def scan(spark: SparkSession, vault: str, only: str | None = None) -> DataFrame:
+    """path (relative), mtime (ms), kind, content of the notes (or of the one at path only); files elsewhere
+    and those in or with a dot-name are left out. Spark's listing passes over names with an underscore in
+    front, so these are listed here, in a vault of local files, and read by tasks."""
+    root = _local(vault)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", only is None).option("pathGlobFilter", "*.md").load(vault if only is None else f"{vault.rstrip('/')}/{only}")
+    rel = F.expr(f"substring(path, instr(path, {json.dumps(root.rsplit('/', 1)[-1] + '/')}) + {len(root.rsplit('/', 1)[-1]) + 1})") if "://" in root else F.substring("path", F.instr("path", root + "/") + len(root) + 1, F.lit(1 << 20))
+    rows = raw.select(rel.alias("path"), F.unix_millis("modificationTime").alias("mtime"), "content")
+    hidden = [] if "://" in root else [os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs if f.endswith(".md") and "/_" in os.path.join(d, f)[len(root) :]]
+    if only is not None:
+        hidden = [p for p in hidden if p == os.path.join(root, only)]
+    if hidden:
+
+        def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame([(p[len(root) + 1 :], os.stat(p).st_mtime_ns // 1_000_000, open(p, "rb").read()) for p in pdf["p"]], columns=["path", "mtime", "content"])
+
+        rows = rows.unionByName(spark.createDataFrame([(p,) for p in hidden], "p string").mapInPandas(read, "path string, mtime bigint, content binary"))
+    kind = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))[F.substring_index("path", "/", 1)]
+    rows = rows.withColumn("kind", kind).where(F.col("kind").isNotNull() & ~F.col("path").rlike(r"(^|/)\."))
+    return rows.select("path", "mtime", "kind", "content")
+
+
+def file_of(spark: SparkSession, vault: str, rel: str) -> DataFrame:
+    """The one note at a relative path: its row of scan, or none if there is no such note."""
+    rel = rel.replace("\\", "/")
+    if rel.split("/", 1)[0] not in KINDS or not rel.endswith(".md") or not os.path.isfile(os.path.join(_local(vault), rel)):
+        return spark.createDataFrame([], _SCANNED)
+    return scan(spark, vault, rel)
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = {"sleep_hours", "exercise", "mood_score"}
     for pdf in batches:
         rows = []
         for path, kind, content in zip(pdf["path"], pdf["kind"], pdf["content"], strict=True):
             meta, body, warning = notes.split_frontmatter(bytes(content).decode("utf-8", "replace"))
             entries = notes.parse_entries(body) if kind == "journal" else []
             number = lambda k: float(meta[k]) if isinstance(meta.get(k), int | float) and not isinstance(meta.get(k), bool) else None  # noqa: B023, E731
-            known = {"sleep_hours", "exercise", "mood_score"}
             aliases = [notes.nfc(str(a)) for a in meta["aliases"]] if isinstance(meta.get("aliases"), list) else []
             extra = {str(k): str(v) for k, v in meta.items() if k not in known} if kind == "journal" else {}
-            exercise = meta.get("exercise")
-            rows.append((path, entries, str(meta.get("type") or "unknown"), aliases, number("sleep_hours"), None if exercise is None else str(exercise), number("mood_score"), extra or None, warning))
-        yield pd.DataFrame(rows, columns=["path", "entries", "type", "aliases", "sleep_hours", "exercise", "mood_score", "extra", "warning"])
+            told = lambda k, otherwise: meta[k] if isinstance(meta.get(k), str) else otherwise  # noqa: B023, E731
+            name = notes.nfc(path.rsplit("/", 1)[-1].removesuffix(".md"))
+            rows.append((path, name, entries, told("type", "unknown"), aliases, number("sleep_hours"), told("exercise", None), number("mood_score"), extra or None, warning))
+        yield pd.DataFrame(rows, columns=["path", "name", "entries", "type", "aliases", "sleep_hours", "exercise", "mood_score", "extra", "warning"])
 
 
 def tables(files: DataFrame) -> Diary:
     """The derived tables of scanned files; a pure function of their content.
 
     Of journal files with one date, the first by path is kept, of entity files with one name the last.
+    Every journal file that is kept has its row of daily_meta.
     """
     parsed = files.select("path", "kind", "content").mapInPandas(_parse, PARSED).join(files.select("path", "kind"), "path")
-    base = F.regexp_extract("path", r"([^/]+)\.md$", 1)
-    journal = parsed.where("kind = 'journal'").withColumn("date", base)
+    journal = parsed.where("kind = 'journal'").withColumnRenamed("name", "date")
     first = F.row_number().over(Window.partitionBy("date").orderBy("path"))
     journal = journal.withColumn("nth", first).where("nth = 1")
     each = journal.select("path", "date", F.explode("entries").alias("e")).withColumn("id", F.format_string("%s#%d", "date", "e.ordinal"))
@@ -60,9 +93,8 @@ def tables(files: DataFrame) -> Diary:
     verbs = each.select(F.col("id").alias("entry_id"), F.explode("e.relations").alias("rel_type", "targets"))
     relations = verbs.select("entry_id", "rel_type", F.explode("targets").alias("target")).withColumn("target_key", fold(F.col("target")))
     superseded = each.where("e.superseded is not null").select(F.col("id").alias("entry_id"), F.col("e.superseded").alias("newer_id"))
-    meta = journal.where("sleep_hours is not null or exercise is not null or mood_score is not null or extra is not null")
-    daily = meta.select(F.col("path").alias("file"), "date", "sleep_hours", "exercise", "mood_score", "extra")
-    entity = parsed.where("kind = 'entity'").groupBy(base.alias("name")).agg(F.max_by(F.struct("path", "type", "aliases"), "path").alias("e"))
+    daily = journal.select(F.col("path").alias("file"), "date", "sleep_hours", "exercise", "mood_score", "extra")
+    entity = parsed.where("kind = 'entity'").groupBy("name").agg(F.max_by(F.struct("path", "type", "aliases"), "path").alias("e"))
     entities = entity.select("name", fold(F.col("name")).alias("name_key"), F.col("e.path").alias("file"), "e.type", "e.aliases")
     return Diary(entries, links, relations, tags, entities, daily, superseded, files.select("path", "mtime", "kind"))
 
@@ -72,21 +104,65 @@ def read_vault(spark: SparkSession, vault: str) -> Diary:
 
 
 def skipped_files(files: DataFrame) -> DataFrame:
-    """Journal files whose date an earlier file has."""
+    """(path, date) of journal files whose date an earlier file has."""
     journal = files.where("kind = 'journal'").withColumn("date", F.regexp_extract("path", r"([^/]+)\.md$", 1))
     return journal.withColumn("nth", F.row_number().over(Window.partitionBy("date").orderBy("path"))).where("nth > 1").select("path", "date")
 
 
-def rebuild(spark: SparkSession, vault: str, index: str) -> dict[str, int]:
-    """Write all tables to index anew; returns row counts."""
-    diary = read_vault(spark, vault)
+def _month(name: str):
+    return F.substring("date" if name == "daily_meta" else "id" if name == "entries" else "entry_id", 1, 7)
+
+
+def _write(diary: Diary, name: str, index: str, months_only: bool) -> None:
+    rows = getattr(diary, name)
+    if name in MONTHLY:
+        mode = "dynamic" if months_only else "static"
+        rows = rows.withColumn("month", _month(name)).repartition("month")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("month").parquet(f"{index}/{name}")
+    else:
+        rows.write.mode("overwrite").parquet(f"{index}/{name}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def rebuild(spark: SparkSession, vault: str, index: str) -> dict:
+    """Write all tables to index anew. Returns row counts, the files that were skipped, and milliseconds."""
+    began, files = time.time(), scan(spark, vault)
+    diary = tables(files)
     for name in SCHEMAS:
-        getattr(diary, name).write.mode("overwrite").parquet(f"{index}/{name}")
-    return {name: spark.read.parquet(f"{index}/{name}").count() for name in SCHEMAS}
+        _write(diary, name, index, months_only=False)
+    spark.createDataFrame([(INDEX_VERSION,)], "version int").write.mode("overwrite").json(f"{index}/version")
+    own = open_index(spark, index)
+    counts = {name: getattr(own, name).count() for name in SCHEMAS}
+    return {**counts, "skipped": [r.path for r in skipped_files(own.files).orderBy("path").collect()], "ms": round(1000 * (time.time() - began))}
+
+
+def index_version(spark: SparkSession, index: str) -> int | None:
+    """The version that an index was written with; none where there is no whole index."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        found = spark.read.schema("version int").json(f"{index}/version").first()
+    except AnalysisException:
+        return None
+    return found and found.version
 
 
 def open_index(spark: SparkSession, index: str) -> Diary:
-    return Diary(**{name: spark.read.schema(schema).parquet(f"{index}/{name}") for name, schema in SCHEMAS.items()})
+    read = lambda name, schema: spark.read.schema(schema + (", month string" if name in MONTHLY else "")).parquet(f"{index}/{name}").drop("month")
+    return Diary(**{name: read(name, schema) for name, schema in SCHEMAS.items()})
+
+
+def current_index(spark: SparkSession, vault: str, index: str) -> Diary:
+    """The tables of the vault as it is now: an index of another version is built anew, any other synced."""
+    if index_version(spark, index) == INDEX_VERSION:
+        sync(spark, vault, index)
+    else:
+        rebuild(spark, vault, index)
+    return open_index(spark, index)
 
 
 def snapshot_diff(stored: DataFrame, listed: DataFrame) -> DataFrame:
@@ -97,23 +173,33 @@ def snapshot_diff(stored: DataFrame, listed: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", change.alias("change"))
 
 
-def sync(spark: SparkSession, vault: str, index: str, staging: str) -> dict[str, int]:
-    """Bring the index up to date: rows of changed and vanished files go, those of new and changed files come.
+def sync(spark: SparkSession, vault: str, index: str) -> dict:
+    """Bring the index up to date: added, changed, removed, scanned, skipped.
 
-    The new tables are written to staging, which is the index from then on.
+    Months with a touched journal file are derived anew from all of their files, so that of two files of
+    one date the right one counts, before and after either comes or goes; other months are not read. The
+    list of files is written last: what a crash leaves undone, the next sync does.
     """
     old, listed = open_index(spark, index), scan(spark, vault)
-    diff = snapshot_diff(old.files, listed).where("change <> 'same'").cache()
-    counts = {r["change"]: r["n"] for r in diff.groupBy("change").agg(F.count("*").alias("n")).collect()}
-    touched = diff.select(F.col("path").alias("file"))
-    fresh = tables(listed.join(diff.where("change in ('added', 'changed')").select("path"), "path"))
-    gone = old.entries.join(touched, "file", "left_semi").select(F.col("id").alias("entry_id"))
-    for name in SCHEMAS:
-        key, drop = ("path", touched.withColumnRenamed("file", "path")) if name == "files" else ("file", touched) if name in ("entries", "entities", "daily_meta") else ("entry_id", gone)
-        kept = getattr(old, name).join(drop, key, "left_anti").select(*getattr(old, name).columns)
-        kept.unionByName(getattr(fresh, name).select(*kept.columns)).write.mode("overwrite").parquet(f"{staging}/{name}")
-    diff.unpersist()
-    return {k: counts.get(k, 0) for k in ("added", "changed", "removed")}
+    diff = [(r.path, r.change) for r in snapshot_diff(old.files, listed).where("change <> 'same'").collect()]
+    month = lambda path: path.rsplit("/", 1)[-1].removesuffix(".md")[:7]
+    months = sorted({month(p) for p, _ in diff if p.startswith("journal/")})
+    if months:
+        own = F.substring(F.regexp_extract("path", r"([^/]+)\.md$", 1), 1, 7)
+        fresh = tables(listed.where((F.col("kind") == "journal") & own.isin(months)))
+        for name in MONTHLY:
+            left = {r[0] for r in getattr(fresh, name).select(_month(name)).distinct().collect()}
+            _write(fresh, name, index, months_only=True)
+            for m in set(months) - left:
+                _delete(spark, f"{index}/{name}/month={m}")
+    if any(p.startswith("entities/") for p, _ in diff):
+        _write(tables(listed.where("kind = 'entity'")), "entities", index, months_only=False)
+    now = [tuple(r) for r in listed.select("path", "mtime", "kind").collect()] if diff else None
+    if now is not None:
+        spark.createDataFrame(now, SCHEMAS["files"]).write.mode("overwrite").parquet(f"{index}/files")
+    changes = [c for _, c in diff]
+    own = open_index(spark, index).files
+    return {**{k: changes.count(k) for k in ("added", "changed", "removed")}, "scanned": own.count(), "skipped": [r.path for r in skipped_files(own).orderBy("path").collect()]}
 
 
 def entries_of_entity(links: DataFrame, entity: str) -> DataFrame:
@@ -124,22 +210,67 @@ def entries_of_entity(links: DataFrame, entity: str) -> DataFrame:
 def forget_entity(spark: SparkSession, vault: str, entity: str, redact: bool = False, dry_run: bool = False) -> int:
     """Forget all entries of the vault's files that link the entity; returns how many. A dry run only counts."""
     ids = [r.id for r in entries_of_entity(read_vault(spark, vault).links, entity).collect()]
-    return len(ids) if dry_run else writers.forget(vault, ids, redact)
+    return writers.forget(vault, ids, redact, dry_run)
 
 
 def legacy_blocks(files: DataFrame) -> DataFrame:
-    """Blocks of legacy exports (path, content), with path and place in it."""
+    """(path, pos, bad, date, time, mood, tags, text, hash) of the blocks of legacy exports (path, content).
 
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([(p, i, b["date"], b["time"], b["mood"], b["tags"], b["text"], b["hash"]) for p, c in zip(pdf["path"], pdf["content"], strict=True) for i, b in enumerate(notes.parse_legacy(bytes(c).decode("utf-8", "replace"))[0])], columns=["path", "pos", "date", "time", "mood", "tags", "text", "hash"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, pos int, date string, time string, mood string, tags array<string>, text string, hash string")
-
-
-def import_blocks(blocks: DataFrame, log: DataFrame) -> DataFrame:
+    A block is a header of fields between lines of three dashes, and the text up to the next header. bad
+    blocks have no text, or none of the fields that tell a time or mood; undated ones have a null date.
+    """
+    lines = F.regexp_replace(F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\r\n", "\n"), r"^#[^\n]*\n", "")
+    split = F.split(lines, r"(?:^|\n)---\n(?=(?:time|mood|event_time|tags):)")
+    each = files.select("path", F.posexplode(F.slice(split, F.lit(2), F.greatest(F.size(split), F.lit(1)))).alias("pos", "block"))
+    whole = each.withColumns({"head": F.substring_index("block", "\n---\n", 1), "closed": F.instr("block", "\n---\n") > 0})
+    text = F.regexp_replace(F.expr("substring(block, length(head) + 6)"), r"(?U)\s+$", "")
+
+    def field(name: str):
+        value = F.regexp_extract("head", rf'(?m)^\s*{name}:\s*"?([^"\n]*?)"?\s*$', 1)
+        return F.when(value != "", value)
+
+    told = whole.select("path", "pos", "closed", text.alias("text"), field("time").alias("at"), field("mood").alias("mood"), field("event_time").alias("event"), F.regexp_extract("head", r"(?m)^\s*tags:\s*\[(.*)\]\s*$", 1).alias("listed"))
+    day = lambda c: F.when(F.substring(c, 1, 10).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.substring(c, 1, 10))
+    when = F.coalesce(day(F.col("event")), day(F.col("at")))
+    clock = F.regexp_extract(F.coalesce("at", F.lit("")), r"T([0-9]{2}:[0-9]{2})", 1)
+    tags = F.filter(F.transform(F.split("listed", ","), lambda t: trim(F.regexp_replace(trim(t), r"^['\"]|['\"]$", ""))), lambda t: t != "")
+    bad = ~F.col("closed") | (trim(F.col("text")) == "") | F.coalesce("at", "mood", "event").isNull()
+    return told.select(
+        "path", "pos", bad.alias("bad"), when.alias("date"), F.when(when.isNotNull(), F.when(clock != "", clock).otherwise("00:00")).alias("time"), "mood", tags.alias("tags"), "text", block_hash(F.col("text")).alias("hash"),
+    )
+
+
+def import_status(blocks: DataFrame, log: DataFrame) -> DataFrame:
     """Blocks with their status: 'undated', 'known' (hash in the log), 'duplicate' (not the first of its hash) or 'new'."""
-    nth = F.row_number().over(Window.partitionBy("hash").orderBy("path", "pos"))
-    seen = blocks.join(log.select("hash", F.lit(True).alias("logged")).distinct(), "hash", "left").withColumn("nth", nth)
+    first = F.row_number().over(Window.partitionBy("hash", F.col("date").isNull()).orderBy("path", "pos"))
+    seen = blocks.join(log.select("hash", F.lit(True).alias("logged")).distinct(), "hash", "left").withColumn("nth", first)
     status = F.when(F.col("date").isNull(), "undated").when(F.col("logged"), "known").when(F.col("nth") > 1, "duplicate").otherwise("new")
     return seen.withColumn("status", status).drop("nth", "logged")
+
+
+def import_folder(spark: SparkSession, source: str, vault: str, dry_run: bool = False) -> dict:
+    """Append the new blocks of a folder of legacy exports (all below it) to the vault's notes, in order of
+    file and place, each with a line of its tags ahead of its text. What was imported is in the vault's log,
+    by the hash of the text as it was; a dry run writes nothing."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(source).select("path", "content")
+    blocks = legacy_blocks(files)
+    known = writers.read_import_log(_local(vault))
+    log = spark.createDataFrame([(h,) for h in sorted(known)], "hash string")
+    # A bad block is no block of the count; an undated one is, and is bad too.
+    marked = import_status(blocks.where("not bad"), log)
+    counts = {r.status: r.n for r in marked.groupBy("status").agg(F.count("*").alias("n")).collect()}
+    created, failed = 0, 0
+    for r in marked.where("status = 'new'").orderBy("path", "pos").toLocalIterator():
+        try:
+            if not dry_run:
+                writers.append_entry(_local(vault), r.date, r.time, (f"tags:: {', '.join(r.tags)}\n" if r.tags else "") + r.text, r.mood)
+            known.add(r.hash)
+            created += 1
+        except (OSError, ValueError):
+            failed += 1
+    if not dry_run:
+        writers.write_import_log(_local(vault), known)
+    return {
+        "dry_run": dry_run, "files": files.count(), "blocks": sum(counts.values()), "entries_created": created,
+        "skipped_duplicate": counts.get("known", 0) + counts.get("duplicate", 0), "skipped_bad": blocks.where("bad").count() + counts.get("undated", 0) + failed,
+    }

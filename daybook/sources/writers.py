@@ -63,17 +63,34 @@ def vault_state(vault: str) -> str:
 
 
 def append_entry(vault: str, day: str, time: str, text: str, mood: str | None = None, tags: list[str] | None = None, relations: dict[str, list[str]] | None = None) -> str:
-    """Add a section to the day's note; returns its id. The text stays as it is but for blank lines around it."""
+    """Add a section to the end of the day's note; returns its id. What the note has stays as it is, byte by
+    byte; the text stays but for blank lines ahead of it and white space at its end."""
     path = note_path(vault, "journal", day)
-    raw = read_file(path) or f"# {day}\n"
-    fields = [f"mood:: {mood}"] if mood else []
+    if not path.exists():
+        write_file(path, f"# {day}\n")
+    fields = [f"mood:: {mood.strip()}"] if mood and mood.strip() else []
     fields += [f"tags:: {', '.join(tags)}"] if tags else []
     fields += [f"{verb}:: {', '.join(f'[[{t}]]' for t in targets)}" for verb, targets in (relations or {}).items()]
     body = re.sub(r"^(?:[ \t]*\r?\n)+", "", text).rstrip()
-    write_file(path, raw.rstrip("\n") + f"\n\n## {time}\n" + "".join(f"{f}\n" for f in fields) + f"{body}\n")
+    ended = path.read_bytes()[-1:] in (b"\n", b"")
+    with open(path, "a", encoding="utf-8", newline="") as f:
+        f.write(("" if ended else "\n") + f"\n## {time}\n" + "".join(f"{x}\n" for x in fields) + f"{body}\n")
     return f"{day}#{len(notes.parse_entries(notes.split_frontmatter(read_file(path))[1])) - 1}"
 
 
+def read_import_log(vault: str) -> set[str]:
+    """Hashes of imported blocks; a log that is missing or not as it should be counts as empty."""
+    try:
+        held = json.loads(read_file(Path(vault, ".index", "import-log.json")))
+    except ValueError:
+        return set()
+    return set(held) if isinstance(held, dict) else set()
+
+
+def write_import_log(vault: str, hashes: set[str]) -> None:
+    write_file(Path(vault, ".index", "import-log.json"), json.dumps(dict.fromkeys(sorted(hashes), True)))
+
+
 def update_frontmatter(path: Path, fields: dict) -> None:
     meta, body, _ = notes.split_frontmatter(read_file(path))
     write_file(path, f"---\n{yaml.safe_dump({**meta, **fields}, allow_unicode=True, sort_keys=False)}---\n{body}")
@@ -117,8 +134,9 @@ def remember(vault: str, text: str, today: date, time: str = "00:00", day: str |
     return {"id": entry, "date": day, "date_inferred_from": told and told[1], "stubs": ensure_stubs(vault, targets, today), "warnings": warnings}
 
 
-def forget(vault: str, ids: list[str], redact: bool = False) -> int:
-    """Delete sections, or only their text; returns how many. Later sections of a day move up."""
+def forget(vault: str, ids: list[str], redact: bool = False, dry_run: bool = False) -> int:
+    """Delete sections, or put a line with the date in place of their text; returns how many. Later sections
+    of a day move up. A dry run changes nothing."""
     count = 0
     for day in sorted({i.split("#")[0] for i in ids}):
         path = note_path(vault, "journal", day)
@@ -135,10 +153,11 @@ def forget(vault: str, ids: list[str], redact: bool = False) -> int:
             if redact:
                 zone = notes.field_zone(own, repeated=True)[1]
                 blank = next((k for k in range(len(own), 0, -1) if own[k - 1].strip()), 0)
-                keep = [lines[at], *own[:zone], "[redacted]", *own[max(blank, zone) :]]
+                keep = [lines[at], *own[:zone], f"[redacted {day}]", *own[max(blank, zone) :]]
             lines[at:end] = keep
             count += 1
-        write_file(path, head + "\n".join(lines))
+        if not dry_run:
+            write_file(path, head + "\n".join(lines))
     return count
 
 
@@ -169,10 +188,32 @@ def envelope(data=None, error: str | None = None, hint: str | None = None) -> st
     return json.dumps({"ok": False, "error": error, **({"hint": hint} if hint else {})}, ensure_ascii=False)
 
 
-def render_report(sections: dict, title: str) -> str:
-    """Markdown of a report's sections (name -> DataFrame); reports are short by their limits."""
-    lines = [f"# {title}", ""]
-    for name, df in sections.items():
-        rows = df.toJSON().take(200)
-        lines += [f"## {name.replace('_', ' ')}", "", *([f"- {r}" for r in rows] or ["- none"]), ""]
+def render_report(sections: dict, start: str, end: str) -> str:
+    """Markdown of a report's sections (name -> DataFrame), every row of those it lists. Its headings and phrases."""
+    lines = [f"# Reflect — {start} → {end}", ""]
+    rows = lambda name: sections[name].toLocalIterator()
+    one = lambda name: sections[name].first()
+    shown = lambda v: "—" if v is None else f"{v:g}"
+
+    def listed(title: str, found: list[str], otherwise: str | None = None) -> None:
+        if found or otherwise:
+            lines.extend([f"## {title}", *(found or [otherwise]), ""])
+
+    listed("Suggested actions", [f"- [ ] {r.action}" for r in sections["suggested_actions"].orderBy("priority", "action").toLocalIterator()], "- _Nothing pending — vault is tidy._")
+    mood, health = one("mood_stats"), one("health_stats")
+    spread = ", ".join(f"{r.mood}×{r.n}" for r in rows("mood_distribution")) or "—"
+    listed("Mood", [f"- distribution: {spread}", f"- avg intensity: {shown(mood.avg_intensity)} (trend: {mood.trend})"])
+    listed("Health", [f"- avg sleep: {shown(health.avg_sleep)}h", f"- exercise days: {health.exercise_days}", f"- mood-score trend: {health.mood_score_trend}"])
+    listed("Insight candidates", [f"- **{r.kind}** — {r.detail}" for r in sections["insight_candidates"].orderBy("part", "detail").toLocalIterator()], "- _None detected this period._")
+    counts = [("unknown-type entities", "unknown_type_entities"), ("orphan entities", "orphan_entities"), ("broken wikilinks", "broken_wikilinks"), ("entries without links", "entries_without_links"), ("entries without mood", "entries_without_mood"), ("days missing check-in", "days_without_checkin")]
+    listed("Lint", [f"- {title}: {sections[name].count()}" for title, name in counts])
+    listed("Possible aliases", [f"- [[{r.a}]] ≈ [[{r.b}]] ({r.similarity:g})" for r in rows("alias_candidates")])
+    told = {"joy": [], "trigger": []}
+    for r in sections["relation_summary"].orderBy("rel_type", "nth").toLocalIterator():
+        told[r.rel_type].append(f"[[{r.target}]]×{r.n}")
+    listed("Emotional relations", [f"- brings joy: {', '.join(told['joy']) or '—'}", f"- triggers: {', '.join(told['trigger']) or '—'}", f"- strong-mood entries missing a relation: {sections['missing_emotional_relation'].count()}"])
+    listed("Tags to convert", [f"- [ ] `{r.tag}` (×{r.n}) → link or relation" for r in rows("tags_to_convert")])
+    listed("Concept bridges", [f"- [ ] add `[[{r.concept}]]` to {r.entry_count} entries ({', '.join(r.evidence)})" for r in rows("concept_bridges")])
+    listed("Superseded-fact candidates", [f"- [ ] mark `{r.older_id}` superseded by `{r.newer_id}`? ({r.type}: {r.old_entity} → {r.new_entity})" for r in rows("superseded_candidates")])
+    listed("Entity type suggestions", [f"- [ ] set `[[{r.name}]]` type → `{r.suggested}` ({r.reason})" for r in rows("entity_type_suggestions")])
     return "\n".join(lines)

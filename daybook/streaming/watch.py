@@ -26,7 +26,3 @@ def watch(spark: SparkSession, vault: str, files: str, on_change, checkpoint: st
 
     return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{max(LEAST_SECONDS, seconds)} seconds").start()
 
-
-def windowed_counts(events, width: str = "1 hour", late: str = "10 minutes"):
-    """Counts and mean values of an events stream (ts, event_type, value) by window, with late rows dropped."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
