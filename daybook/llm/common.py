@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from ..sources.storage import materialise, new_path, shared_dir  # noqa: F401
+
 #: A key counts as hot when it holds at least 1/HOT_KEYS of the rows, so at most HOT_KEYS keys are hot.
 HOT_KEYS = 1000
 #: Bits of the filter that prunes rows ahead of an exact join: 16 for a key, within these bounds (16 MB at most).
@@ -23,18 +21,6 @@ FILTER_PROBES = 4
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Where none is set, a session that runs in one process (tests) gets
-    a temporary one; a cluster gets an error, as its executors would each write to a disk of their own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.conf.get("spark.master", "")
-        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
-            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        found = "file://" + os.path.join(tempfile.gettempdir(), "daybook-shared")
-    return found.rstrip("/")
-
-
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Names like those wanted that no column of df has, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
@@ -47,17 +33,6 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/daybook/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def with_row_key(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a key of each row, and the name of its column, which no other column has. It is written
     out, so that it stays the same in all uses."""
@@ -165,6 +140,15 @@ def prune_filter(keys: DataFrame, key: str):
     return passes(probes)
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """docs but for those whose key is in gone. Rows
+    that a filter over gone's keys clears stay where they are, so the texts that are shuffled are about as
+    many as go, however large gone is."""
+    passes = prune_filter(gone, key)
+    asked = docs.where(passes)
+    return docs.where(~passes).unionByName(asked.join(gone, key, "left_anti"))
+
+
 def stream_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """Groups of a partition that is sorted by keys, without an Arrow round trip for each group."""
     held: list[pd.DataFrame] = []

@@ -134,13 +134,15 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, keep: str = "min") -
     have none, go or stay by their own text. Of rows repeated with the same id and text, one stays. Null
     text is equal to an empty one. Columns may have any names; an empty table stays empty.
     """
-    c_id, c_sha, own_id, own_sha, again_ = free_names(docs, "_id", "_sha", "_own_id", "_own_sha", "_again")
-    found = exact_dedup(spark, docs, keep).where("not kept").select(F.col("doc_id").alias(c_id), F.col("text_sha256").alias(c_sha), "keep_id")
-    gone = materialise(spark, found.groupBy(c_id, c_sha).agg(F.max(F.col(c_id).eqNullSafe(F.col("keep_id"))).alias(again_)), "copies")
+    own_id, own_sha, id_, sha, again_ = free_names(docs, "_own_id", "_own_sha", "_id", "_sha", "_again")
+    found = exact_dedup(spark, docs, keep).where("not kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha), "keep_id")
+    gone = materialise(spark, found.groupBy(id_, sha).agg(F.max(F.col(id_).eqNullSafe(F.col("keep_id"))).alias(again_)), "copies")
     again = gone.where(again_)
     keyed = docs.withColumns({own_id: docs["doc_id"].cast("long"), own_sha: F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)})
-    same = F.col(own_id).eqNullSafe(F.col(c_id)) & (F.col(own_sha) == F.col(c_sha))
-    left = keyed.join(gone, same, "left_anti")
+    same = F.col(own_id).eqNullSafe(F.col(id_)) & (F.col(own_sha) == F.col(sha))
+    # The filter takes the digests under the name they have in the documents.
+    passes = prune_filter(gone.select(F.col(sha).alias(own_sha)), own_sha)
+    left = keyed.where(~passes).unionByName(keyed.where(passes).join(gone, same, "left_anti"))
     if again.limit(1).count():
-        left = left.unionByName(keyed.join(again, same, "left_semi").dropDuplicates([own_id, own_sha]))
+        left = left.unionByName(keyed.where(passes).join(again, same, "left_semi").dropDuplicates([own_id, own_sha]))
     return left.select(*docs.columns)

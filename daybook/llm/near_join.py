@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, lean, materialise, prune_filter, skew_join, stream_groups, text_of, with_row_key
+from .common import components, lean, materialise, prune_filter, skew_join, stream_groups, text_of, with_row_key, without_rows
 
 WIDTH, THRESHOLD = 5, 0.8
 #: 24 bands of 4: a pair at 0.8 shares no band with probability (1 - 0.8 ** 4) ** 24 = 3e-6.
@@ -334,4 +334,4 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, threshold: float = T
     groups = materialise(spark, linked.groupBy("group_id").agg(F.min(order)["row"].alias("stays"), F.count("*").alias("n")), "near-heads")
     total = groups.agg(F.sum("n")).first()[0] or 0
     gone = materialise(spark, skew_join(linked, groups, "group_id", "n", "row", total).where("row <> stays").select(F.col("row").alias(row)), "near-copies")
-    return keyed.join(gone, row, "left_anti").select(*docs.columns)
+    return without_rows(keyed, gone, row).select(*docs.columns)

@@ -161,10 +161,6 @@ def _unpack(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, N_FEATURES).astype(np.float64)
 
 
-def _pack(parts: list[np.ndarray]) -> bytes:
-    return np.concatenate([np.ravel(p) for p in parts]).astype(np.float64).tobytes()
-
-
 def summed(table: DataFrame, part, length: int) -> np.ndarray:
     """The sum over all rows of table (half, x) of part(half, x), vectors of that length: added up within
     tasks, then (of many tasks) on executors, and a bounded number of them on the driver."""
@@ -179,12 +175,16 @@ def summed(table: DataFrame, part, length: int) -> np.ndarray:
         salt = TaskContext.get().partitionId() % SUMS if TaskContext.get() else 0
         yield pa.RecordBatch.from_arrays([pa.array([salt], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["salt", "v"])
 
-    def add(t: pa.Table) -> pa.Table:
-        return pa.table({"salt": t["salt"][:1], "v": pa.array([_pack([np.sum([np.frombuffer(v) for v in t["v"].to_pylist()], axis=0)])], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(length)
+        for b in batches:
+            for v in b.column("v").to_pylist():
+                total += np.frombuffer(v)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["salt", "v"])
 
     sums = table.mapInArrow(run, "salt int, v binary")
     if len(table.inputFiles()) > SUMS:
-        sums = sums.groupBy("salt").applyInArrow(add, "salt int, v binary")
+        sums = sums.repartition(SUMS // 4, "salt").mapInArrow(add, "salt int, v binary")
     return np.sum([np.zeros(length), *(np.frombuffer(v) for v in sums.toArrow()["v"].to_pylist())], axis=0)
 
 
