@@ -259,8 +259,16 @@ def test_commands(spark, tmp_path):
     assert cli.read_config(str(tmp_path / "none.json")) == {}
 
 
-def test_a_cluster_needs_a_shared_folder(spark):
-    assert storage.shared_dir(spark).startswith("file:")
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        def __init__(self, **held):
+            self.conf = {k.replace("_", "."): v for k, v in held.items()}
+
+    assert storage.shared_dir(Session(spark_checkpoint_dir="s3a://b/c/")) == "s3a://b/c"
+    assert storage.shared_dir(Session(spark_master="local[8]")).startswith("file:///")
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint.dir"):
+            storage.shared_dir(Session(spark_master=master))
 
 
 def test_forget_by_entity(spark, tmp_path):
