@@ -140,13 +140,26 @@ def prune_filter(keys: DataFrame, key: str):
     return passes(probes)
 
 
-def without_rows(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """docs but for those whose key is in gone. Rows
-    that a filter over gone's keys clears stay where they are, so the texts that are shuffled are about as
-    many as go, however large gone is."""
-    passes = prune_filter(gone, key)
-    asked = docs.where(passes)
-    return docs.where(~passes).unionByName(asked.join(gone, key, "left_anti"))
+def without_rows(spark: SparkSession, docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """docs but for the rows whose keys (null like any other value) are in gone.
+
+    No text is shuffled to be dropped: rows that a filter over gone's keys clears stay where they are. Of the
+    others the keys alone are joined to gone, and the few that it does not have (the filter's false alarms)
+    make a second filter, which lets about their rows into the join that decides.
+    """
+    mark, *names = free_names(docs, "_mark", "_gone_mark", *(f"_gone_{k}" for k in keys))
+    hashed = F.xxhash64(*keys)
+    marked, other = docs.withColumn(mark, hashed), gone.select(hashed.alias(names[0]), *(F.col(k).alias(n) for k, n in zip(keys, names[1:], strict=True)))
+    same = F.col(mark) == F.col(names[0])
+    for k, n in zip(keys, names[1:], strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    passes = prune_filter(other.select(F.col(names[0]).alias(mark)), mark)
+    stay = materialise(spark, marked.where(passes).select(mark, *keys).join(other, same, "left_anti").select(mark), "stay")
+    cleared = marked.where(~passes)
+    if not stay.limit(1).count():
+        return cleared.drop(mark)
+    asked = marked.where(passes).where(prune_filter(stay, mark))
+    return cleared.unionByName(asked.join(other, same, "left_anti")).drop(mark)
 
 
 def stream_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:

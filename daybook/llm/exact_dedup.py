@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, free_names, materialise, new_path, prune_filter, skew_join, text_of
+from .common import HOT_KEYS, free_names, materialise, new_path, prune_filter, skew_join, text_of, without_rows
 
 #: Digests a memtable holds before it is flushed as a run.
 MEMTABLE_ROWS = 200_000
@@ -139,10 +139,9 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, keep: str = "min") -
     gone = materialise(spark, found.groupBy(id_, sha).agg(F.max(F.col(id_).eqNullSafe(F.col("keep_id"))).alias(again_)), "copies")
     again = gone.where(again_)
     keyed = docs.withColumns({own_id: docs["doc_id"].cast("long"), own_sha: F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)})
-    same = F.col(own_id).eqNullSafe(F.col(id_)) & (F.col(own_sha) == F.col(sha))
-    # The filter takes the digests under the name they have in the documents.
-    passes = prune_filter(gone.select(F.col(sha).alias(own_sha)), own_sha)
-    left = keyed.where(~passes).unionByName(keyed.where(passes).join(gone, same, "left_anti"))
+    left = without_rows(spark, keyed, gone.select(F.col(id_).alias(own_id), F.col(sha).alias(own_sha)), [own_id, own_sha])
     if again.limit(1).count():
-        left = left.unionByName(keyed.where(passes).join(again, same, "left_semi").dropDuplicates([own_id, own_sha]))
+        same = F.col(own_id).eqNullSafe(F.col(id_)) & (F.col(own_sha) == F.col(sha))
+        asked = keyed.where(prune_filter(again.select(F.col(sha).alias(own_sha)), own_sha))
+        left = left.unionByName(asked.join(again, same, "left_semi").dropDuplicates([own_id, own_sha]))
     return left.select(*docs.columns)

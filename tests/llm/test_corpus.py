@@ -267,6 +267,18 @@ def test_near_join_equals_brute_force(spark, texts, sf):
         assert r.n_texts == len({frozenset(sets[j]) for j in links[r.doc_id]} - {frozenset(sets[r.doc_id])})
 
 
+def test_rows_are_taken_out_whatever_the_filter_lets_through(spark, monkeypatch):
+    """Also with a filter so small that most rows pass it, null keys and repeated rows."""
+    docs = spark.range(2000).select(F.when(F.col("id") % 10 != 3, F.col("id") % 1500).alias("k"), (F.col("id") % 7).cast("string").alias("t"), F.lit("x").alias("_mark"))
+    gone = docs.where("k % 3 = 0 or (k is null and t = '2')").select("k", "t").distinct()
+    want = sorted((str(r.k), r.t) for r in docs.collect() if not (r.k is not None and r.k % 3 == 0) and not (r.k is None and r.t == "2"))
+    for least in (common.FILTER_LEAST, 64):
+        monkeypatch.setattr(common, "FILTER_LEAST", least)
+        monkeypatch.setattr(common, "FILTER_MOST", max(least, 1024))
+        left = common.without_rows(spark, docs, gone, ["k", "t"])
+        assert sorted((str(r.k), r.t) for r in left.collect()) == want and left.columns == docs.columns
+
+
 def test_components_of_chains_stars_and_random_graphs(spark):
     rng = np.random.default_rng(9)
     name = rng.permutation(3000)
@@ -558,8 +570,9 @@ def test_decontamination(spark, sf, texts):
     found = QUERIES["op8_decontamination"](spark, sf)
     want = brute_containment(texts.items(), items)
     assert want and {(r.doc_id, r.item_id): r.containment for r in found.collect()} == pytest.approx(want)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    left = decontaminate.drop_contaminated(spark, table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    for df in (found, left):
+        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
 
 
 def test_decontamination_of_partial_passages_and_odd_tables(spark, odd, empty, monkeypatch):
