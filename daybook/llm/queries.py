@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .html_extract import extract
 from .language_model import score_documents
 from .near_join import near_join
@@ -63,9 +64,16 @@ def op10_lattice_scores(spark, sf_dir):
     return score_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, shifted)
+    return found.drop("anchor_key", "positive_key")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_vector_packing, op2_ngram_jaccard_join, op3_exact_dedup, op4_quality_classifier, op5_token_output,
     op6_secret_scan, op7_html_extraction, op8_decontamination, op9_pii_surrogates, op10_lattice_scores,
+    op11_hard_negatives,
 )}
 
 SQL = {
@@ -86,4 +94,13 @@ SQL = {
         SELECT m.doc_id, m.item_id, CAST(m.n_shared AS BIGINT) AS n_shared, CAST(n.n_item AS BIGINT) AS n_item, m.n_shared / n.n_item AS containment
         FROM m JOIN n ON m.item_id = n.item_id WHERE m.n_shared >= 0.8 * n.n_item - 1e-9
     """,
+    "op11_hard_negatives": """
+        WITH v AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+        n AS (SELECT p.*, other_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
 }
