@@ -9,6 +9,7 @@ from .exact_dedup import exact_dedup
 from .hard_negatives import hard_negatives
 from .html_extract import extract
 from .language_model import score_documents
+from .merkle import manifest
 from .near_join import near_join
 from .packing import pack
 from .quality import classify
@@ -70,10 +71,17 @@ def op11_hard_negatives(spark, sf_dir):
     return found.drop("anchor_key", "positive_key")
 
 
+def op12_merkle_manifest(spark, sf_dir):
+    docs, capitals = table(spark, sf_dir, "documents"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.when(hit, F.translate("text", capitals, capitals.lower())).otherwise(F.col("text"))
+    return manifest(spark, docs, tampered={"text": lowered})
+
+
 QUERIES = {f.__name__: f for f in (
     op1_vector_packing, op2_ngram_jaccard_join, op3_exact_dedup, op4_quality_classifier, op5_token_output,
     op6_secret_scan, op7_html_extraction, op8_decontamination, op9_pii_surrogates, op10_lattice_scores,
-    op11_hard_negatives,
+    op11_hard_negatives, op12_merkle_manifest,
 )}
 
 SQL = {
@@ -103,4 +111,24 @@ SQL = {
             FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
         SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
     """,
+    "op12_merkle_manifest": """
+        WITH RECURSIVE crc AS (SELECT list(list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+        f AS (SELECT *, CASE WHEN xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: xor(a // 256, t[(xor(a, b) % 256) + 1]), 4294967295), 4294967295) % 5 = 0
+            THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS low,
+            CASE WHEN doc_id IS NULL THEN '-' ELSE len(CAST(doc_id AS VARCHAR)) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+            || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE len(CAST(n_chars AS VARCHAR)) || ':' || n_chars END AS head FROM documents, crc),
+        d AS (SELECT doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf, sha256(head || CASE WHEN low IS NULL THEN '-' ELSE strlen(low) || ':' || low END) AS other FROM f),
+        l AS (SELECT *, coalesce('=' || source, '-') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+        t AS (SELECT g, 0 AS level, list(leaf ORDER BY i) AS nodes FROM l GROUP BY g
+            UNION ALL SELECT g, level + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1 : i + 16], ''))) FROM t WHERE len(nodes) > 1),
+        s AS (SELECT g, nodes[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS i FROM t WHERE len(nodes) = 1),
+        u AS (SELECT 0 AS level, list(subroot ORDER BY i) AS nodes FROM s
+            UNION ALL SELECT level + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1 : i + 16], ''))) FROM u WHERE len(nodes) > 1),
+        steps AS (SELECT l.doc_id, l.leaf, l.other, l.g, l.i, t.level, nodes, l.i // CAST(pow(16, t.level) AS BIGINT) AS k FROM l JOIN t ON l.g = t.g AND len(nodes) > 1
+            UNION ALL SELECT l.doc_id, l.leaf, l.other, l.g, l.i, 100 + u.level, nodes, s.i // CAST(pow(16, u.level) AS BIGINT) FROM l JOIN s ON l.g = s.g JOIN u ON len(nodes) > 1),
+        p AS (SELECT g, i, list(array_to_string(nodes[k - k % 16 + 1 : k], '') || '|' || array_to_string(nodes[k + 2 : k - k % 16 + 16], '') ORDER BY level) AS proof FROM steps GROUP BY g, i),
+        r AS (SELECT l.doc_id, l.leaf, s.subroot, (SELECT nodes[1] FROM u WHERE len(nodes) = 1) AS root, sha256(replace(array_to_string(coalesce(proof, []), ''), '|', '')) AS proof_sha256,
+            coalesce(list_reduce(proof, lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2)), other), other) AS folded_root FROM l JOIN s ON l.g = s.g LEFT JOIN p ON p.g = l.g AND p.i = l.i)
+        SELECT *, folded_root = root AS verified FROM r
+    """,
 }
