@@ -15,6 +15,7 @@ from .packing import pack
 from .quality import classify
 from .secrets import find_secrets
 from .surrogates import replace_entities
+from .token_counts import token_counts
 from .token_output import token_output
 
 #: Key of the surrogates in the query; a deployment passes its own.
@@ -78,10 +79,14 @@ def op12_merkle_manifest(spark, sf_dir):
     return manifest(spark, docs, tampered={"text": lowered})
 
 
+def op13_token_counts(spark, sf_dir):
+    return token_counts(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_vector_packing, op2_ngram_jaccard_join, op3_exact_dedup, op4_quality_classifier, op5_token_output,
     op6_secret_scan, op7_html_extraction, op8_decontamination, op9_pii_surrogates, op10_lattice_scores,
-    op11_hard_negatives, op12_merkle_manifest,
+    op11_hard_negatives, op12_merkle_manifest, op13_token_counts,
 )}
 
 SQL = {
