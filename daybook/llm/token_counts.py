@@ -29,13 +29,15 @@ from .tokens import vocabulary_path
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 512
 #: Bytes of a chunk, of text taken at a time, and chunk maps that are composed at a time.
-CHUNK_BYTES, STEP_BYTES, FAN = 1 << 16, 4 << 20, 64
+CHUNK_BYTES, STEP_BYTES, FAN = 1 << 16, 2 << 20, 64
 #: Counter states held by a worker, and remembered pairs and rests of words; a word that leaves the states is
 #: carried on byte by byte. When one word in so many does, the states are those of other text, and are made anew.
-STATES, MEMO, RARE = 1 << 17, 1_000_000, 10
+STATES, MEMO, RARE = 3 << 16, 400_000, 10
 #: Characters of a lane of the splitter, and lanes of the counter below which it goes on byte by byte.
 LANE, FEW = 256, 16
-SHIFT, BIAS = 18, 256  # a state's number, and a change, in an entry of the counter's table
+SHIFT, BIAS = 18, 1 << 10  # a state's number, and a change, in an entry of the counter's table
+SPREAD = np.int64(0x9E3779B97F4A7C15 - (1 << 64))  # an odd multiplier that scatters keys (golden ratio)
+LOW, LOWER, SINK = (1 << 18) - 1, (1 << 36) - 1, 2 | BIAS << SHIFT
 # States of the splitter: a new word must start, or one of letters, of numbers, of other characters, of white
 # space is open, a space that joins what follows, and one or two letters of a contraction are to come.
 NEW, LETTERS, NUMBERS, OTHERS, SPACES, JOIN, ONE_MORE, TWO_MORE = range(8)
@@ -131,9 +133,7 @@ class Transducer:
                     self.token_at.append(-1)
                     self.inner.append(False)
             self.token_at[node] = i
-        parts = {merged: (a, b, rank) for (a, b), (rank, merged) in sorted(self.merge.items(), key=lambda x: -x[1][0])}
-        self.left_edge = {i: self._edge(parts, i, 0) for i in self.bytes_of}
-        self.right_edge = {i: self._edge(parts, i, 1) for i in self.bytes_of}
+        self.parts = {merged: (a, b, rank) for (a, b), (rank, merged) in sorted(self.merge.items(), key=lambda x: -x[1][0])}
         self.fit: dict[int, bool] = {}
         self.pieces = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
@@ -141,13 +141,40 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        """Forget the counter's states. An entry of the table is the next state and one in its low SHIFT bits (0:
-        not yet known), and above them the change of the number of tokens and BIAS."""
-        self.known = [((0, -1, 0),), ()]  # the start, and a sink
+        """Forget the counter's states. Transitions lie in an open-addressed table by state and byte; an entry is
+        the next state and one in its low SHIFT bits, and above them the change of the number of tokens and BIAS."""
+        self.known = [(BIAS,), ()]  # the start, and a sink
         self.number = {self.known[0]: 0}
-        self.table = np.zeros(self.most * 256, np.int32)
-        self.table[256:512] = 2 | BIAS << SHIFT
+        self.bits = (4 * (self.most + 256) - 1).bit_length()
+        self.keys, self.entries = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        self.filled = 0
         self.rests: dict[tuple[int, bytes], int] = {}
+        for b in range(256):
+            self.insert(256 + b, SINK)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return keys * SPREAD >> 64 - self.bits & len(self.keys) - 1
+
+    def insert(self, key: int, entry: int) -> None:
+        slot = int(self.slots(np.array([key]))[0])
+        while self.keys[slot] >= 0:
+            slot = slot + 1 & len(self.keys) - 1
+        self.keys[slot], self.entries[slot] = key, entry
+        self.filled += 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entries of transitions; 0 for those not there."""
+        slot = self.slots(keys)
+        held, out = self.keys.take(slot), self.entries.take(slot)
+        left = np.flatnonzero(held != keys)
+        out[left] = 0
+        left = left[held[left] >= 0]
+        while len(left):
+            at = slot[left] = slot[left] + 1 & len(self.keys) - 1
+            held = self.keys[at]
+            out[left] = np.where(held == keys[left], self.entries[at], 0)
+            left = left[(held != keys[left]) & (held >= 0)]
+        return out
 
     def encode(self, data: bytes) -> list[int]:
         """A word's tokens, merged pair by pair; for two tokens at most."""
@@ -159,16 +186,15 @@ class Transducer:
             ids[best[2] : best[2] + 2] = [best[1]]
         return ids
 
-    @staticmethod
-    def _edge(parts: dict, token: int, side: int) -> list[tuple[int, int]]:
+    def _edge(self, token: int, side: int) -> Iterator[tuple[int, int]]:
         """What stands at one edge of a token while it is merged: (token, rank of the merge that ends it)."""
-        out, ends = [], 1 << 40
+        ends = 1 << 40
         while True:
-            out.append((token, ends))
-            if token not in parts:
-                return out
-            ends = parts[token][2]
-            token = parts[token][side]
+            yield token, ends
+            if token not in self.parts:
+                return
+            *sides, ends = self.parts[token]
+            token = sides[side]
 
     def fits(self, last: int, token: int) -> bool:
         """Whether token can follow last (-1: starts a word): it is its own encoding, and no merge of what stands
@@ -180,27 +206,29 @@ class Transducer:
                 found = self.encode(self.bytes_of[token]) == [token]
             else:
                 found = self.fits(-1, token)
-                for a, ends_a in self.right_edge[last] if found else ():
-                    for b, ends_b in self.left_edge[token]:
+                right = list(self._edge(token, 0))
+                for a, ends_a in self._edge(last, 1) if found else ():
+                    for b, ends_b in right:
                         rank = self.merge.get((a, b), (1 << 41,))[0]
                         if rank < ends_a and rank <= ends_b:
                             found = False
             self.fit[key] = found
         return found
 
-    def step(self, state: tuple, byte: int) -> tuple[tuple, int]:
-        """The next state, and the change of the number of tokens."""
+    def step(self, state: tuple[int, ...], byte: int) -> tuple[tuple[int, ...], int]:
+        """The next state, and the change of the number of tokens. A place of a state is one number: its node, the
+        last token before it (and one, 0 for none) and the tokens since (and BIAS)."""
         grown, found, change = [], -1, 0
-        for node, last, since in state:
-            child = self.child.get(node << 8 | byte)
+        for place in state:
+            child = self.child.get(place >> 36 << 8 | byte)
             if child is None:
                 continue
             token = self.token_at[child]
-            if found < 0 and token >= 0 and self.fits(last, token):
-                found, change = token, 1 - since
+            if found < 0 and token >= 0 and self.fits((place >> 18 & LOW) - 1, token):
+                found, change = token, 1 + BIAS - (place & LOW)
             if self.inner[child]:
-                grown.append((child, last, since))
-        return (*((node, last, since + change) for node, last, since in grown), (0, found, 0)), change
+                grown.append(child << 36 | place & LOWER)
+        return (*(place + change for place in grown), found + 1 << 18 | BIAS), change
 
     def compile(self, at: int) -> None:
         """Fill in a transition, if there is room for its state."""
@@ -211,9 +239,10 @@ class Transducer:
                 return
             number = self.number[state] = len(self.known)
             self.known.append(state)
-        self.table[at] = number + 1 | change + BIAS << SHIFT
+        if self.filled < 2 * self.most + 256:
+            self.insert(at, number + 1 | change + BIAS << SHIFT)
 
-    def count_word(self, data: bytes, state: tuple = ((0, -1, 0),)) -> int:
+    def count_word(self, data: bytes, state: tuple[int, ...] = (BIAS,)) -> int:
         total = 0
         for b in data:
             state, change = self.step(state, b)
@@ -224,7 +253,7 @@ class Transducer:
         """What the rest of a word adds, from a state of the table."""
         found = self.rests.get((state, rest))
         if found is None:
-            if len(self.rests) >= MEMO // 4:
+            if len(self.rests) >= MEMO // 2:
                 self.rests.clear()
             found = self.rests[state, rest] = self.count_word(rest, self.known[state])
         return found
@@ -237,18 +266,18 @@ class Transducer:
         begin, size = starts[order], np.minimum(sizes[order], 65535)
         end = begin + sizes[order]
         state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        at, left = 0, 0
-        while (k := int(np.searchsorted(-size, -at, side="left"))) >= FEW:
-            where = state[:k] * 256 + data[begin[:k] + at]
-            entry = self.table[where]
+        at, left, ascending = 0, 0, size[::-1]
+        while (k := len(size) - int(np.searchsorted(ascending, at, side="right"))) >= FEW:
+            where = state[:k] << 8 | data.take(begin[:k] + at)
+            entry = self.find(where)
             if not entry.all():
                 for missing in np.unique(where[entry == 0]).tolist():
                     self.compile(missing)
-                entry = self.table[where]
+                entry = self.find(where)
                 full = np.flatnonzero(entry == 0)
                 for i in full.tolist():
                     total[i] += self.count_rest(int(state[i]), data[begin[i] + at : end[i]].tobytes())
-                entry[full] = self.table[256]
+                entry[full] = SINK
                 left += len(full)
             total[:k] += (entry >> SHIFT) - BIAS
             state[:k] = (entry & (1 << SHIFT) - 1) - 1
