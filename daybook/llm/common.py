@@ -17,6 +17,8 @@ HOT_KEYS = 1000
 #: Bits of the filter that prunes rows ahead of an exact join: 16 for a key, within these bounds (16 MB at most).
 FILTER_LEAST, FILTER_MOST = 1 << 16, 1 << 27
 FILTER_PROBES = 4
+#: Rows of a block whose bits tell which of them go, and blocks (of some 560 bytes) that are broadcast at most.
+BLOCK_ROWS, BROADCAST_BLOCKS = 1 << 12, 1 << 16
 #: Rows in a batch of texts for Python.
 BATCH_ROWS = 1000
 
@@ -140,26 +142,36 @@ def prune_filter(keys: DataFrame, key: str):
     return passes(probes)
 
 
-def without_rows(spark: SparkSession, docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    """docs but for the rows whose keys (null like any other value) are in gone.
+def without_rows(spark: SparkSession, keyed: DataFrame, gone: DataFrame, row: str, most_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
+    """keyed, as with_row_key gives it, but for the rows whose key is in gone (a column of that name).
 
-    No text is shuffled to be dropped: rows that a filter over gone's keys clears stay where they are. Of the
-    others the keys alone are joined to gone, and the few that it does not have (the filter's false alarms)
-    make a second filter, which lets about their rows into the join that decides.
+    No row of keyed is shuffled, at any size, and nothing is decided by chance: what goes is a bit for each row
+    of a block of BLOCK_ROWS, and the blocks that have such bits are broadcast, most_blocks of them at most. If
+    there are more, the table is read in ranges of its keys, a part for each broadcast, and what stays is
+    written: each part reads its own files only, as keys ascend from file to file.
     """
-    mark, *names = free_names(docs, "_mark", "_gone_mark", *(f"_gone_{k}" for k in keys))
-    hashed = F.xxhash64(*keys)
-    marked, other = docs.withColumn(mark, hashed), gone.select(hashed.alias(names[0]), *(F.col(k).alias(n) for k, n in zip(keys, names[1:], strict=True)))
-    same = F.col(mark) == F.col(names[0])
-    for k, n in zip(keys, names[1:], strict=True):
-        same = same & F.col(k).eqNullSafe(F.col(n))
-    passes = prune_filter(other.select(F.col(names[0]).alias(mark)), mark)
-    stay = materialise(spark, marked.where(passes).select(mark, *keys).join(other, same, "left_anti").select(mark), "stay")
-    cleared = marked.where(~passes)
-    if not stay.limit(1).count():
-        return cleared.drop(mark)
-    asked = marked.where(passes).where(prune_filter(stay, mark))
-    return cleared.unionByName(asked.join(other, same, "left_anti")).drop(mark)
+    block, held, bits = free_names(keyed, "_block", "_held", "_bits")
+    key = F.col(row)
+    words = gone.groupBy(F.shiftright(key, 12).alias(block), F.shiftright(key, 6).bitwiseAND(63).cast("int").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(`{row}` & 63 as int)))").alias("b"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at(F.col(held), i), F.lit(0).cast("long")))
+    blocks = words.groupBy(block).agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias(held)).select(block, full.alias(bits))
+    blocks = materialise(spark, blocks, "gone")
+
+    def left(rows: DataFrame, own: DataFrame) -> DataFrame:
+        asked = rows.withColumn(block, F.shiftright(key, 12)).join(F.broadcast(own), block, "left")
+        goes = F.expr(f"shiftright(get(`{bits}`, cast(shiftright(`{row}`, 6) & 63 as int)), cast(`{row}` & 63 as int)) & 1")
+        return asked.where(F.coalesce(goes, F.lit(0).cast("long")) == 0).drop(block, bits)
+
+    n = blocks.count()
+    if n <= most_blocks:
+        return left(keyed, blocks)
+    parts = -(-n // (most_blocks // 2))
+    cuts = [None, *sorted({int(x) for x in blocks.approxQuantile(block, [k / parts for k in range(1, parts)], 0.1 / parts)}), None]
+    path = new_path(spark, "left")
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        within = lambda c, a=a, b=b, scale=1: (F.lit(True) if a is None else c >= a * scale) & (F.lit(True) if b is None else c < b * scale)
+        left(keyed.where(within(key, scale=BLOCK_ROWS)), blocks.where(within(F.col(block)))).write.mode("append").parquet(path)
+    return spark.read.schema(keyed.schema).parquet(path)
 
 
 def stream_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:

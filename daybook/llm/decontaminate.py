@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of, with_row_key
+from .common import materialise, text_of, with_row_key, without_rows
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Signature rows (of 8 bytes and an id) that are broadcast at most; more are joined by a salted shuffle.
@@ -133,5 +133,4 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, th
     keyed, row = with_row_key(spark, docs)
     searched = keyed if null_ids else keyed.where(keyed["doc_id"].isNotNull())
     found = contaminated(spark, searched.select(F.col(row).alias("doc_id"), "text"), items, threshold, width)
-    found = materialise(spark, found.select(F.col("doc_id").alias(row)).distinct(), "contaminated")
-    return keyed.join(found, row, "left_anti").select(*docs.columns)
+    return without_rows(spark, keyed, found.select(F.col("doc_id").alias(row)), row).select(*docs.columns)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, free_names, materialise, new_path, prune_filter, skew_join, text_of, without_rows
+from .common import HOT_KEYS, materialise, new_path, prune_filter, skew_join, text_of, with_row_key, without_rows
 
 #: Digests a memtable holds before it is flushed as a run.
 MEMTABLE_ROWS = 200_000
@@ -127,21 +127,20 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, keep: str = "min", memtabl
     return found.withColumn("verified", F.when(F.col("group_size") > 1, F.lit(True)))
 
 
-def keep_first_copies(spark: SparkSession, docs: DataFrame, keep: str = "min") -> DataFrame:
-    """Rows of docs that stay, with all their columns: one of each group of equal texts.
+def keep_first_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Rows of docs that stay, with all their columns: of each group of equal texts the one of the least doc_id,
+    and one without an id only where no row of the group has one.
 
-    Only the ids and digests of rows that go are joined to the documents: rows that share an id, or
-    have none, go or stay by their own text. Of rows repeated with the same id and text, one stays. Null
-    text is equal to an empty one. Columns may have any names; an empty table stays empty.
+    Rows are told apart by a key of their own, so those that share an id, or have none, go or stay by their own
+    text, and of repeated rows one stays. Null text is equal to an empty one. Columns may have any names; an
+    empty table stays empty. No text is shuffled but those that have copies, for verification.
     """
-    own_id, own_sha, id_, sha, again_ = free_names(docs, "_own_id", "_own_sha", "_id", "_sha", "_again")
-    found = exact_dedup(spark, docs, keep).where("not kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha), "keep_id")
-    gone = materialise(spark, found.groupBy(id_, sha).agg(F.max(F.col(id_).eqNullSafe(F.col("keep_id"))).alias(again_)), "copies")
-    again = gone.where(again_)
-    keyed = docs.withColumns({own_id: docs["doc_id"].cast("long"), own_sha: F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)})
-    left = without_rows(spark, keyed, gone.select(F.col(id_).alias(own_id), F.col(sha).alias(own_sha)), [own_id, own_sha])
-    if again.limit(1).count():
-        same = F.col(own_id).eqNullSafe(F.col(id_)) & (F.col(own_sha) == F.col(sha))
-        asked = keyed.where(prune_filter(again.select(F.col(sha).alias(own_sha)), own_sha))
-        left = left.unionByName(asked.join(again, same, "left_semi").dropDuplicates([own_id, own_sha]))
-    return left.select(*docs.columns)
+    keyed, row = with_row_key(spark, docs)
+    found = exact_dedup(spark, keyed.select(F.col(row).alias("doc_id"), "text")).where("group_size > 1")
+    ids = keyed.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    copies = materialise(spark, found.select(F.col("doc_id").alias("row"), F.col("text_sha256").alias("digest")).join(ids, "row"), "copies")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
+    groups = materialise(spark, copies.groupBy("digest").agg(F.min(order)["row"].alias("stays"), F.count("*").alias("n")), "copy-heads")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    gone = skew_join(copies, groups, "digest", "n", "row", total).where("row <> stays").select(F.col("row").alias(row))
+    return without_rows(spark, keyed, gone, row).select(*docs.columns)

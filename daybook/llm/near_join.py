@@ -333,5 +333,5 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, threshold: float = T
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
     groups = materialise(spark, linked.groupBy("group_id").agg(F.min(order)["row"].alias("stays"), F.count("*").alias("n")), "near-heads")
     total = groups.agg(F.sum("n")).first()[0] or 0
-    gone = materialise(spark, skew_join(linked, groups, "group_id", "n", "row", total).where("row <> stays").select(F.col("row").alias(row)), "near-copies")
-    return without_rows(spark, keyed, gone, [row]).select(*docs.columns)
+    gone = skew_join(linked, groups, "group_id", "n", "row", total).where("row <> stays").select(F.col("row").alias(row))
+    return without_rows(spark, keyed, gone, row).select(*docs.columns)

@@ -267,16 +267,33 @@ def test_near_join_equals_brute_force(spark, texts, sf):
         assert r.n_texts == len({frozenset(sets[j]) for j in links[r.doc_id]} - {frozenset(sets[r.doc_id])})
 
 
-def test_rows_are_taken_out_whatever_the_filter_lets_through(spark, monkeypatch):
-    """Also with a filter so small that most rows pass it, null keys and repeated rows."""
-    docs = spark.range(2000).select(F.when(F.col("id") % 10 != 3, F.col("id") % 1500).alias("k"), (F.col("id") % 7).cast("string").alias("t"), F.lit("x").alias("_mark"))
-    gone = docs.where("k % 3 = 0 or (k is null and t = '2')").select("k", "t").distinct()
-    want = sorted((str(r.k), r.t) for r in docs.collect() if not (r.k is not None and r.k % 3 == 0) and not (r.k is None and r.t == "2"))
-    for least in (common.FILTER_LEAST, 64):
-        monkeypatch.setattr(common, "FILTER_LEAST", least)
-        monkeypatch.setattr(common, "FILTER_MOST", max(least, 1024))
-        left = common.without_rows(spark, docs, gone, ["k", "t"])
-        assert sorted((str(r.k), r.t) for r in left.collect()) == want and left.columns == docs.columns
+@pytest.mark.parametrize("most", [common.BROADCAST_BLOCKS, 2])
+def test_rows_are_taken_out_in_one_broadcast_or_in_ranges(spark, most):
+    docs = spark.range(0, 50_000, 1, 5).select(F.col("id").alias("doc_id"), F.lit("x").alias("_block"), F.lit(1).alias("_bits"))
+    keyed, row = common.with_row_key(spark, docs)
+    goes = "doc_id % 3 = 0 and doc_id not between 20000 and 32000 or doc_id = 49999 or doc_id between 4032 and 4160"
+    gone = keyed.where(goes).select(row)
+    for some in (gone, gone.union(gone)):
+        left = common.without_rows(spark, keyed, some, row, most)
+        assert left.columns == keyed.columns and [r.doc_id for r in left.orderBy("doc_id").collect()] == [r.doc_id for r in docs.where(f"not ({goes})").orderBy("doc_id").collect()]
+    assert common.without_rows(spark, keyed, gone.limit(0), row, most).count() == 50_000
+
+
+def exchanged(df):
+    """Columns under the exchanges of a plan but broadcasts."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+
+
+@pytest.mark.parametrize("stage", ["exact", "near", "decontaminate"])
+def test_no_stage_shuffles_rows_to_drop_some(spark, sf, docs, stage):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        left = getattr(corpus_pipeline, stage)(spark, docs, sf)
+        assert exchanged(left) == [] and 0 < left.count() < docs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
 
 
 def test_components_of_chains_stars_and_random_graphs(spark):
@@ -824,7 +841,7 @@ def test_oracles(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(SQL[name]).fetchdf()
     got = QUERIES[name](spark, sf).toPandas()
