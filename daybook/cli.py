@@ -16,6 +16,7 @@ from .operators import analysis, search
 from .operators.tables import Diary
 from .sources import vault as notes_vault
 from .sources import writers
+from .sources.segments import SegmentedIndex
 from .streaming.watch import watch
 
 INDEX = ".index"
@@ -89,7 +90,9 @@ def run_recall(spark, root, args, today):
     if args.digest:
         return nested(analysis.digest(diary, *window(args, today, "7d")))[0]
     start, end = window(args, today, None)
-    index = search.build_index(spark, diary.entries, f"{root}/{INDEX}/postings")
+    kept = SegmentedIndex(spark, f"{root}/{INDEX}/segments")
+    kept.sync(diary.entries)  # only what has changed is indexed
+    index = kept.open()
     found = nested(search.recall(diary, index, args.query, args.entity, args.relation, args.kind, start, end, args.limit))
     context = nested(search.entity_context(diary, args.entity if args.entity is not None else args.query))
     return {"query": args.query, "entity": args.entity, "relation": args.relation, "type": args.kind, "count": found[0]["total"] if found else 0, "results": found, "entity_context": context}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..operators import analysis, search
 from ..operators.tables import Diary
-from ..sources import storage, vault, writers
+from ..sources import segments, storage, vault, writers
 from . import views
 
 START, END = "1998-01-01", "1998-06-30"
@@ -384,6 +384,21 @@ def _(spark: SparkSession, sf_dir: str):
     return t.select("id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("digest"))
 
 
+_BATCHES = """docs AS (SELECT CAST(doc_id AS VARCHAR) AS id, list_filter(regexp_split_to_array(lower(replace(replace(strip_accents(CASE WHEN doc_id % 3 = 1 THEN 'edited ' ELSE '' END || coalesce(text, '')), 'đ', 'd'), 'Đ', 'D')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t
+    FROM documents WHERE doc_id % 5 <> 0)"""
+
+
+@query("i1_index_in_batches", _bm25_sql("edited " + QUERY) + " SELECT id, round(score, 6) AS score FROM scored", with_diary=False, ahead=_BATCHES)
+def _(spark: SparkSession, sf_dir: str):
+    """Two thirds of the documents, then the last third and edits of the second, then a fifth taken out."""
+    docs = views.corpus(spark, sf_dir)
+    third, index = F.col("id").cast("long") % 3, segments.SegmentedIndex(spark, storage.new_path(spark, "segments"), fanout=2)
+    index.apply(docs.where(third != 2))
+    index.apply(docs.where(third != 0).withColumn("body", F.when(third == 1, F.concat(F.lit("edited "), "body")).otherwise(F.col("body"))))
+    index.apply(deletes=docs.where(F.col("id").cast("long") % 5 == 0).select("id"))
+    return search.bm25(index.open(), "edited " + QUERY).select("id", F.round("score", 6).alias("score"))
+
+
 @query("i1_postings", " SELECT token, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT id) AS BIGINT) AS entries FROM (SELECT id, unnest(t) AS token FROM docs) GROUP BY token", with_diary=False)
 def _(spark: SparkSession, sf_dir: str):
     return views.index_of(spark, sf_dir).postings.groupBy("token").agg(F.sum("tf").alias("n"), F.count("*").alias("entries"))
