@@ -114,3 +114,57 @@ def infer_event_date(text: str, today: date) -> tuple[str, str, bool] | None:
             if day:
                 return day, phrase or m[0], guessed
     return None
+
+
+def _let(value: Column, use) -> Column:
+    """use of value, which is evaluated once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _date(y: Column, m: Column, d: Column) -> Column:
+    """An ISO date of three strings of digits, null where the calendar has none."""
+    made = F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
+    return _let(made, lambda x: F.when(x.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & (F.substring(x, 1, 4) > "0000"), F.date_format(x.try_cast("date"), "yyyy-MM-dd")))
+
+
+def _latest_of(today: Column, m: Column, d: Column) -> Column:
+    last = _date((F.year(today) - 1).cast("string"), m, d)
+    return _let(_date(F.year(today).cast("string"), m, d), lambda this: F.when(this <= F.date_format(today, "yyyy-MM-dd"), this).when(this.isNotNull(), last))
+
+
+def event_date(text: Column, today: Column) -> Column:
+    """infer_event_date as an expression: a struct of day, phrase and guessed, null where no rule gives a date.
+
+    today is a date column. The first match of a rule counts; where it is no calendar date, the next rule is
+    asked. Text whose letters are stored decomposed is not composed first.
+    """
+    low = F.lower(text)
+
+    def rule(groups: int, pattern: str, where: Column, resolve, phrase: str | None = None, guessed=None) -> Column:
+        whole = "(?U)" + _B + pattern
+        matched = F.when(where.rlike(whole), F.array(*(F.regexp_extract(where, whole, k) for k in range(groups + 1))))
+
+        def found(g: Column) -> Column:
+            of = lambda k: F.get(g, F.lit(k))
+            told = F.lit(phrase) if phrase else of(0)
+            return _let(F.when(g.isNotNull(), resolve(of)), lambda day: F.when(day.isNotNull(), F.struct(day.alias("day"), told.alias("phrase"), (F.lit(False) if guessed is None else guessed(of)).alias("guessed"))))
+
+        return _let(matched, found)
+
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd")
+    back = lambda days: iso(F.date_sub(today, days))
+    before = lambda weekday: back((F.dayofweek(today) - 2 - weekday + 7) % 7 + 1)  # noqa: E731  weekday: 0 is Sunday
+    named = lambda g: F.when(g(1) == "", F.lit(0)).otherwise(g(1).try_cast("int") - 1)
+    # The phrases, in the order in which they are tried.
+    rules = [
+        rule(3, r"([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})" + _E, text, lambda g: _date(g(3), g(2), g(1))),
+        rule(3, r"ngày\s+([0-9]{1,2})\s+tháng\s+([0-9]{1,2})(?:\s+năm\s+([0-9]{4}))?" + _E, low, lambda g: F.when(g(3) != "", _date(g(3), g(2), g(1))).otherwise(_latest_of(today, g(2), g(1))), guessed=lambda g: g(3) == ""),
+        rule(2, r"(?:hôm|ngày)\s+([0-9]{1,2})/([0-9]{1,2})" + _E + r"(?!\s*[/-]?[0-9])", low, lambda g: _latest_of(today, g(2), g(1)), guessed=lambda g: F.lit(True)),
+        rule(0, r"hôm\s+qua" + _E, low, lambda g: back(1), "hôm qua"),
+        rule(0, r"hôm\s+kia" + _E, low, lambda g: back(2), "hôm kia"),
+        rule(1, r"(?:thứ\s+([2-7])|chủ\s+nhật)\s+(?:vừa\s+rồi|tuần\s+trước)" + _E, low, lambda g: before(named(g))),
+        rule(0, r"cuối\s+tuần(?:\s+trước)?" + _E, low, lambda g: before(F.lit(6))),
+        rule(0, r"tuần\s+trước" + _E, low, lambda g: back(7), "tuần trước"),
+        rule(0, r"tháng\s+trước" + _E, low, lambda g: iso(F.date_add(F.add_months(F.trunc(today, "month"), -1), F.dayofmonth(today) - 1)), "tháng trước"),
+    ]
+    return F.coalesce(*rules)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..operators import analysis, search
 from ..operators.tables import Diary
-from ..sources import segments, storage, vault, writers
+from ..sources import sections, segments, storage, vault, writers
 from . import views
 
 START, END = "1998-01-01", "1998-06-30"
@@ -384,6 +384,63 @@ def _(spark: SparkSession, sf_dir: str):
     return t.select("id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("digest"))
 
 
+_FIELDS = ["mood:: calm/3\n", "tags:: red, blue\nwith:: [[Ann]], [[Bob|B]]\n", "superseded:: 2024-01-02#3\n", ""]
+_LINES = "lines AS (SELECT id, i, l[i + 1] AS line FROM (SELECT CAST(doc_id AS VARCHAR) AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(len(l))) r(i))"
+
+
+@query("h9_sections", """ SELECT id AS note, CAST(i AS INTEGER) AS ordinal, lpad(CAST(i % 24 AS VARCHAR), 2, '0') || ':30' AS time, CASE WHEN i % 4 = 0 THEN 'calm' END AS mood, CASE WHEN i % 4 = 0 THEN 3 END AS intensity,
+    CASE WHEN i % 4 = 2 THEN '2024-01-02#3' END AS superseded, CASE WHEN i % 4 = 1 THEN 'red,blue' ELSE '' END AS tags, CASE WHEN i % 4 = 1 THEN 'Ann,Bob' END AS with_, CASE WHEN trim(line) = '' THEN '' ELSE line END AS text FROM lines""", with_diary=False, ahead=_LINES)
+def _(spark: SparkSession, sf_dir: str):
+    """Every line of every document as a section of its note, under a heading and fields of four kinds."""
+    block = lambda x, i: F.concat(F.lit("## "), F.lpad((i % 24).cast("string"), 2, "0"), F.lit(":30\n"), F.get(F.array(*map(F.lit, _FIELDS)), i % 4), x)
+    notes = views.corpus(spark, sf_dir).select(F.col("id").alias("note"), F.array_join(F.transform(F.split("body", "\n", -1), block), "\n\n").alias("body"))
+    return sections.sections(notes).select("note", "ordinal", "time", "mood", "intensity", "superseded", joined("tags"), F.array_join(F.col("relations")["with"], ",").alias("with_"), "text")
+
+
+_TURNS = """turns AS (SELECT CAST(conv_id AS VARCHAR) AS note, CAST(turn AS BIGINT) AS ordinal, text, list_contains(regexp_split_to_array(lower(replace(replace(strip_accents(coalesce(text, '')), 'đ', 'd'), 'Đ', 'D')), '[^\\p{L}\\p{N}]+'), 'und') AS goes FROM conversations),
+    placed AS (SELECT *, ordinal - sum(CASE WHEN goes THEN 1 ELSE 0 END) OVER (PARTITION BY note ORDER BY ordinal) AS now, lead(goes) OVER (PARTITION BY note ORDER BY ordinal) AS next_goes FROM turns)"""
+
+
+@query("l5_forget_turns", " SELECT note, CAST(now AS BIGINT) AS ordinal, text, CASE WHEN NOT next_goes THEN CAST(now + 1 AS BIGINT) END AS newer FROM placed WHERE NOT goes", with_diary=False, ahead=_TURNS)
+def _(spark: SparkSession, sf_dir: str):
+    """Conversations without the turns that name a word; later turns move up, and what refers to the next turn follows it."""
+    rows = views.read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("note"), F.col("turn").cast("long").alias("ordinal"), "text", (F.col("turn") + 1).cast("long").alias("newer"))
+    doomed = rows.where(F.array_contains(text.tokens(F.coalesce("text", F.lit(""))), "und")).select("note", "ordinal")
+    return sections.forget_rows(rows, doomed, "newer")
+
+
+_TOLD = ["ngày {d} tháng {m}", "Ngày {d} tháng {m} năm {y}", "{d}/{m}/{y}", "hôm qua", "Hôm kia", "thứ {w} tuần trước", "chủ nhật vừa rồi", "cuối tuần", "tuần trước", "tháng trước", "31/{m}/{y} hôm qua", ""]
+_DAY, _MONTH, _YEAR, _WEEK = "doc_id % 31 + 1", "doc_id % 12 + 1", "1990 + doc_id % 40", "doc_id % 6 + 2"
+
+
+def _told(k: int, concat) -> str:
+    return concat([x for part in _TOLD[k].replace("{", "|{").replace("}", "}|").split("|") if (x := part)])
+
+
+def _sql_told(parts: list[str]) -> str:
+    values = {"{d}": _DAY, "{m}": _MONTH, "{y}": _YEAR, "{w}": _WEEK}
+    return " || ".join(f"CAST({values[p]} AS VARCHAR)" if p in values else f"'{p}'" for p in parts) or "''"
+
+
+_DATED = f"""d AS (SELECT doc_id, CAST(DATE '2023-01-01' + CAST(doc_id % 1000 AS INTEGER) AS DATE) AS today, CAST(doc_id % 12 AS INTEGER) AS k, {_DAY} AS d, {_MONTH} AS m, {_YEAR} AS y, {_WEEK} AS w FROM documents),
+    x AS (SELECT *, CAST(strftime(TRY_CAST(lpad(CAST(y AS VARCHAR), 4, '0') || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') AS DATE), '%Y-%m-%d') AS VARCHAR) AS told,
+        TRY_CAST(CAST(year(today) AS VARCHAR) || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') AS DATE) AS this,
+        TRY_CAST(CAST(year(today) - 1 AS VARCHAR) || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') AS DATE) AS last,
+        TRY_CAST(CAST(y AS VARCHAR) || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-31' AS DATE) AS late FROM d),
+    r AS (SELECT doc_id, k, CASE k WHEN 0 THEN CASE WHEN this <= today THEN this WHEN this IS NOT NULL THEN last END WHEN 1 THEN CAST(told AS DATE) WHEN 2 THEN CAST(told AS DATE) WHEN 3 THEN today - 1 WHEN 4 THEN today - 2
+        WHEN 5 THEN today - CAST((dayofweek(today) - (w - 1) + 6) % 7 + 1 AS INTEGER) WHEN 6 THEN today - CAST((dayofweek(today) + 6) % 7 + 1 AS INTEGER) WHEN 7 THEN today - CAST(dayofweek(today) % 7 + 1 AS INTEGER)
+        WHEN 8 THEN today - 7 WHEN 9 THEN CAST(date_trunc('month', today) - INTERVAL 1 MONTH AS DATE) + CAST(day(today) - 1 AS INTEGER) WHEN 10 THEN coalesce(late, today - 1) END AS day FROM x)"""
+
+
+@query("h27_event_dates", " SELECT doc_id, strftime(day, '%Y-%m-%d') AS day, k = 0 AS guessed FROM r WHERE day IS NOT NULL", with_diary=False, ahead=_DATED)
+def _(spark: SparkSession, sf_dir: str):
+    """The date that each document tells, relative to a day of its own: a phrase of some kind, then its text."""
+    docs = views.read(spark, sf_dir, "documents").withColumn("today", F.expr("date_add(date'2023-01-01', cast(doc_id % 1000 as int))"))
+    told = F.expr("CASE " + " ".join(f"WHEN doc_id % 12 = {k} THEN " + _told(k, _sql_told).replace("VARCHAR", "STRING") for k in range(len(_TOLD))) + " END")
+    found = F.filter(F.array(dates.event_date(F.concat_ws(" ", told, "text"), F.col("today"))), lambda e: e.isNotNull())
+    return docs.select("doc_id", F.inline(found)).drop("phrase")
+
+
 _BATCHES = """docs AS (SELECT CAST(doc_id AS VARCHAR) AS id, list_filter(regexp_split_to_array(lower(replace(replace(strip_accents(CASE WHEN doc_id % 3 = 1 THEN 'edited ' ELSE '' END || coalesce(text, '')), 'đ', 'd'), 'Đ', 'D')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t
     FROM documents WHERE doc_id % 5 <> 0)"""
 
