@@ -25,6 +25,8 @@ END_ID = 2
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 64, 4096
 #: Pieces a window may hold; a task's memory is bounded by this and the longest document.
 WINDOW = 2048
+#: Text that is encoded at a time, so that a worker stays small beside others that wait for work.
+BATCH_BYTES = 3 << 20
 #: Sequence ids of one task lie below this; the task's number is above.
 TASK_SEQUENCES = 1 << 36
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
@@ -156,7 +158,7 @@ def pack_rows(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, l
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"])
 
     packer = Packer(emit, *limits, window)
-    for batch in gather(batches):
+    for batch in gather(batches, BATCH_BYTES):
         ahead = [d for _, ids, places in encoder.encode(batch.column("prompt")) for d in rows_of(ids, places)] if prompted else [b""] * batch.num_rows
         for at, ids, places in encoder.encode(batch.column("text"), end_id):
             own = batch.column("doc_id").slice(at, len(places) - 1).to_pylist()
