@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import analysis, search
+from ..operators import analysis, merging, search
 from ..operators.tables import Diary
 from ..sources import sections, segments, storage, vault, writers
 from . import views
@@ -384,6 +384,48 @@ def _(spark: SparkSession, sf_dir: str):
     return t.select("id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("digest"))
 
 
+_MERGED = """move AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 16 <> 0 THEN s_suppkey - 1 ELSE s_suppkey + 15 END AS into_ FROM supplier WHERE s_suppkey % 16 <> 0 OR s_suppkey // 16 % 4 = 2),
+    m AS (SELECT move.k, into_ FROM move JOIN supplier ON s_suppkey = into_), walk AS (SELECT k, into_ AS stop FROM m UNION SELECT walk.k, m.into_ FROM walk JOIN m ON walk.stop = m.k),
+    ends AS (SELECT k, stop FROM walk WHERE stop NOT IN (SELECT k FROM m)), named AS (SELECT a.s_name AS name, b.s_name AS target FROM ends JOIN supplier a ON a.s_suppkey = k JOIN supplier b ON b.s_suppkey = stop)"""
+
+
+
+@query("l7_merge_suppliers", f""" SELECT coalesce(target, s_name) AS name, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS entries FROM lineitem JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN named ON named.name = s_name GROUP BY 1""", with_diary=False, ahead="RECURSIVE " + _MERGED)
+def _(spark: SparkSession, sf_dir: str):
+    """Suppliers merged in chains of up to sixteen, some in circles that are left alone: lines and orders of each."""
+    suppliers, lines = views.read(spark, sf_dir, "supplier"), views.read(spark, sf_dir, "lineitem")
+    resolved = merging.resolve(spark, _supplier_moves(suppliers))
+    sold = lines.join(suppliers.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("name")), "l_suppkey").select("l_orderkey", "name")
+    return merging.redirect_column(sold, resolved, "name").groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("entries"))
+
+
+def _supplier_moves(suppliers: DataFrame) -> DataFrame:
+    """Each supplier into the one before it, but for every sixteenth; some of these into the last of their sixteen."""
+    key, name = F.col("s_suppkey"), F.col("s_name")
+    into = F.when(key % 16 != 0, key - 1).when(F.floor(key / 16) % 4 == 2, key + 15)
+    moves = suppliers.select(name.alias("source"), into.alias("k")).where("k is not null")
+    return moves.join(suppliers.select(key.alias("k"), name.alias("into")), "k").select("source", "into")
+
+
+@query("g5_merged_aliases", """ SELECT s_name AS name, coalesce(string_agg(name, ',' ORDER BY name), '') AS aliases FROM supplier LEFT JOIN named ON target = s_name WHERE s_name NOT IN (SELECT name FROM named) GROUP BY s_name""", with_diary=False, ahead="RECURSIVE " + _MERGED)
+def _(spark: SparkSession, sf_dir: str):
+    """The suppliers that are left, with the names of those merged into them."""
+    suppliers = views.read(spark, sf_dir, "supplier")
+    entities = suppliers.select(F.col("s_name").alias("name"), F.array().cast("array<string>").alias("aliases"))
+    return merging.merged_aliases(entities, merging.resolve(spark, _supplier_moves(suppliers))).select("name", joined("aliases"))
+
+
+@query("h8_rewritten_links", """ SELECT CAST(l_orderkey AS VARCHAR) AS id, '[[' || string_agg(coalesce(target, s_name) || '|' || CAST(l_linenumber AS VARCHAR), ']] [[' ORDER BY l_linenumber, s_name) || ']] `[[' || CAST(l_orderkey AS VARCHAR) || ']]`' AS body
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN named ON named.name = s_name GROUP BY l_orderkey HAVING count(target) > 0""", with_diary=False, ahead="RECURSIVE " + _MERGED)
+def _(spark: SparkSession, sf_dir: str):
+    """Orders as notes that link the suppliers of their lines, with the links to merged ones rewritten."""
+    suppliers, lines = views.read(spark, sf_dir, "supplier"), views.read(spark, sf_dir, "lineitem")
+    sold = lines.join(suppliers.select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey").select(F.col("l_orderkey").cast("string").alias("entry_id"), "l_linenumber", F.col("s_name").alias("target"))
+    each = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "target"))), lambda x: F.concat(F.lit("[["), x["target"], F.lit("|"), x["l_linenumber"].cast("string"), F.lit("]]")))
+    notes = sold.groupBy(F.col("entry_id").alias("id")).agg(F.array_join(each, " ").alias("links")).select("id", F.concat("links", F.lit(" `[["), "id", F.lit("]]`")).alias("body"))
+    return merging.rewritten_bodies(notes, sold, merging.resolve(spark, _supplier_moves(suppliers)))
+
+
 _FIELDS = ["mood:: calm/3\n", "tags:: red, blue\nwith:: [[Ann]], [[Bob|B]]\n", "superseded:: 2024-01-02#3\n", ""]
 _LINES = "lines AS (SELECT id, i, l[i + 1] AS line FROM (SELECT CAST(doc_id AS VARCHAR) AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(len(l))) r(i))"
 

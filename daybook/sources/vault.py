@@ -259,11 +259,14 @@ def import_folder(spark: SparkSession, source: str, vault: str, dry_run: bool =
     # A bad block is no block of the count; an undated one is, and is bad too.
     marked = import_status(blocks.where("not bad"), log)
     counts = {r.status: r.n for r in marked.groupBy("status").agg(F.count("*").alias("n")).collect()}
-    created, failed = 0, 0
+    created, failed, file = 0, 0, None
     for r in marked.where("status = 'new'").orderBy("path", "pos").toLocalIterator():
+        if file not in (None, r.path) and not dry_run:
+            writers.write_import_log(_local(vault), known)  # after each file; within one, no section is added twice
+        file = r.path
         try:
             if not dry_run:
-                writers.append_entry(_local(vault), r.date, r.time, (f"tags:: {', '.join(r.tags)}\n" if r.tags else "") + r.text, r.mood)
+                writers.append_once(_local(vault), r.date, r.time, writers.with_tags(r.text, r.tags), r.mood)
             known.add(r.hash)
             created += 1
         except (OSError, ValueError):

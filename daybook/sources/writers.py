@@ -62,22 +62,42 @@ def vault_state(vault: str) -> str:
     return "current" if version == VERSION else "vault_older" if version < VERSION else "vault_newer"
 
 
-def append_entry(vault: str, day: str, time: str, text: str, mood: str | None = None, tags: list[str] | None = None, relations: dict[str, list[str]] | None = None) -> str:
-    """Add a section to the end of the day's note; returns its id. What the note has stays as it is, byte by
-    byte; the text stays but for blank lines ahead of it and white space at its end."""
-    path = note_path(vault, "journal", day)
-    if not path.exists():
-        write_file(path, f"# {day}\n")
+def entry_section(time: str, text: str, mood: str | None = None, tags: list[str] | None = None, relations: dict[str, list[str]] | None = None) -> str:
+    """A section as it is written: the text stays but for blank lines ahead of it and white space at its end."""
     fields = [f"mood:: {mood.strip()}"] if mood and mood.strip() else []
     fields += [f"tags:: {', '.join(tags)}"] if tags else []
     fields += [f"{verb}:: {', '.join(f'[[{t}]]' for t in targets)}" for verb, targets in (relations or {}).items()]
     body = re.sub(r"^(?:[ \t]*\r?\n)+", "", text).rstrip()
+    return f"\n## {time}\n" + "".join(f"{x}\n" for x in fields) + f"{body}\n"
+
+
+def append_entry(vault: str, day: str, time: str, text: str, mood: str | None = None, tags: list[str] | None = None, relations: dict[str, list[str]] | None = None) -> str:
+    """Add a section to the end of the day's note; returns its id. What the note has stays as it is, byte by byte."""
+    path = note_path(vault, "journal", day)
+    if not path.exists():
+        write_file(path, f"# {day}\n")
     ended = path.read_bytes()[-1:] in (b"\n", b"")
     with open(path, "a", encoding="utf-8", newline="") as f:
-        f.write(("" if ended else "\n") + f"\n## {time}\n" + "".join(f"{x}\n" for x in fields) + f"{body}\n")
+        f.write(("" if ended else "\n") + entry_section(time, text, mood, tags, relations))
     return f"{day}#{len(notes.parse_entries(notes.split_frontmatter(read_file(path))[1])) - 1}"
 
 
+def append_once(vault: str, day: str, time: str, text: str, mood: str | None = None) -> bool:
+    """Add a section unless the day's note has the very same one; the note is replaced whole, so that a crash
+    leaves it as it was or as it will be. Returns whether it was added."""
+    path, section = note_path(vault, "journal", day), entry_section(time, text, mood)
+    raw = read_file(path) or f"# {day}\n"
+    raw += "" if raw.endswith("\n") else "\n"
+    if raw.endswith(section) or section + "\n## " in raw:
+        return False
+    write_file(path, raw + section)
+    return True
+
+
+def with_tags(text: str, tags: list[str] | None) -> str:
+    return (f"tags:: {', '.join(tags)}\n" if tags else "") + text
+
+
 def read_import_log(vault: str) -> set[str]:
     """Hashes of imported blocks; a log that is missing or not as it should be counts as empty."""
     try:
