@@ -2,12 +2,16 @@
 
 A surrogate depends on the key and the entity alone, so an entity has one surrogate in all documents
 (coreference). A name that some document gives with a title is a person in all documents: its bare and
-partial mentions there get the same surrogate. Collision checks over all distinct entities give different entities different
-surrogates, and none that is another entity of the corpus.
+partial mentions there get the same surrogate. All entities of a format (the letters and digits of an email, the
+digits of a card or telephone number, an address's network) are numbered, and a keyed permutation of these
+numbers that leaves none in its place gives the surrogates: they are distinct however many entities of the
+format there are. Names have no such numbering: rounds of collision checks over all distinct names give
+different names different surrogates, and none that is another name of the corpus.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import hmac
 import ipaddress
@@ -30,6 +34,8 @@ IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3}
 #: Ten unbroken digits that can be a telephone number of the North American plan.
 PHONE_TEN = re.compile(r"(?<![\w.+-])[2-9]\d{2}[2-9]\d{6}(?![\w-])")
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)")
+#: National forms with a leading zero: an area code and two groups, or five pairs.
+PHONE_ZERO = re.compile(r"(?<![\w.+-])(?:0\d{2,4}[ -]\d{3,4}[ -]\d{4}|0[1-9](?:[ .-]\d{2}){4})(?![\w-]|[ .-]\d{2}(?!\d))")
 IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")
 IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{1,4}|(?<=::))(?!\w)")
 # Titles, with the gender they tell ('f', 'm' or '' for either) and the script of the name.
@@ -120,6 +126,7 @@ def find_entities(text: str, known: frozenset[str] = frozenset()) -> list[tuple[
         found += [(m.start(), m.end(), 1, re.sub(r"\D", "", m[0]), "") for m in CARD.finditer(text)]
         found += [(m.start(), m.end(), 1, c, "") for m in CARD_OTHER.finditer(text) if luhn_sum(c := re.sub(r"\D", "", m[0])) % 10 == 0]
         found += [(m.start(), m.end(), 2, re.sub(r"[^\d+]", "", m[0]), "") for m in PHONE.finditer(text)]
+        found += [(m.start(), m.end(), 2, re.sub(r"\D", "", m[0]), "") for m in PHONE_ZERO.finditer(text)]
         found += [(m.start(), m.end(), 2, m[0], "") for m in PHONE_TEN.finditer(text)]
         found += [(m.start(), m.end(), 5, m[0].replace("-", ""), "") for m in NATIONAL.finditer(text)]
         found += [(m.start(), m.end(), 6, c, "") for m in IBAN.finditer(text) if 15 <= len(c := m[0].replace(" ", "")) <= 34 and iban_sum(c) == 1]
@@ -172,49 +179,108 @@ def script_of(name: str) -> str:
     return "greek" if re.search("[Ͱ-Ͽ]", name) else "cyrillic" if re.search("[Ѐ-ӿ]", name) else "latin"
 
 
+class Permutation:
+    """A keyed permutation of range(n), all of it one cycle: no number stays in its place (unless it is alone).
+
+    A Feistel network on an even number of bits, walked until it is back below n, is a permutation P; the
+    cycle x -> x + 1 is seen through it.
+    """
+
+    def __init__(self, key: bytes, label: str, n: int, rounds: int = 6):
+        self.n, self.rounds = n, rounds
+        self.half = max(1, ((n - 1).bit_length() + 1) // 2)
+        self.seed = hmac.new(key, label.encode(), hashlib.sha256).digest()
+
+    def _mix(self, r: int, x: int) -> int:
+        size = (self.half + 7) // 8
+        mixed = hashlib.shake_256(self.seed + bytes([r]) + x.to_bytes(size, "big")).digest(size)
+        return int.from_bytes(mixed, "big") & ((1 << self.half) - 1)
+
+    def _walk(self, x: int, rounds: range, back: bool) -> int:
+        while True:
+            a, b = x >> self.half, x & ((1 << self.half) - 1)
+            for r in rounds:
+                a, b = (b ^ self._mix(r, a), a) if back else (b, a ^ self._mix(r, b))
+            x = a << self.half | b
+            if x < self.n:
+                return x
+
+    def move(self, x: int) -> int:
+        y = (self._walk(x, range(self.rounds), back=False) + 1) % self.n
+        return self._walk(y, range(self.rounds - 1, -1, -1), back=True)
+
+
+def permuted(key: bytes, kind: str, text: str, label: str = "") -> str:
+    """text with its ASCII letters and digits replaced by others of the same class: one permutation for all texts
+    of the same classes, case, length and label."""
+    base = [26 if c.isalpha() else 10 if c.isdigit() else 1 for c in text]
+    shape_ = "".join("a" if "a" <= c <= "z" else "A" if c.isalpha() else "0" if c.isdigit() else c for c in text)
+    number = size = 0
+    for c, n in zip(text, base, strict=True):
+        number = number * n + (ord(c.lower()) - 97 if n == 26 else int(c) if n == 10 else 0)
+    size = 26 ** base.count(26) * 10 ** base.count(10)
+    number, out = Permutation(key, f"{kind}\0{label}\0{shape_}", size).move(number), []
+    for c, n in zip(reversed(text), reversed(base), strict=True):
+        number, d = divmod(number, n)
+        out.append(c if n == 1 else str(d) if n == 10 else chr((97 if c.islower() else 65) + d))
+    return "".join(reversed(out))
+
+
+def _address(key: bytes, entity: str) -> str:
+    """An address of the same version and network: of the same first octets where it is private, else of the
+    same head (IPv6) or none (IPv4), and private or not as before."""
+    own = ipaddress.ip_address(entity)
+    number, bits = int(own), 32 if own.version == 4 else 128
+    if own.version == 6:
+        if own.is_private and not re.match("f[cd]|fe[89ab]", own.exploded):
+            mixed = hmac.new(key, f"ip\0{entity}".encode(), hashlib.sha256).digest()
+            return str(ipaddress.IPv6Address(b"\xfd" + mixed[:15]))
+        fixed = 16
+    else:
+        fixed = (8 if number >> 24 in (10, 127) else 16) if own.is_private else 0
+    free = bits - fixed
+    network, number = number >> free, number & ((1 << free) - 1)
+    permutation = Permutation(key, f"ip\0{own.version}\0{fixed}\0{network}", 1 << free)
+    while True:
+        number = permutation.move(number)
+        made = type(own)(network << free | number)
+        if made.is_private == own.is_private:
+            return str(made)
+
+
 def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0, gender: str = "") -> str:
-    """Canonical surrogate of a canonical entity; gender is that of a first name."""
-    s = Stream(key, kind, entity, attempt)
+    """Canonical surrogate of a canonical entity. attempt and gender are those of a name's part; others have none."""
     if kind == "email":
         local, _, domain = entity.partition("@")
-        swap = lambda c: chr(97 + s.below(26)) if c.isalpha() else str(s.below(10)) if c.isdigit() else c
-        tail = domain.rpartition(".")[2]
-        host = "".join(swap(c) for c in domain.rpartition(".")[0].partition(".")[0])
-        return "".join(map(swap, local)) + f"@{host}.example." + (tail if tail in ("com", "net", "org") else "com")
+        host, _, rest = domain.partition(".")
+        known = rest in ("com", "net", "org")
+        # What else a domain has is told apart by a label of its own.
+        tag = "" if known else base64.b32encode(hmac.new(key, f"domain\0{rest}".encode(), hashlib.sha256).digest()[:10]).decode().lower() + "."
+        return permuted(key, kind, f"{local}@{host}") + f".{tag}example." + (rest if known else "com")
     if kind == "card":
-        fixed = 1 if len(entity) == 16 else 2
-        body = entity[:fixed] + "".join(str(s.below(10)) for _ in entity[fixed:-1])
-        if luhn_sum(entity) % 10 == 0:
-            return body + str(-luhn_sum(body + "0") % 10)
-        return body + str((-luhn_sum(body + "0") + 1 + s.below(9)) % 10)
+        fixed, body, check = 1 if len(entity) == 16 else 2, entity[:-1], -luhn_sum(entity[:-1] + "0") % 10
+        off = (int(entity[-1]) - check) % 10  # 0 where the check digit is right
+        made = entity[:fixed] + permuted(key, kind, body[fixed:], f"{entity[:fixed]} {off}")
+        return made + str((-luhn_sum(made + "0") + off) % 10)
     if kind == "phone":
         code = len(entity) - 10 if entity.startswith("+") and len(entity) > 10 else 2 if entity.startswith("+") else 0
-        return entity[:code] + "".join(str(s.below(10)) for _ in entity[code:])
+        return entity[:code] + permuted(key, kind, entity[code:], entity[:code])
     if kind == "national":
-        area = 1 + s.below(898)
-        return f"{area + (area >= 666):03d}{1 + s.below(99):02d}{1 + s.below(9999):04d}"
+        area, group, serial = int(entity[:3]), int(entity[3:5]), int(entity[5:])
+        number = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
+        number, serial = divmod(Permutation(key, kind, 898 * 99 * 9999).move(number), 9999)
+        area, group = divmod(number, 99)
+        return f"{area + 1 + (area + 1 >= 666):03d}{group + 1:02d}{serial + 1:04d}"
     if kind == "iban":
-        body = "".join(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) for c in entity[4:])
+        body = permuted(key, kind, entity[4:], entity[:2])
         return f"{entity[:2]}{98 - iban_sum(entity[:2] + '00' + body):02d}{body}"
     if kind == "ip":
-        own = ipaddress.ip_address(entity)
-        while own.version == 6:
-            head = own.exploded[:4]
-            if own.is_private and not re.match("f[cd]|fe[89ab]", head):
-                head = f"fd{s.below(256):02x}"
-            made = ipaddress.ip_address(":".join([head, *(f"{1 + s.below(65535):x}" for _ in range(7))]))
-            if made.is_private == own.is_private:
-                return str(made)
-        while True:
-            octets = [int(x) for x in entity.split(".")]
-            fixed = (1 if octets[0] in (10, 127) else 2) if own.is_private else 0
-            made = ".".join(map(str, octets[:fixed] + [1 + s.below(254) for _ in octets[fixed:]]))
-            if ipaddress.ip_address(made).is_private == own.is_private:
-                return made
+        return _address(key, entity)
+    s = Stream(key, kind, entity, attempt)
     role, _, name = entity.partition(":")
     script = script_of(name)
     # Later attempts are longer: three syllables alone would not do for a corpus of many names.
-    stem = "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3 + attempt // 2))
+    stem = "".join(SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(3 + attempt))
     return f"{role}:{stem}{ENDINGS[script, gender if role == 'first' else '']}"
 
 
@@ -242,8 +308,8 @@ def distinct_entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 
 def collisions(spark: SparkSession, entities: DataFrame, key: bytes, attempts: int = 20) -> DataFrame:
-    """(kind, entity, attempt, gender) for entities whose first surrogate was taken or that have a gender;
-    most corpora have none or few.
+    """(kind, entity, attempt, gender) for names whose first surrogate was taken or that have a gender; most
+    corpora have none or few.
 
     Each round keeps the least entity of every surrogate and gives the others another attempt; a
     surrogate that is itself an entity of the corpus is never kept.
@@ -341,7 +407,7 @@ def replace_entities(spark: SparkSession, docs: DataFrame, key: bytes) -> DataFr
     # A gender that only some titles tell holds for all mentions; one that they contradict for none.
     told = F.array_remove(F.collect_set("gender"), "")
     entities = materialise(spark, entities.groupBy("kind", "entity").agg(F.when(F.size(told) == 1, told[0]).otherwise("").alias("gender")), "entities")
-    again = collisions(spark, entities, key)
+    again = collisions(spark, entities.where("kind = 'name'"), key)
     people = entities.where("kind = 'name' and entity like 'first:%'").select(F.substring("entity", 7, 1 << 20).alias("name"))
     some_names, some_again = people.limit(1).count(), again.limit(1).count()
     none = rows.withColumns({"others": F.lit(None).cast(OTHERS), "known": F.lit(None).cast("array<string>")})

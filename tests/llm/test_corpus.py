@@ -690,11 +690,65 @@ def test_surrogate_entities_against_a_plain_reading(spark):
     assert want["email"] > 5 and sum(got.values()) <= 1.2 * sum(want.values())  # words with junk at their ends are no plain words
 
 
-def test_surrogates_stay_distinct(spark):
-    entities = spark.createDataFrame([("ip", f"10.{i}.0.{j}") for i in range(40) for j in range(50)] + [("phone", f"{i:07d}") for i in range(3000)], "kind string, entity string")
-    again = {(r.kind, r.entity): r.attempt for r in surrogates.collisions(spark, entities, KEY).collect()}
-    made = [(r.kind, surrogates.surrogate(KEY, r.kind, r.entity, again.get((r.kind, r.entity), 0))) for r in entities.collect()]
-    assert len(set(made)) == len(made) and not set(made) & {(r.kind, r.entity) for r in entities.collect()}
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 4097])
+def test_keyed_permutations_are_one_cycle(n):
+    moved = surrogates.Permutation(KEY, "x", n).move
+    at, seen = 0, set()
+    while at not in seen:
+        seen.add(at)
+        at = moved(at)
+    assert seen == set(range(n)) and at == 0
+
+
+def test_surrogates_of_whole_formats_are_distinct():
+    whole = {
+        "phone": [f"{i:04d}" for i in range(10_000)], "email": [f"{a}{b}@{c}.{t}" for a in "abcdefghij" for b in "0123456789" for c in "klmno" for t in ("com", "net", "co.uk", "x.com")],
+        "card": [f"4{i:02d}000000000000{c}" for i in range(0) for c in range(10)] + [f"30{i:011d}{c}" for i in range(60) for c in range(10)],
+        "national": [f"{a:03d}{g:02d}{s:04d}" for a in (1, 665, 667, 899) for g in (1, 99) for s in (1, 500, 9999)], "ip": [f"192.0.2.{i}" for i in range(256)] + [f"2001:db8::{i:x}" for i in range(1, 40)] + [f"8.8.{i}.8" for i in range(99)],
+    }
+    for kind, entities in whole.items():
+        made = [surrogates.surrogate(KEY, kind, e) for e in entities]
+        assert len(set(made)) == len(entities) and not any(a == b for a, b in zip(made, entities, strict=True))
+        assert all(len(m) == len(e) for m, e in zip(made, entities, strict=True)) or kind in ("email", "ip")
+    assert sorted(surrogates.surrogate(KEY, "phone", e) for e in whole["phone"]) == whole["phone"]
+
+
+def test_surrogates_of_a_full_network_and_of_many_names(spark):
+    rows = [(i, f"host 192.168.{i >> 8}.{i & 255} up") for i in range(65_536)]
+    found = surrogates.replace_entities(spark, spark.createDataFrame(rows, "doc_id long, text string"), KEY).select("doc_id", "text").collect()
+    made = [r.text for r in sorted(found, key=lambda r: r.doc_id)]
+    assert sorted(made) == sorted(t for _, t in rows) and not any(a == b for a, (_, b) in zip(made, rows, strict=True))
+    names = spark.createDataFrame([("name", f"last:n{i}", "") for i in range(40_000)], "kind string, entity string, gender string")
+    again = {r.entity: r.attempt for r in surrogates.collisions(spark, names, KEY).collect()}
+    assert len({surrogates.surrogate(KEY, "name", f"last:n{i}", again.get(f"last:n{i}", 0)) for i in range(40_000)}) == 40_000
+
+
+def test_surrogates_recall_of_planted_entities(spark):
+    """Of each kind, among ordinary text: all are found, none is left in the text, no clean text is changed."""
+    draw, texts_ = __import__("random").Random(4), ["Ordinary words, numbers like 12, 3.5 and 1999, times 12:30, and a list: a, b."]
+    digits = lambda n: "".join(draw.choice("123456789") for _ in range(n))
+
+    def luhn(body):
+        return body + str(-surrogates.luhn_sum(body + "0") % 10)
+
+    def iban():
+        body = f"{digits(18)}"
+        return f"DE{98 - surrogates.iban_sum('DE00' + body):02d}{body}"
+
+    plant = {
+        "email": lambda: f"u{digits(3)}@mail{digits(2)}.org", "card": lambda: luhn("4" + digits(14)), "ip": lambda: f"{draw.randrange(1, 255)}.{draw.randrange(256)}.{draw.randrange(256)}.{draw.randrange(256)}",
+        "national": lambda: f"{draw.randrange(100, 600)}-{digits(2)}-{digits(4)}", "iban": iban, "name": lambda: "Frau " + "".join(draw.choice("abcdeghik") for _ in range(6)).capitalize(),
+        "phone": lambda: draw.choice([f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", "020 7946 " + digits(4), "01 23 45 67 " + digits(2), "06 " + " ".join(digits(2) for _ in range(4)), "+44 20 7946 " + digits(4)]),
+    }
+    rows, held = [(0, texts_[0])], {}
+    for i in range(1, 351):
+        kind = list(plant)[i % 7]
+        held[i] = (kind, plant[kind]())
+        rows.append((i, f"Please note {held[i][1]} for later use"))
+    out = {r.doc_id: r for r in surrogates.replace_entities(spark, spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    assert out[0].text == texts_[0]
+    for i, (kind, planted) in held.items():
+        assert out[i][f"n_{kind}"] == 1 and planted not in out[i].text and out[i].n_entities == 1, (kind, planted, out[i].text)
 
 
 def test_surrogates_on_tables(spark, sf, texts, odd, empty):
