@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import analysis, merging, search
+from ..operators import analysis, checkins, claims, merging, search
 from ..operators.tables import Diary
-from ..sources import sections, segments, storage, vault, writers
+from ..sources import sections, segments, storage, vault
 from . import views
 
 START, END = "1998-01-01", "1998-06-30"
@@ -140,10 +138,9 @@ def _(d: Diary):
     return analysis.moods_without_relation(d).select("id", "date", "ordinal", "mood")
 
 
-@query("c25_tagged_without_links", "SELECT DISTINCT e.id, e.date FROM entries e JOIN daily USING (date) JOIN tags t ON t.entry_id = e.id LEFT JOIN links l ON l.entry_id = e.id AND l.pos > 1 WHERE l.entry_id IS NULL".replace("JOIN daily USING (date) ", ""))
-def _(d: Diary):
-    """Links of the first line of an order are left out, so that some tagged orders have none."""
-    return analysis.tagged_without_links(Diary(d.entries, d.links.where("pos > 1"), d.relations, d.tags, d.entities, d.daily_meta, d.superseded)).select("id", "date")
+@query("c25_tagged_without_links", " SELECT id, name AS date FROM notes WHERE tags IS NOT NULL AND links IS NULL", with_diary=False, ahead=views.SQL_NOTES)
+def _(spark: SparkSession, sf_dir: str):
+    return analysis.tagged_without_links(vault.tables(views.note_files(spark, sf_dir))).select("id", "date")
 
 
 @query("c13_unconverted_tags", """, t AS (SELECT tag, CAST(count(*) AS BIGINT) AS n FROM tags WHERE tag_key NOT IN (SELECT lower(name) FROM entities) GROUP BY tag ORDER BY n DESC, tag LIMIT 30),
@@ -303,6 +300,23 @@ def _(spark: SparkSession, sf_dir: str):
     return search.recall(views.diary(spark, sf_dir), views.index_of(spark, sf_dir, "entries"), relation="joy", start=START, end=END).select("id", "date", "score")
 
 
+_TYPED = "e.id IN (SELECT l.entry_id FROM links l WHERE l.target_key IN (SELECT lower(name) FROM entities WHERE type = 'economy'))"
+
+
+@query("l1_recall_by_type", f"""SELECT e.id, e.date, 0.3 AS score, t.total FROM entries e, (SELECT CAST(count(*) AS BIGINT) AS total FROM entries e WHERE {_IN} AND {_TYPED}) t WHERE {_IN} AND {_TYPED}
+    ORDER BY e.id IN (SELECT entry_id FROM old), date DESC, ordinal DESC, id LIMIT 10""", with_diary=False, ahead=views.SQL_VIEWS)
+def _(spark: SparkSession, sf_dir: str):
+    return search.recall(views.diary(spark, sf_dir), views.index_of(spark, sf_dir, "entries"), kind="Economy", start=START, end=END).select("id", "date", "score", "total")
+
+
+@query("l1_recall_by_relation_and_type", f"""SELECT e.id, e.date, 0.5 AS score, regexp_extract(body, '^[^\n]*') || ' ' || mood_ AS snippet FROM (SELECT *, coalesce(mood, 'P') AS mood_ FROM entries) e WHERE {_IN} AND {_TYPED} AND e.id IN (SELECT entry_id FROM relations WHERE rel_type = 'joy')
+    ORDER BY e.id IN (SELECT entry_id FROM old), date DESC, ordinal DESC, id LIMIT 25""", with_diary=False, ahead=views.SQL_VIEWS)
+def _(spark: SparkSession, sf_dir: str):
+    """Two filters at once, with the snippet of each entry."""
+    found = search.recall(views.diary(spark, sf_dir), views.index_of(spark, sf_dir, "entries"), relation="joy", kind="economy", start=START, end=END, limit=25)
+    return found.select("id", "date", "score", "snippet")
+
+
 def _terms(q: str) -> list[tuple[int, str, bool]]:
     toks = text.query_tokens(q)
     return [(i, t, i == len(toks) - 1 and len(t) >= text.MIN_PREFIX) for i, t in enumerate(toks)]
@@ -527,28 +541,49 @@ def _(spark: SparkSession, sf_dir: str):
     return vault.snapshot_diff(was, now)
 
 
-_VAULT = """ SELECT * FROM (VALUES
-    ('2026-06-29#0', '2026-06-29', '18:30', 'calm', 'none', 'hôm qua met [[Bình|B]] at the office', 'Bình', NULL, NULL),
-    ('2026-06-30#0', '2026-06-30', '07:00', 'happy', '4', 'Ran by the river with [[An]] #running', 'An', 'running', 'joy=Running')
-    ) AS t(id, date, time, mood, intensity, body, links, tags, relations)"""
-
-
-@query("a5_vault_entries", _VAULT, with_diary=False)
+@query("a5_vault_entries", " SELECT id, name AS date, time, mood, intensity, body, links, tags, relations FROM notes", with_diary=False, ahead=views.SQL_NOTES)
 def _(spark: SparkSession, sf_dir: str):
-    """A small authored vault, written to the shared folder and read back through the sources."""
-    root = storage.new_path(spark, "vault")
-    if not root.startswith(("file:", "/")):
-        raise ValueError("notes are local files: the shared folder must be mounted")
-    local = root.removeprefix("file://")
-    writers.init_vault(local)
-    today = date(2026, 6, 30)
-    writers.remember(local, "Ran by the river with [[An]] #running", today, "07:00", mood="happy/4", relations={"joy": ["Running"]})
-    writers.remember(local, "hôm qua met [[Bình|B]] at the office", today, "18:30", mood="calm", checkin="sleep_hours=7.5,exercise=run")
-    d = vault.read_vault(spark, local)
+    """The sections of all documents as a vault's notes, through the sources that parse files."""
+    d = vault.tables(views.note_files(spark, sf_dir))
     found = search.hydrate(d, d.entries.select("id"))
     verbs = F.transform(F.map_entries("relations"), lambda x: F.concat(x["key"], F.lit("="), F.array_join(x["value"], ",")))
     some = lambda c: F.when(F.size(c) > 0, F.array_join(c, ","))
-    return found.select("id", "date", "time", "mood", F.coalesce(F.col("intensity").cast("string"), F.lit("none")).alias("intensity"), "body", some(F.col("links")).alias("links"), some(F.col("tags")).alias("tags"), some(verbs).alias("relations"))
+    return found.select("id", "date", "time", "mood", "intensity", "body", some(F.col("links")).alias("links"), some(F.col("tags")).alias("tags"), some(verbs).alias("relations"))
+
+
+@query("a6_vault_entities", """ SELECT 'd' || doc_id AS name, 'thing' AS type, 'a' || doc_id || ',b' AS aliases, NULL AS sleep_hours FROM documents WHERE doc_id % 7 = 0
+    UNION ALL SELECT 'd' || doc_id, 'run', 'x', CAST(doc_id % 9 AS DOUBLE) FROM documents WHERE doc_id % 7 <> 0""", with_diary=False, ahead=views.SQL_NOTES)
+def _(spark: SparkSession, sf_dir: str):
+    """Entities and days of all documents as a vault's notes: what their frontmatter says."""
+    d = vault.tables(views.note_files(spark, sf_dir))
+    days = d.daily_meta.select(F.col("date").alias("name"), F.col("exercise").alias("type"), F.col("extra")["other"].alias("aliases"), "sleep_hours")
+    return d.entities.select("name", "type", joined("aliases"), F.lit(None).cast("double").alias("sleep_hours")).unionByName(days)
+
+
+@query("c26_new_names", """, m AS (SELECT target, entry_id AS place FROM links UNION ALL SELECT target, entry_id FROM relations UNION ALL SELECT tag, entry_id FROM tags),
+    first AS (SELECT lower(target) AS name_key, arg_min(target, (place, target)) AS name FROM m GROUP BY 1)
+    SELECT name, name_key, 'unknown' AS type, CAST(0 AS BIGINT) AS again FROM first WHERE name_key NOT IN (SELECT lower(name) FROM entities UNION SELECT lower(alias) FROM entities WHERE alias IS NOT NULL)""", with_diary=False, ahead=views.SQL_VIEWS)
+def _(spark: SparkSession, sf_dir: str):
+    """Stubs for all link targets, relation targets and tags that are no entity; a second batch of the same claims none."""
+    d, path = views.diary(spark, sf_dir), storage.new_path(spark, "stubs")
+    named = lambda df, c: df.select(F.col(c).alias("target"), F.col("entry_id").alias("place"))
+    mentions = named(d.links, "target").unionByName(named(d.relations, "target")).unionByName(named(d.tags, "tag"))
+    first = claims.claim_names(spark, mentions, d.entities, path, "first")
+    again = claims.claim_names(spark, mentions, d.entities, path, "second").agg(F.count("*").alias("again"))
+    return first.select("name", "name_key", "type").join(F.broadcast(again))
+
+
+@query("a20_merged_checkins", """, e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_id, event_type AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events WHERE event_id % 11 <> 0),
+    u AS (SELECT day, event_id, key, value FROM e UNION ALL SELECT day, event_id, 'last', '"' || key || '"' FROM e), r AS (SELECT day, key, arg_max(value, (event_id, value)) AS value FROM u GROUP BY day, key)
+    SELECT r.*, CAST(n AS BIGINT) AS n_keys FROM r JOIN (SELECT day, count(*) AS n FROM r GROUP BY day) USING (day)""", with_diary=False, ahead="one AS (SELECT 1)")
+def _(spark: SparkSession, sf_dir: str):
+    """The fields that the events of a day set, the latest value of each; every eleventh text is malformed."""
+    value, kind = F.get_json_object("props", "$.k"), F.col("event_type")
+    told = F.when(F.col("event_id") % 11 == 0, F.lit('{"k": ')).otherwise(F.concat(F.lit('{"'), kind, F.lit('": '), value, F.lit(', "last": "'), kind, F.lit('"}')))
+    rows = views.read(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id", told.alias("fields"))
+    merged = storage.materialise(spark, checkins.merged_fields(rows, "day", "event_id", "fields"), "checkins")
+    n = checkins.as_objects(merged, "day").select("day", F.size(F.json_object_keys(F.to_json("fields"))).cast("long").alias("n_keys"))
+    return merged.select("day", "key", F.to_json("value").alias("value")).join(n, "day")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

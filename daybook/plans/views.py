@@ -73,6 +73,32 @@ def diary_of_parts(spark: SparkSession, sf_dir: str) -> Diary:
     return Diary(whole.entries, _keyed(links.unionByName(buyer), "target"), whole.relations, whole.tags, entities, whole.daily_meta, whole.superseded)
 
 
+#: Fields and text of a line's section, by its number's remainder by four; {} is the line.
+NOTE_KINDS = ["mood:: calm/3\n{}", "tags:: red, blue\nwith:: [[Ann]], [[Bob|B]]\n{}", "superseded:: 2024-01-02#3\n{} [[Ann|her]] #green", "{}"]
+
+
+def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as scanned files of a vault: journals whose lines are sections, with frontmatter; every seventh is
+    an entity."""
+    docs = corpus(spark, sf_dir).withColumn("n", F.col("id").cast("long"))
+    kinds = F.array(*map(F.lit, NOTE_KINDS))
+    section = lambda x, i: F.concat(F.lit("## "), F.lpad((i % 24).cast("string"), 2, "0"), F.lit(":30\n"), F.substring_index(F.get(kinds, i % 4), "{}", 1), x, F.substring_index(F.get(kinds, i % 4), "{}", -1))
+    journal = F.concat(F.lit("---\nsleep_hours: "), F.col("n") % 9, F.lit("\nexercise: run\nother: x\n---\n"), F.array_join(F.transform(F.split("body", "\n", -1), section), "\n\n"))
+    entity = F.concat(F.lit("---\ntype: thing\naliases: [a"), "id", F.lit(", b]\n---\n# Facts\n"), "body")
+    is_entity = F.col("n") % 7 == 0
+    path = F.concat(F.when(is_entity, "entities/").otherwise("journal/"), F.lit("d"), "id", F.lit(".md"))
+    return docs.select(path.alias("path"), F.col("n").alias("mtime"), F.when(is_entity, "entity").otherwise("journal").alias("kind"), F.when(is_entity, entity).otherwise(journal).cast("binary").alias("content"))
+
+
+#: Sections of note_files in SQL.
+SQL_NOTES = """
+lines AS (SELECT 'd' || id AS name, n, i, l[i + 1] AS line FROM (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS n, string_split(coalesce(text, ''), chr(10)) AS l FROM documents WHERE doc_id % 7 <> 0), unnest(range(len(l))) r(i)),
+notes AS (SELECT name || '#' || i AS id, name, n, CAST(i AS INTEGER) AS ordinal, lpad(CAST(i % 24 AS VARCHAR), 2, '0') || ':30' AS time, CASE WHEN i % 4 = 0 THEN 'calm' END AS mood, CASE WHEN i % 4 = 0 THEN 3 END AS intensity,
+    CASE WHEN i % 4 = 2 THEN line || ' [[Ann|her]] #green' WHEN trim(line) = '' THEN '' ELSE line END AS body, CASE WHEN i % 4 = 2 THEN 'Ann' END AS links,
+    CASE i % 4 WHEN 1 THEN 'red,blue' WHEN 2 THEN 'green' END AS tags, CASE WHEN i % 4 = 1 THEN 'with=Ann,Bob' END AS relations FROM lines)
+"""
+
+
 SQL_VIEWS = """
 entries AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, 'journal/' || strftime(o_orderdate, '%Y-%m-%d') || '.md' AS file, strftime(o_orderdate, '%Y-%m-%d') AS date, '08:00' AS time,
     CAST(o_orderkey % 7 AS INTEGER) AS ordinal, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS mood, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS intensity,
