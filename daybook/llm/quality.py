@@ -189,19 +189,30 @@ def summed(table: DataFrame, part, length: int) -> np.ndarray:
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit on rows outside the held-out fold: at most max_labelled positives, the first by a hash of the
-    id (only their ids, bounded so, are broadcast), and all documents as unlabelled text."""
+    """Fit on rows outside the held-out fold: at most max_labelled positive rows, the first by a hash of the id
+    and then of the text (their ids, bounded alike, are broadcast), and all documents as unlabelled text."""
     rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y is not null")
     trusted = marks.where(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.max("y").alias("y")).where("y = 1").select("doc_id")
-    trusted = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    # Hashes up to a bound that leaves little more than are wanted, so that no task sends many to be ordered.
+    place, n_trusted = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), trusted.count()
+    if n_trusted > max_labelled:
+        trusted = trusted.where(place <= int((1 << 40) * min(1.0, (max_labelled + 6 * max_labelled**0.5 + 9) / n_trusted)))
+    trusted = trusted.orderBy(place, "doc_id").limit(max_labelled)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("half"), pa.array([features(t).astype(np.float16).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["half", "x"])
 
+    def measure_placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (made,) = measure([b])
+            yield pa.RecordBatch.from_arrays([*made.columns, b.column("place"), b.column("mark")], ["half", "x", "place", "mark"])
+
     half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half")
-    picked = rows.join(F.broadcast(trusted), "doc_id").select(half, "text").mapInArrow(measure, "half int, x binary").toArrow()
+    # An id may have any number of rows: they are bounded after the join, by the same hash and that of the text.
+    own = rows.join(F.broadcast(trusted), "doc_id").select(half, place.alias("place"), F.xxhash64("text").alias("mark"), "text")
+    picked = own.mapInArrow(measure_placed, "half int, x binary, place long, mark long").orderBy("place", "mark").limit(max_labelled).select("half", "x").toArrow()
     if not picked.num_rows:
         return Model()
     positive, side = _unpack(picked["x"]), picked["half"].to_numpy()
