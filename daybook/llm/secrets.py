@@ -10,6 +10,10 @@ A run is found when ordinary text would hardly look so random. How ordinary text
 comes from the corpus itself: a Markov chain of the pairs of characters in all documents, restricted to
 the encoding's alphabet, gives the combined statistic's distribution at each of a range of lengths. The
 resulting p-values go through a Benjamini-Hochberg step in each length class, over all documents.
+
+Names put together from words (in CamelCase, with underscores, as paths) are no such chain: where words meet,
+case and separators change as the chain never saw. A run half of which is made of words that the corpus
+itself uses elsewhere is therefore ordinary text, and takes no part in the tests.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import materialise, skew_join, text_of
 
 # The base patterns, in the order in which kinds are listed.
 KINDS = ["assign", "access", "hex", "random"]
@@ -60,6 +65,8 @@ LENGTHS = [24, 32, 48, 64, 128, 512]
 #: Lengths at which ordinary text is drawn, and draws for each encoding. A run is held against the longest that
 #: is not longer than itself: shorter ordinary text looks more random, so p-values err upwards.
 GRID, DRAWS = [20, 22, 24, 28, 32, 40, 48, 64, 96, 128, 256, 512], 3000
+#: A word of a run has at least so many letters, and counts where so many documents use it outside such runs.
+WORD_LETTERS, WORD_DOCS = 3, 3
 SYMBOLS = _DIGITS + _UPPER + _LOWER + "+/-_"
 
 
@@ -184,25 +191,55 @@ def joined(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(spans, key=lambda s: (s[0], KINDS.index(s[1]), s[2])))
 
 
-_SCANNED = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, starts array<int>, ends array<int>, encodings array<int>, lengths array<int>, statistics array<double>"
+_PIECE = re.compile(rf"[A-Z]?[a-z]{{{WORD_LETTERS - 1},}}|[A-Z]{{{WORD_LETTERS},}}(?![a-z])")
+_WORD = re.compile(rf"(?<![^\W_])[a-z]{{{WORD_LETTERS},}}(?![^\W_])")
+
+
+def words_within(run: str) -> list[str]:
+    """The words that a run may be put together from: its letters between changes of case and other characters."""
+    return [w for m in _PIECE.findall(run) if len(w := m.lower()) >= WORD_LETTERS]
+
+
+def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, n): the words of ordinary text and the documents of a batch that use them."""
+    for pdf in batches:
+        counts: Counter[str] = Counter()
+        for text in pdf["text"]:
+            counts.update(set(_WORD.findall(CANDIDATE.sub(" ", text).lower())))
+        yield pd.DataFrame({"word": np.array(list(counts), dtype=object), "n": np.array(list(counts.values()), dtype=np.int64)})
+
+
+def spoken_runs(spark: SparkSession, some: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rid, spoken): for each document, the places of its runs that are made of words the corpus uses."""
+    each = some.select("rid", F.posexplode("words").alias("k", "ws"), "lengths")
+    pieces = materialise(spark, each.select("rid", "k", F.get("lengths", F.col("k")).alias("size"), F.explode("ws").alias("word")), "run-words")
+    asked = pieces.groupBy("word").agg(F.count("*").alias("times"))
+    used = texts.mapInPandas(count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("docs")).where(F.col("docs") >= WORD_DOCS)
+    known = materialise(spark, asked.join(used, "word").select("word", "times", F.lit(True).alias("used")), "known-words")
+    met = skew_join(pieces, known, "word", "times", "rid", max(1, pieces.count())).where("used")
+    covered = met.groupBy("rid", "k").agg(F.sum(F.length("word")).alias("letters"), F.first("size").alias("size")).where("2 * letters >= size")
+    return covered.groupBy("rid").agg(F.collect_set("k").alias("spoken"))
+
+
+_SCANNED = "rid long, doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, base string, starts array<int>, ends array<int>, encodings array<int>, lengths array<int>, statistics array<double>, words array<array<string>>"
 
 
 def scan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+        for rid, doc_id, text in zip(pdf["rid"], pdf["doc_id"], pdf["text"], strict=True):
             spans = base_spans(text)
-            found = [[], [], [], [], []]
+            found = [[], [], [], [], [], []]
             for m in CANDIDATE.finditer(text):
                 if any(a < m.end() and m.start() < b for a, _, b in spans):
                     continue
                 result = measure_run(m[0])
                 if result:
-                    for k, x in enumerate((m.start(), m.end(), *result)):
+                    for k, x in enumerate((m.start(), m.end(), *result, words_within(m[0]))):
                         found[k].append(x)
             kinds = [k for _, k, _ in spans]
             text_spans = joined(spans)
-            rows.append((doc_id, kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(text_spans.encode()).hexdigest(), text_spans, *found))
+            rows.append((rid, doc_id, kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(text_spans.encode()).hexdigest(), text_spans, *found))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in _SCANNED.split(", ")])
         out["doc_id"] = out["doc_id"].astype("Int64")
         yield out
@@ -246,13 +283,13 @@ def find_secrets(spark: SparkSession, docs: DataFrame, rate: float = FDR) -> Dat
 
     spans are kind:start:end in code points, by start, comma-joined; base spans always stay, spans of
     kind 'random' are added where none overlaps. Every run of 20 or more key-like characters outside
-    the base spans is tested, words too. Null text counts as empty (no spans, the digest of the empty
+    the base spans is tested, but for those made of words that the corpus uses. Null text counts as empty (no spans, the digest of the empty
     string); repeated rows and ids get a row each; other columns are ignored; an empty table gives an
     empty result. What reaches the driver has a fixed bound: the counts of pairs of 66 characters, and
     of 7 * BINS levels, over all documents.
     """
     rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id")).select("doc_id", "text")
-    scanned = materialise(spark, rows.mapInPandas(scan_batches, _SCANNED), "secrets")
+    scanned = materialise(spark, rows.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(scan_batches, _SCANNED), "secrets")
     some = scanned.where(F.size("starts") > 0)
     ordinary = None
     if some.limit(1).count():
@@ -260,14 +297,18 @@ def find_secrets(spark: SparkSession, docs: DataFrame, rate: float = FDR) -> Dat
         for pair, n in rows.select("text").mapInPandas(count_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n")).collect():
             pairs[pair] = n
         ordinary = Ordinary(pairs.reshape(len(SYMBOLS), -1))
+        some = some.join(spoken_runs(spark, some, rows.select("text")), "rid", "left")
 
     def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            classes, bins = [], []
-            for es, ns, ts in zip(pdf["encodings"], pdf["lengths"], pdf["statistics"], strict=True):
-                classes.append([length_class(n) for n in ns])
-                bins.append([min(BINS - 1, int(-10 * ordinary.log_p(e, n, t))) for e, n, t in zip(es, ns, ts, strict=True)])
-            yield pdf.drop(columns=["encodings", "lengths", "statistics"]).assign(**{"class": classes, "bin": bins})
+            classes, bins, kept = [], [], []
+            for es, ns, ts, spoken in zip(pdf["encodings"], pdf["lengths"], pdf["statistics"], pdf["spoken"], strict=True):
+                left = [k for k in range(len(ns)) if spoken is None or k not in spoken]
+                kept.append(left)
+                classes.append([length_class(ns[k]) for k in left])
+                bins.append([min(BINS - 1, int(-10 * ordinary.log_p(es[k], ns[k], ts[k]))) for k in left])
+            places = {c: [[int(x[k]) for k in left] for x, left in zip(pdf[c], kept, strict=True)] for c in ("starts", "ends")}
+            yield pdf.drop(columns=["encodings", "lengths", "statistics", "spoken"]).assign(**places, **{"class": classes, "bin": bins})
 
     keep = "n_assign long, n_access long, n_hex long, base_sha256 string, base string, starts array<int>, ends array<int>"
     own = ["n_assign", "n_access", "n_hex", "base_sha256", "base", "starts", "ends"]
@@ -277,7 +318,7 @@ def find_secrets(spark: SparkSession, docs: DataFrame, rate: float = FDR) -> Dat
         tested = plain
     else:
         # ids stay on the JVM as text: a missing one must not turn the others into floats
-        asked = some.select(F.col("doc_id").cast("string").alias("doc_id"), *own, "encodings", "lengths", "statistics")
+        asked = some.select(F.col("doc_id").cast("string").alias("doc_id"), *own, "encodings", "lengths", "statistics", "spoken")
         found = materialise(spark, asked.mapInPandas(levels, f"doc_id string, {keep}, class array<int>, bin array<int>"), "secret-levels")
         tested = plain.unionByName(found.withColumn("doc_id", F.col("doc_id").cast("long")))
     counted = tested.select(F.explode(F.arrays_zip("class", "bin")).alias("x")).groupBy("x.class", "x.bin").count().collect() if ordinary else []
