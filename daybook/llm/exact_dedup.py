@@ -113,14 +113,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, keep: str = "min", memtabl
     )
     found = found.withColumn("kept", F.col("_first") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).drop("_first")
 
-    # Byte verification, of hits only: the filter keeps the other texts out of the shuffle. The head of a
-    # hot group is copied to SALTS tasks, and its members are dealt out among them.
-    hits = hashed.where(prune_filter(groups, "digest"))
-    texts = skew_join(hits, groups, "digest", "group_size", "id", total).where("group_size is not null")
-    texts = materialise(spark, texts.withColumn("hot", F.col("group_size") * HOT_KEYS >= total), "dup-texts")
-    stay = F.col("id").eqNullSafe(F.col("keep_id"))
-    heads = texts.where(stay).dropDuplicates(["digest"]).select("digest", F.col("text").alias("head"), F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    members = texts.where(~stay).select("digest", "text", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    # Byte verification, of hits only: the filter keeps the other texts out of the shuffle, in which each text
+    # goes once. A group's head is the text that a partial aggregate meets first; that of a hot group is copied to
+    # SALTS tasks, among which its members are dealt out.
+    hot = groups.where(F.col("group_size") * HOT_KEYS >= total).select("digest", F.lit(True).alias("hot"))
+    hits = hashed.where(prune_filter(groups, "digest")).join(F.broadcast(hot), "digest", "left")
+    heads = hits.groupBy("digest").agg(F.first("text").alias("head"), F.first("hot").alias("hot"))
+    heads = heads.select("digest", "head", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    members = hits.select("digest", "text", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
     bad = members.join(heads, ["digest", "salt"], "left").where("head is null or cast(head as binary) <> cast(text as binary)")
     if bad.limit(1).count():
         raise RuntimeError("two different texts have one sha256 digest")
