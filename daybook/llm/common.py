@@ -37,9 +37,11 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
 
 def with_row_key(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a key of each row, and the name of its column, which no other column has. It is written
-    out, so that it stays the same in all uses."""
+    out (as small as may be, for it holds the texts), so that the key stays the same in all uses."""
     (key,) = free_names(docs, "_row")
-    return materialise(spark, docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+    keyed, path = docs.withColumn(key, F.monotonically_increasing_id()), new_path(spark, "keyed")
+    keyed.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(keyed.schema).parquet(path), key
 
 
 def lean(run):
