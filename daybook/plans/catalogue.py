@@ -444,25 +444,25 @@ _FIELDS = ["mood:: calm/3\n", "tags:: red, blue\nwith:: [[Ann]], [[Bob|B]]\n", "
 _LINES = "lines AS (SELECT id, i, l[i + 1] AS line FROM (SELECT CAST(doc_id AS VARCHAR) AS id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(len(l))) r(i))"
 
 
-@query("h9_sections", """ SELECT id AS note, CAST(i AS INTEGER) AS ordinal, lpad(CAST(i % 24 AS VARCHAR), 2, '0') || ':30' AS time, CASE WHEN i % 4 = 0 THEN 'calm' END AS mood, CASE WHEN i % 4 = 0 THEN 3 END AS intensity,
+@query("h9_sections", """ SELECT id AS note, CAST(i AS INTEGER) AS ordinal, lpad(CAST(i % 24 AS VARCHAR), 2, '0') || ':30' AS time, CASE WHEN i % 4 = 0 THEN 'calm' END AS mood, CASE WHEN i % 4 = 0 THEN '3' ELSE 'none' END AS intensity,
     CASE WHEN i % 4 = 2 THEN '2024-01-02#3' END AS superseded, CASE WHEN i % 4 = 1 THEN 'red,blue' ELSE '' END AS tags, CASE WHEN i % 4 = 1 THEN 'Ann,Bob' END AS with_, CASE WHEN trim(line) = '' THEN '' ELSE line END AS text FROM lines""", with_diary=False, ahead=_LINES)
 def _(spark: SparkSession, sf_dir: str):
     """Every line of every document as a section of its note, under a heading and fields of four kinds."""
     block = lambda x, i: F.concat(F.lit("## "), F.lpad((i % 24).cast("string"), 2, "0"), F.lit(":30\n"), F.get(F.array(*map(F.lit, _FIELDS)), i % 4), x)
     notes = views.corpus(spark, sf_dir).select(F.col("id").alias("note"), F.array_join(F.transform(F.split("body", "\n", -1), block), "\n\n").alias("body"))
-    return sections.sections(notes).select("note", "ordinal", "time", "mood", "intensity", "superseded", joined("tags"), F.array_join(F.col("relations")["with"], ",").alias("with_"), "text")
+    return sections.sections(notes).select("note", "ordinal", "time", "mood", F.coalesce(F.col("intensity").cast("string"), F.lit("none")).alias("intensity"), "superseded", joined("tags"), F.array_join(F.col("relations")["with"], ",").alias("with_"), "text")
 
 
 _TURNS = """turns AS (SELECT CAST(conv_id AS VARCHAR) AS note, CAST(turn AS BIGINT) AS ordinal, text, list_contains(regexp_split_to_array(lower(replace(replace(strip_accents(coalesce(text, '')), 'đ', 'd'), 'Đ', 'D')), '[^\\p{L}\\p{N}]+'), 'und') AS goes FROM conversations),
     placed AS (SELECT *, ordinal - sum(CASE WHEN goes THEN 1 ELSE 0 END) OVER (PARTITION BY note ORDER BY ordinal) AS now, lead(goes) OVER (PARTITION BY note ORDER BY ordinal) AS next_goes FROM turns)"""
 
 
-@query("l5_forget_turns", " SELECT note, CAST(now AS BIGINT) AS ordinal, text, CASE WHEN NOT next_goes THEN CAST(now + 1 AS BIGINT) END AS newer FROM placed WHERE NOT goes", with_diary=False, ahead=_TURNS)
+@query("l5_forget_turns", " SELECT note, CAST(now AS BIGINT) AS ordinal, text, CAST(CASE WHEN NOT next_goes THEN now + 1 ELSE -1 END AS BIGINT) AS newer FROM placed WHERE NOT goes", with_diary=False, ahead=_TURNS)
 def _(spark: SparkSession, sf_dir: str):
     """Conversations without the turns that name a word; later turns move up, and what refers to the next turn follows it."""
     rows = views.read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("note"), F.col("turn").cast("long").alias("ordinal"), "text", (F.col("turn") + 1).cast("long").alias("newer"))
     doomed = rows.where(F.array_contains(text.tokens(F.coalesce("text", F.lit(""))), "und")).select("note", "ordinal")
-    return sections.forget_rows(rows, doomed, "newer")
+    return sections.forget_rows(rows, doomed, "newer").withColumn("newer", F.coalesce("newer", F.lit(-1).cast("long")))
 
 
 _TOLD = ["ngày {d} tháng {m}", "Ngày {d} tháng {m} năm {y}", "{d}/{m}/{y}", "hôm qua", "Hôm kia", "thứ {w} tuần trước", "chủ nhật vừa rồi", "cuối tuần", "tuần trước", "tháng trước", "31/{m}/{y} hôm qua", ""]
@@ -541,14 +541,14 @@ def _(spark: SparkSession, sf_dir: str):
     return vault.snapshot_diff(was, now)
 
 
-@query("a5_vault_entries", " SELECT id, name AS date, time, mood, intensity, body, links, tags, relations FROM notes", with_diary=False, ahead=views.SQL_NOTES)
+@query("a5_vault_entries", " SELECT id, name AS date, time, mood, coalesce(CAST(intensity AS VARCHAR), 'none') AS intensity, body, links, tags, relations FROM notes", with_diary=False, ahead=views.SQL_NOTES)
 def _(spark: SparkSession, sf_dir: str):
     """The sections of all documents as a vault's notes, through the sources that parse files."""
     d = vault.tables(views.note_files(spark, sf_dir))
     found = search.hydrate(d, d.entries.select("id"))
     verbs = F.transform(F.map_entries("relations"), lambda x: F.concat(x["key"], F.lit("="), F.array_join(x["value"], ",")))
     some = lambda c: F.when(F.size(c) > 0, F.array_join(c, ","))
-    return found.select("id", "date", "time", "mood", "intensity", "body", some(F.col("links")).alias("links"), some(F.col("tags")).alias("tags"), some(verbs).alias("relations"))
+    return found.select("id", "date", "time", "mood", F.coalesce(F.col("intensity").cast("string"), F.lit("none")).alias("intensity"), "body", some(F.col("links")).alias("links"), some(F.col("tags")).alias("tags"), some(verbs).alias("relations"))
 
 
 @query("a6_vault_entities", """ SELECT 'd' || doc_id AS name, 'thing' AS type, 'a' || doc_id || ',b' AS aliases, NULL AS sleep_hours FROM documents WHERE doc_id % 7 = 0
