@@ -264,29 +264,35 @@ def superseded_candidates(diary: Diary, start: str, end: str, types: list[str] |
     Both link an entity of one such type, different ones that neither mentions together, and share
     another link; they lie a week apart. For each pair the first typed pair by link order counts.
 
-    Pairs come from the links that they share (an equi-join on the target), not from their type. What
-    both link is in what they share, so a typed pair is good exactly if neither of it is shared; and the
-    first shared link is then the context.
+    Pairs come from the links that they share (an equi-join on the target), not from their type. Each side
+    brings its entry's links along, so a pair is judged within its row, and only in the row of its first
+    shared link, which is the context: no pair is shuffled. What both link is in what they share, so a typed
+    pair is good exactly if neither of it is shared; an entry whose typed links are all the target itself is
+    left out ahead of the join. Without a limit the pairs come in no order.
     """
     types = types or CURRENT_TYPES
     typed = diary.entities.where(F.lower("type").isin(types)).groupBy("name_key").agg(F.max_by(F.struct(F.lower("type").alias("type"), F.col("name").alias("shown")), "name").alias("e"))
     inside = diary.entries.where(in_range(F.col("date"), start, end)).select(F.col("id").alias("entry_id"), "date", "ordinal")
-    each = diary.links.join(inside, "entry_id")
-    hits = each.join(typed, each["target_key"] == typed["name_key"]).select("entry_id", "pos", "e.type", "e.shown", "target_key")
-    own = each.join(hits.select("entry_id").distinct(), "entry_id", "left_semi")
-    a = own.join(diary.superseded.select("entry_id"), "entry_id", "left_anti")
-    a = a.select("target_key", "target", *(F.col(c).alias(f"a_{c}") for c in ("entry_id", "pos", "date", "ordinal")))
-    b = own.select("target_key", *(F.col(c).alias(f"b_{c}") for c in ("entry_id", "date", "ordinal"))).distinct()
-    near = a.join(b, "target_key").where(day_gap(F.col("b_date"), F.col("a_date")) >= SUPERSEDE_DAYS)
-    keys = ["a_entry_id", "a_date", "a_ordinal", "b_entry_id", "b_date", "b_ordinal"]
-    pairs = near.groupBy(*keys).agg(F.collect_set("target_key").alias("shared"), F.min_by("target", F.struct("a_pos", "target")).alias("shared_context"))
-    old, new = (hits.select("type", *(F.col(c).alias(f"{s}_{c}") for c in ("entry_id", "pos", "shown", "target_key"))) for s in "ab")
-    loose = lambda c: ~F.array_contains("shared", F.col(c))
-    met = pairs.join(old, "a_entry_id").where(loose("a_target_key")).join(new, ["b_entry_id", "type"]).where(loose("b_target_key"))
-    first = F.min(F.struct("a_pos", "a_shown", "b_pos", "b_shown", "type")).alias("f")
-    out = met.groupBy(*keys, "shared_context").agg(first)
-    out = out.orderBy(F.desc("a_date"), F.desc("a_ordinal"), "a_entry_id", F.desc("b_date"), F.desc("b_ordinal"), "b_entry_id")
-    out = out if limit is None else out.limit(limit)
+    each = diary.links.where("target_key is not null").join(typed.select(F.col("name_key").alias("target_key"), "e"), "target_key", "left")
+    own = each.groupBy("entry_id").agg(F.array_sort(F.collect_set(F.struct("pos", "target", "target_key", "e"))).alias("own")).where(F.exists("own", lambda x: x["e"].isNotNull()))
+    hits = F.transform(F.filter("own", lambda x: x["e"].isNotNull()), lambda x: F.struct(x["pos"].alias("pos"), x["e"]["shown"].alias("shown"), x["e"]["type"].alias("type"), x["target_key"].alias("key")))
+    notes = own.join(inside, "entry_id").select("entry_id", "date", "ordinal", day_gap(F.col("date"), F.lit("1970-01-01")).alias("day"), "own", F.transform("own", lambda x: x["target_key"]).alias("keys"), hits.alias("hits"))
+    notes = notes.withColumn("typed", F.transform("hits", lambda h: h["key"]))
+    has = ["entry_id", "date", "ordinal", "day", "keys", "hits", "typed"]
+    other = F.exists("hits", lambda h: h["key"] != F.col("target_key"))
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in has]
+    a = notes.join(diary.superseded.select("entry_id"), "entry_id", "left_anti").select(*side("a"), F.posexplode("own").alias("place", "x")).withColumns({"target_key": F.col("x.target_key"), "hits": F.col("a_hits")})
+    a = a.where(other).select("target_key", F.col("x.target").alias("shared_context"), "place", *(f"a_{c}" for c in has))
+    b = notes.select(*side("b"), "hits", F.explode(F.array_distinct("keys")).alias("target_key")).where(other).drop("hits")
+    near = a.join(b, "target_key").where(F.col("b_day") - F.col("a_day") >= SUPERSEDE_DAYS)
+    near = near.where((F.size(F.array_except("a_typed", "b_keys")) > 0) & (F.size(F.array_except("b_typed", "a_keys")) > 0) & ~F.arrays_overlap(F.slice("a_keys", F.lit(1), F.col("place")), F.col("b_keys")))
+    loose = lambda hits, keys: F.filter(hits, lambda h: ~F.array_contains(keys, h["key"]))
+    both = lambda x, y: F.struct(x["pos"].alias("a_pos"), x["shown"].alias("a_shown"), y["pos"].alias("b_pos"), y["shown"].alias("b_shown"), x["type"].alias("type"))
+    met = F.flatten(F.transform(loose("a_hits", F.col("b_keys")), lambda x: F.transform(F.filter(loose("b_hits", F.col("a_keys")), lambda y: y["type"] == x["type"]), lambda y: both(x, y))))
+    out = near.withColumn("f", F.array_min(met))
+    out = out.where("f is not null") if len(set(types)) > 1 else out  # of one type, all that are left are good
+    if limit is not None:
+        out = out.orderBy(F.desc("a_date"), F.desc("a_ordinal"), "a_entry_id", F.desc("b_date"), F.desc("b_ordinal"), "b_entry_id").limit(limit)
     return out.select(F.col("a_entry_id").alias("older_id"), F.col("b_entry_id").alias("newer_id"), "f.type", F.col("f.a_shown").alias("old_entity"), F.col("f.b_shown").alias("new_entity"), "shared_context")
 
 
