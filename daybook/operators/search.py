@@ -38,19 +38,22 @@ def postings(entries: DataFrame) -> DataFrame:
     """(token, entry_id, tf, len, positions, bucket): a row for each distinct token of each entry. An entry's
     tokens are grouped within its row, so that nothing is shuffled."""
     t = entries.select(F.col("id").alias("entry_id"), tokens(F.col("body")).alias("t"))
-    # Tokens sorted with their places; a token starts a run of its own where it differs from the one before.
-    placed = t.withColumn("s", F.array_sort(F.transform("t", lambda x, i: F.struct(x.alias("token"), i.alias("pos")))))
-    starts = placed.withColumn("first", F.filter(F.transform("s", lambda x, i: F.when((i == 0) | (F.get("s", i - 1)["token"] != x["token"]), i)), lambda i: i.isNotNull()))
-    runs = F.transform("first", lambda a, k: F.struct(a.alias("a"), (F.coalesce(F.get("first", k + 1), F.size("s")) - a).alias("tf")))
-    each = starts.select("entry_id", "s", F.size("t").alias("len"), F.explode(runs).alias("r"))
-    rows = each.select(F.get("s", F.col("r.a"))["token"].alias("token"), "entry_id", F.col("r.tf").alias("tf"), "len", F.transform(F.slice("s", F.col("r.a") + 1, F.col("r.tf")), lambda x: x["pos"]).alias("positions"))
+    # Tokens sorted with their places; a token starts a run of its own where it differs from the one before. A run is
+    # whole before it becomes a row, so that no row carries its entry's tokens along.
+    placed = t.select("entry_id", F.size("t").alias("len"), F.sort_array(F.transform("t", lambda x, i: F.struct(x.alias("token"), i.alias("pos")))).alias("s"))
+    split = placed.select("entry_id", "len", F.transform("s", lambda x: x["token"]).alias("w"), F.transform("s", lambda x: x["pos"]).alias("at"))
+    starts = split.withColumn("first", F.filter(F.transform("w", lambda x, i: F.when((i == 0) | (F.get("w", i - 1) != x), i)), lambda i: i.isNotNull()))
+    tf = lambda a, k: F.coalesce(F.get("first", k + 1), F.size("w")) - a
+    runs = F.transform("first", lambda a, k: F.struct(F.get("w", a).alias("token"), tf(a, k).alias("tf"), F.slice("at", a + 1, tf(a, k)).alias("positions")))
+    rows = starts.select("entry_id", "len", F.explode(runs).alias("r")).select("r.token", "entry_id", "r.tf", "len", "r.positions")
     return rows.withColumn("bucket", bucket_of(F.col("token")))
 
 
 def build_index(spark: SparkSession, entries: DataFrame, path: str) -> Index:
-    """Write the postings of entries (id, body) and the corpus statistics to path."""
+    """Write the postings of entries (id, body) and the corpus statistics to path. A bucket that is large is split
+    among tasks, so there are more tasks where there is more text."""
     rows = postings(entries)
-    rows.repartition(BUCKETS, "bucket", F.pmod(F.xxhash64("entry_id"), F.lit(8))).sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     total = spark.read.schema(POSTINGS).parquet(f"{path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
     counted = entries.agg(F.count("*").alias("n")).join(total).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avg"))
     counted.write.mode("overwrite").parquet(f"{path}/stats")

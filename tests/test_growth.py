@@ -2,7 +2,9 @@
 
 import re
 
-from daybook.operators import analysis
+from pyspark.sql import functions as F
+
+from daybook.operators import analysis, search
 from daybook.operators.tables import SCHEMAS, Diary
 
 
@@ -31,3 +33,25 @@ def test_superseded_pairs_are_judged_where_they_meet(spark):
     ]
     plan = plan_of(found)
     assert re.search("Join", plan).start() < re.search("Exchange|Aggregate|Sort ", plan).start()
+
+
+def test_postings_leave_their_entry_behind(spark):
+    """A posting is whole before it becomes a row: else each copies its entry's tokens, the square of its length."""
+    docs = spark.createDataFrame([("1", "b a b, C b a"), ("2", "")], "id string, body string")
+    rows = search.postings(docs)
+    kept = re.search(r"Generate explode\(.*?\), \[([^\]]*)\]", plan_of(rows)).group(1)
+    assert sorted(re.sub(r"#\d+", "", kept).split(", ")) == ["entry_id", "len"]
+    assert sorted(map(tuple, rows.drop("bucket").collect())) == [("a", "1", 2, 6, [1, 5]), ("b", "1", 3, 6, [0, 2, 4]), ("c", "1", 1, 6, [3])]
+
+
+def test_a_large_bucket_is_written_by_as_many_tasks_as_it_fills(spark, tmp_path):
+    """No fixed number of tasks: a bucket was dealt to eight at most before, however large."""
+    docs = spark.range(40000, numPartitions=32).select(F.col("id").cast("string").alias("id"), F.lit("same words for all").alias("body"))
+    size = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        search.build_index(spark, docs, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
+    files = {b.name: len(list(b.glob("*.parquet"))) for b in (tmp_path / "postings").glob("bucket=*")}
+    assert len(files) == 4 and min(files.values()) > 8
