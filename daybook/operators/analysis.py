@@ -147,9 +147,10 @@ def first_few(rows: DataFrame, keys: list[str], most: int, *order) -> DataFrame:
 
 
 def _pairs(diary: Diary, start: str | None, end: str | None) -> DataFrame:
-    rows = links_in_range(diary, start, end).select("entry_id", "target").distinct()
-    other = rows.withColumnRenamed("target", "b")
-    return rows.withColumnRenamed("target", "a").join(other, "entry_id").where("a < b")
+    """(a, b, entry_id), a before b: an entry's links are one row, and its pairs come from it without a join."""
+    own = links_in_range(diary, start, end).groupBy("entry_id").agg(F.sort_array(F.collect_set("target")).alias("own"))
+    each = own.select("entry_id", "own", F.posexplode("own").alias("i", "a"))
+    return each.select("entry_id", "a", F.explode(F.slice("own", F.col("i") + 2, F.size("own"))).alias("b")).select("a", "b", "entry_id")
 
 
 def target_pairs(diary: Diary, start: str | None = None, end: str | None = None, least: int = PAIR_MIN) -> DataFrame:

@@ -55,3 +55,12 @@ def test_a_large_bucket_is_written_by_as_many_tasks_as_it_fills(spark, tmp_path)
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", size)
     files = {b.name: len(list(b.glob("*.parquet"))) for b in (tmp_path / "postings").glob("bucket=*")}
     assert len(files) == 4 and min(files.values()) > 8
+
+
+def test_pairs_of_targets_come_from_their_entry(spark):
+    """One join (links with entries), not one of an entry's links with each other; repeated links count once."""
+    links = [("1", 0, "b"), ("1", 1, "a"), ("1", 2, "b"), ("1", 3, "c"), ("2", 0, "a"), ("2", 1, "b"), ("3", 0, "a"), ("3", 1, "c")]
+    d = small_diary(spark, [("1", "2024-01-01"), ("2", "2024-01-02"), ("3", "2023-01-01")], links, [])
+    found = analysis.pair_evidence(d, "2024-01-01", "2024-12-31", least=1)
+    assert sorted(map(tuple, found.collect())) == [("a", "b", 2, "1"), ("a", "b", 2, "2"), ("a", "c", 1, "1"), ("b", "c", 1, "1")]
+    assert len(re.findall("Join", plan_of(analysis.target_pairs(d, least=1)))) == 1
