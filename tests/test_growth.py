@@ -64,3 +64,30 @@ def test_pairs_of_targets_come_from_their_entry(spark):
     found = analysis.pair_evidence(d, "2024-01-01", "2024-12-31", least=1)
     assert sorted(map(tuple, found.collect())) == [("a", "b", 2, "1"), ("a", "b", 2, "2"), ("a", "c", 1, "1"), ("b", "c", 1, "1")]
     assert len(re.findall("Join", plan_of(analysis.target_pairs(d, least=1)))) == 1
+
+
+def test_every_page_goes_through_the_suffix_array():
+    """A page whose markup is plain is left to finish_page like the others, with the same text."""
+    import pandas as pd
+
+    from daybook.llm import html_extract
+
+    page = "<html><body><nav>home</nav><article><p>one two</p><p>three</p></article><div>loose</div></body></html>"
+    rows = pd.DataFrame({"rid": [0], "page_id": [1], "url": ["http://a.b/c"], "page": [5], "html": [page]})
+    (out,) = html_extract.parse_batches(iter([rows]))
+    assert "text" not in out and list(out["places"][0]) == ["junk", "article", "article", "loose"] and out["stream"][0] == ["home", "loose"]
+    assert html_extract.finish_page(list(zip(out["places"][0], out["texts"][0], strict=True)), [1], 1) == "one two three"
+
+
+def test_notes_are_parsed_in_portions_of_bytes(monkeypatch):
+    """A batch is cut by the size of its notes, so what a worker holds parsed doesn't grow with the batch."""
+    import pandas as pd
+
+    from daybook.sources import vault
+
+    rows = pd.DataFrame({"path": [f"journal/d{i}.md" for i in range(6)], "kind": "journal", "content": [b"## 10:00\nabc", b"", b"x" * 99, b"## 11:00\nq", b"## 12:00\nr", b""]})
+    (whole,) = vault._parse(iter([rows]))
+    monkeypatch.setattr(vault, "PARSE_BYTES", 24)
+    parts = list(vault._parse(iter([rows])))
+    assert [len(p) for p in parts] == [2, 1, 3] and pd.concat(parts, ignore_index=True).equals(whole)
+    assert [len(p) for p in vault._parse(iter([rows.iloc[:0]]))] == [0]
