@@ -60,9 +60,25 @@ def file_of(spark: SparkSession, vault: str, rel: str) -> DataFrame:
     return scan(spark, vault, rel)
 
 
+#: Bytes of notes that a worker parses at a time; a longer note is parsed alone. Parsed, they take many times as much.
+PARSE_BYTES = 1 << 20
+
+
+def _portions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of batches in the same order, cut so that the content of each portion has PARSE_BYTES at most."""
+    for pdf in batches:
+        ahead, begin = 0, 0
+        for i, content in enumerate(pdf["content"]):
+            if ahead and ahead + len(content) > PARSE_BYTES:
+                yield pdf.iloc[begin:i]
+                ahead, begin = 0, i
+            ahead += len(content)
+        yield pdf.iloc[begin:]
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known = {"sleep_hours", "exercise", "mood_score"}
-    for pdf in batches:
+    for pdf in _portions(batches):
         rows = []
         for path, kind, content in zip(pdf["path"], pdf["kind"], pdf["content"], strict=True):
             meta, body, warning = notes.split_frontmatter(bytes(content).decode("utf-8", "replace"))
