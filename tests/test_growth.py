@@ -91,3 +91,15 @@ def test_notes_are_parsed_in_portions_of_bytes(monkeypatch):
     parts = list(vault._parse(iter([rows])))
     assert [len(p) for p in parts] == [2, 1, 3] and pd.concat(parts, ignore_index=True).equals(whole)
     assert [len(p) for p in vault._parse(iter([rows.iloc[:0]]))] == [0]
+
+
+def test_page_texts_move_packed(spark):
+    """Parsed pages are shuffled as compressed packs and stored once; plain text was shuffled and its tokens stored too."""
+    from daybook.llm import html_extract
+
+    html = "<html><body><nav>home one two</nav><article><p>word " + "other words " * 40 + "</p></article></body></html>"
+    pages = spark.range(100).select(F.col("id").alias("page_id"), F.lit("http://a.b/c").alias("url"), F.lit(html).alias("html"))
+    done = html_extract.extract(spark, pages)
+    exchanged = re.findall(r"Exchange hashpartitioning\(([a-z]+)#", plan_of(done))
+    assert "pack" in exchanged and "rid" not in exchanged
+    assert {r.text for r in done.collect()} == {"word " + ("other words " * 40).strip()} and done.count() == 100
