@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import day_gap, in_range, middle
 from ..functions.similarity import jaro_winkler_udf, name_words
 from ..functions.text import first_line, fold, round_up, snippet, trim
+from ..sources.storage import materialise
 from .search import with_mentions
 from .tables import Diary
 
@@ -232,9 +233,11 @@ def concept_bridges(diary: Diary, start: str, end: str) -> DataFrame:
     """Tags of three entries or more that are no entity and that most of these entries don't link yet."""
     inside = diary.entries.where(in_range(F.col("date"), start, end)).select(F.col("id").alias("entry_id"))
     known = diary.entities.select(F.col("name_key").alias("tag_key")).distinct()
-    rows = diary.tags.join(known, "tag_key", "left_anti").join(inside, "entry_id")
+    # The entries in range come down to what tags and links are made of; the tags that are left are written, as all below reads them.
+    rows = diary.tags.join(inside, "entry_id", "left_semi").join(known, "tag_key", "left_anti").join(inside, "entry_id")
+    rows = materialise(rows.sparkSession, rows.select("tag_key", "tag", "entry_id"), "bridges")
     spelled = rows.groupBy("tag_key", "tag").agg(F.count("*").alias("n")).groupBy("tag_key").agg(F.min_by("tag", F.struct(-F.col("n"), "tag")).alias("concept"))
-    have = diary.links.select("entry_id", F.col("target_key").alias("tag_key"), F.lit(1).alias("linked")).distinct()
+    have = diary.links.join(inside, "entry_id", "left_semi").select("entry_id", F.col("target_key").alias("tag_key"), F.lit(1).alias("linked")).distinct()
     each = rows.select("tag_key", "entry_id").distinct()
     groups = each.join(have, ["entry_id", "tag_key"], "left").groupBy("tag_key").agg(F.count("*").alias("entry_count"), F.count("linked").alias("linked"))
     open_ = groups.where((F.col("entry_count") >= BRIDGE_MIN) & (F.col("linked") * 2 <= F.col("entry_count"))).join(spelled, "tag_key")

@@ -29,6 +29,11 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_key(df: DataFrame, *names: str) -> DataFrame:
+    """df with each name's folded key (name_key), for tables of few names that many rows are joined with."""
+    return df.withColumns({f"{n}_key": fold(F.col(n)) for n in names})
+
+
 def _keyed(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(f"{column}_key", fold(F.col(column)))
 
@@ -36,17 +41,21 @@ def _keyed(df: DataFrame, column: str) -> DataFrame:
 def diary(spark: SparkSession, sf_dir: str) -> Diary:
     orders, lines, parts, suppliers, customers, nations = (read(spark, sf_dir, t) for t in ("orders", "lineitem", "part", "supplier", "customer", "nation"))
     own = F.col("l_orderkey").cast("string").alias("entry_id")
-    sold = lines.join(parts.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type"), "l_partkey")
+    kind = parts.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", F.lower("p_type").alias("p_small"))
+    sold = lines.join(_with_key(kind, "p_name", "p_type", "p_small"), "l_partkey")
+    nations = _with_key(nations, "n_name")
     where = orders.join(customers.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-    home = where.join(lines.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey").select(F.col("o_orderkey").cast("string").alias("entry_id"), "n_name", F.lit(0).alias("pos"))
+    home = where.join(lines.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey").select(F.col("o_orderkey").cast("string").alias("entry_id"), "n_name", F.lit(0).alias("pos"), "n_name_key")
     first = F.min("l_linenumber").cast("int").alias("pos")
-    links = sold.groupBy(own, F.col("p_name").alias("target")).agg(first).unionByName(home.withColumnRenamed("n_name", "target"))
-    spelled = F.when(F.col("l_linenumber") % 2 == 0, F.lower("p_type")).otherwise(F.col("p_type"))
-    tags = sold.groupBy(own, spelled.alias("tag")).agg(first).unionByName(home.withColumnRenamed("n_name", "tag"))
+    named_home = lambda n: home.toDF("entry_id", n, "pos", f"{n}_key")
+    each = lambda n, c, k: sold.groupBy(own, c.alias(n), k.alias(f"{n}_key")).agg(first).select("entry_id", n, "pos", f"{n}_key").unionByName(named_home(n))
+    links = each("target", F.col("p_name"), F.col("p_name_key"))
+    even = F.col("l_linenumber") % 2 == 0
+    tags = each("tag", F.when(even, F.col("p_small")).otherwise(F.col("p_type")), F.when(even, F.col("p_small_key")).otherwise(F.col("p_type_key")))
     verb = F.when(F.col("l_returnflag") == "A", "joy").when(F.col("l_returnflag") == "R", "trigger").otherwise("with")
-    by = lines.join(suppliers.select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
-    named = F.when(F.col("l_linenumber") % 2 == 0, F.upper("s_name")).otherwise(F.col("s_name"))
-    relations = by.select(own, verb.alias("rel_type"), named.alias("target")).distinct()
+    by = lines.join(_with_key(suppliers.select(F.col("s_suppkey").alias("l_suppkey"), "s_name", F.upper("s_name").alias("s_large")), "s_name", "s_large"), "l_suppkey")
+    named = lambda end: F.when(even, F.col(f"s_large{end}")).otherwise(F.col(f"s_name{end}"))
+    relations = by.select(own, verb.alias("rel_type"), named("").alias("target"), named("_key").alias("target_key")).distinct()
     none = F.array().cast("array<string>").alias("aliases")
     kinds = parts.groupBy(F.col("p_name").alias("name")).agg(F.lower(F.min_by("p_type", "p_partkey")).alias("type")).select("name", "type", none)
     people = suppliers.select(F.col("s_name").alias("name"), F.lit("unknown").alias("type"), F.array(F.concat(F.lit("s"), "s_suppkey")).alias("aliases"))
@@ -57,7 +66,7 @@ def diary(spark: SparkSession, sf_dir: str) -> Diary:
     daily = daily.select(F.concat(F.lit("journal/"), "date", F.lit(".md")).alias("file"), "*", F.create_map().cast("map<string,string>").alias("extra"))
     later = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
     old = orders.withColumn("later", later).where("o_orderstatus = 'P' and later is not null").select(F.col("o_orderkey").cast("string").alias("entry_id"), F.col("later").cast("string").alias("newer_id"))
-    return Diary(entries(spark, sf_dir), _keyed(links, "target"), _keyed(relations, "target"), _keyed(tags, "tag"), entities, daily, old)
+    return Diary(entries(spark, sf_dir), links, relations, tags, entities, daily, old)
 
 
 def diary_of_parts(spark: SparkSession, sf_dir: str) -> Diary:
