@@ -6,6 +6,7 @@ spike_evidence); nested evidence holds the first few. Each function is a DataFra
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -191,6 +192,8 @@ def silences(diary: Diary, end: str) -> DataFrame:
 
 
 def insights(diary: Diary, start: str, end: str) -> DataFrame:
+    """Links with their entries' ids are written once, as five plans read them."""
+    diary = replace(diary, links=materialise(diary.links.sparkSession, diary.links.select("entry_id", "target"), "links"))
     said = lambda df, kind, text, *cols: df.select(F.lit(kind).alias("kind"), F.format_string(text, *cols).alias("detail"), "evidence")
     parts = [
         mood_streak(diary, start, end),
