@@ -25,6 +25,11 @@ def new_names(mentions: DataFrame, known: DataFrame) -> DataFrame:
     return first.join(known, "name_key", "left_anti").select("name", "name_key")
 
 
+def least_places(mentions: DataFrame) -> DataFrame:
+    """(target, place): each spelling once, with its least place; claims of these are those of all mentions."""
+    return mentions.groupBy("target").agg(F.min("place").alias("place"))
+
+
 def read_stubs(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(STUBS).parquet(path)

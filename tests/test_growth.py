@@ -1,10 +1,11 @@
 """What a plan may move or hold as its tables grow, and results where the cheaper plan could differ."""
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from daybook.operators import analysis, search
+from daybook.operators import analysis, claims, search
 from daybook.operators.tables import SCHEMAS, Diary
 
 
@@ -103,3 +104,22 @@ def test_page_texts_move_packed(spark):
     exchanged = re.findall(r"Exchange hashpartitioning\(([a-z]+)#", plan_of(done))
     assert "pack" in exchanged and "rid" not in exchanged
     assert {r.text for r in done.collect()} == {"word " + ("other words " * 40).strip()} and done.count() == 100
+
+
+def test_bridges_and_insights_read_what_is_written_once(spark):
+    """Tags in range are made once for all parts of the bridges' plan, links once for all kinds of insights."""
+    entries = [(str(i), f"2024-01-0{i}") for i in range(1, 6)] + [("9", "2020-01-01")]
+    d = small_diary(spark, entries, [("1", 0, "a"), ("1", 1, "b"), ("2", 0, "sky"), ("9", 0, "a")], [("a", "x")])
+    tags = [(str(i), 0, t, t.lower()) for i in range(1, 4) for t in ("Sky", "a")] + [("4", 0, "SKY", "sky"), ("9", 0, "sky", "sky")]
+    d = replace(d, tags=spark.createDataFrame(tags, SCHEMAS["tags"]))
+    found = analysis.concept_bridges(d, "2024-01-01", "2024-12-31")
+    assert "/bridges-" in plan_of(found) and [tuple(r) for r in found.collect()] == [("Sky", 4, ["1", "2", "3", "4"])]
+    told = analysis.insights(d, "2024-01-01", "2024-12-31")
+    assert len(re.findall("LocalTableScan.*target", plan_of(told))) == 0 and "/links-" in plan_of(told)
+
+
+def test_mentions_are_reduced_to_their_spellings(spark):
+    """Claims of each spelling's least place are those of all mentions."""
+    rows = spark.createDataFrame([("B", "3"), ("b", "2"), ("B", "1"), ("b", "4"), ("c", "7"), (None, "1")], "target string, place string")
+    known, least = spark.createDataFrame([("c",)], "name_key string"), claims.least_places(rows)
+    assert least.count() == 4 and [tuple(r) for r in claims.new_names(least, known).collect()] == [tuple(r) for r in claims.new_names(rows, known).collect()] == [("B", "b")]
