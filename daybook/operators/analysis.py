@@ -65,7 +65,19 @@ def checkin_days(daily_meta: DataFrame, start=None, end=None) -> DataFrame:
     return daily_meta.where(in_range(F.col("date"), start, end) & some).agg(F.count("*").alias("days_logged"), _half(F.avg("sleep_hours")).alias("avg_sleep"))
 
 
+def with_dated_links(diary: Diary, *columns: str) -> Diary:
+    """The diary with its links (these columns of them, or all) written once, each with its entry's date and ordinal, and
+    placed, null where there is no such entry: what reads dated links doesn't join them with entries again."""
+    if "placed" in diary.links.columns:
+        return diary
+    when = diary.entries.select(F.col("id").alias("entry_id"), "date", "ordinal", F.lit(True).alias("placed"))
+    rows = diary.links.select(*(columns or ["*"])).join(when, "entry_id", "left")
+    return replace(diary, links=materialise(rows.sparkSession, rows, "links"))
+
+
 def links_in_range(diary: Diary, start=None, end=None) -> DataFrame:
+    if "placed" in diary.links.columns:
+        return diary.links.where(F.col("placed") & in_range(F.col("date"), start, end)).drop("placed")
     return diary.links.join(diary.entries.where(in_range(F.col("date"), start, end)).select(F.col("id").alias("entry_id"), "date", "ordinal"), "entry_id")
 
 
@@ -108,8 +120,8 @@ def orphans(diary: Diary) -> DataFrame:
 def broken_links(diary: Diary) -> DataFrame:
     """Link targets that are no entity, with the first entry of each spelling."""
     known = diary.entities.select(F.col("name_key").alias("target_key")).distinct()
-    loose = diary.links.join(known, "target_key", "left_anti")
-    return loose.groupBy("target").agg(F.min("entry_id").alias("entry_id"))
+    spelled = diary.links.groupBy("target", "target_key").agg(F.min("entry_id").alias("entry_id"))  # names are joined, not links
+    return spelled.join(known, "target_key", "left_anti").groupBy("target").agg(F.min("entry_id").alias("entry_id"))
 
 
 def entries_without_links(diary: Diary) -> DataFrame:
@@ -161,8 +173,10 @@ def target_pairs(diary: Diary, start: str | None = None, end: str | None = None,
 
 
 def pair_evidence(diary: Diary, start: str | None = None, end: str | None = None, least: int = PAIR_MIN) -> DataFrame:
-    """(a, b, n, entry_id): every entry of every such pair."""
-    return _pairs(diary, start, end).join(target_pairs(diary, start, end, least), ["a", "b"]).select("a", "b", "n", "entry_id")
+    """(a, b, n, entry_id): every entry of every such pair. The pairs are written first, so where they are few they are
+    sent to the entries and nothing of these is shuffled."""
+    few = materialise(diary.links.sparkSession, target_pairs(diary, start, end, least), "pairs")
+    return _pairs(diary, start, end).join(few, ["a", "b"]).select("a", "b", "n", "entry_id")
 
 
 def co_occurrence(diary: Diary, start: str, end: str) -> DataFrame:
@@ -179,21 +193,24 @@ def spikes(diary: Diary, start: str, end: str) -> DataFrame:
 
 
 def spike_evidence(diary: Diary, start: str, end: str) -> DataFrame:
-    """(target, period_n, base_n, entry_id, date, ordinal): every mention in the period of every such target."""
-    return links_in_range(diary, start, end).join(spikes(diary, start, end), "target").select("target", "period_n", "base_n", "entry_id", "date", "ordinal")
+    """(target, period_n, base_n, entry_id, date, ordinal): every mention in the period of every such target. The targets
+    are written first, as pairs are."""
+    few = materialise(diary.links.sparkSession, spikes(diary, start, end), "spikes")
+    return links_in_range(diary, start, end).join(few, "target").select("target", "period_n", "base_n", "entry_id", "date", "ordinal")
 
 
 def silences(diary: Diary, end: str) -> DataFrame:
     rows = links_in_range(diary)
     last = rows.groupBy("target").agg(F.max("date").alias("last_date"), F.count("*").alias("n"))
     quiet = last.withColumn("gap", day_gap(F.lit(end), F.col("last_date"))).where((F.col("n") >= SILENCE_MENTIONS) & (F.col("gap") >= SILENCE_DAYS))
+    quiet = materialise(rows.sparkSession, quiet, "silences")
     newest = first_few(rows.join(quiet.select("target"), "target", "left_semi"), ["target"], SILENCE_EVIDENCE, F.desc("date"), F.desc("ordinal"), "entry_id")
     return quiet.join(newest, "target").select("target", "last_date", "n", "gap", "evidence")
 
 
 def insights(diary: Diary, start: str, end: str) -> DataFrame:
-    """Links with their entries' ids are written once, as five plans read them."""
-    diary = replace(diary, links=materialise(diary.links.sparkSession, diary.links.select("entry_id", "target"), "links"))
+    """Links with their entries' dates are written once, as six plans read them."""
+    diary = with_dated_links(diary, "entry_id", "target")
     said = lambda df, kind, text, *cols: df.select(F.lit(kind).alias("kind"), F.format_string(text, *cols).alias("detail"), "evidence")
     parts = [
         mood_streak(diary, start, end),
@@ -223,11 +240,17 @@ def relation_summary(diary: Diary, start: str, end: str, limit: int = TOP_RELATI
     return both.withColumn("nth", nth).where(F.col("nth") <= limit).select("rel_type", "nth", "target", "n")
 
 
+def _loose_tags(diary: Diary, limit: int) -> DataFrame:
+    """(tag, n): the most used tags that are no entity; spellings are joined with entities, not each use of them."""
+    known = diary.entities.select(F.col("name_key").alias("tag_key")).distinct()
+    each = diary.tags.groupBy("tag", "tag_key").agg(F.count("*").alias("n")).join(known, "tag_key", "left_anti")
+    return each.groupBy("tag").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "tag").limit(limit)
+
+
 def unconverted_tags(diary: Diary, limit: int = TAG_LIMIT) -> DataFrame:
     """(tag, n, examples): tags that are no entity, the most used first, each with its least entry ids."""
     known = diary.entities.select(F.col("name_key").alias("tag_key")).distinct()
-    loose = diary.tags.join(known, "tag_key", "left_anti")
-    top = loose.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(limit)
+    loose, top = diary.tags.join(known, "tag_key", "left_anti"), _loose_tags(diary, limit)
     few = first_few(loose.join(top.select("tag"), "tag", "left_semi").select("tag", "entry_id").distinct(), ["tag"], TAG_EXAMPLES, "entry_id")
     return top.join(few, "tag").select("tag", "n", F.col("evidence").alias("examples")).orderBy(F.desc("n"), "tag")
 
@@ -240,7 +263,8 @@ def concept_bridges(diary: Diary, start: str, end: str) -> DataFrame:
     rows = diary.tags.join(inside, "entry_id", "left_semi").join(known, "tag_key", "left_anti").join(inside, "entry_id")
     rows = materialise(rows.sparkSession, rows.select("tag_key", "tag", "entry_id"), "bridges")
     spelled = rows.groupBy("tag_key", "tag").agg(F.count("*").alias("n")).groupBy("tag_key").agg(F.min_by("tag", F.struct(-F.col("n"), "tag")).alias("concept"))
-    have = diary.links.join(inside, "entry_id", "left_semi").select("entry_id", F.col("target_key").alias("tag_key"), F.lit(1).alias("linked")).distinct()
+    own = links_in_range(diary, start, end) if "placed" in diary.links.columns else diary.links.join(inside, "entry_id", "left_semi")
+    have = own.select("entry_id", F.col("target_key").alias("tag_key"), F.lit(1).alias("linked")).distinct()
     each = rows.select("tag_key", "entry_id").distinct()
     groups = each.join(have, ["entry_id", "tag_key"], "left").groupBy("tag_key").agg(F.count("*").alias("entry_count"), F.count("linked").alias("linked"))
     open_ = groups.where((F.col("entry_count") >= BRIDGE_MIN) & (F.col("linked") * 2 <= F.col("entry_count"))).join(spelled, "tag_key")
@@ -280,7 +304,8 @@ def superseded_candidates(diary: Diary, start: str, end: str, types: list[str] |
     types = types or CURRENT_TYPES
     typed = diary.entities.where(F.lower("type").isin(types)).groupBy("name_key").agg(F.max_by(F.struct(F.lower("type").alias("type"), F.col("name").alias("shown")), "name").alias("e"))
     inside = diary.entries.where(in_range(F.col("date"), start, end)).select(F.col("id").alias("entry_id"), "date", "ordinal")
-    each = diary.links.where("target_key is not null").join(typed.select(F.col("name_key").alias("target_key"), "e"), "target_key", "left")
+    links = links_in_range(diary, start, end).drop("date", "ordinal") if "placed" in diary.links.columns else diary.links
+    each = links.where("target_key is not null").join(typed.select(F.col("name_key").alias("target_key"), "e"), "target_key", "left")
     own = each.groupBy("entry_id").agg(F.array_sort(F.collect_set(F.struct("pos", "target", "target_key", "e"))).alias("own")).where(F.exists("own", lambda x: x["e"].isNotNull()))
     hits = F.transform(F.filter("own", lambda x: x["e"].isNotNull()), lambda x: F.struct(x["pos"].alias("pos"), x["e"]["shown"].alias("shown"), x["e"]["type"].alias("type"), x["target_key"].alias("key")))
     notes = own.join(inside, "entry_id").select("entry_id", "date", "ordinal", day_gap(F.col("date"), F.lit("1970-01-01")).alias("day"), "own", F.transform("own", lambda x: x["target_key"]).alias("keys"), hits.alias("hits"))
@@ -358,7 +383,13 @@ def type_suggestions(diary: Diary) -> DataFrame:
 
 
 def suggested_actions(diary: Diary, start: str, end: str) -> DataFrame:
-    """(priority, action): one line for each kind of finding that is there, in a fixed order."""
+    """(priority, action): one line for each kind of finding that is there, in a fixed order.
+
+    Entities, tags, relations and links with their dates are written once, as all kinds read them; of few entities Spark
+    then knows that they are few, and sends them to the links. What is only counted is not looked up in full.
+    """
+    spark = diary.entries.sparkSession
+    diary = with_dated_links(replace(diary, **{t: materialise(spark, getattr(diary, t), t) for t in ("entities", "tags", "relations")}))
 
     def counted(priority: int, df: DataFrame, text: str) -> DataFrame:
         n = df.agg(F.count("*").alias("n")).where("n > 0")
@@ -368,12 +399,12 @@ def suggested_actions(diary: Diary, start: str, end: str) -> DataFrame:
         return df.select(F.lit(priority).alias("priority"), F.format_string(text, *cols).alias("action"))
 
     parts = [
-        counted(1, unknown_types(diary), "classify %d unknown-type entities"),
+        counted(1, diary.entities.where(F.col("type") == "unknown"), "classify %d unknown-type entities"),
         counted(2, alias_candidates(diary.entities), "review %d possible alias pairs"),
         counted(3, broken_links(diary), "fix %d broken wikilinks"),
         counted(4, entries_without_links(diary), "backfill links on %d entries"),
         counted(5, missing_relations(diary), "backfill emotional relation on %d strong-mood entries"),
-        counted(6, unconverted_tags(diary), "convert %d tags to wikilinks/relations"),
+        counted(6, _loose_tags(diary, TAG_LIMIT).where("tag is not null"), "convert %d tags to wikilinks/relations"),
         each(7, concept_bridges(diary, start, end), "add [[%s]] to %d entries", "concept", "entry_count"),
         each(8, superseded_candidates(diary, start, end), "mark %s superseded by %s? (%s → %s)", "older_id", "newer_id", "old_entity", "new_entity"),
         counted(9, type_suggestions(diary), "set type of %d unknown-type entities"),

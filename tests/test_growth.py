@@ -123,3 +123,18 @@ def test_mentions_are_reduced_to_their_spellings(spark):
     rows = spark.createDataFrame([("B", "3"), ("b", "2"), ("B", "1"), ("b", "4"), ("c", "7"), (None, "1")], "target string, place string")
     known, least = spark.createDataFrame([("c",)], "name_key string"), claims.least_places(rows)
     assert least.count() == 4 and [tuple(r) for r in claims.new_names(least, known).collect()] == [tuple(r) for r in claims.new_names(rows, known).collect()] == [("B", "b")]
+
+
+def test_actions_read_tables_that_are_written_once(spark):
+    """Links come with their dates, once; broken ones and loose tags are spellings before they are joined. Null tags and links without an entry count as before."""
+    d = small_diary(spark, [("1", "2024-01-01"), ("2", "2024-01-02"), ("3", "2020-01-01")], [("1", 0, "a"), ("1", 1, "B"), ("9", 0, "b"), ("9", 1, "c")], [("a", "x"), ("u", "unknown")])
+    tags = [("1", 0, "Sky", "sky"), ("2", 0, "sky", "sky"), ("3", 0, "a", "a"), ("3", 1, None, None)]
+    d = replace(d, tags=spark.createDataFrame(tags, SCHEMAS["tags"]), relations=spark.createDataFrame([("1", "joy", "U", "u")], SCHEMAS["relations"]))
+    found = analysis.suggested_actions(d, "2024-01-01", "2024-12-31")
+    assert not re.search("LocalTableScan.*(target|tag|name)", plan_of(found))
+    assert sorted(map(tuple, found.collect())) == [
+        (1, "classify 1 unknown-type entities"), (3, "fix 3 broken wikilinks"), (4, "backfill links on 2 entries"), (6, "convert 2 tags to wikilinks/relations"), (9, "set type of 1 unknown-type entities"),
+    ]
+    plan = plan_of(analysis.broken_links(d))
+    assert "partial_min" in plan[re.search("Join", plan).start() :]
+    assert [tuple(r) for r in analysis.links_in_range(analysis.with_dated_links(d), "2024-01-01").select("entry_id", "target", "date").orderBy("target").collect()] == [("1", "B", "2024-01-01"), ("1", "a", "2024-01-01")]
