@@ -72,7 +72,7 @@ def wikilinks(c: Column) -> Column:
 
 
 def hashtags(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?<![\p{L}\p{N}_#/])#(\p{L}[\p{L}\p{N}_]*)"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"#(?<![\p{L}\p{N}_#/]#)(\p{L}[\p{L}\p{N}_]*)"), F.lit(1)))
 
 
 def cut(c: Column, most: int) -> Column:

@@ -19,6 +19,8 @@ SUPERSEDED = r"(?U)^superseded::\s*([0-9]{4}-[0-9]{2}-[0-9]{2}#[0-9]+)\s*$"
 VERB = r"(?U)^([\w-]+)::\s*(.*)$"
 LINK = r"\[\[([^\[\]]+?)\]\]"
 RESERVED = ["mood", "tags"]
+#: What is in a line that trim leaves something of; it is found at once, where trim goes through the whole line.
+SOME = r"(?U)[^\s\x{FEFF}]"
 SECTION = "note, ordinal, time, at, end, mood, intensity, superseded, tags, relations, links, text"
 
 
@@ -33,7 +35,7 @@ def _places(lines: str, test) -> Column:
 
 
 def _blank(line: Column) -> Column:
-    return trim(line) == ""
+    return ~line.rlike(SOME)
 
 
 def _field(line: Column) -> Column:
@@ -58,8 +60,10 @@ def _field(line: Column) -> Column:
 def _with_zone(df: DataFrame, repeated: bool) -> DataFrame:
     """Adds _first (the first line of own that isn't blank) and _zone (the fields ahead of its text)."""
     df = df.withColumn("_first", F.coalesce(F.get(_places("own", lambda x, i: ~_blank(x)), F.lit(0)), F.size("own")))
-    df = df.withColumn("_head", F.slice("own", F.col("_first") + 1, F.greatest(F.size("own") - F.col("_first"), F.lit(0))))
-    df = df.withColumn("_fields", F.transform("_head", lambda x: _field(trim(x)))).withColumn("_kinds", F.transform("_fields", lambda f: F.coalesce(f["kind"], F.lit(""))))
+    # A field has two colons: no other line is trimmed or held against the patterns, and what is, is trimmed once.
+    head = F.slice("own", F.col("_first") + 1, F.greatest(F.size("own") - F.col("_first"), F.lit(0)))
+    df = df.withColumn("_head", F.transform(head, lambda x: F.when(x.contains("::"), trim(x))))
+    df = df.withColumn("_fields", F.transform("_head", lambda x: F.when(x.isNotNull(), _field(x)))).withColumn("_kinds", F.transform("_fields", lambda f: F.coalesce(f["kind"], F.lit(""))))
 
     def ends(kind: Column, i: Column) -> Column:
         if repeated:
@@ -75,7 +79,7 @@ def _with_zone(df: DataFrame, repeated: bool) -> DataFrame:
 def _cut(df: DataFrame, body: Column) -> DataFrame:
     """Adds _lines and _heads, the places of headings that count: at the start or after a blank line."""
     df = df.withColumn("_lines", F.split(body, "\n", -1))
-    return df.withColumn("_heads", _places("_lines", lambda x, i: F.regexp_replace(x, "\r+$", "").rlike(HEADING) & ((i == 0) | _blank(F.get("_lines", i - 1)))))
+    return df.withColumn("_heads", _places("_lines", lambda x, i: x.startswith("##") & F.regexp_replace(x, "\r+$", "").rlike(HEADING) & ((i == 0) | _blank(F.get("_lines", i - 1)))))
 
 
 def _sections(cut: DataFrame, *keep: str) -> DataFrame:

@@ -138,3 +138,15 @@ def test_actions_read_tables_that_are_written_once(spark):
     plan = plan_of(analysis.broken_links(d))
     assert "partial_min" in plan[re.search("Join", plan).start() :]
     assert [tuple(r) for r in analysis.links_in_range(analysis.with_dated_links(d), "2024-01-01").select("entry_id", "target", "date").orderBy("target").collect()] == [("1", "B", "2024-01-01"), ("1", "a", "2024-01-01")]
+
+
+def test_patterns_are_tried_on_lines_with_two_colons_only(spark):
+    """Other lines of a section are not trimmed for each pattern; blank ones are told without trimming. White space of all kinds is as before."""
+    from daybook.sources import notes as plain
+    from daybook.sources import sections
+
+    body = "　\n## 08:30\n \n tags:: a, b \n  mood:: ok/2\n x y #c/d e#f \n　\n##  9:05\r\n\nmood:: z\r\n #g\n"
+    found = sections.sections(spark.createDataFrame([("1", body)], "note string, body string"))
+    assert re.search(r"Contains\(lambda x[^,]*, ::\)", plan_of(found))
+    want = [(e["time"], e["mood"], e["intensity"], e["tags"]) for e in plain.parse_entries(body)]
+    assert [(r.time, r.mood, r.intensity, r.tags) for r in found.orderBy("ordinal").collect()] == want and len(want) == 2
