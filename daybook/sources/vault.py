@@ -8,12 +8,14 @@ import time
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import block_hash, fold, trim
 from ..operators.tables import SCHEMAS, Diary
 from . import notes, writers
+from .storage import materialise
 
 KINDS = {"journal": "journal", "entities": "entity", "insights": "insight"}
 #: Version of the tables' layout; an index of another one is built anew.
@@ -22,7 +24,11 @@ INDEX_VERSION = 2
 MONTHLY = ["entries", "links", "relations", "tags", "daily_meta", "superseded"]
 _SCANNED = "path string, mtime bigint, kind string, content binary"
 _ENTRY = "time string, ordinal int, mood string, intensity int, superseded string, text string, links array<string>, tags array<string>, relations map<string,array<string>>"
-PARSED = f"path string, name string, entries array<struct<{_ENTRY.replace(' ', ':').replace(',:', ',')}>>, type string, aliases array<string>, sleep_hours double, exercise string, mood_score double, extra map<string,string>, warning string"
+PARSED = f"path string, kind string, name string, entries array<struct<{_ENTRY.replace(' ', ':').replace(',:', ',')}>>, type string, aliases array<string>, sleep_hours double, exercise string, mood_score double, extra map<string,string>, warning string"
+_STRINGS, _S = pa.list_(pa.string()), pa.string()
+_ARROW_ENTRY = pa.struct({"time": _S, "ordinal": pa.int32(), "mood": _S, "intensity": pa.int32(), "superseded": _S, "text": _S, "links": _STRINGS, "tags": _STRINGS, "relations": pa.map_(_S, _STRINGS)})
+#: PARSED as Arrow's types: nested columns are made by Arrow, not value by value.
+_ARROW = pa.schema({"path": _S, "kind": _S, "name": _S, "entries": pa.list_(_ARROW_ENTRY), "type": _S, "aliases": _STRINGS, "sleep_hours": pa.float64(), "exercise": _S, "mood_score": pa.float64(), "extra": pa.map_(_S, _S), "warning": _S})
 
 
 def _local(vault: str) -> str:
@@ -88,17 +94,26 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             extra = {str(k): str(v) for k, v in meta.items() if k not in known} if kind == "journal" else {}
             told = lambda k, otherwise: meta[k] if isinstance(meta.get(k), str) else otherwise  # noqa: B023, E731
             name = notes.nfc(path.rsplit("/", 1)[-1].removesuffix(".md"))
-            rows.append((path, name, entries, told("type", "unknown"), aliases, number("sleep_hours"), told("exercise", None), number("mood_score"), extra or None, warning))
-        yield pd.DataFrame(rows, columns=["path", "name", "entries", "type", "aliases", "sleep_hours", "exercise", "mood_score", "extra", "warning"])
+            rows.append((path, kind, name, entries, told("type", "unknown"), aliases, number("sleep_hours"), told("exercise", None), number("mood_score"), extra or None, warning))
+        yield pd.DataFrame(rows, columns=["path", "kind", "name", "entries", "type", "aliases", "sleep_hours", "exercise", "mood_score", "extra", "warning"])
+
+
+def _parse_arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for pdf in _parse(batch.to_pandas() for batch in batches):
+        for e in (e for entries in pdf["entries"] for e in entries):
+            e["relations"] = list(e["relations"].items())
+        pdf["extra"] = [x and list(x.items()) for x in pdf["extra"]]
+        yield pa.RecordBatch.from_arrays([pa.array(pdf[f.name], f.type, from_pandas=True) for f in _ARROW], schema=_ARROW)
 
 
 def tables(files: DataFrame) -> Diary:
     """The derived tables of scanned files; a pure function of their content.
 
     Of journal files with one date, the first by path is kept, of entity files with one name the last.
-    Every journal file that is kept has its row of daily_meta.
+    Every journal file that is kept has its row of daily_meta. Files are parsed once: what they say is written, as all
+    tables read it.
     """
-    parsed = files.select("path", "kind", "content").mapInPandas(_parse, PARSED).join(files.select("path", "kind"), "path")
+    parsed = materialise(files.sparkSession, files.select("path", "kind", "content").mapInArrow(_parse_arrow, PARSED), "notes")
     journal = parsed.where("kind = 'journal'").withColumnRenamed("name", "date")
     first = F.row_number().over(Window.partitionBy("date").orderBy("path"))
     journal = journal.withColumn("nth", first).where("nth = 1")

@@ -150,3 +150,18 @@ def test_patterns_are_tried_on_lines_with_two_colons_only(spark):
     assert re.search(r"Contains\(lambda x[^,]*, ::\)", plan_of(found))
     want = [(e["time"], e["mood"], e["intensity"], e["tags"]) for e in plain.parse_entries(body)]
     assert [(r.time, r.mood, r.intensity, r.tags) for r in found.orderBy("ordinal").collect()] == want and len(want) == 2
+
+
+def test_notes_are_parsed_once_for_all_tables(spark):
+    """What files say is written; the plans of the tables parse nothing. Missing and nested values are as the parser gives them."""
+    from daybook.sources import vault
+
+    content = ["---\nsleep_hours: 7.5\nmood_score: x\nother: y\n---\n## 10:00\nmood:: ok/2\nwith:: [[Ann]], [[Bob]]\n`[`[a]] #t\n\n## 11:00\n", "", "---\ntype: thing\naliases: [q]\n---\n"]
+    files = [(p, i, k, c.encode()) for i, (p, k, c) in enumerate(zip(["journal/d1.md", "journal/d2.md", "entities/e.md"], ["journal", "journal", "entity"], content, strict=True))]
+    d = vault.tables(spark.createDataFrame(files, "path string, mtime bigint, kind string, content binary"))
+    assert not any("MapIn" in plan_of(t) for t in (d.entries, d.links, d.tags, d.relations, d.superseded, d.daily_meta, d.entities))
+    rows = lambda t, *c: sorted(map(tuple, t.select(*c).collect()), key=str)
+    assert rows(d.entries, "id", "mood", "intensity", "body") == [("d1#0", "ok", 2, "`[`[a]] #t"), ("d1#1", None, None, "")]
+    assert rows(d.relations, "entry_id", "rel_type", "target") == [("d1#0", "with", "Ann"), ("d1#0", "with", "Bob")] and rows(d.tags, "tag") == [("t",)] and d.links.count() == 0
+    assert rows(d.daily_meta, "date", "sleep_hours", "mood_score", "extra") == [("d1", 7.5, None, {"other": "y"}), ("d2", None, None, None)]
+    assert rows(d.entities, "name", "type", "aliases") == [("e", "thing", ["q"])]
