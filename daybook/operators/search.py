@@ -7,6 +7,7 @@ never the entries' texts.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +23,8 @@ TOP, OVERFETCH, PHRASE_LIMIT, PER_ENTITY, DEFAULT_LIMIT = 20, 4, 50, 20, 10
 PHRASE_BONUS, ENTITY_BONUS, RELATION_BONUS, SUPERSEDED_WEIGHT = 0.2, 0.3, 0.5, 0.5
 #: Buckets of the index; a bucket holds all tokens with the same first MIN_PREFIX characters.
 BUCKETS = 64
+#: Keys that are told to a table as a list of values, so that they are met where it is read; more are joined.
+LISTED = 1000
 POSTINGS = "token string, entry_id string, tf int, len int, positions array<int>, bucket int"
 STATS = "n bigint, avg double"
 
@@ -30,6 +33,12 @@ def _plus(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
+def listed(rows: DataFrame, column: str) -> list | None:
+    """The distinct values of a column if there are few; nulls are left out, as they equal nothing."""
+    found = rows.where(F.col(column).isNotNull()).select(column).distinct().limit(LISTED + 1).collect()
+    return [r[0] for r in found] if len(found) <= LISTED else None
+
+
 def bucket_of(token: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(token, 1, MIN_PREFIX)), F.lit(BUCKETS)).cast("int")
 
@@ -175,15 +184,20 @@ def candidates(
     typed entries enter with the entity bonus if no other source has them. Relation and type then
     filter what is left.
     """
-    found = matched_entities(diary.entities, entity if entity is not None else query)
+    spark = diary.entries.sparkSession
+    found = materialise(spark, matched_entities(diary.entities, entity if entity is not None else query), "found")
+    near, names = diary, listed(found, "name")
+    if names is not None:  # what points at few entities is taken where links and relations are read, once
+        own = {t: materialise(spark, getattr(diary, t).where(F.col("target").isin(names)), t) for t in ("links", "relations")}
+        near = replace(diary, **own)
     parts = []
     if query:
         hits = full_text(index, query)
         top = F.max("score").over(Window.partitionBy(F.lit(0)))  # twenty rows
         parts.append(hits.withColumn("top", top).select("id", F.lit("text").alias("source"), F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(1.0).alias("score")))
         parts.append(phrase(index, query).select("id", F.lit("phrase").alias("source"), F.lit(PHRASE_BONUS).alias("score")))
-    parts.append(linked_entries(diary, found, start, end).select("id").distinct().select("id", F.lit("entity").alias("source"), F.lit(ENTITY_BONUS).alias("score")))
-    related = related_entries(diary, found, relation, start, end)
+    parts.append(linked_entries(near, found, start, end).select("id").distinct().select("id", F.lit("entity").alias("source"), F.lit(ENTITY_BONUS).alias("score")))
+    related = related_entries(near, found, relation, start, end)
     if relation:
         anyone = related_entries(diary, None, relation, start, end).join(F.broadcast(found.agg(F.count("*").alias("n"))).where("n = 0")).select("id")
         related = related.union(anyone).distinct()
@@ -220,12 +234,12 @@ def recall(
 
     Ties go to entries not superseded, then to the newer; a query that asks for the present halves the
     weight of superseded entries in the order. The candidates (ids and scores) are written once, as they
-    are both counted and ranked.
+    are both counted and ranked, with what supersedes them; only the best ones' rows are taken from the other tables.
     """
     spark = diary.entries.sparkSession
-    found = candidates(diary, index, query, entity, relation, kind, start, end)
+    found = materialise(spark, candidates(diary, index, query, entity, relation, kind, start, end), "candidates")
     rows = diary.entries.where(in_range(F.col("date"), start, end)).select("id", "date", "ordinal").join(found, "id")
-    old = diary.superseded.select("entry_id").distinct().select(F.col("entry_id").alias("id"), F.lit(True).alias("old"))
+    old = diary.superseded.join(found.select(F.col("id").alias("entry_id")), "entry_id", "left_semi").groupBy(F.col("entry_id").alias("id")).agg(F.max("newer_id").alias("newer"), F.lit(True).alias("old"))
     rows = rows.join(old, "id", "left").withColumn("score", round_up(F.col("score"), 3))
     rows = materialise(spark, rows, "recall")
     weight = F.when(F.col("old"), SUPERSEDED_WEIGHT).otherwise(1.0) if asks_for_now(query) else F.lit(1.0)
@@ -233,4 +247,10 @@ def recall(
     best = rows.orderBy(*keys).limit(limit if limit and limit > 0 else DEFAULT_LIMIT)
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys))  # of a few rows
     best = best.withColumn("place", place.cast("int")).join(rows.agg(F.count("*").alias("total"))).select("id", "place", "score", "total")
+    best = materialise(spark, best, "best")
+    diary = replace(diary, superseded=rows.where("old").select(F.col("id").alias("entry_id"), F.col("newer").alias("newer_id")))
+    ids = listed(best, "id")
+    if ids is not None:
+        own = lambda t, key: getattr(diary, t).where(F.col(key).isin(ids))
+        diary = replace(diary, entries=own("entries", "id"), links=own("links", "entry_id"), tags=own("tags", "entry_id"), relations=own("relations", "entry_id"))
     return hydrate(diary, best).orderBy("place")
