@@ -2,9 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from daybook.operators import search
+from daybook.sources import segments
 from daybook.sources.segments import SegmentedIndex
 
 WORDS = ["an", "ben", "chi", "công", "ty", "đọc", "sách", "family", "families", "work"]
@@ -77,3 +80,33 @@ def test_what_a_crash_leaves_behind_is_not_read(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         index.apply(frame(spark, [(None, "1")]))
     assert index.version()[0] == 1
+
+
+def test_a_segment_is_packed_by_token_and_leaves_out_what_is_gone(spark, tmp_path):
+    """Rows are as many as tokens of a block, not of its entries: these were rows of their own, each shuffled and sorted at every merge."""
+    index = SegmentedIndex(spark, f"file://{tmp_path}/s", fanout=2)
+    stored = lambda: spark.read.parquet(*(str(p) for p in tmp_path.rglob(f"seg={index.version()[1][0].name}") if p.parent.name == "postings")).where("token is not null")
+    rows = spark.range(300, numPartitions=1).select(F.col("id").cast("string").alias("id"), F.lit("b a Đọc b").alias("body"))
+    index.apply(rows)
+    assert sorted(r.token for r in stored().collect()) == ["a", "b", "doc"]
+    index.apply(rows.where("id % 2 = 0").withColumn("body", F.lit("a new")))
+    assert [(p.kind, p.level, p.n, p.total) for p in index.version()[1]] == [("segment", 1, 300, 900)]
+    assert stored().where("token = 'b'").select(F.size("places")).first()[0] == 300 and stored().count() == 5
+    kept = index.open().postings.where("token = 'b'").select(F.col("entry_id").cast("int"), "tf", "len", "positions")
+    assert sorted(map(tuple, kept.collect())) == [(i, 2, 4, [0, 3]) for i in range(1, 300, 2)]
+
+
+def test_blocks_are_cut_by_their_tokens_and_hold_all_entries(monkeypatch):
+    monkeypatch.setattr(segments, "BLOCK_TOKENS", 5)
+    texts = [["a", "b"], ["b"], [], ["c"] * 7, ["a"], ["b", "a", "b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(list("012345")), pa.array(["d"] * 6), pa.array(texts)], ["entry_id", "digest", "t"])
+    found, blocks = {}, {}
+    for r in (r for out in segments._invert(iter([batch])) for r in out.to_pylist()):
+        if r["token"] is None:
+            blocks[r["block"]] = (r["ids"], r["lens"])
+        else:
+            found[r["block"], r["token"]] = [(p >> 32, p & 0xFFFFFFFF) for p in r["places"]]
+    assert sorted(blocks.values()) == [(["0", "1", "2"], [2, 1, 0]), (["3"], [7]), (["4", "5"], [1, 3])]
+    assert sorted((blocks[b][0][0], t, p) for (b, t), p in found.items()) == [
+        ("0", "a", [(0, 0)]), ("0", "b", [(0, 1), (1, 0)]), ("3", "c", [(0, k) for k in range(7)]), ("4", "a", [(0, 0), (1, 1)]), ("4", "b", [(1, 0), (1, 2)]),
+    ]
