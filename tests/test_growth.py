@@ -178,3 +178,35 @@ def test_recall_takes_the_best_entries_rows_where_tables_are_read(spark, sf, mon
     rows = [tuple(r) for r in narrow.collect()]
     monkeypatch.setattr(search, "LISTED", 0)
     assert rows and [tuple(r) for r in ask().collect()] == rows
+
+
+def test_alias_pairs_are_counted_as_listed(spark):
+    """Against every pair by the plain definitions: numbers of one and of many lengths, stems that are alike, hold digits, are empty or contained."""
+    import itertools
+    import random
+
+    from daybook.functions import similarity, text
+
+    rng = random.Random(11)
+    draw = lambda stem, n, least, most: {stem + "".join(rng.choice("0123456789") for _ in range(rng.randint(least, most))) for _ in range(n)}
+    names = {"Supplier", "supplier#", "room", "Room 7", "old room 7", "Zoë", "zoe", "7", "", "x9 room", "Romo 12", "Supplies#00012", "r\n5"}
+    names |= draw("Room ", 60, 1, 4) | draw("room ", 30, 2, 2) | draw("Moor ", 30, 1, 3) | draw("Customer#0", 60, 8, 8) | draw("Supplier#0", 40, 8, 8) | draw("x9 ", 40, 1, 9) | draw("", 60, 1, 6) | draw("ab", 60, 5, 7) | draw("Customer", 40, 2, 3)
+    want = 0
+    for a, b in itertools.combinations(sorted(names), 2):
+        want += similarity.jaro_winkler(text.fold_text(a), text.fold_text(b)) >= 0.85 or similarity.contained(a, b)
+    entities = spark.createDataFrame([(n,) for n in [*names, "Room 7"]], "name string")
+    assert [analysis.alias_count(entities, crowd=n).first().n for n in (20, 10**6)] == [want, want]
+
+
+def test_actions_take_all_entities(spark, sf):
+    """Suppliers, of unknown type and numbered, and customers are among the actions' entities."""
+    from daybook.plans.catalogue import QUERIES
+
+    found = {r.priority: r.action for r in QUERIES["l3_suggested_actions"](spark, sf).where("priority < 10").collect()}
+    assert found[1] == "classify 10 unknown-type entities" and found[2].startswith("review ") and int(found[2].split()[1]) > 150 * 149 / 2 and found[9] == "set type of 10 unknown-type entities"
+
+
+def test_numbered_names_of_a_crowd_are_not_paired(spark):
+    """Classes are paired, not names: of 20,000 names as they are numbered in the tables all pairs are counted."""
+    names = spark.range(20000).select(F.format_string("Customer#%09d", "id").alias("name"))
+    assert analysis.alias_count(names).first().n == 20000 * 19999 // 2
