@@ -65,3 +65,42 @@ def test_repeats_decide_on_pages_without_an_article(spark):
             at += len(b)
         want[i] = " ".join(x for x in left if x)
     assert dropped > 200 and texts(spark, pages) == want
+
+
+def test_articles_go_through_the_suffix_array(spark):
+    """Against a plain reading: outside an article, what any part of another page of the host has goes; without an article, what
+    another has outside its article. Articles, quoted by others or not, stay whole."""
+    draw = random.Random(5)
+    words = [f"w{i}" for i in range(900)]
+    lines = {h: [" ".join(draw.choices(words, k=draw.randrange(6, 20))) for _ in range(90)] for h in ("a.org", "b.org")}
+    pages, read = [], {}
+    for i in range(150):
+        host = draw.choice(list(lines))
+        blocks = [(draw.choice(["own", "own", "doubt", "nav"]) if i % 3 else "own", draw.choice(lines[host]) if draw.random() < 0.6 else " ".join(draw.choices(words, k=draw.randrange(1, 30)))) for _ in range(draw.randrange(1, 7))]
+        bare = i % 3 == 0 or not any(k == "own" for k, _ in blocks)
+        blocks = [("loose", b) for _, b in blocks] if bare else blocks
+        tag = {"own": "<p>{}</p>", "doubt": '<div class="related-stories">{}</div>', "nav": "<nav>{}</nav>", "loose": "<div>{}</div>"}
+        body = "".join(tag[k].format(b) for k, b in blocks)
+        pages.append((i, f"https://{host}/{i}", f"<html><body>{body if bare else f'<article>{body}</article>'}</body></html>"))
+        read[i] = (host, bare, [(k, b.split()) for k, b in blocks if k != "nav"])
+    n, others, articles = html_extract.MIN_TOKENS, {}, {}
+    for i, (host, _, blocks) in read.items():
+        for side, held in ((others, [w for k, b in blocks if k != "own" for w in b]), (articles, [w for k, b in blocks if k == "own" for w in b])):
+            for j in range(len(held) - n + 1):
+                side.setdefault((host, tuple(held[j : j + n])), set()).add(i)
+    want, quoted = {}, 0
+    for i, (host, bare, blocks) in read.items():
+        tokens = [w for k, b in blocks if k != "own" for w in b]
+        gone = set()
+        for j in range(len(tokens) - n + 1):
+            run = (host, tuple(tokens[j : j + n]))
+            elsewhere = others[run] - {i}
+            quoted += not elsewhere and bool(articles.get(run, set()) - {i}) and not bare
+            if elsewhere or not bare and articles.get(run, set()) - {i}:
+                gone |= set(range(j, j + n))
+        at, left = 0, []
+        for k, b in blocks:
+            left.append(" ".join(b if k == "own" else [w for j, w in enumerate(b, at) if j not in gone]))
+            at += 0 if k == "own" else len(b)
+        want[i] = " ".join(x for x in left if x)
+    assert quoted > 20 and texts(spark, pages) == want
