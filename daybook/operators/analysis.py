@@ -428,6 +428,7 @@ def alias_count(entities: DataFrame, least: float = ALIAS_LEAST, crowd: int = AL
     parts.append(total(groups.where("next = ''"), F.col("n") * (F.col("n") - 1) / 2))
     own = ["stem", "same", "head"]
     x, y = (groups.select(*own, *(F.col(c).alias(f"{s}_{c}") for c in ("next", "d", "has", "n"))) for s in "xy")
+    y = y.withColumn("x_next", F.explode(F.filter(F.array(*map(F.lit, ["", *"0123456789"])), lambda c: c < F.col("y_next"))))  # a crowd's classes meet in several tasks
     a, b, q = F.length("stem") + F.col("x_d"), F.length("stem") + F.col("y_d"), F.length("stem") + F.col("same")
     reach = F.greatest(F.lit(0), F.floor(F.greatest(a, b) / 2) - 1)
     shared = F.bit_count(F.col("x_has").bitwiseAND(F.col("y_has")))
@@ -436,7 +437,7 @@ def alias_count(entities: DataFrame, least: float = ALIAS_LEAST, crowd: int = AL
     k = F.when(F.greatest(a, b) - 1 - q <= reach, shared).otherwise(0)
     sure = (q * (1 / a + 1 / b) >= 0.5) & (boosted(similar(q + k, k)) >= least + 1e-9)
     never = boosted(similar(q + F.when(shared == 0, 0).otherwise(F.least(a, b) - q), F.lit(0))) < least - 1e-9
-    met = x.join(y, own).where("x_next < y_next").withColumn("near", F.when(sure, 1).when(never, 0).otherwise(-1)).where("near <> 0")
+    met = x.join(y, [*own, "x_next"]).withColumn("near", F.when(sure, 1).when(never, 0).otherwise(-1)).where("near <> 0")
     parts.append(total(met.where("near = 1"), F.col("x_n") * F.col("y_n")))
     each = lambda s, o: cut.select(*own, F.col("next").alias(f"{o}_next"), F.col("d").alias(f"{o}_d"), F.col("has").alias(f"{o}_has"), F.col("name").alias(s), F.col("key").alias(f"{s}_key"))
     open_ = met.where("near = -1").select(*own, *(f"{o}_{c}" for o in "xy" for c in ("next", "d", "has"))).join(each("a", "x"), [*own, "x_next", "x_d", "x_has"]).join(each("b", "y"), [*own, "y_next", "y_d", "y_has"])
